@@ -11,7 +11,7 @@ never the rows, and the result is exact in both cases.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -85,9 +85,31 @@ def medians(df: DataFrame, by: Sequence[str], values: Sequence[str],
     return out.select(*by, *[F.col(v)[0].alias(v) for v in values])
 
 
+def select_rank(df: DataFrame, by: Sequence[str], value: str,
+                rank: Callable[[Column], Column], size: GroupSize | None = None) -> DataFrame:
+    """Per group the value at a 0-based rank, ``rank`` being a function of the count.
+
+    Returns ``value``, the number of rows ``before`` that value, and ``total``.
+    """
+    by = list(by)
+    size = size or group_size(df, by)
+    rows = df.select(*by, F.col(value).cast("double").alias("__x")).filter(F.col("__x").isNotNull())
+    if size.largest > group_row_limit(df.sparkSession):
+        return _pick_ranks(rows, by, lambda n: F.array(F.least(rank(n), n - 1))).select(
+            *by, F.col("__v").alias("value"), F.col("__below").alias("before"),
+            F.col("__total").alias("total"))
+    everything = Window.partitionBy(*by)
+    counted = (rows.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__n"))
+               .withColumn("total", F.sum("__n").over(everything))
+               .withColumn("__upto", F.sum("__n").over(everything.orderBy("__x"))))
+    wanted = F.least(rank(F.col("total")), F.col("total") - 1)
+    return (counted.filter((F.col("__upto") > wanted) & (F.col("__upto") - F.col("__n") <= wanted))
+            .select(*by, F.col("__x").alias("value"),
+                    (F.col("__upto") - F.col("__n")).alias("before"), "total"))
+
+
 def _by_refinement(df: DataFrame, by: list[str], values: list[str],
                    probs: list[float]) -> DataFrame:
-    limit = group_row_limit(df.sparkSession)
     keys = [*by, "__metric"]
     pairs = F.array(*[F.struct(F.lit(v).alias("m"), F.col(v).cast("double").alias("x"))
                       for v in values])
@@ -95,50 +117,11 @@ def _by_refinement(df: DataFrame, by: list[str], values: list[str],
               .select(*by, F.col("__p.m").alias("__metric"), F.col("__p.x").alias("__x"))
               .filter(F.col("__x").isNotNull()))
 
-    # First split: a signed logarithm needs no range pass and tames outliers.
-    x = F.col("__x")
-    log_bucket = F.signum(x) * F.floor(F.log1p(F.abs(x) * _LOG_UNIT) * _LOG_STEPS)
-    hist = _histogram(rows.withColumn("__b", log_bucket), keys)
-    total = Window.partitionBy(*keys)
-    hist = hist.withColumn("__total", F.sum("__n").over(total))
-    last = F.col("__total") - 1
-    ranks = F.array_distinct(F.flatten(F.array(*[
-        F.array(F.floor(F.lit(p) * last), F.least(F.floor(F.lit(p) * last) + 1, last))
-        for p in probs])))
-    found = stage(_locate(hist, keys, F.lit(0).cast("long"), ranks, carry=["__total"]))
+    def ranks(n: Column) -> Column:
+        low = [F.floor(F.lit(p) * (n - 1)) for p in probs]
+        return F.array_distinct(F.array(*low, *[F.least(r + 1, n - 1) for r in low]))
 
-    # Later splits: equal widths between the smallest and largest value present.
-    while (found.filter("__lo < __hi").agg(F.max("__n")).first()[0] or 0) > limit:
-        wide = found.filter((F.col("__lo") < F.col("__hi")) & (F.col("__n") > limit))
-        inside = _rows_inside(rows, wide, keys)
-        width = F.col("__hi") * 0.5 - F.col("__lo") * 0.5
-        pos = (F.col("__x") * 0.5 - F.col("__lo") * 0.5) / width * SPLITS
-        parts = (inside.withColumn("__b", F.least(F.floor(pos), F.lit(SPLITS - 1)).cast("double"))
-                 .withColumnRenamed("__lo", "__plo").withColumnRenamed("__hi", "__phi"))
-        hist = _histogram(parts, [*keys, "__plo", "__phi"])
-        parent = wide.select(*[F.col(k) for k in keys], F.col("__lo").alias("__plo"),
-                             F.col("__hi").alias("__phi"), F.col("__before").alias("__start"),
-                             F.col("__ranks").alias("__want"), "__total")
-        hist = on_groups(hist, parent, [*keys, "__plo", "__phi"])
-        split = _locate(hist, [*keys, "__plo", "__phi"], F.col("__start"), F.col("__want"),
-                        carry=["__total"]).drop("__plo", "__phi")
-        done = found.filter(~((F.col("__lo") < F.col("__hi")) & (F.col("__n") > limit)))
-        found = stage(done.unionByName(split))
-
-    single = (found.filter("__lo >= __hi")
-              .select(*keys, "__total", F.explode("__ranks").alias("__r"),
-                      F.col("__lo").alias("__v")))
-    narrow = found.filter("__lo < __hi")
-    counted = (_rows_inside(rows, narrow, keys)
-               .groupBy(*keys, "__lo", "__hi", "__before", "__ranks", "__total", "__x")
-               .agg(F.count(F.lit(1)).alias("__n")))
-    order = Window.partitionBy(*keys, "__lo").orderBy("__x")
-    upto = F.col("__before") + F.sum("__n").over(order)
-    picked = (counted.withColumn("__upto", upto)
-              .select(*keys, "__total", F.col("__x").alias("__v"), F.explode(F.filter(
-                  "__ranks", lambda r: (r < F.col("__upto")) & (r >= F.col("__upto") - F.col("__n"))
-              )).alias("__r")))
-    by_rank = (single.unionByName(picked).groupBy(*keys, "__total")
+    by_rank = (_pick_ranks(rows, keys, ranks).groupBy(*keys, "__total")
                .agg(F.map_from_entries(F.collect_list(F.struct("__r", "__v"))).alias("__at")))
 
     def quantile(p: float) -> Column:
@@ -157,13 +140,55 @@ def _by_refinement(df: DataFrame, by: list[str], values: list[str],
     return on_groups(groups, per_group, by, how="left") if by else per_group
 
 
+def _pick_ranks(rows: DataFrame, keys: list[str],
+                ranks: Callable[[Column], Column]) -> DataFrame:
+    """Values ``__v`` at the wanted ranks ``__r`` of ``__x`` by histogram refinement."""
+    limit = group_row_limit(rows.sparkSession)
+    # First split: a signed logarithm needs no range pass and tames outliers.
+    x = F.col("__x")
+    log_bucket = F.signum(x) * F.floor(F.log1p(F.abs(x) * _LOG_UNIT) * _LOG_STEPS)
+    hist = _histogram(rows.withColumn("__b", log_bucket), keys)
+    hist = hist.withColumn("__total", F.sum("__n").over(Window.partitionBy(*keys)))
+    found = stage(_locate(hist, keys, F.lit(0).cast("long"), ranks(F.col("__total"))))
+
+    # Later splits: equal widths between the smallest and largest value present.
+    # Each split separates the two, so every interval ends narrow or single-valued.
+    wide_rows = (F.col("__lo") < F.col("__hi")) & (F.col("__n") > limit)
+    while not found.filter(wide_rows).isEmpty():
+        wide = found.filter(wide_rows)
+        width = F.col("__hi") * 0.5 - F.col("__lo") * 0.5
+        pos = (F.col("__x") * 0.5 - F.col("__lo") * 0.5) / width * SPLITS
+        parts = (_rows_inside(rows, wide, keys)
+                 .withColumn("__b", F.least(F.floor(pos), F.lit(SPLITS - 1)).cast("double"))
+                 .withColumnsRenamed({"__lo": "__plo", "__hi": "__phi"}))
+        inner = [*keys, "__plo", "__phi"]
+        parent = wide.select(*keys, F.col("__lo").alias("__plo"), F.col("__hi").alias("__phi"),
+                             F.col("__before").alias("__start"),
+                             F.col("__ranks").alias("__want"), "__total")
+        hist = on_groups(_histogram(parts, inner), parent, inner)
+        split = _locate(hist, inner, F.col("__start"), F.col("__want")).drop("__plo", "__phi")
+        found = stage(found.filter(~wide_rows).unionByName(split))
+
+    single = (found.filter("__lo >= __hi")
+              .select(*keys, "__total", F.explode("__ranks").alias("__r"),
+                      F.col("__lo").alias("__v"), F.col("__before").alias("__below")))
+    counted = (_rows_inside(rows, found.filter("__lo < __hi"), keys)
+               .groupBy(*keys, "__lo", "__hi", "__before", "__ranks", "__total", "__x")
+               .agg(F.count(F.lit(1)).alias("__n")))
+    order = Window.partitionBy(*keys, "__lo").orderBy("__x")
+    counted = counted.withColumn("__upto", F.col("__before") + F.sum("__n").over(order))
+    mine = F.filter("__ranks", lambda r: (r < F.col("__upto")) & (r >= F.col("__upto") - F.col("__n")))
+    picked = counted.select(*keys, "__total", F.explode(mine).alias("__r"), F.col("__x").alias("__v"),
+                            (F.col("__upto") - F.col("__n")).alias("__below"))
+    return single.unionByName(picked)
+
+
 def _histogram(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"),
                                           F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
 
 
-def _locate(hist: DataFrame, keys: list[str], start: Column, ranks: Column,
-            carry: list[str]) -> DataFrame:
+def _locate(hist: DataFrame, keys: list[str], start: Column, ranks: Column) -> DataFrame:
     """Keep the intervals holding a wanted rank, with the rows before them."""
     order = Window.partitionBy(*keys).orderBy("__b")
     hist = hist.withColumn("__upto", start + F.sum("__n").over(order)).withColumn("__all", ranks)
@@ -171,7 +196,7 @@ def _locate(hist: DataFrame, keys: list[str], start: Column, ranks: Column,
                     (r >= F.col("__upto") - F.col("__n")))
     return (hist.withColumn("__ranks", mine).filter(F.size("__ranks") > 0)
             .withColumn("__before", F.col("__upto") - F.col("__n"))
-            .select(*keys, "__lo", "__hi", "__n", "__before", "__ranks", *carry))
+            .select(*keys, "__lo", "__hi", "__n", "__before", "__ranks", "__total"))
 
 
 def _rows_inside(rows: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
