@@ -274,12 +274,13 @@ def value_digest(spark, sf):
 
 
 @query("spec_vs_parallax_table", f"""WITH {CLEAN}
-  SELECT sdss_id, {r('plx + 0.048')} AS plx, {r('plx_sp')} AS plx_sp, {r('snr')} AS snr, {PROBE} AS probe
+  SELECT sdss_id, {r('plx + 0.048', 9)} AS plx, {r('plx_sp / plx', 9)} AS ratio, {r('snr', 9)} AS snr, {PROBE} AS probe
   FROM cat WHERE train AND plx IS NOT NULL""")
 def spec_vs_parallax_table(spark, sf):
     cat = ev.clean_catalog(messy(spark, sf)).filter(F.col("train") & F.col("plx").isNotNull())
-    return round_all(cat.select("sdss_id", (F.col("plx") + 0.048).alias("plx"), "plx_sp", "snr",
-                                x.hi_snr("plx", "e_plx").alias("probe")))
+    return round_all(cat.select("sdss_id", (F.col("plx") + 0.048).alias("plx"),
+                                x.ratio("plx_sp", "plx").alias("ratio"), "snr",
+                                x.hi_snr("plx", "e_plx").alias("probe")), 9)
 
 
 @query("distance_vs_magnitude_table", f"""WITH {CLEAN}, m AS (SELECT sdss_id, p_retailprice / 100 AS g_mag, 1 / plx_sp AS d,
