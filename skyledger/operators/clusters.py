@@ -13,6 +13,7 @@ from skyledger.operators.quantiles import GroupSize, group_size, medians, on_gro
 from skyledger.operators.ranking import ordinal_rank
 from skyledger.operators.robust import inverse_variance, robust_stats
 from skyledger.operators.joins import membership_probability
+from skyledger.session import stage
 
 # Reference parallaxes of well-studied clusters, in mas.
 REFERENCE_PARALLAX = {
@@ -41,7 +42,7 @@ def load_members(table: DataFrame, cluster: str, member_id: str, prob: str, prob
 
 
 def cluster_metrics(df: DataFrame, by: Sequence[str] = ("cluster",), *, offset: float = 0.0,
-                    err_scale: float | str = 1.0, size: GroupSize | None = None) -> DataFrame:
+                    err_scale: float | str = 1.0) -> DataFrame:
     """Coherence and bias of each cluster's members.
 
     ``err_scale`` multiplies the quoted error first; a column name scales per row.
@@ -51,13 +52,15 @@ def cluster_metrics(df: DataFrame, by: Sequence[str] = ("cluster",), *, offset:
     rows = df.select(*by, x.finite("plx_sp").alias("sp"), (x.finite("err_sp") * scale).alias("err"),
                      x.finite("plx").alias("a"), x.finite("e_plx").alias("ea"))
     rows = rows.withColumn("good", x.holds(F.col("sp").isNotNull() & (F.col("err") > 0)))
-    size = size or group_size(rows, by)
     sp_mean, sp_err = inverse_variance("sp", "err")
     a_mean, a_err = inverse_variance("a", "ea")
-    means = rows.groupBy(*by).agg(
+    # Small and used three times: written once, which also measures the groups.
+    means = stage(rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_matched"), F.count_if("good").alias("n"),
         sp_mean.alias("sp_mean"), sp_err.alias("sp_mean_err"),
-        a_mean.alias("gaia_mean"), a_err.alias("gaia_mean_err"))
+        a_mean.alias("gaia_mean"), a_err.alias("gaia_mean_err")))
+    top = means.agg(F.count(F.lit(1)).alias("groups"), F.max("n_matched").alias("largest")).first()
+    size = GroupSize(top["groups"], top["largest"] or 0)
     scored = on_groups(rows.filter("good"), means.select(*by, "sp_mean"), by, size=size)
     scored = scored.select(*by, "sp", ((F.col("sp") - F.col("sp_mean")) / F.col("err")).alias("chi"))
     spread = robust_stats(scored, by, ["sp", "chi"], size,

@@ -323,3 +323,13 @@ def value_digest(df: DataFrame, key: str, columns: Sequence[str], digits: int =
     word = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
     return df.select(word.alias("w")).agg(F.count(F.lit(1)).alias("n_rows"),
                                           F.bit_xor("w").alias("digest"))
+
+
+def sweep_summary(cat: DataFrame, by: Sequence[str], offset: float = 0.0) -> DataFrame:
+    """One row per configuration: z width, tail share and one-sigma coverage."""
+    z = x.z_score("plx_sp", "plx", "e_plx", "err_sp", offset)
+    rows = clean_catalog(cat).select(*by, z.alias("z")).filter(F.col("z").isNotNull())
+    out = robust_stats(rows, by, ["z"], extra=[fraction(F.abs("z") > 3).alias("tail_gt3"),
+                                               fraction(F.abs("z") <= 1).alias("cov_1sigma")])
+    return out.select(*by, F.col("z_n").alias("n"), F.col("z_scatter").alias("z_width"),
+                      "tail_gt3", "cov_1sigma")

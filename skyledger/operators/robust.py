@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from skyledger.functions.exprs import ColumnLike, col, finite, is_finite, holds
 from skyledger.operators.quantiles import (GroupSize, exact_quantiles, group_size, medians,
                                            on_groups)
+from skyledger.session import group_row_limit
 
 # Fixed value: the scale of the median absolute deviation.
 MAD_SCALE = 1.48
@@ -24,16 +25,22 @@ def robust_stats(df: DataFrame, by: Sequence[str], values: Sequence[str],
     passes, so a report over many metrics costs the same scans as one.
     """
     by = list(by)
+    spark = df.sparkSession
     size = size or group_size(df, by)
     centre = medians(df, by, values, size).select(
         *by, *[F.col(v).alias(f"{v}_med") for v in values])
     joined = on_groups(df, centre, by, size=size)
-    dev = joined.withColumns({f"__d_{v}": F.abs(F.col(v) - F.col(f"{v}_med")) for v in values})
-    devs = [f"__d_{v}" for v in values]
-    spread = medians(dev, by, devs, size).select(
-        *by, *[(MAD_SCALE * F.col(f"__d_{v}")).alias(f"{v}_scatter") for v in values])
-    counts = df.groupBy(*by).agg(*[F.count(v).alias(f"{v}_n") for v in values], *extra)
-    return on_groups(on_groups(counts, centre, by, size=size), spread, by, size=size)
+    devs = {f"__d_{v}": F.abs(F.col(v) - F.col(f"{v}_med")) for v in values}
+    counts = [F.count(v).alias(f"{v}_n") for v in values]
+    kept = [F.first(f"{v}_med").alias(f"{v}_med") for v in values]
+    if size.largest <= group_row_limit(spark):
+        # The centre rides along in the second pass, so nothing is scanned twice.
+        spread = [(MAD_SCALE * F.percentile(d, F.lit(0.5))).alias(f"{v}_scatter")
+                  for v, d in zip(values, devs.values())]
+        return joined.groupBy(*by).agg(*kept, *spread, *counts, *extra)
+    spread = medians(joined.withColumns(devs), by, list(devs), size).select(
+        *by, *[(MAD_SCALE * F.col(d)).alias(f"{v}_scatter") for v, d in zip(values, devs)])
+    return on_groups(joined.groupBy(*by).agg(*kept, *counts, *extra), spread, by, size=size)
 
 
 def inverse_variance(value: ColumnLike, err: ColumnLike) -> tuple[Column, Column]:
