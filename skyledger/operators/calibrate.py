@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -12,53 +13,82 @@ from skyledger.operators.evaluate import (NOTEBOOK_MIN_BIN_ROWS, calibration_bin
                                           z_report)
 from skyledger.operators.quantiles import GroupSize, group_size, medians, on_groups
 from skyledger.operators.robust import quantile_bins, robust_stats
+from skyledger.session import stage
 
 # The bracket in which the error factor is sought.
 FACTOR_MIN, FACTOR_MAX = 1e-3, 100.0
-GRID = 24
-TOLERANCE = 1e-12
+FIRST_GRID = 8
+TOLERANCE = 1e-10
+MAX_GROUPS = 1000
 
 
 def recalibration_factor(cat: DataFrame, by: Sequence[str], offset: float = 0.0,
                          target: float = 1.0) -> dict[tuple, float]:
     """Per group the factor c that makes the robust chi width equal ``target``.
 
-    The width falls as c grows, so the root is bracketed. Each pass evaluates a
-    grid of factors for all groups at once and keeps the cell that changes sign,
-    24-fold finer per pass; only one bracket per group reaches the driver. Groups
-    are folds or configurations, a handful by construction.
+    The width falls as c grows, so the root is bracketed. Every pass scores a few
+    factors of all groups in one job: first a logarithmic grid, then a point
+    interpolated in the bracket, its two close neighbours and the midpoint. The
+    neighbours close in as fast as the interpolation improves, the midpoint keeps
+    the worst case at halving. Only widths of folds or configurations, at most
+    ``MAX_GROUPS``, reach the driver.
     """
     by = list(by)
-    rows = clean_catalog(cat).select(
+    rows = stage(clean_catalog(cat).select(
         *by, (F.col("plx_sp") - (F.col("plx") + F.lit(float(offset)))).alias("resid"),
         "e_plx", "err_sp").filter(
-            F.col("resid").isNotNull() & F.col("e_plx").isNotNull() & (F.col("err_sp") > 0))
+            F.col("resid").isNotNull() & F.col("e_plx").isNotNull() & (F.col("err_sp") > 0)))
     size = group_size(rows, by)
-    names = [tuple(r[c] for c in by) for r in rows.select(*by).distinct().collect()] if by else [()]
-    brackets = {g: (FACTOR_MIN, FACTOR_MAX) for g in names}
-    cols = [f"c{i}" for i in range(GRID)]
-    while any(hi - lo > TOLERANCE * hi for lo, hi in brackets.values()):
-        step = {}
-        for g, (lo, hi) in brackets.items():
-            step[g] = [lo + (hi - lo) * (i + 1) / (GRID + 1) for i in range(GRID)]
-        grids = rows.sparkSession.createDataFrame(
-            [(*g, c) for g, c in step.items()],
-            schema=_schema(rows, by).add("__grid", ArrayType(DoubleType())))
-        scored = on_groups(rows, grids, by, size=size).select(*by, *[
-            x.ratio("resid", F.hypot(F.col("e_plx"), F.col("err_sp") * F.col("__grid")[i])).alias(c)
-            for i, c in enumerate(cols)])
-        widths = {tuple(r[c] for c in by): r for r in robust_stats(scored, by, cols, size).collect()}
-        new = {}
-        for g, (lo, hi) in brackets.items():
-            w = widths.get(g)
-            points = [lo, *step[g], hi]
-            above = [w is not None and (w[f"{c}_scatter"] or 0.0) > target for c in cols]
-            k = above.index(False) if False in above else GRID
-            new[g] = (points[k], points[k + 1])
-        if new == brackets:
-            break
-        brackets = new
-    return {g: 0.5 * (lo + hi) for g, (lo, hi) in brackets.items()}
+    if size.groups > MAX_GROUPS:
+        raise ValueError(f"{size.groups} groups; the factor is meant for folds or configurations")
+    groups = [tuple(row[c] for c in by) for row in rows.select(*by).distinct().collect()] if by else [()]
+
+    def widths(points: dict[tuple, list[float]]) -> dict[tuple, list[float]]:
+        n = max(len(p) for p in points.values())
+        table = rows.sparkSession.createDataFrame(
+            [(*g, p) for g, p in points.items()],
+            schema=_schema(rows, by).add("__c", ArrayType(DoubleType())))
+        names = [f"c{i}" for i in range(n)]
+        scored = on_groups(rows, table, by, size=size).select(*by, *[
+            x.ratio("resid", F.hypot(F.col("e_plx"), F.col("err_sp") * F.col("__c")[i])).alias(c)
+            for i, c in enumerate(names)])
+        out = robust_stats(scored, by, names, size).collect()
+        return {tuple(row[c] for c in by): [row[f"{c}_scatter"] or 0.0 for c in names] for row in out}
+
+    step = math.log(FACTOR_MAX / FACTOR_MIN) / (FIRST_GRID - 1)
+    grid = [FACTOR_MIN * math.exp(step * i) for i in range(FIRST_GRID)]
+    known = {g: list(zip(grid, w)) for g, w in widths({g: grid for g in groups}).items()}
+    brackets = {g: _bracket(points, target) for g, points in known.items()}
+    while open_ := {g: b for g, b in brackets.items() if b[1][0] - b[0][0] > TOLERANCE * b[1][0]}:
+        trial = {g: _trial_points(*b, target) for g, b in open_.items()}
+        # Closed groups repeat their bracket so that the plan stays the same.
+        points = {g: trial.get(g, [brackets[g][0][0]] * 4) for g in brackets}
+        scored = widths(points)
+        before = {g: open_[g][1][0] - open_[g][0][0] for g in open_}
+        for g in open_:
+            lo, hi = open_[g]
+            brackets[g] = _bracket([lo, *zip(points[g], scored[g]), hi], target)
+        if all(brackets[g][1][0] - brackets[g][0][0] >= before[g] for g in open_):
+            break  # the brackets are down to neighbouring numbers
+    return {g: 0.5 * (lo[0] + hi[0]) for g, (lo, hi) in brackets.items()}
+
+
+def _bracket(points: list[tuple[float, float]], target: float):
+    """Neighbouring (factor, width) points around the target width."""
+    for lo, hi in zip(points[:-1], points[1:]):
+        if hi[1] <= target:
+            return lo, hi
+    return points[-2], points[-1]
+
+
+def _trial_points(lo: tuple[float, float], hi: tuple[float, float], target: float) -> list[float]:
+    span = hi[0] - lo[0]
+    slope = hi[1] - lo[1]
+    guess = lo[0] + span * (target - lo[1]) / slope if slope < 0 else lo[0] + 0.5 * span
+    guess = min(max(guess, lo[0] + 0.01 * span), hi[0] - 0.01 * span)
+    near = span * min(0.05, span / hi[0])
+    points = [guess - near, guess, guess + near, lo[0] + 0.5 * span]
+    return sorted(min(max(p, lo[0]), hi[0]) for p in points)
 
 
 def _schema(df: DataFrame, by: Sequence[str]):

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from skyledger.functions import exprs as x
 from skyledger.operators import calibrate as cal, clusters as cl, evaluate as ev, histograms as hi
 from skyledger.plans.catalog import _phot, _PHOT
-from skyledger.plans.evaluation import CHI, FRAC, PROBE
+from skyledger.plans.evaluation import (CAL_INNER, CAL_OUTER, CAL_WHERE, CHI, FRAC, PROBE,
+                                         _bins_sql)
 from skyledger.plans.matching import member_probs
 from skyledger.plans.registry import query
 from skyledger.plans.tables import CLEAN, HUB, MESSY, hub, messy, r, round_all, table
@@ -216,15 +217,67 @@ def colour_colour_table(spark, sf):
 
 
 # --- recalibration -------------------------------------------------------------
-@query("recalibration_factor")
-def recalibration_factor(spark, sf):
+# Quoted errors cut to a quarter, so that the sought factor lies inside its bracket.
+def _tight(spark, sf):
     cat = messy(spark, sf)
+    return cat.withColumns({"e_plx": F.col("e_plx") / 4, "err_sp": F.col("err_sp") / 4})
+
+
+_TIGHT = CLEAN + """, tight AS (SELECT * REPLACE (e_plx / 4 AS e_plx, err_sp / 4 AS err_sp) FROM cat)"""
+
+
+def _factor_sql(name: str, where: str) -> str:
+    """Sixty bisections on the bracket, as a recursive query."""
+    width = "SELECT 1.48::DOUBLE * mad((plx_sp - plx) / sqrt(e_plx ** 2 + (mid * err_sp) ** 2)) AS w FROM tight"
+    return f"""{name}_b AS (SELECT 0 AS i, 1e-3::DOUBLE AS lo, 100.0::DOUBLE AS hi, 50.0005::DOUBLE AS mid
+      UNION ALL SELECT i + 1, l2, h2, (l2 + h2) / 2 FROM (SELECT i, CASE WHEN w > 1 THEN mid ELSE lo END AS l2,
+        CASE WHEN w > 1 THEN hi ELSE mid END AS h2 FROM {name}_b, LATERAL ({width}
+          WHERE plx_sp - plx IS NOT NULL AND e_plx IS NOT NULL AND err_sp > 0 AND {where}) WHERE i < 60)),
+      {name} AS (SELECT (lo + hi) / 2 AS factor FROM {name}_b ORDER BY i DESC LIMIT 1)"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_FACTORS = f"""{_factor_sql('fa', "sample = 'A'")}, {_factor_sql('fb', "sample = 'B'")},
+  factors AS (SELECT 'A' AS sample, factor FROM fa UNION ALL SELECT 'B', factor FROM fb)"""
+
+
+@query("recalibration_factor", f"WITH RECURSIVE {_TIGHT}, {_FACTORS} SELECT sample, {r('factor')} AS factor FROM factors")
+def recalibration_factor(spark, sf):
+    cat = _tight(spark, sf)
     return round_all(cal.factors_table(cat, ["sample"], cal.recalibration_factor(cat, ["sample"])))
 
 
-@query("calibrate_by_fold")
+_TIGHT_BINS = _bins_sql("sample", "err_sp / nullif(plx_sp, 0)", 8, CAL_WHERE, CAL_INNER, CAL_OUTER, "count(*) >= 20",
+                        prelude=f"{_TIGHT}, {_FACTORS}", source="tight")
+
+
+@query("calibrate_by_fold", _recursive(f"""WITH bins AS ({_recursive(_TIGHT_BINS)}), {_TIGHT}, {_FACTORS}
+  SELECT bins.*, {r('factor')} AS factor FROM bins JOIN factors USING (sample)"""))
 def calibrate_by_fold(spark, sf):
-    return round_all(cal.calibrate(messy(spark, sf), ["sample"]))
+    return round_all(cal.calibrate(_tight(spark, sf), ["sample"]))
+
+
+_HELD = f"""{_TIGHT}, {_factor_sql('fa', f"sample = 'A' AND {PROBE}")},
+  held AS (SELECT 'before' AS stage, * FROM tight WHERE sample = 'B' UNION ALL
+    SELECT 'after', * REPLACE (err_sp * (SELECT factor FROM fa) AS err_sp) FROM tight WHERE sample = 'B')"""
+
+
+@query("probe_recalibration", _recursive(_bins_sql(
+    "stage", "CASE WHEN isfinite(r_med_photogeo_pc) THEN r_med_photogeo_pc / 1000 END", 8, CAL_WHERE, CAL_INNER,
+    CAL_OUTER, "count(*) >= 50", prelude=_HELD, source="held")))
+def probe_recalibration(spark, sf):
+    _, bins, _ = cal.probe_recalibration(_tight(spark, sf), F.col("r_med_photogeo_pc") / 1000)
+    return round_all(bins)
+
+
+@query("probe_z_width", f"""WITH RECURSIVE {_HELD}, m AS (SELECT stage, {CHI} AS z FROM held WHERE {PROBE})
+  SELECT stage, count(z) AS n, {r('median(z)')} AS z_median, {r('1.48::DOUBLE * mad(z)')} AS z_width,
+    {r('avg((abs(z) > 3)::INT::DOUBLE)')} AS tail_gt3 FROM m WHERE z IS NOT NULL GROUP BY stage""")
+def probe_z_width(spark, sf):
+    return round_all(cal.probe_recalibration(_tight(spark, sf), F.col("r_med_photogeo_pc") / 1000)[2])
 
 
 def _knots_sql() -> str:
@@ -246,17 +299,6 @@ def debias_report(spark, sf):
     return round_all(cal.debias_report(messy(spark, sf)))
 
 
-@query("probe_recalibration")
-def probe_recalibration(spark, sf):
-    _, bins, _ = cal.probe_recalibration(messy(spark, sf), F.col("r_med_photogeo_pc") / 1000)
-    return round_all(bins)
-
-
-@query("probe_z_width")
-def probe_z_width(spark, sf):
-    return round_all(cal.probe_recalibration(messy(spark, sf), F.col("r_med_photogeo_pc") / 1000)[2])
-
-
 @query("constant_error", f"""WITH {CLEAN}, f AS (SELECT 1.48::DOUBLE * mad(ln(plx_sp) - ln(plx)) AS s FROM cat WHERE train AND plx > 0 AND {PROBE})
   SELECT sdss_id, {r('s')} AS frac_sigma, {r('s * plx_sp', 5)} AS err_sp FROM cat, f""")
 def constant_error(spark, sf):
