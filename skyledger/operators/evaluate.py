@@ -26,7 +26,8 @@ NOTEBOOK_MIN_BIN_ROWS = 50
 
 def clean_catalog(cat: DataFrame) -> DataFrame:
     """Catalog with non-finite parallax columns as null."""
-    return cat.withColumns({c: x.finite(c) for c in ("plx", "e_plx", "plx_sp", "err_sp")})
+    return cat.withColumns({c: x.finite(c) for c in ("plx", "e_plx", "plx_sp", "err_sp")
+                            if c in cat.columns})
 
 
 def with_folds(cat: DataFrame, sample: str = "sample") -> DataFrame:
