@@ -1,12 +1,13 @@
 """Exact grouped quantiles that hold no group on one task.
 
-Catalyst's ``percentile`` keeps the whole value-to-count map of a group in one
-aggregation buffer. That is the right plan while the largest group is small, so
-``group_size`` measures it first (one pruned scan). Above the limit the ranks are
-found by histogram refinement instead: count rows per value interval with
-map-side combine, keep the intervals that contain a wanted rank, and split those
-again until each holds few rows or a single value. Only histograms are shuffled,
-never the rows, and the result is exact in both cases.
+``group_size`` measures the largest group first (one pruned scan). While it is
+under the limit, a group fits a task: its values travel as one Arrow table and
+numpy picks the quantiles, which is several times faster than the hash map of
+boxed values behind ``percentile``. Above the limit the ranks are found by
+histogram refinement instead: count rows per value interval with map-side combine,
+keep the intervals that contain a wanted rank, and split those again until each
+holds few rows or a single value. Only histograms are shuffled then, never the
+rows, and the result is exact in both cases.
 """
 
 from __future__ import annotations
@@ -14,7 +15,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from skyledger.session import broadcast_row_limit, group_row_limit, stage
 
@@ -59,7 +64,7 @@ def on_groups(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a one-row table as literals."""
     row = one_row.first()
-    return df.select("*", *[F.lit(row[f.name]).cast(f.dataType).alias(f.name)
+    return df.select("*", *[F.lit(row[f.name] if row else None).cast(f.dataType).alias(f.name)
                             for f in one_row.schema.fields])
 
 
@@ -73,12 +78,39 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], values: Sequence[str],
     by = list(by)
     size = size or group_size(df, by)
     if size.largest <= group_row_limit(df.sparkSession):
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        return df.groupBy(*by).agg(*[F.percentile(F.col(v).cast("double"), wanted).alias(v)
-                                     for v in values])
+        wanted = [float(p) for p in probs]
+
+        def pick(columns: list[np.ndarray]) -> list:
+            return [np.quantile(v, wanted).tolist() if len(v) else None for v in columns]
+
+        return per_group(df, by, values, pick,
+                         [T.StructField(v, T.ArrayType(T.DoubleType())) for v in values])
     return _by_refinement(df, by, list(values), [float(p) for p in probs])
 
 
+def per_group(df: DataFrame, by: Sequence[str], values: Sequence[str],
+              kernel: Callable[[list[np.ndarray]], list], out: Sequence[T.StructField]) -> DataFrame:
+    """Apply ``kernel`` to the non-null values of each group; one row per group.
+
+    For groups of a checked size only: a group is one Arrow table in one task.
+    """
+    by, values = list(by), list(values)
+    schema = T.StructType([df.schema[c] for c in by] + list(out))
+    arrow = to_arrow_schema(schema)
+
+    def work(table: pa.Table) -> pa.Table:
+        columns = []
+        for v in values:
+            data = table.column(v).drop_null().to_numpy()
+            columns.append(data[~np.isnan(data)])
+        keys = [table.column(c).slice(0, 1).combine_chunks() for c in by]
+        cells = [pa.array([r], type=f.type) for r, f in zip(kernel(columns), list(arrow)[len(by):])]
+        return pa.Table.from_arrays(keys + cells, schema=arrow)
+
+    rows = df.select(*by, *[F.col(v).cast("double").alias(v) for v in values])
+    return rows.groupBy(*by).applyInArrow(work, schema)
+
+
 def medians(df: DataFrame, by: Sequence[str], values: Sequence[str],
             size: GroupSize | None = None) -> DataFrame:
     out = exact_quantiles(df, by, values, [0.5], size)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from skyledger.functions.exprs import ColumnLike, col, finite, is_finite, holds
 from skyledger.operators.quantiles import (GroupSize, exact_quantiles, group_size, medians,
-                                           on_groups)
+                                           on_groups, per_group)
 from skyledger.session import group_row_limit
 
 # Fixed value: the scale of the median absolute deviation.
@@ -21,26 +23,29 @@ def robust_stats(df: DataFrame, by: Sequence[str], values: Sequence[str],
                  extra: Sequence[Column] = ()) -> DataFrame:
     """Per group: ``<v>_n``, ``<v>_med`` and ``<v>_scatter`` (1.48 MAD) of each value.
 
-    ``extra`` aggregates ride along in the second pass. All values share the two
-    passes, so a report over many metrics costs the same scans as one.
+    ``extra`` aggregates ride along with the counts. All values share the passes,
+    so a report over many metrics costs the same scans as one.
     """
-    by = list(by)
-    spark = df.sparkSession
+    by, values = list(by), list(values)
     size = size or group_size(df, by)
+    counts = df.groupBy(*by).agg(*[F.count(v).alias(f"{v}_n") for v in values], *extra)
+    if size.largest <= group_row_limit(df.sparkSession):
+        def centre_and_spread(columns: list[np.ndarray]) -> list:
+            out = []
+            for v in columns:
+                mid = float(np.median(v)) if len(v) else None
+                out += [mid, MAD_SCALE * float(np.median(np.abs(v - mid))) if len(v) else None]
+            return out
+
+        names = [T.StructField(f"{v}_{part}", T.DoubleType()) for v in values for part in ("med", "scatter")]
+        return on_groups(counts, per_group(df, by, values, centre_and_spread, names), by, size=size)
     centre = medians(df, by, values, size).select(
         *by, *[F.col(v).alias(f"{v}_med") for v in values])
-    joined = on_groups(df, centre, by, size=size)
     devs = {f"__d_{v}": F.abs(F.col(v) - F.col(f"{v}_med")) for v in values}
-    counts = [F.count(v).alias(f"{v}_n") for v in values]
-    kept = [F.first(f"{v}_med").alias(f"{v}_med") for v in values]
-    if size.largest <= group_row_limit(spark):
-        # The centre rides along in the second pass, so nothing is scanned twice.
-        spread = [(MAD_SCALE * F.percentile(d, F.lit(0.5))).alias(f"{v}_scatter")
-                  for v, d in zip(values, devs.values())]
-        return joined.groupBy(*by).agg(*kept, *spread, *counts, *extra)
-    spread = medians(joined.withColumns(devs), by, list(devs), size).select(
+    joined = on_groups(df, centre, by, size=size).withColumns(devs)
+    spread = medians(joined, by, list(devs), size).select(
         *by, *[(MAD_SCALE * F.col(d)).alias(f"{v}_scatter") for v, d in zip(values, devs)])
-    return on_groups(joined.groupBy(*by).agg(*kept, *counts, *extra), spread, by, size=size)
+    return on_groups(on_groups(counts, centre, by, size=size), spread, by, size=size)
 
 
 def inverse_variance(value: ColumnLike, err: ColumnLike) -> tuple[Column, Column]:
