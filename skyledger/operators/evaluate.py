@@ -50,7 +50,6 @@ def evaluate(cat: DataFrame, snr: float = 20.0, offset: float = 0.0,
         *by, probe.alias("probe"),
         F.when(probe, x.fractional_residual("plx_sp", "plx", offset)).alias("frac"),
         x.ratio("err_sp", "plx_sp").alias("err_frac"), chi.alias("chi"), (chi * chi).alias("chi2"))
-    size = size or group_size(rows, by)
     out = robust_stats(rows, by, ["frac", "err_frac", "chi", "chi2"], size, extra=[
         F.count(F.lit(1)).alias("n_total"), F.count_if("probe").alias("n_hi_snr_probe"),
         F.avg("chi2").alias("chi2_mean_chi2")])

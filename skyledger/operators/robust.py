@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from skyledger.functions.exprs import ColumnLike, col, finite, is_finite, holds
 from skyledger.operators.quantiles import (GroupSize, exact_quantiles, group_size, medians,
                                            on_groups, per_group)
-from skyledger.session import group_row_limit
+from skyledger.session import group_row_limit, stage
 
 # Fixed value: the scale of the median absolute deviation.
 MAD_SCALE = 1.48
@@ -27,8 +27,13 @@ def robust_stats(df: DataFrame, by: Sequence[str], values: Sequence[str],
     so a report over many metrics costs the same scans as one.
     """
     by, values = list(by), list(values)
-    size = size or group_size(df, by)
-    counts = df.groupBy(*by).agg(*[F.count(v).alias(f"{v}_n") for v in values], *extra)
+    counts = df.groupBy(*by).agg(*[F.count(v).alias(f"{v}_n") for v in values], *extra,
+                                 F.count(F.lit(1)).alias("__rows"))
+    if size is None:  # the counts measure the groups in the same scan
+        counts = stage(counts)
+        top = counts.agg(F.count(F.lit(1)).alias("groups"), F.max("__rows").alias("largest")).first()
+        size = GroupSize(top["groups"] or 0, top["largest"] or 0)
+    counts = counts.drop("__rows")
     if size.largest <= group_row_limit(df.sparkSession):
         def centre_and_spread(columns: list[np.ndarray]) -> list:
             out = []
