@@ -181,3 +181,13 @@ def anchor_nll(z: ColumnLike, mu: ColumnLike, mu_err: ColumnLike, floor: float)
     pred = distance_modulus(z)
     var = col(mu_err) * col(mu_err) + floor * floor
     return 0.5 * ((col(mu) - pred) * (col(mu) - pred) / var + F.ln(var))
+
+
+def penalty(theta_spectral: list[float], phi: list[float], residual: ColumnLike, *, l1_spectral: float,
+            l1_phi: float, l2_residual: float) -> Column:
+    """Aggregate: mean absolute coefficients plus the mean squared residual output."""
+    def mean_abs(v: list[float]) -> float:
+        return sum(abs(t) for t in v) / len(v)
+
+    fixed = l1_spectral * mean_abs(theta_spectral) + l1_phi * mean_abs(phi)
+    return F.lit(fixed) + l2_residual * F.avg(col(residual) * col(residual))

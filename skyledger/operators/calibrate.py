@@ -103,8 +103,10 @@ def factors_table(cat: DataFrame, by: Sequence[str], factors: dict[tuple, float]
 def calibrate(cat: DataFrame, by: Sequence[str], offset: float = 0.0, nbins: int = 8) -> DataFrame:
     """Calibration bins with the error factor of the same selection."""
     bins = calibration_bins(cat, by, offset=offset, nbins=nbins)
-    factors = factors_table(cat, by, recalibration_factor(cat, by, offset))
-    return bins.join(F.broadcast(factors), list(by))  # one row per fold
+    factors = recalibration_factor(cat, by, offset)
+    if not by:
+        return bins.withColumn("factor", F.lit(factors[()]))
+    return bins.join(F.broadcast(factors_table(cat, by, factors)), list(by))  # at most MAX_GROUPS rows
 
 
 def bias_knots(cat: DataFrame, nbins: int = 12, snr: float = 20.0) -> list[tuple[float, float]]:

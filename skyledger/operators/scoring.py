@@ -164,11 +164,10 @@ def require_same_bands(model_bands: Sequence[str], dataset_bands: Sequence[str])
 
 
 # --- saved model on new spectra -------------------------------------------------------------
-def apply_linear(spectra: DataFrame, stars: DataFrame, model: LinearModel, *, good: np.ndarray,
-                 bands: Sequence[str], frac_sigma: float, star_row_id: Sequence[str],
-                 masks: Mapping[str, np.ndarray] | None = None, key: str = "sdss_id",
-                 f_max: float = 2.0, carry: Sequence[str] = ()) -> DataFrame:
-    """Result catalog for new spectra with the training-time pixels and statistics.
+def features_of_spectra(spectra: DataFrame, stars: DataFrame, *, good: np.ndarray, bands: Sequence[str],
+                        star_row_id: Sequence[str], masks: Mapping[str, np.ndarray] | None = None,
+                        key: str = "sdss_id", f_max: float = 2.0, carry: Sequence[str] = ()) -> DataFrame:
+    """Metadata and ``features`` of new spectra on the training-time pixels and bands.
 
     Membership columns such as ``memberprob`` and ``cluster`` are carried through
     when the spectra have them.
@@ -180,13 +179,28 @@ def apply_linear(spectra: DataFrame, stars: DataFrame, model: LinearModel, *, go
     if "zeropoint" not in meta.columns:
         meta = meta.withColumn("zeropoint", F.lit(None).cast("double"))
     meta = apply_zero_point(meta)
-    kept = list(dict.fromkeys([key, "plx", "e_plx", "plx_raw", "zeropoint", "r_med_photogeo", *bands, *extra]))
-    lnf = ln_flux(meta, kept, good=good, masks=masks, f_max=f_max)
-    rows = lnf.withColumn("features", assemble_features(bands, "ln_flux")).drop("ln_flux")
-    out = predict(rows, model, [c for c in rows.columns if c != "features" and c not in bands])
-    return out.withColumns({"err_sp": F.col("plx_sp") * frac_sigma,
-                            "dist_sp_kpc": x.distance_kpc("plx_sp")}).withColumnRenamed(
-                                "r_med_photogeo", "r_med_photogeo_pc")
+    kept = [key, "plx", "e_plx", "plx_raw", "zeropoint", "r_med_photogeo", *bands, *extra]
+    lnf = ln_flux(meta, list(dict.fromkeys(kept)), good=good, masks=masks, f_max=f_max)
+    return lnf.withColumn("features", assemble_features(bands, "ln_flux")).drop("ln_flux", *bands)
+
+
+def _catalog(scored: DataFrame) -> DataFrame:
+    return scored.withColumn("dist_sp_kpc", x.distance_kpc("plx_sp")).withColumnRenamed(
+        "r_med_photogeo", "r_med_photogeo_pc")
+
+
+def apply_linear(spectra: DataFrame, stars: DataFrame, model: LinearModel, *, frac_sigma: float,
+                 **options) -> DataFrame:
+    """Result catalog for new spectra from a saved linear model."""
+    rows = features_of_spectra(spectra, stars, **options)
+    out = predict(rows, model, [c for c in rows.columns if c != "features"])
+    return _catalog(out.withColumn("err_sp", F.col("plx_sp") * frac_sigma))
+
+
+def apply_two_head(spectra: DataFrame, stars: DataFrame, net: TwoHeadNet, **options) -> DataFrame:
+    """Result catalog for new spectra from a saved two-headed network."""
+    rows = features_of_spectra(spectra, stars, **options)
+    return _catalog(predict_two_head(rows, net, [c for c in rows.columns if c != "features"]))
 
 
 # --- choice of the penalty ---------------------------------------------------------------------

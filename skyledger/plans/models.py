@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skyledger.operators import fit, scoring as sc, spectra as sp
 from skyledger.operators.evaluate import evaluate
+from skyledger.plans.arrays import FLAGGED, spectra
 from skyledger.plans.registry import query
 from skyledger.plans.tables import HUB, hub, r, round_all, table
 from skyledger.session import stage
@@ -209,18 +210,45 @@ def hull_gate(spark, sf):
     return round_all(out.agg(F.count(F.lit(1)).alias("n"), F.avg("hull_d").alias("mean_hull"), F.avg("gate").alias("mean_gate")))
 
 
-# Saved model on spectra: two bands plus the 64 pixels of the embedding spectra.
+# Saved models on spectra: two bands plus the first 60 pixels of the embedding spectra.
 _APPLY = fit.LinearModel(np.concatenate([[0.3, 0.2, -0.1], [_w(i, 0, 11) / 10 for i in range(60)]]), np.zeros(62), np.ones(62))
+_APPLY_NET = sc.TwoHeadNet(body=[(_weights(62, 3, 12) / 4, _weights(1, 3, 13)[0])], head_mu=(_weights(3, 1, 14), np.array([0.1])),
+                           head_log_sigma=(_weights(3, 1, 15), np.array([-2.0])), mu=np.zeros(62), sd=np.ones(62))
 
+_W = "round(((i * 31 + {j} * 17 + {seed} * 7) % 41 - 20) / 60.0::DOUBLE, 6)"
+APPLIED = FLAGGED + """, st AS (SELECT o_custkey AS star, o_totalprice / 1e5::DOUBLE AS plx, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice / 5e5::DOUBLE END AS h,
+    (o_orderkey % 10) / 10.0::DOUBLE AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderkey % 5 = 0)::INT, o_orderkey) AS rn FROM orders),
+  meta AS (SELECT vec_id AS sdss_id, plx, h::FLOAT::DOUBLE AS h, k::FLOAT::DOUBLE AS k, (vec_id % 10) / 10.0::DOUBLE AS memberprob
+    FROM embeddings JOIN st ON star = vec_id AND rn = 1 WHERE h IS NOT NULL),
+  feats AS (SELECT sdss_id, p + 2 AS i, (CASE WHEN bad THEN 0.0 ELSE ln(f) END)::FLOAT::DOUBLE AS v FROM bx JOIN meta USING (sdss_id) WHERE p < 60
+    UNION ALL SELECT sdss_id, 0, h FROM meta UNION ALL SELECT sdss_id, 1, k FROM meta)"""
 
-@query("apply_saved_model")
-def apply_saved_model(spark, sf):
-    from skyledger.plans.arrays import spectra
+
+def _apply_inputs(spark, sf):
     stars = table(spark, sf, "orders").select(
         F.col("o_custkey").alias("sdss_id"), F.col("o_orderkey").alias("row_id"), (F.col("o_totalprice") / 1e5).alias("plx"),
         F.lit(0.05).alias("e_plx"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice") / 5e5).alias("h_mag"),
         ((F.col("o_orderkey") % 10) / 10).alias("k_mag"), F.lit(1000.0).alias("r_med_photogeo"))
     spec = spectra(spark, sf).withColumn("memberprob", (F.col("sdss_id") % 10) / 10)
-    good = np.arange(64) < 60
-    out = sc.apply_linear(spec, stars, _APPLY, good=good, bands=["h_mag", "k_mag"], frac_sigma=0.08, star_row_id=["row_id"])
+    return spec, stars, {"good": np.arange(64) < 60, "bands": ["h_mag", "k_mag"], "star_row_id": ["row_id"]}
+
+
+@query("apply_saved_model", f"""WITH {APPLIED}, z AS (SELECT sdss_id, 0.3 + sum(v * CASE i WHEN 0 THEN 0.2 WHEN 1 THEN -0.1 ELSE round((((i - 2) * 31 + 77) % 41 - 20) / 60.0::DOUBLE, 6) / 10 END::DOUBLE) AS z FROM feats GROUP BY 1)
+  SELECT sdss_id, {r('plx', 5)} AS plx, {r('exp(z)', 5)} AS plx_sp, {r('0.08 * exp(z)', 5)} AS err_sp, {r('exp(-z)', 5)} AS dist_sp_kpc, {r('memberprob', 5)} AS memberprob FROM meta JOIN z USING (sdss_id)""")
+def apply_saved_model(spark, sf):
+    spec, stars, options = _apply_inputs(spark, sf)
+    out = sc.apply_linear(spec, stars, _APPLY, frac_sigma=0.08, **options)
     return round_all(out.select("sdss_id", "plx", "plx_sp", "err_sp", "dist_sp_kpc", "memberprob"), 5)
+
+
+def _hidden(j: int) -> str:
+    return f"sum(v * {_W.format(j=j, seed=12)} / 4) + ({float(_APPLY_NET.body[0][1][j])!r}) AS l{j}"
+
+
+@query("apply_saved_network", f"""WITH {APPLIED}, hid AS (SELECT sdss_id, {", ".join(_hidden(j) for j in range(3))} FROM feats GROUP BY 1),
+  act AS (SELECT sdss_id, l0 / (1 + exp(-l0)) AS a0, l1 / (1 + exp(-l1)) AS a1, l2 / (1 + exp(-l2)) AS a2 FROM hid)
+  SELECT sdss_id, {r('exp(' + _dense_sql(['a0', 'a1', 'a2'], *_APPLY_NET.head_mu)[0] + ')', 5)} AS plx_sp,
+    {r('exp(' + _dense_sql(['a0', 'a1', 'a2'], *_APPLY_NET.head_log_sigma)[0] + ')', 5)} AS err_sp FROM act""")
+def apply_saved_network(spark, sf):
+    spec, stars, options = _apply_inputs(spark, sf)
+    return round_all(sc.apply_two_head(spec, stars, _APPLY_NET, **options).select("sdss_id", "plx_sp", "err_sp"), 5)

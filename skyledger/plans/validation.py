@@ -356,3 +356,9 @@ def config_sweep(spark, sf):
     cat = messy(spark, sf).withColumn("s", F.explode(table_)).withColumns(
         {"config": F.col("s.config"), "err_sp": F.col("err_sp") * F.col("s.f")})
     return round_all(ev.sweep_summary(cat, ["config"]))
+
+
+@query("penalty_terms", f"SELECT {r('0.5 * (0.1 + 0.3) / 2 + 0.25 * 0.2 + 2 * avg(l_discount * l_discount)')} AS penalty FROM lineitem")
+def penalty_terms(spark, sf):
+    term = x.penalty([0.1, -0.3], [-0.2], "l_discount", l1_spectral=0.5, l1_phi=0.25, l2_residual=2.0)
+    return round_all(table(spark, sf, "lineitem").agg(term.alias("penalty")))
