@@ -29,6 +29,25 @@ def is_finite(c: ColumnLike) -> Column:
     return finite(c).isNotNull()
 
 
+# Comparisons for filters. Each is a conjunction of plain comparisons, which Catalyst
+# pushes into the Parquet scan; NaN and infinities fail one side of it.
+def in_range(c: ColumnLike, lo: float | None = None, hi: float | None = None) -> Column:
+    """A finite number with lo <= c <= hi."""
+    top = sys.float_info.max
+    return (col(c) >= F.lit(float(-top if lo is None else lo))) & (
+        col(c) <= F.lit(float(top if hi is None else hi)))
+
+
+def above(c: ColumnLike, lo: float) -> Column:
+    """A finite number greater than ``lo``."""
+    return (col(c) > F.lit(float(lo))) & (col(c) <= F.lit(sys.float_info.max))
+
+
+def below(c: ColumnLike, hi: float) -> Column:
+    """A finite number less than ``hi``."""
+    return (col(c) < F.lit(float(hi))) & (col(c) >= F.lit(-sys.float_info.max))
+
+
 def finite(c: ColumnLike) -> Column:
     """The value where it is a finite number, else null.
 

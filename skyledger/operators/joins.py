@@ -96,7 +96,7 @@ def membership_probability(members: DataFrame, probs: DataFrame, cluster: str, g
     """
     joined = members.join(probs.select(cluster, gaia_id, F.col(prob).alias("memberprob")),
                           [cluster, gaia_id], "left")
-    return joined.filter(x.holds(x.finite("memberprob") >= F.lit(float(prob_min))))
+    return joined.filter(x.in_range("memberprob", lo=prob_min))
 
 
 def uncatalogued(members: DataFrame, probs: DataFrame, cluster: str) -> DataFrame:
@@ -119,7 +119,7 @@ def combine_matches(targets: DataFrame, matches: Mapping[str, tuple[DataFrame, s
         raise ValueError("require must be none, any or both")
     out = targets
     for name, (table, sep) in matches.items():
-        found = table.filter(x.is_finite(sep))
+        found = table.filter(x.in_range(sep))
         near = keep_best(found, [key], [F.col(sep), *[F.col(c) for c in row_id[name]]])
         near = near.drop(*[c for c in echoed if c != key])
         taken = set(out.columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -14,12 +15,12 @@ ASTROMETRIC_SOLUTIONS = (31, 95)
 
 def complete_bands(df: DataFrame, bands: Sequence[str]) -> DataFrame:
     """Rows whose every band is a finite number."""
-    return df.filter(x.all_finite(list(bands)))
+    return df.filter(reduce(lambda a, b: a & b, [x.in_range(c) for c in bands]))
 
 
 def drop_failed_spectra(df: DataFrame, flag: str = "spectrum_ok") -> DataFrame:
     """Rows with a spectrum; a table without the flag keeps every row."""
-    return df.filter(x.holds(F.col(flag))) if flag in df.columns else df
+    return df.filter(F.col(flag)) if flag in df.columns else df
 
 
 def training_flag(snr: str = "snr", flags: str = "spectrum_flags", plx: str = "plx",
@@ -49,15 +50,15 @@ def zero_point_counts(df: DataFrame, plx: str = "plx_raw", zp: str = "zeropoint"
 def apply_zero_point(df: DataFrame, plx: str = "plx_raw", zp: str = "zeropoint",
                      out: str = "plx") -> DataFrame:
     """Corrected parallax; raw for all rows only if no row has a zero-point."""
-    known = df.select(x.finite(zp).alias("z")).filter(F.col("z").isNotNull()).limit(1).count()
+    known = not df.filter(x.in_range(zp)).select(zp).isEmpty()
     corrected = x.corrected_parallax(plx, zp) if known else x.finite(plx)
     return df.withColumn(out, corrected)
 
 
 def warm_start_rows(df: DataFrame, plx: str = "plx", err: str = "e_plx",
                     min_snr: float = 5.0) -> DataFrame:
-    return df.filter(x.holds(x.finite(plx) > 0) & x.holds(x.finite(err) > 0)
-                     & x.holds(x.ratio(plx, err) > F.lit(float(min_snr))))
+    return df.filter(x.above(plx, 0) & x.above(err, 0)
+                     & (x.ratio(plx, err) > F.lit(float(min_snr))))
 
 
 def astrometric_solutions(df: DataFrame, col: str = "astrometric_params_solved") -> DataFrame:
@@ -70,7 +71,7 @@ def clean_spectra(df: DataFrame, require_clean: bool = True, snr_min: float = 0.
     if require_clean and flags in df.columns:
         df = df.filter(F.col(flags) == 0)
     if snr_min > 0 and snr in df.columns:
-        df = df.filter(x.finite(snr) >= F.lit(float(snr_min)))
+        df = df.filter(x.in_range(snr, lo=snr_min))
     return df
 
 
@@ -102,17 +103,18 @@ def flag_agreement(df: DataFrame, derived: Column, stored: Column) -> DataFrame:
 
 def membership_cut(df: DataFrame, prob: str, prob_min: float) -> DataFrame:
     """Members at or above the probability; unknown probability is dropped."""
-    return df.filter(x.holds(x.finite(prob) >= F.lit(float(prob_min))))
+    return df.filter(x.in_range(prob, lo=prob_min))
 
 
 def range_view(df: DataFrame, **ranges: tuple[float | None, float | None]) -> DataFrame:
     """Open ranges per column, e.g. ``plx=(0, 2), teff=(None, 8000)``."""
     for name, (lo, hi) in ranges.items():
-        value = x.finite(name)
-        if lo is not None:
-            df = df.filter(value > F.lit(float(lo)))
-        if hi is not None:
-            df = df.filter(value < F.lit(float(hi)))
+        if lo is not None and hi is not None:
+            df = df.filter((F.col(name) > F.lit(float(lo))) & (F.col(name) < F.lit(float(hi))))
+        elif lo is not None:
+            df = df.filter(x.above(name, lo))
+        elif hi is not None:
+            df = df.filter(x.below(name, hi))
     return df
 
 

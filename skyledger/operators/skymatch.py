@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skyledger.functions import sky
-from skyledger.functions.exprs import is_finite
+from skyledger.functions.exprs import in_range, is_finite
 from skyledger.operators.dedup import keep_best, keep_first
 from skyledger.operators.quantiles import medians, with_scalars
 from skyledger.session import group_row_limit, stage
@@ -83,7 +83,7 @@ def sky_match(targets: DataFrame, sources: DataFrame, radius_arcsec: float, *, t
     Returns every target with ``source_id``, ``sep_arcsec`` and ``n_in_radius``
     (null where unmatched). Ties go to the smaller id.
     """
-    ok = is_finite(ra) & is_finite(dec)
+    ok = in_range(ra) & in_range(dec)
     src = (sources.filter(ok).groupBy(F.col(ra).alias("s_ra"), F.col(dec).alias("s_dec"))
            .agg(F.min(source_id).alias("__sid"), F.count(F.lit(1)).alias("__ns")))
     tgt = (targets.filter(ok).groupBy(F.col(ra).alias("t_ra"), F.col(dec).alias("t_dec"))
@@ -104,9 +104,9 @@ def match_progressively(targets: DataFrame, sources: DataFrame, radii_arcsec: li
                         target_id: str, source_id: str, ra: str = "ra",
                         dec: str = "dec") -> DataFrame:
     """All (target, source) pairs within the first radius that finds any for the target."""
-    t = targets.filter(is_finite(ra) & is_finite(dec)).select(
+    t = targets.filter(in_range(ra) & in_range(dec)).select(
         F.col(target_id), F.col(ra).alias("t_ra"), F.col(dec).alias("t_dec"))
-    s = sources.filter(is_finite(ra) & is_finite(dec)).select(
+    s = sources.filter(in_range(ra) & in_range(dec)).select(
         F.col(source_id), F.col(ra).alias("s_ra"), F.col(dec).alias("s_dec"))
     todo, found = t, None
     for radius in radii_arcsec:
@@ -134,7 +134,7 @@ def cone_members(stars: DataFrame, centres: DataFrame, *, ra: str = "ra", dec: s
     the radii and sets the cell size.
     """
     height = max(max_radius, 0.01)
-    src = _home_cell(stars.filter(is_finite(ra) & is_finite(dec)), ra, dec, height)
+    src = _home_cell(stars.filter(in_range(ra) & in_range(dec)), ra, dec, height)
     # Near the pole the flat metric reaches further than the circle does.
     reach = F.least(F.col("radius") * 1.05, F.lit(90.0))
     tgt = _touched_cells(centres, "c_ra", "c_dec", reach, height)
@@ -150,4 +150,4 @@ def comoving(members: DataFrame, *, pmra: str = "pmra", pmdec: str = "pmdec") ->
 
 def unique_positions(df: DataFrame, key: str, ra: str, dec: str) -> DataFrame:
     """One located row per id, the first by position."""
-    return keep_first(df.filter(is_finite(ra) & is_finite(dec)).select(key, ra, dec), [key], [ra, dec])
+    return keep_first(df.filter(in_range(ra) & in_range(dec)).select(key, ra, dec), [key], [ra, dec])

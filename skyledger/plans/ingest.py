@@ -11,14 +11,14 @@ from skyledger.operators import fit
 from skyledger.plans.arrays import PIX, spectra
 from skyledger.plans.registry import query
 from skyledger.plans.tables import r, round_all, table
-from skyledger.session import staging_dir
+from skyledger.session import staging_folder
 from skyledger.sources import models, tables, writers
 from skyledger.sources.datasets import DATASETS
 from skyledger.streaming import jobs
 
 
 def fresh(spark) -> str:
-    return f"{staging_dir(spark)}/skyledger/{uuid.uuid4().hex}"
+    return f"{staging_folder(spark)}/{uuid.uuid4().hex}"
 
 
 @query("column_scan", f"SELECT l_orderkey, l_linenumber, {r('l_quantity')} AS l_quantity FROM lineitem")

@@ -64,6 +64,17 @@ def staging_dir(spark: SparkSession) -> str:
     return _local_dirs[sc.applicationId]
 
 
+def staging_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{staging_dir(spark)}/skyledger/{spark.sparkContext.applicationId}"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete the tables this application has staged, once no result needs them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it.
 
@@ -72,7 +83,7 @@ def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     only when it is under ``spark.sql.autoBroadcastJoinThreshold``.
     """
     spark = df.sparkSession
-    path = f"{staging_dir(spark)}/skyledger/{uuid.uuid4().hex}"
+    path = f"{staging_folder(spark)}/{uuid.uuid4().hex}"
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -7,8 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from skyledger.functions import exprs as x
-
 NESTED = (T.ArrayType, T.MapType, T.StructType)
 ANCHOR_COLUMNS = ("sdss_id", "mu", "mu_err", "group")
 
@@ -114,9 +112,3 @@ def anchors(spark: SparkSession, path: str) -> DataFrame:
         return df.select(F.col("sdss_id").cast("bigint").alias("sdss_id"), F.col("mu").cast("double").alias("mu"),
                          F.col("mu_err").cast("double").alias("mu_err"), F.col("group"))
     return require_columns(spark.read.parquet(path), ANCHOR_COLUMNS, "anchor table").select(*ANCHOR_COLUMNS)
-
-
-def usable_rows(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows with every value finite, and the rest."""
-    ok = x.all_finite(list(columns))
-    return df.filter(ok), df.filter(~ok)

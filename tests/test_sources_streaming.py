@@ -1,10 +1,14 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skyledger.operators import selection
 from skyledger.operators.fit import LinearModel
 from skyledger.operators.calibrate import interpolate, recalibration_factor
 from skyledger.operators.spectra import hit_counts
+from skyledger.session import clear_staged, stage
 from skyledger.sources import models, tables, writers
 from skyledger.sources.datasets import DATASETS, AuxiliaryBands, Dataset, get_dataset, resolve_dataset
 from skyledger.streaming import jobs
@@ -41,6 +45,23 @@ def test_scan_reads_only_the_columns(spark, sf):
     assert "l_orderkey" in plan and "l_comment" not in plan and "l_quantity" not in plan
 
 
+def test_cuts_reach_the_parquet_scan(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    df = selection.range_view(li, l_quantity=(10, 20)).select("l_orderkey")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters:")[1].split("]")[0]
+    assert "GreaterThan(l_quantity,10.0)" in pushed and "LessThan(l_quantity,20.0)" in pushed
+    best = selection.membership_cut(li, "l_tax", 0.05)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(l_tax,0.05)" in best
+
+
+def test_staged_tables_can_be_cleared(spark):
+    path = stage(spark.range(3)).inputFiles()[0].replace("file://", "")
+    assert os.path.exists(path)
+    clear_staged(spark)
+    assert not os.path.exists(path)
+
+
 @pytest.mark.parametrize("kind", ["csv", "parquet"])
 def test_anchors(spark, tmp_path, kind):
     df = spark.createDataFrame([(5, 10.88, 0.05, "M4")], "sdss_id long, mu double, mu_err double, group string")
