@@ -123,8 +123,8 @@ def calibration_bins(cat: DataFrame, by: Sequence[str] = (), axis: Column | None
     binned = quantile_bins(rows, by, "axis", nbins, size)
     keys = [*by, "bin"]
     bins = GroupSize(size.groups * nbins, size.largest)
-    out = robust_stats(binned, keys, ["resid", "var_a", "plx_sp", "err_frac", "chi", "axis"], bins,
-                       extra=[F.count(F.lit(1)).alias("n")])
+    out = robust_stats(binned, keys, ["resid", "var_a", "plx_sp", "err_frac", "chi", "axis"],
+                       bins).withColumnRenamed("axis_n", "n")  # every binned row has an axis value
     var = F.col("resid_scatter") * F.col("resid_scatter") - F.col("var_a_med")
     obs = F.when(F.col("plx_sp_med") > 0,
                  F.sqrt(F.greatest(var, F.lit(0.0))) / F.col("plx_sp_med"))
@@ -147,8 +147,7 @@ def bias_bins(cat: DataFrame, by: Sequence[str] = (), axis: Column | None = None
     size = group_size(rows, by)
     binned = quantile_bins(rows, by, "axis", nbins, size)
     out = robust_stats(binned, [*by, "bin"], ["axis", "frac"],
-                       GroupSize(size.groups * nbins, size.largest),
-                       extra=[F.count(F.lit(1)).alias("n")])
+                       GroupSize(size.groups * nbins, size.largest)).withColumnRenamed("axis_n", "n")
     return out.filter(F.col("n") >= min_rows).select(
         *by, "bin", "n", "axis_med", F.col("frac_med").alias("bias"),
         F.col("frac_scatter").alias("scatter"))
@@ -182,8 +181,8 @@ def reliability_curve(cat: DataFrame, by: Sequence[str] = (), nbins: int = 10,
             .filter(F.col("err_sp").isNotNull() & F.col("resid").isNotNull()))
     size = group_size(rows, by)
     out = robust_stats(quantile_bins(rows, by, "err_sp", nbins, size), [*by, "bin"],
-                       ["err_sp", "resid"], GroupSize(size.groups * nbins, size.largest),
-                       extra=[F.count(F.lit(1)).alias("n")])
+                       ["err_sp", "resid"], GroupSize(size.groups * nbins, size.largest)
+                       ).withColumnRenamed("err_sp_n", "n")
     return out.filter(F.col("n") >= min_rows).select(
         *by, "bin", "n", F.col("err_sp_med").alias("predicted"),
         F.col("resid_scatter").alias("realised"))

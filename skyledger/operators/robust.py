@@ -29,7 +29,8 @@ def robust_stats(df: DataFrame, by: Sequence[str], values: Sequence[str],
     by, values = list(by), list(values)
     counts = df.groupBy(*by).agg(*[F.count(v).alias(f"{v}_n") for v in values], *extra,
                                  F.count(F.lit(1)).alias("__rows"))
-    if size is None:  # the counts measure the groups in the same scan
+    measured = size is None
+    if measured:  # the counts measure the groups in the same scan
         counts = stage(counts)
         top = counts.agg(F.count(F.lit(1)).alias("groups"), F.max("__rows").alias("largest")).first()
         size = GroupSize(top["groups"] or 0, top["largest"] or 0)
@@ -39,11 +40,15 @@ def robust_stats(df: DataFrame, by: Sequence[str], values: Sequence[str],
             out = []
             for v in columns:
                 mid = float(np.median(v)) if len(v) else None
-                out += [mid, MAD_SCALE * float(np.median(np.abs(v - mid))) if len(v) else None]
+                out += [len(v), mid, MAD_SCALE * float(np.median(np.abs(v - mid))) if len(v) else None]
             return out
 
-        names = [T.StructField(f"{v}_{part}", T.DoubleType()) for v in values for part in ("med", "scatter")]
-        return on_groups(counts, per_group(df, by, values, centre_and_spread, names), by, size=size)
+        names = [T.StructField(f"{v}_{part}", kind) for v in values for part, kind in (
+            ("n", T.LongType()), ("med", T.DoubleType()), ("scatter", T.DoubleType()))]
+        stats = per_group(df, by, values, centre_and_spread, names)
+        if not (measured or extra):
+            return stats
+        return on_groups(counts.drop(*[f"{v}_n" for v in values]), stats, by, size=size)
     centre = medians(df, by, values, size).select(
         *by, *[F.col(v).alias(f"{v}_med") for v in values])
     devs = {f"__d_{v}": F.abs(F.col(v) - F.col(f"{v}_med")) for v in values}
@@ -88,12 +93,13 @@ def quantile_bins(df: DataFrame, by: Sequence[str], axis: str, nbins: int,
     """Attach ``bin`` 0..nbins-1 between linear quantile edges of ``axis`` per group.
 
     Bins are ``[e_i, e_i+1)`` and the top one has no upper edge. Rows without a
-    finite axis value are dropped.
+    finite axis value are dropped. The edges are staged: every later pass over the
+    bins reads them instead of finding them again.
     """
     df = df.filter(F.col(axis).isNotNull())
     size = size or group_size(df, by)
     probs = [i / nbins for i in range(nbins + 1)]
-    edges = exact_quantiles(df, by, [axis], probs, size).withColumnRenamed(axis, "__edges")
+    edges = stage(exact_quantiles(df, by, [axis], probs, size).withColumnRenamed(axis, "__edges"))
     joined = on_groups(df, edges, list(by), size=size)
     below = [F.when(F.col(axis) >= F.col("__edges")[i], 1).otherwise(0) for i in range(nbins)]
     return joined.withColumn(bin_col, reduce(lambda a, b: a + b, below) - 1).drop("__edges")
@@ -109,8 +115,8 @@ def unique_edge_bins(df: DataFrame, by: Sequence[str], axis: str, nbins: int,
     df = df.filter(F.col(axis).isNotNull())
     size = size or group_size(df, by)
     probs = [i / nbins for i in range(nbins + 1)]
-    edges = exact_quantiles(df, by, [axis], probs, size).select(
-        *by, F.array_distinct(axis).alias("__edges"))
+    edges = stage(exact_quantiles(df, by, [axis], probs, size).select(
+        *by, F.array_distinct(axis).alias("__edges")))
     joined = on_groups(df, edges, list(by), size=size)
     below = [F.when(F.col(axis) >= F.get("__edges", F.lit(i)), 1).otherwise(0)
              for i in range(nbins + 1)]

@@ -74,7 +74,7 @@ def write_and_read_back(spark, sf):
 def write_per_cluster(spark, sf):
     path = fresh(spark)
     li = table(spark, sf, "lineitem").filter("l_suppkey % 7 <> 0")
-    writers.write_per_cluster(li.withColumnRenamed("l_suppkey", "cluster"), path)
+    writers.write_per_cluster(li.withColumnRenamed("l_suppkey", "cluster"), path, rows_per_task=200)
     return spark.read.parquet(path).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
 
 

@@ -6,19 +6,24 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from skyledger.session import stage
+
 
 def write_table(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def write_per_cluster(df: DataFrame, path: str, label: str = "cluster", spread: int = 8,
+def write_per_cluster(df: DataFrame, path: str, label: str = "cluster", rows_per_task: int = 1_000_000,
                       mode: str = "error") -> None:
     """One directory per cluster; clusters without rows never appear.
 
-    Rows are spread over a few writers per cluster, so that neither one big cluster
-    sits on one task nor every task writes a file for every cluster.
+    Each cluster gets as many writers as its size asks for, so that one big cluster
+    does not sit on one task and small ones do not end in many files.
     """
-    keyed = df.withColumn("__s", F.pmod(F.xxhash64(*[c for c in df.columns if c != label]), F.lit(spread)))
+    sizes = stage(df.groupBy(label).agg(F.count(F.lit(1)).alias("__n")).select(
+        label, F.ceil(F.col("__n") / rows_per_task).alias("__splits")))
+    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != label]), F.col("__splits"))
+    keyed = df.join(sizes, label).withColumn("__s", spread).drop("__splits")
     keyed.repartition(label, "__s").drop("__s").write.mode(mode).partitionBy(label).parquet(path)
 
 
