@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skyledger.operators import joins, skymatch
 from skyledger.plans.registry import query
-from skyledger.plans.tables import HUB, hub, r, round_all, table
+from skyledger.plans.tables import HUB, LINE_ID, hub, line_id, r, round_all, table
 
 # Stars: one row per customer. Reductions: orders, several per customer, with gaps.
 STARS = """stars AS (SELECT o_custkey AS star, o_orderkey AS row_id,
@@ -210,7 +210,7 @@ def comoving_counts(spark, sf):
     return selection_counts(cone, skymatch.comoving(cone))
 
 
-_HUB0 = """hub0 AS (SELECT *, 4000000000000000000 + ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS sdss_id FROM lineitem)"""
+_HUB0 = f"hub0 AS (SELECT *, {LINE_ID} AS sdss_id FROM lineitem)"
 _COMBINED = f"""{_HUB0},
   a AS (SELECT * FROM (SELECT l_orderkey AS star, l_quantity / 100 AS sep, l_partkey AS src,
       row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, sdss_id) AS rn FROM hub0 WHERE l_suppkey % 2 = 0) WHERE rn = 1),
@@ -222,8 +222,7 @@ _COMBINED = f"""{_HUB0},
 
 
 def _combined(spark, sf, require):
-    li = table(spark, sf, "lineitem").withColumn(
-        "row_id", ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey"))
+    li = table(spark, sf, "lineitem").withColumn("row_id", line_id())
     star, src = F.col("l_orderkey").alias("star"), F.col("l_partkey").alias("src")
     wide = li.filter("l_suppkey % 2 = 0").select(star, src, (F.col("l_quantity") / 100).alias("sep_arcsec"),
                                                  F.lit(0.0).alias("ra"), "row_id")

@@ -17,13 +17,21 @@ def round_all(df: DataFrame, digits: int = 6) -> DataFrame:
                        for c, t in df.dtypes])
 
 
+def line_id():
+    """A 19-digit id that is unique per line, packed from its keys and quantity."""
+    keys = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")
+    return F.lit(4000000000000000000) + keys * 64 + F.col("l_quantity").cast("bigint")
+
+
+LINE_ID = """4000000000000000000 + (((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) * 64 + l_quantity::BIGINT"""
+
+
 def hub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result catalog from ``lineitem``: positive parallaxes, nothing missing."""
     li = table(spark, sf_dir, "lineitem")
     base = F.col("l_extendedprice") / 20000.0
     return li.select(
-        (F.lit(4000000000000000000) + ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000
-                                       + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("sdss_id"),
+        line_id().alias("sdss_id"),
         base.alias("plx"), (base * (F.col("l_tax") + 0.013)).alias("e_plx"),
         (base * (0.95 + F.col("l_discount") + (F.col("l_partkey") % 101 - 50) / 2000.0)).alias("plx_sp"),
         (base * (0.02 + F.col("l_quantity") / 1000.0)).alias("err_sp"),
@@ -34,8 +42,8 @@ def hub(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_linestatus", (F.col("l_quantity") * 8.0 - 20.0).alias("snr"))
 
 
-HUB = """hub AS (
-  SELECT 4000000000000000000 + ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS sdss_id,
+HUB = f"""hub AS (
+  SELECT {LINE_ID} AS sdss_id,
     l_extendedprice / 20000.0 AS plx,
     l_extendedprice / 20000.0 * (l_tax + 0.013::DOUBLE) AS e_plx,
     l_extendedprice / 20000.0 * (0.95::DOUBLE + l_discount + (l_partkey % 101 - 50) / 2000.0::DOUBLE) AS plx_sp,
