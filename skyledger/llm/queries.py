@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyledger.llm import bpe, packing, quality, unigram
+from skyledger.llm import bpe, packing, quality, simhash, unigram
 from skyledger.llm.common import documents
 
 QUERIES: dict = {}
@@ -46,3 +46,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
+
+
+@query
+def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
