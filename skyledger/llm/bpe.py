@@ -16,7 +16,6 @@ never inside a special token.
 
 from __future__ import annotations
 
-import array
 import functools
 import re
 
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from skyledger.llm.common import PartIds, map_texts, slices, texts
+from skyledger.llm.common import LETTERS, MARKS, PlainWords, byte_letters, map_texts, slices, texts
 
 LEAF_CHARS = 16_384
 FIRST_WINDOW = 64
@@ -35,11 +34,9 @@ _SPACES = re.compile(r" \s|\s ")
 _PART = re.compile(r" ?[^ ]+")
 
 
-def _bytes_of_letters() -> dict[str, int]:
-    """The byte that each printable stand-in of a byte-level vocabulary means."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+# Words, numbers or marks, with the space before them, and single line ends between those.
+_PLAIN = f" ?[{LETTERS}{MARKS}0-9]+(?:\n[{LETTERS}{MARKS}0-9]+)*"
+_PRE_TOKEN = f" ?[{LETTERS}]+| ?[0-9]+| ?[{MARKS}]+|\n"
 
 
 class ByteBpe:
@@ -51,17 +48,14 @@ class ByteBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        letters = _bytes_of_letters()
+        letters = {stand_in: byte for byte, stand_in in byte_letters().items()}
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.pieces[i] = token.encode() if token in self.special else bytes(letters[c] for c in token)
         self.lengths = np.array([len(p) for p in self.pieces], dtype=np.int64)
-        self.parts = PartIds(self.encode_plain)
-
-    def encode_plain(self, text: str) -> bytes:
-        return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self.parts = PlainWords(self.tokenizer, _PLAIN, _PRE_TOKEN, fold=False).parts
 
     def encode(self, text: str) -> bytes:
         """Ids of a text of any shape, part by part."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import array
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -56,7 +57,7 @@ def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[list, lis
 
 
 class PartIds(dict):
-    """Token ids of text parts as packed little-endian unsigned 32-bit integers.
+    """What a text part is worth: ids as packed little-endian unsigned 32-bit integers, or a count.
 
     The caller cuts texts where the tokenizer surely cuts too, so ids of a text
     are the ids of its parts in a row. Short parts are kept for the next texts
@@ -64,7 +65,7 @@ class PartIds(dict):
     on what is kept.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = 250_000, longest: int = 40):
+    def __init__(self, encode: Callable[[str], bytes], limit: int = 400_000, longest: int = 40):
         super().__init__()
         self.encode, self.limit, self.longest = encode, limit, longest
 
@@ -78,3 +79,47 @@ class PartIds(dict):
 
     def join(self, parts: list[str]) -> bytes:
         return b"".join(map(self.__getitem__, parts))
+
+
+# Letters of which every tokenizer rule here is known: ASCII and Latin-1 letters, each one code point.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+# Marks and digits of ASCII without the apostrophe, which starts contractions.
+MARKS = r"!-&(-/:-@\[-`{-~"
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable stand-in of each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class PlainWords:
+    """Ids of parts whose pre-tokens a simple pattern finds, straight from the BPE model.
+
+    ``plain`` must match a whole part for that, ``pre_token`` then finds its
+    pre-tokens; any other part goes through the whole tokenizer.
+    """
+
+    def __init__(self, tokenizer, plain: str, pre_token: str, fold: bool):
+        import re
+
+        self.tokenizer, self.model, self.fold = tokenizer, tokenizer.model, fold
+        self.plain, self.pre_token = re.compile(plain), re.compile(pre_token)
+        letters = byte_letters()
+        self.stand_ins = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.parts = PartIds(self.encode)
+
+    def whole(self, part: str) -> bytes:
+        return array.array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, part: str) -> bytes:
+        if not self.plain.fullmatch(part) or any(s in part for s in self.special):
+            return self.whole(part)
+        if self.fold and (low := part.lower()) != part:
+            return self.parts[low] if not any(s in low for s in self.special) else self.whole(part)
+        found = self.pre_token.findall(part)
+        if len(found) != 1:
+            return self.parts.join(found)
+        return array.array("I", [t.id for t in self.model.tokenize(part.translate(self.stand_ins))]).tobytes()

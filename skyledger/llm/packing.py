@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from skyledger.llm.common import PartIds, slices, texts
+from skyledger.llm.common import LETTERS, MARKS, PartIds, PlainWords, slices, texts
 from skyledger.session import stage
 
 CAPACITY = 4096
@@ -39,7 +39,7 @@ def _parts(path: str) -> PartIds:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return PartIds(lambda t: array.array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes())
+    return PlainWords(tokenizer, f"[{LETTERS}{MARKS}0-9]+", f"[{LETTERS}]+|[0-9]|[{MARKS}]+", fold=True).parts
 
 
 def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
