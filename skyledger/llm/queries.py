@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyledger.llm import bpe, packing, quality, simhash, unigram
+from skyledger.llm import bpe, packing, pii, quality, simhash, toxicity, unigram
 from skyledger.llm.common import documents
 
 QUERIES: dict = {}
@@ -51,3 +51,29 @@ def op5_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(toxicity.training_sample(docs, labels))
+    scored = toxicity.scores(docs, model)
+    return scored.select("doc_id", F.coalesce(~toxicity.in_training(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = pii.detect(docs, pii.train(docs))
+
+    def line(spans):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+    def rank(s):
+        return F.array_position(F.array(*[F.lit(k) for k in pii.KINDS]), s["kind"])
+
+    both = F.array_sort(F.concat("base", "added"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"])
+                        .when(rank(a) != rank(b), (rank(a) - rank(b)).cast("int")).otherwise(a["end"] - b["end"]))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(line(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        line(both).alias("spans"), F.size("added").cast("long").alias("n_added"))

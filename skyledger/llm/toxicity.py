@@ -22,16 +22,18 @@ from pyspark.sql import DataFrame, functions as F
 from skyledger.llm.common import map_texts, texts
 
 WINDOW = 4
-GRAMS = (3, 4, 5)
+GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 17
-DIMENSIONS = 8
+DIMENSIONS = 4
 # Bounds of the training sample: documents per class, and code points of each of them.
 SAMPLE_PER_CLASS = 1_200
-SAMPLE_CHARS = 6_000
+SAMPLE_CHARS = 3_000
 LEAST_DOCUMENTS = 4
-DECAY = 1e-6
+DECAY = 1e-7
 TABLE_RATE = 0.1
-ATTENTION = 4.0
+# An n-gram marks toxic documents from this likelihood ratio on and if it is so many times as frequent there.
+EVIDENCE = 20.0
+PURITY = 20.0
 PREDICT_AT = 0.7
 _SPACE = np.zeros(128, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -113,13 +115,27 @@ def _softmax_odds(x: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.nd
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(rows: list[tuple[str, int]], rounds: int = 60, rate: float = 0.05, seed: int = 11) -> Model:
+def _marking(doc: np.ndarray, what: np.ndarray, labels: np.ndarray, size: int, used: np.ndarray) -> np.ndarray:
+    """Which n-grams stand in toxic documents far more than chance allows; (doc, what) are distinct pairs."""
+    n1, n0 = (labels[used] == 1).sum(), (labels[used] == 0).sum()
+    k1 = np.bincount(what[labels[doc] == 1], minlength=size).astype(float)
+    k0 = np.bincount(what[labels[doc] == 0], minlength=size).astype(float)
+    rate = (k1 + k0) / (n1 + n0)
+
+    def gain(k, n, at):
+        return k * np.log((k / n + 1e-12) / (at + 1e-12)) + (n - k) * np.log((1 - k / n + 1e-12) / (1 - at + 1e-12))
+
+    evidence = 2 * (gain(k1, n1, rate) + gain(k0, n0, rate))
+    return (evidence >= EVIDENCE) & (k1 / n1 >= PURITY * k0 / n0)
+
+
+def train(rows: list[tuple[str, int]], rounds: int = 50, rate: float = 0.05, seed: int = 11) -> Model:
     """Fit embeddings and softmax jointly (Adam, full batches) and calibrate on every fifth document.
 
-    The first quarter of the rounds takes all passages of a document alike with
-    its label; then passages count by a growing power of their own toxicity, as
-    it is in a few of them that a toxic document differs. Without both classes the score is the share of class 1 with nothing
-    learnt.
+    A toxic document differs from a clean one in a few passages: those that hold
+    an n-gram which marks toxic documents (a likelihood-ratio test over the sample).
+    They are the passages of class 1, all passages of clean documents those of
+    class 0. Without both classes the score is the share of class 1.
     """
     labels = np.array([y for _, y in rows], dtype=np.int64)
     if len(set(labels.tolist())) < 2:
@@ -162,7 +178,17 @@ def train(rows: list[tuple[str, int]], rounds: int = 60, rate: float = 0.05, see
     weights, bias = rng.normal(0, 0.5, (DIMENSIONS, 2)), np.zeros(2)
     held = np.arange(len(rows)) % 5 == 4
     learn_run = ~held[run_doc]
-    class_weight = len(labels) / (2.0 * np.bincount(labels, minlength=2))
+    # Which passages make a toxic document toxic: those with an n-gram that marks toxic documents.
+    # The other passages of toxic documents are left out; if no n-gram stands out, all are taken.
+    fitting = ~held[seen // BUCKETS]
+    gram_marks = _marking(seen[fitting] // BUCKETS, seen[fitting] % BUCKETS, labels, BUCKETS, ~held)
+    marking = np.bincount(owner, weights=gram_marks[bucket], minlength=len(number)) > 0
+    marked = (marking[run] & present).any(axis=1)
+    target = labels[run_doc]
+    if not marked[(target == 1) & learn_run].any():
+        marked[:] = True
+    taking = learn_run & ((target == 0) | marked)
+    share = taking / np.maximum(np.bincount(target[taking], minlength=2), 1)[target] / 2
     moments = [np.zeros_like(x) for x in (table, table, weights, weights, bias, bias)]
 
     def summed(values: np.ndarray, order: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -188,13 +214,9 @@ def train(rows: list[tuple[str, int]], rounds: int = 60, rate: float = 0.05, see
         word_vectors = summed(table, local, begin_word) / per_word[:, None]
         x = passage_means(word_vectors)
         p = _softmax_odds(x, weights, bias)
-        power = ATTENTION * max(0.0, step / rounds - 1 / 4)
-        share = p[:, 1] ** power
-        share /= np.bincount(run_doc, weights=share)[run_doc]
-        share *= learn_run * class_weight[labels[run_doc]]
         delta = p.copy()
-        delta[np.arange(len(run)), labels[run_doc]] -= 1
-        delta *= (share / share.sum())[:, None]
+        delta[np.arange(len(run)), target] -= 1
+        delta *= share[:, None]
         dx = (delta @ weights.T / size[:, None]).astype(np.float32)
         dword = summed(dx[rows_of], by_word, begin_flat) / per_word[:, None]
         grads = (summed(dword[owner], by_gram, begin_gram) + DECAY * table, x.T @ delta, delta.sum(axis=0))
