@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyledger.llm import bpe, packing, pii, quality, simhash, toxicity, unigram
+from skyledger.llm import bpe, packing, pii, quality, sharding, simhash, topk, toxicity, unigram
 from skyledger.llm.common import documents
 
 QUERIES: dict = {}
@@ -77,3 +77,26 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(line(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                         line(both).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
+@query
+def op7_min_cost_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.reshard(spark, f"{sf_dir}/documents.parquet")
+    text = F.coalesce("text", F.lit(""))
+    return rows.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"),
+                       F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
+                       F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op10_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op10_threshold_topk"] = """
+WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum([q.e[i] * c.e[i] FOR i IN range(1, 65)])::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
