@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyledger.llm import bpe, packing, pii, quality, sharding, simhash, topk, toxicity, unigram
-from skyledger.llm.common import documents
+from skyledger.llm import bpe, packing, pii, pitman_yor, quality, sharding, simhash, topk, toxicity, unigram
+from skyledger.llm.common import documents, texts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,10 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum([q.e[i] * c.e[i] FOR i IN
       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@query
+def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = pitman_yor.fit(texts(docs).where(~pitman_yor.held_out()))
+    return pitman_yor.score(docs, model)
