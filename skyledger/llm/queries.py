@@ -74,8 +74,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     both = F.array_sort(F.concat("base", "added"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"])
                         .when(rank(a) != rank(b), (rank(a) - rank(b)).cast("int")).otherwise(a["end"] - b["end"]))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(line(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(line(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                         line(both).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
