@@ -21,8 +21,8 @@ def separation(ra1: ColumnLike, dec1: ColumnLike, ra2: ColumnLike, dec2: ColumnL
 
 
 def flat_separation(ra: ColumnLike, dec: ColumnLike, ra0: ColumnLike, dec0: ColumnLike) -> Column:
-    """Flat-sky distance from a centre, scaled by its declination."""
-    return F.hypot((col(ra) - col(ra0)) * F.cos(F.radians(col(dec0))), col(dec) - col(dec0))
+    """Flat-sky distance from a centre, scaled by its declination; RA wraps at 360."""
+    return F.hypot(wrap_degrees(col(ra) - col(ra0)) * F.cos(F.radians(col(dec0))), col(dec) - col(dec0))
 
 
 def galactic(ra: ColumnLike, dec: ColumnLike) -> tuple[Column, Column]:

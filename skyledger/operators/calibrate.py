@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructType
 from skyledger.functions import exprs as x
 from skyledger.operators.evaluate import (NOTEBOOK_MIN_BIN_ROWS, calibration_bins, clean_catalog,
                                           z_report)
-from skyledger.operators.quantiles import GroupSize, group_size, medians, on_groups
+from skyledger.operators.quantiles import medians, on_groups
 from skyledger.operators.robust import quantile_bins, robust_stats
 from skyledger.session import stage
 
@@ -19,7 +19,6 @@ from skyledger.session import stage
 FACTOR_MIN, FACTOR_MAX = 1e-3, 100.0
 FIRST_GRID = 8
 TOLERANCE = 1e-10
-MAX_GROUPS = 1000
 
 
 def recalibration_factor(cat: DataFrame, by: Sequence[str], offset: float = 0.0,
@@ -30,17 +29,14 @@ def recalibration_factor(cat: DataFrame, by: Sequence[str], offset: float = 0.0,
     factors of all groups in one job: first a logarithmic grid, then a point
     interpolated in the bracket, its two close neighbours and the midpoint. The
     neighbours close in as fast as the interpolation improves, the midpoint keeps
-    the worst case at halving. Only widths of folds or configurations, at most
-    ``MAX_GROUPS``, reach the driver.
+    the worst case at halving. Only widths of folds or configurations reach
+    the driver, a few numbers each.
     """
     by = list(by)
     rows = stage(clean_catalog(cat).select(
         *by, (F.col("plx_sp") - (F.col("plx") + F.lit(float(offset)))).alias("resid"),
         "e_plx", "err_sp").filter(
             F.col("resid").isNotNull() & F.col("e_plx").isNotNull() & (F.col("err_sp") > 0)))
-    size = group_size(rows, by)
-    if size.groups > MAX_GROUPS:
-        raise ValueError(f"{size.groups} groups; the factor is meant for folds or configurations")
     groups = [tuple(row[c] for c in by) for row in rows.select(*by).distinct().collect()] if by else [()]
 
     def widths(points: dict[tuple, list[float]]) -> dict[tuple, list[float]]:
@@ -49,10 +45,10 @@ def recalibration_factor(cat: DataFrame, by: Sequence[str], offset: float = 0.0,
             [(*g, p) for g, p in points.items()],
             schema=_schema(rows, by).add("__c", ArrayType(DoubleType())))
         names = [f"c{i}" for i in range(n)]
-        scored = on_groups(rows, table, by, size=size).select(*by, *[
+        scored = on_groups(rows, table, by).select(*by, *[
             x.ratio("resid", F.hypot(F.col("e_plx"), F.col("err_sp") * F.col("__c")[i])).alias(c)
             for i, c in enumerate(names)])
-        out = robust_stats(scored, by, names, size).collect()
+        out = robust_stats(scored, by, names).collect()
         return {tuple(row[c] for c in by): [row[f"{c}_scatter"] or 0.0 for c in names] for row in out}
 
     step = math.log(FACTOR_MAX / FACTOR_MIN) / (FIRST_GRID - 1)
@@ -106,19 +102,17 @@ def calibrate(cat: DataFrame, by: Sequence[str], offset: float = 0.0, nbins: int
     factors = recalibration_factor(cat, by, offset)
     if not by:
         return bins.withColumn("factor", F.lit(factors[()]))
-    return bins.join(F.broadcast(factors_table(cat, by, factors)), list(by))  # at most MAX_GROUPS rows
+    return bins.join(factors_table(cat, by, factors), list(by))
 
 
 def bias_knots(cat: DataFrame, nbins: int = 12, snr: float = 20.0) -> list[tuple[float, float]]:
     """Median residual against the prediction in quantile bins, as interpolation knots."""
     rows = (clean_catalog(cat).filter(x.hi_snr("plx", "e_plx", snr))
             .select("plx_sp", x.fractional_residual("plx_sp", "plx").alias("frac")))
-    size = group_size(rows, [])
-    binned = quantile_bins(rows, [], "plx_sp", nbins, size)
-    bins = GroupSize(nbins, size.largest)
-    med = medians(binned, ["bin"], ["plx_sp", "frac"], bins)
+    binned = quantile_bins(rows, [], "plx_sp", nbins)
+    med = medians(binned, ["bin"], ["plx_sp", "frac"])
     n = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    kept = on_groups(med, n, ["bin"], size=bins).filter(F.col("n") >= NOTEBOOK_MIN_BIN_ROWS)
+    kept = on_groups(med, n, ["bin"]).filter(F.col("n") >= NOTEBOOK_MIN_BIN_ROWS)
     return [(r["plx_sp"], r["frac"]) for r in kept.orderBy("bin").collect()]
 
 

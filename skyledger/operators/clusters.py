@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from skyledger.functions import exprs as x
 from skyledger.operators import selection
 from skyledger.operators.dedup import keep_highest
-from skyledger.operators.quantiles import GroupSize, group_size, medians, on_groups
+from skyledger.operators.quantiles import medians, on_groups
 from skyledger.operators.ranking import ordinal_rank
 from skyledger.operators.robust import inverse_variance, robust_stats
 from skyledger.operators.joins import membership_probability
@@ -54,18 +54,15 @@ def cluster_metrics(df: DataFrame, by: Sequence[str] = ("cluster",), *, offset:
     rows = rows.withColumn("good", x.holds(F.col("sp").isNotNull() & (F.col("err") > 0)))
     sp_mean, sp_err = inverse_variance("sp", "err")
     a_mean, a_err = inverse_variance("a", "ea")
-    # Small and used three times: written once, which also measures the groups.
+    # A row per group and used three times: written once.
     means = stage(rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_matched"), F.count_if("good").alias("n"),
         sp_mean.alias("sp_mean"), sp_err.alias("sp_mean_err"),
         a_mean.alias("gaia_mean"), a_err.alias("gaia_mean_err")))
-    top = means.agg(F.count(F.lit(1)).alias("groups"), F.max("n_matched").alias("largest")).first()
-    size = GroupSize(top["groups"], top["largest"] or 0)
-    scored = on_groups(rows.filter("good"), means.select(*by, "sp_mean"), by, size=size)
+    scored = on_groups(rows.filter("good"), means.select(*by, "sp_mean"), by)
     scored = scored.select(*by, "sp", ((F.col("sp") - F.col("sp_mean")) / F.col("err")).alias("chi"))
-    spread = robust_stats(scored, by, ["sp", "chi"], size,
-                          extra=[F.avg(F.col("chi") * F.col("chi")).alias("internal_chi2")])
-    out = on_groups(means, spread, by, how="left", size=size)
+    spread = robust_stats(scored, by, ["sp", "chi"], extra=[F.avg(F.col("chi") * F.col("chi")).alias("internal_chi2")])
+    out = on_groups(means, spread, by, how="left")
     diff = F.col("sp_mean") - F.col("gaia_mean") - F.lit(float(offset))
     comb = F.hypot(F.col("sp_mean_err"), F.col("gaia_mean_err"))
     return out.select(
@@ -102,10 +99,22 @@ def internal_chi2_summary(metrics: DataFrame) -> DataFrame:
 
 
 def err_scale_sweep(df: DataFrame, scales: Sequence[float], label: str = "cluster") -> DataFrame:
-    """Cluster metrics re-scored at several error scales, one row per (scale, cluster)."""
-    scaled = labelled_members(df, label).withColumn(
-        "err_scale", F.explode(F.array(*[F.lit(float(s)) for s in scales])))
-    return cluster_metrics(scaled, ["err_scale", label], err_scale="err_scale")
+    """Cluster metrics re-scored at several error scales (above 0), one row per (scale, cluster).
+
+    A common scale leaves the weighted mean and the tightness alone and divides
+    every chi, so the members are scored once and the few results are scaled.
+    """
+    if not all(s > 0 for s in scales):
+        raise ValueError("error scales must be above 0")
+    once = cluster_metrics(labelled_members(df, label), [label])
+    each = once.withColumn("err_scale", F.explode(F.array(*[F.lit(float(s)) for s in scales])))
+    s = F.col("err_scale")
+    return each.withColumns({
+        "sp_mean_err": F.col("sp_mean_err") * s,
+        "sp_vs_gaia_sigma": x.ratio(F.col("sp_vs_gaia_fracdiff") * F.col("gaia_mean"),
+                                    F.hypot(F.col("sp_mean_err") * s, F.col("gaia_mean_err"))),
+        "internal_chi2": F.col("internal_chi2") / (s * s),
+        "internal_robust_chi2": F.col("internal_robust_chi2") / (s * s)}).select("err_scale", *once.columns)
 
 
 def member_chi(df: DataFrame, row_id: str, label: str = "cluster") -> DataFrame:
@@ -116,10 +125,9 @@ def member_chi(df: DataFrame, row_id: str, label: str = "cluster") -> DataFrame:
     rows = labelled_members(df, label).filter(
         x.is_finite("plx_sp") & x.is_finite("err_sp") & (F.col("err_sp") > 0))
     mean, _ = inverse_variance("plx_sp", "err_sp")
-    size = group_size(rows, [label])
-    scored = on_groups(rows, rows.groupBy(label).agg(mean.alias("__m")), [label], size=size)
+    scored = on_groups(rows, rows.groupBy(label).agg(mean.alias("__m")), [label])
     scored = scored.withColumn("chi", (F.col("plx_sp") - F.col("__m")) / F.col("err_sp")).drop("__m")
-    return ordinal_rank(scored, [label], [F.desc(F.abs("chi")), F.col(row_id)], "chi_rank", size)
+    return ordinal_rank(scored, [label], [F.desc(F.abs("chi")), F.col(row_id)], "chi_rank")
 
 
 def prepare_member_spectra(members: DataFrame, spectra: DataFrame, *, key: str = "sdss_id",
@@ -132,8 +140,9 @@ def prepare_member_spectra(members: DataFrame, spectra: DataFrame, *, key: str =
     """
     if probs is not None:
         members = membership_probability(members, probs, "cluster", gaia_id, "prob", prob_min)
-    carry = ["memberprob"] if probs is not None else []
-    members = members.select("cluster", key, *carry).dropDuplicates(["cluster", key])
+    # A star listed under several catalogue ids keeps its highest probability.
+    carry = [F.max("memberprob").alias("memberprob")] if probs is not None else []
+    members = members.groupBy("cluster", key).agg(*carry) if carry else members.select("cluster", key).distinct()
     order = [c for c in ("snr", "spectrum_flags") if c in spectra.columns]
     rows = selection.clean_spectra(spectra, require_clean, snr_min)
     narrow = rows.select(*dict.fromkeys([key, *row_id, *order])).join(

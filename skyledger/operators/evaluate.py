@@ -14,7 +14,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skyledger.functions import exprs as x
-from skyledger.operators.quantiles import (GroupSize, exact_quantiles, group_size, medians,
+from skyledger.operators.quantiles import (exact_quantiles, medians,
                                            on_groups, with_scalars)
 from skyledger.operators.ranking import spearman
 from skyledger.operators.robust import (MAD_SCALE, fraction, quantile_bins, robust_stats,
@@ -38,8 +38,7 @@ def with_folds(cat: DataFrame, sample: str = "sample") -> DataFrame:
 
 
 def evaluate(cat: DataFrame, snr: float = 20.0, offset: float = 0.0,
-             by: Sequence[str] = (), folds: bool = True,
-             size: GroupSize | None = None) -> DataFrame:
+             by: Sequence[str] = (), folds: bool = True) -> DataFrame:
     """Headline report per fold: bias, robust scatter, quoted error, chi-square."""
     cat = clean_catalog(cat)
     if folds:
@@ -50,7 +49,7 @@ def evaluate(cat: DataFrame, snr: float = 20.0, offset: float = 0.0,
         *by, probe.alias("probe"),
         F.when(probe, x.fractional_residual("plx_sp", "plx", offset)).alias("frac"),
         x.ratio("err_sp", "plx_sp").alias("err_frac"), chi.alias("chi"), (chi * chi).alias("chi2"))
-    out = robust_stats(rows, by, ["frac", "err_frac", "chi", "chi2"], size, extra=[
+    out = robust_stats(rows, by, ["frac", "err_frac", "chi", "chi2"], extra=[
         F.count(F.lit(1)).alias("n_total"), F.count_if("probe").alias("n_hi_snr_probe"),
         F.avg("chi2").alias("chi2_mean_chi2")])
     return out.select(
@@ -119,12 +118,9 @@ def calibration_bins(cat: DataFrame, by: Sequence[str] = (), axis: Column | None
     at zero.
     """
     rows = _calibration_rows(cat, by, axis, offset, snr)
-    size = group_size(rows, by)
-    binned = quantile_bins(rows, by, "axis", nbins, size)
+    binned = quantile_bins(rows, by, "axis", nbins)
     keys = [*by, "bin"]
-    bins = GroupSize(size.groups * nbins, size.largest)
-    out = robust_stats(binned, keys, ["resid", "var_a", "plx_sp", "err_frac", "chi", "axis"],
-                       bins).withColumnRenamed("axis_n", "n")  # every binned row has an axis value
+    out = robust_stats(binned, keys, ["resid", "var_a", "plx_sp", "err_frac", "chi", "axis"]).withColumnRenamed("axis_n", "n")  # every binned row has an axis value
     var = F.col("resid_scatter") * F.col("resid_scatter") - F.col("var_a_med")
     obs = F.when(F.col("plx_sp_med") > 0,
                  F.sqrt(F.greatest(var, F.lit(0.0))) / F.col("plx_sp_med"))
@@ -144,10 +140,8 @@ def bias_bins(cat: DataFrame, by: Sequence[str] = (), axis: Column | None = None
             .filter(x.hi_snr("plx", "e_plx", snr) & (F.col("plx") != 0) & F.col("plx_sp").isNotNull())
             .select(*by, axis.alias("axis"),
                     x.fractional_residual("plx_sp", "plx", offset).alias("frac")))
-    size = group_size(rows, by)
-    binned = quantile_bins(rows, by, "axis", nbins, size)
-    out = robust_stats(binned, [*by, "bin"], ["axis", "frac"],
-                       GroupSize(size.groups * nbins, size.largest)).withColumnRenamed("axis_n", "n")
+    binned = quantile_bins(rows, by, "axis", nbins)
+    out = robust_stats(binned, [*by, "bin"], ["axis", "frac"]).withColumnRenamed("axis_n", "n")
     return out.filter(F.col("n") >= min_rows).select(
         *by, "bin", "n", "axis_med", F.col("frac_med").alias("bias"),
         F.col("frac_scatter").alias("scatter"))
@@ -162,14 +156,12 @@ def bias_by_column(cat: DataFrame, column: str, by: Sequence[str] = (), nbins: i
             .select(*by, x.finite(column).alias("axis"), "plx", "plx_sp")
             .filter(F.col("axis").isNotNull() & F.col("plx").isNotNull()
                     & F.col("plx_sp").isNotNull()))
-    size = group_size(rows, by)
-    binned = unique_edge_bins(rows, by, "axis", nbins, size).filter(F.col("plx") != 0)
+    binned = unique_edge_bins(rows, by, "axis", nbins).filter(F.col("plx") != 0)
     binned = binned.withColumn("frac", x.fractional_residual("plx_sp", "plx"))
     keys = [*by, "bin"]
     counts = binned.groupBy(*keys).agg(F.count("frac").alias("n"))
-    bins = GroupSize(size.groups * nbins, size.largest)
-    med = medians(binned, keys, ["axis", "frac"], bins)
-    return on_groups(counts, med, keys, size=bins).select(
+    med = medians(binned, keys, ["axis", "frac"])
+    return on_groups(counts, med, keys).select(
         *keys, "n", F.col("axis").alias("axis_med"), F.col("frac").alias("bias"))
 
 
@@ -179,9 +171,8 @@ def reliability_curve(cat: DataFrame, by: Sequence[str] = (), nbins: int = 10,
     rows = (clean_catalog(cat)
             .select(*by, "err_sp", (F.col("plx_sp") - F.col("plx")).alias("resid"))
             .filter(F.col("err_sp").isNotNull() & F.col("resid").isNotNull()))
-    size = group_size(rows, by)
-    out = robust_stats(quantile_bins(rows, by, "err_sp", nbins, size), [*by, "bin"],
-                       ["err_sp", "resid"], GroupSize(size.groups * nbins, size.largest)
+    out = robust_stats(quantile_bins(rows, by, "err_sp", nbins), [*by, "bin"],
+                       ["err_sp", "resid"]
                        ).withColumnRenamed("err_sp_n", "n")
     return out.filter(F.col("n") >= min_rows).select(
         *by, "bin", "n", F.col("err_sp_med").alias("predicted"),
@@ -261,12 +252,10 @@ def split_scatter(cat: DataFrame, columns: Sequence[str], offset: float = 0.0,
         F.explode(F.array(*[F.struct(F.lit(c).alias("column"),
                                      x.finite(F.col(c).cast("double")).alias("x")) for c in columns])).alias("p")
     ).select("frac", "p.column", "p.x")
-    size = group_size(rows, ["column"])
-    med = medians(rows, ["column"], ["x"], size).withColumnRenamed("x", "x_med")
-    sided = on_groups(rows, med, ["column"], size=size).withColumn(
+    med = medians(rows, ["column"], ["x"]).withColumnRenamed("x", "x_med")
+    sided = on_groups(rows, med, ["column"]).withColumn(
         "side", F.when(F.col("x") <= F.col("x_med"), "below").when(F.col("x") > F.col("x_med"), "above"))
-    out = robust_stats(sided.filter(F.col("side").isNotNull()), ["column", "side"], ["frac"],
-                       GroupSize(2 * size.groups, size.largest))
+    out = robust_stats(sided.filter(F.col("side").isNotNull()), ["column", "side"], ["frac"])
     return out.select("column", "side", F.col("frac_n").alias("n"),
                       F.col("frac_scatter").alias("scatter"))
 
@@ -313,15 +302,15 @@ def honesty_budget(cat: DataFrame) -> DataFrame:
 def value_digest(df: DataFrame, key: str, columns: Sequence[str], digits: int = 6) -> DataFrame:
     """Order-free digest of rounded values.
 
-    Each row hashes to 60 bits; per bit position the parity of the rows is kept,
-    so the digest does not depend on order or partitioning.
+    Each row hashes to 60 bits; the hashes add up modulo 2 to the 63, so the digest
+    depends neither on order nor on partitioning and equal rows do not cancel.
     """
     text = F.concat_ws("|", F.col(key).cast("string"), *[
         F.coalesce(F.round(F.col(c).cast("double") * 10 ** digits).cast("long").cast("string"),
                    F.lit("null")) for c in columns])
     word = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
-    return df.select(word.alias("w")).agg(F.count(F.lit(1)).alias("n_rows"),
-                                          F.bit_xor("w").alias("digest"))
+    total = F.sum(F.col("w").cast("decimal(20,0)")) % F.lit("9223372036854775808").cast("decimal(20,0)")
+    return df.select(word.alias("w")).agg(F.count(F.lit(1)).alias("n_rows"), total.cast("long").alias("digest"))
 
 
 def sweep_summary(cat: DataFrame, by: Sequence[str], offset: float = 0.0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from skyledger.functions import exprs as x
 from skyledger.operators.evaluate import clean_catalog
-from skyledger.operators.quantiles import GroupSize, group_size, medians, on_groups
+from skyledger.operators.quantiles import medians, on_groups
 from skyledger.operators.robust import robust_stats
 
 
@@ -27,15 +27,14 @@ def histogram(df: DataFrame, by: Sequence[str], value: str, lo: float, hi: float
     v = x.finite(F.col(value).cast("double"))
     if clip:
         v = x.clip(v, lo, hi)
-    rows = df.select(*by, v.alias("v"), F.col(value).isNull().alias("gone")).filter(
-        (F.col("v") >= lo) & (F.col("v") <= hi) & ~F.col("gone"))
     # width_bucket puts hi itself past the end; the last bin is closed.
-    number = F.least(F.width_bucket("v", F.lit(float(lo)), F.lit(float(hi)), F.lit(nbins)),
-                     F.lit(nbins)) - 1
-    counts = rows.groupBy(*by, number.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    number = F.least(F.width_bucket(v, F.lit(float(lo)), F.lit(float(hi)), F.lit(nbins)), F.lit(nbins)) - 1
+    number = F.when((v >= lo) & (v <= hi) & F.col(value).isNotNull(), number)
+    # Dropped rows count under no bin, so one scan gives the counts and the groups.
+    counts = df.groupBy(*by, number.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     edge = (hi - lo) / nbins
     if by:
-        groups = df.select(*by).distinct().withColumn(
+        groups = counts.select(*by).distinct().withColumn(
             "bin", F.explode(F.sequence(F.lit(0), F.lit(nbins - 1))))
     else:
         groups = bin_table(df, nbins)
@@ -95,7 +94,6 @@ def sigma_clip(df: DataFrame, columns: Sequence[str], sigma: float = 3.0,
     rows = df.filter(x.all_finite(list(columns)))
     bounds = {c: (float("-inf"), float("inf")) for c in columns}
     history = []
-    size = GroupSize(1, rows.count())
 
     def inside(c: str, b: tuple[float, float]):
         return F.col(c).cast("double").between(F.lit(b[0]), F.lit(b[1]))
@@ -103,7 +101,7 @@ def sigma_clip(df: DataFrame, columns: Sequence[str], sigma: float = 3.0,
     for _ in range(rounds):
         masked = rows.select(*[F.when(inside(c, bounds[c]), F.col(c).cast("double")).alias(c)
                                for c in columns])
-        med = medians(masked, [], list(columns), size).first()
+        med = medians(masked, [], list(columns)).first()
         sd = masked.agg(*[F.stddev_pop(c).alias(c) for c in columns],
                         *[F.count(c).alias(f"n_{c}") for c in columns]).first()
         new = {c: (max(bounds[c][0], med[c] - sigma * sd[c]), min(bounds[c][1], med[c] + sigma * sd[c]))
@@ -129,7 +127,6 @@ def residual_histograms(cats: dict[str, DataFrame], lo: float = -0.5, hi: float
             F.lit(label).alias("label"), x.fractional_residual("plx_sp", "plx").alias("frac"))
         rows = one if rows is None else rows.unionByName(one)
     hist = histogram(rows, ["label"], "frac", lo, hi, nbins)
-    size = group_size(rows, ["label"])
-    spread = robust_stats(rows, ["label"], ["frac"], size).select(
+    spread = robust_stats(rows, ["label"], ["frac"]).select(
         "label", F.col("frac_med").alias("median"), F.col("frac_scatter").alias("robust_scatter"))
-    return on_groups(hist, spread, ["label"], size=GroupSize(size.groups, size.largest))
+    return on_groups(hist, spread, ["label"])

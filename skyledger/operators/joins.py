@@ -89,13 +89,13 @@ def match_members(catalog: DataFrame, members: DataFrame, cat_id: str, mem_id: s
 
 def membership_probability(members: DataFrame, probs: DataFrame, cluster: str, gaia_id: str,
                            prob: str, prob_min: float) -> DataFrame:
-    """Members with their probability in that cluster at or above the cut.
+    """Members with their probability in that cluster at or above the cut; of a repeated id the highest.
 
     A cluster without any catalogue loses all its members, which ``no_catalogue``
     would flag before the cut: see ``uncatalogued``.
     """
-    joined = members.join(probs.select(cluster, gaia_id, F.col(prob).alias("memberprob")),
-                          [cluster, gaia_id], "left")
+    one = probs.groupBy(cluster, gaia_id).agg(F.max(prob).alias("memberprob"))
+    joined = members.join(one, [cluster, gaia_id], "left")
     return joined.filter(x.in_range("memberprob", lo=prob_min))
 
 

@@ -1,57 +1,37 @@
-"""Exact grouped quantiles that hold no group on one task.
-
-``group_size`` measures the largest group first (one pruned scan). While it is
-under the limit, a group fits a task: its values travel as one Arrow table and
-numpy picks the quantiles, which is several times faster than the hash map of
-boxed values behind ``percentile``. Above the limit the ranks are found by
-histogram refinement instead: count rows per value interval with map-side combine,
-keep the intervals that contain a wanted rank, and split those again until each
-holds few rows or a single value. Only histograms are shuffled then, never the
-rows, and the result is exact in both cases.
+"""Exact grouped quantiles that hold no large group on one task.
+
+One algorithm at every size, as one lazy plan. A sketch per group, combined on the
+map side, brackets every wanted rank; its error is a fixed share of the group, so
+the bracket of a large group is narrow and that of a small one is the whole group.
+A second scan counts the distinct values inside the brackets, and those below
+them, and the ranks are picked from the counts. Rows are never shuffled, only
+sketches and counts are.
+
+Missing values (null, NaN, infinite) are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
-
-from skyledger.session import broadcast_row_limit, group_row_limit, stage
-
-SPLITS = 4096
-_LOG_UNIT, _LOG_STEPS = 1e12, 128.0
-
-
-@dataclass(frozen=True)
-class GroupSize:
-    """Number of groups and rows of the largest one; both are upper bounds."""
-
-    groups: int
-    largest: int
 
+from skyledger.functions.exprs import finite
 
-def group_size(df: DataFrame, by: Sequence[str]) -> GroupSize:
-    row = (df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-             .agg(F.count(F.lit(1)).alias("groups"), F.max("n").alias("largest")).first())
-    return GroupSize(row["groups"] or 0, row["largest"] or 0)
+# The sketch errs by at most one rank in ACCURACY; brackets reach MARGIN of the group further on
+# either side. In groups below WHOLE rows that could be less than the neighbours needed.
+ACCURACY = 100_000
+MARGIN = 3.0 / ACCURACY
+WHOLE = 2 * ACCURACY
 
 
-def on_groups(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner",
-              size: GroupSize | None = None) -> DataFrame:
+def on_groups(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a per-group table back on its group columns, null groups included.
 
-    The per-group side is broadcast only when ``size`` proves it small; otherwise
-    Catalyst picks the join and AQE splits skewed groups.
+    Catalyst picks the join by size and AQE splits skewed groups.
     """
     if not by:
         return with_scalars(left, right)
-    if size is not None and size.groups <= broadcast_row_limit(left.sparkSession):
-        right = F.broadcast(right)
     renamed = right.select(*[F.col(c).alias(f"__{c}") if c in by else F.col(c)
                              for c in right.columns])
     cond = F.lit(True)
@@ -62,181 +42,87 @@ def on_groups(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Append the columns of a one-row table as literals."""
-    row = one_row.first()
-    return df.select("*", *[F.lit(row[f.name] if row else None).cast(f.dataType).alias(f.name)
-                            for f in one_row.schema.fields])
+    """Append the columns of a one-row table; they are nulls if it has no row."""
+    row = one_row.select(F.struct(*one_row.columns).alias("r")).scalar()
+    return df.withColumn("__one", row).select("*", *[F.col(f"__one.{c}").alias(c) for c in one_row.columns]).drop("__one")
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], values: Sequence[str],
-                    probs: Sequence[float], size: GroupSize | None = None) -> DataFrame:
+                    probs: Sequence[float], all_groups: bool = True) -> DataFrame:
     """One row per group; each value column becomes its array of quantiles.
 
-    Nulls are skipped, non-finite values must be nulled first (``exprs.finite``).
-    Quantiles interpolate linearly between neighbours.
+    Quantiles interpolate linearly between neighbours. A group without any value
+    has nulls, or no row if ``all_groups`` is off.
     """
-    by = list(by)
-    size = size or group_size(df, by)
-    if size.largest <= group_row_limit(df.sparkSession):
-        wanted = [float(p) for p in probs]
-
-        def pick(columns: list[np.ndarray]) -> list:
-            return [np.quantile(v, wanted).tolist() if len(v) else None for v in columns]
-
-        return per_group(df, by, values, pick,
-                         [T.StructField(v, T.ArrayType(T.DoubleType())) for v in values])
-    return _by_refinement(df, by, list(values), [float(p) for p in probs])
+    by, values, probs = list(by), list(values), [float(p) for p in probs]
+
+    def ranks(n: Column, p: float) -> list[Column]:
+        low = F.floor(F.lit(p) * (n - 1))
+        return [low, F.least(low + 1, n - 1)]
+
+    def mine(v: str, c: Column) -> Column:
+        return F.when(F.col("__metric") == v, c)
+
+    entry = F.struct("__rank", "__x")
+    found = _pick_ranks(df, by, values, probs, ranks).groupBy(*by).agg(
+        *[F.map_from_entries(F.collect_set(mine(v, entry))).alias(f"__at_{v}") for v in values],
+        *[F.max(mine(v, F.col("__total"))).alias(f"__n_{v}") for v in values])
+
+    def quantile(v: str, p: float) -> Column:
+        at, n = F.col(f"__at_{v}"), F.col(f"__n_{v}")
+        pos = F.lit(p) * (n - 1)
+        low, high = ranks(n, p)
+        a, b = (F.coalesce(F.element_at(at, r), F.raise_error(F.lit("a rank fell outside its bracket")).cast("double"))
+                for r in (low, high))
+        return a * (low + 1 - pos) + b * (pos - low)
 
+    wide = found.select(*by, *[F.when(F.col(f"__n_{v}").isNotNull(), F.array(*[quantile(v, p) for p in probs])).alias(v)
+                               for v in values])
+    return on_groups(df.select(*by).distinct(), wide, by, how="left") if by and all_groups else wide
 
-def per_group(df: DataFrame, by: Sequence[str], values: Sequence[str],
-              kernel: Callable[[list[np.ndarray]], list], out: Sequence[T.StructField]) -> DataFrame:
-    """Apply ``kernel`` to the non-null values of each group; one row per group.
 
-    For groups of a checked size only: a group is one Arrow table in one task.
-    """
-    by, values = list(by), list(values)
-    schema = T.StructType([df.schema[c] for c in by] + list(out))
-    arrow = to_arrow_schema(schema)
-
-    def work(table: pa.Table) -> pa.Table:
-        columns = []
-        for v in values:
-            data = table.column(v).drop_null().to_numpy()
-            columns.append(data[~np.isnan(data)])
-        keys = [table.column(c).slice(0, 1).combine_chunks() for c in by]
-        cells = [pa.array([r], type=f.type) for r, f in zip(kernel(columns), list(arrow)[len(by):])]
-        return pa.Table.from_arrays(keys + cells, schema=arrow)
-
-    rows = df.select(*by, *[F.col(v).cast("double").alias(v) for v in values])
-    return rows.groupBy(*by).applyInArrow(work, schema)
-
-
-def medians(df: DataFrame, by: Sequence[str], values: Sequence[str],
-            size: GroupSize | None = None) -> DataFrame:
-    out = exact_quantiles(df, by, values, [0.5], size)
+def medians(df: DataFrame, by: Sequence[str], values: Sequence[str], all_groups: bool = True) -> DataFrame:
+    out = exact_quantiles(df, by, values, [0.5], all_groups)
     return out.select(*by, *[F.col(v)[0].alias(v) for v in values])
 
 
-def select_rank(df: DataFrame, by: Sequence[str], value: str,
-                rank: Callable[[Column], Column], size: GroupSize | None = None) -> DataFrame:
-    """Per group the value at a 0-based rank, ``rank`` being a function of the count.
+def select_rank(df: DataFrame, by: Sequence[str], value: str, rank: Callable[[Column], Column],
+                share: float) -> DataFrame:
+    """Per group the value at a 0-based rank, ``rank`` being a function of the count near ``share`` times it.
 
     Returns ``value``, the number of rows ``before`` that value, and ``total``.
     """
-    by = list(by)
-    size = size or group_size(df, by)
-    rows = df.select(*by, F.col(value).cast("double").alias("__x")).filter(F.col("__x").isNotNull())
-    if size.largest > group_row_limit(df.sparkSession):
-        return _pick_ranks(rows, by, lambda n: F.array(F.least(rank(n), n - 1))).select(
-            *by, F.col("__v").alias("value"), F.col("__below").alias("before"),
-            F.col("__total").alias("total"))
-    everything = Window.partitionBy(*by)
-    counted = (rows.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__n"))
-               .withColumn("total", F.sum("__n").over(everything))
-               .withColumn("__upto", F.sum("__n").over(everything.orderBy("__x"))))
-    wanted = F.least(rank(F.col("total")), F.col("total") - 1)
-    return (counted.filter((F.col("__upto") > wanted) & (F.col("__upto") - F.col("__n") <= wanted))
-            .select(*by, F.col("__x").alias("value"),
-                    (F.col("__upto") - F.col("__n")).alias("before"), "total"))
-
-
-def _by_refinement(df: DataFrame, by: list[str], values: list[str],
-                   probs: list[float]) -> DataFrame:
-    keys = [*by, "__metric"]
-    pairs = F.array(*[F.struct(F.lit(v).alias("m"), F.col(v).cast("double").alias("x"))
-                      for v in values])
-    rows = (df.select(*by, F.explode(pairs).alias("__p"))
-              .select(*by, F.col("__p.m").alias("__metric"), F.col("__p.x").alias("__x"))
-              .filter(F.col("__x").isNotNull()))
-
-    def ranks(n: Column) -> Column:
-        low = [F.floor(F.lit(p) * (n - 1)) for p in probs]
-        return F.array_distinct(F.array(*low, *[F.least(r + 1, n - 1) for r in low]))
-
-    by_rank = (_pick_ranks(rows, keys, ranks).groupBy(*keys, "__total")
-               .agg(F.map_from_entries(F.collect_list(F.struct("__r", "__v"))).alias("__at")))
-
-    def quantile(p: float) -> Column:
-        pos = F.lit(p) * (F.col("__total") - 1)
-        low = F.floor(pos)
-        a = F.element_at("__at", low)
-        b = F.element_at("__at", F.least(low + 1, F.col("__total") - 1))
-        return a * (low + 1 - pos) + b * (pos - low)
-
-    quantiles = by_rank.select(*keys, F.array(*[quantile(p) for p in probs]).alias("__q"))
-    per_group = quantiles.groupBy(*by).agg(*[
-        F.first(F.when(F.col("__metric") == v, F.col("__q")), ignorenulls=True).alias(v)
-        for v in values])
-    # Groups whose values are all null still get a row.
-    groups = df.select(*by).distinct()
-    return on_groups(groups, per_group, by, how="left") if by else per_group
-
-
-def _pick_ranks(rows: DataFrame, keys: list[str],
-                ranks: Callable[[Column], Column]) -> DataFrame:
-    """Values ``__v`` at the wanted ranks ``__r`` of ``__x`` by histogram refinement."""
-    limit = group_row_limit(rows.sparkSession)
-    # First split: a signed logarithm needs no range pass and tames outliers.
-    x = F.col("__x")
-    log_bucket = F.signum(x) * F.floor(F.log1p(F.abs(x) * _LOG_UNIT) * _LOG_STEPS)
-    hist = _histogram(rows.withColumn("__b", log_bucket), keys)
-    hist = hist.withColumn("__total", F.sum("__n").over(Window.partitionBy(*keys)))
-    found = stage(_locate(hist, keys, F.lit(0).cast("long"), ranks(F.col("__total"))))
-
-    # Later splits: equal widths between the smallest and largest value present.
-    # Each split separates the two, so every interval ends narrow or single-valued.
-    wide_rows = (F.col("__lo") < F.col("__hi")) & (F.col("__n") > limit)
-    while not found.filter(wide_rows).isEmpty():
-        wide = found.filter(wide_rows)
-        width = F.col("__hi") * 0.5 - F.col("__lo") * 0.5
-        pos = (F.col("__x") * 0.5 - F.col("__lo") * 0.5) / width * SPLITS
-        parts = (_rows_inside(rows, wide, keys)
-                 .withColumn("__b", F.least(F.floor(pos), F.lit(SPLITS - 1)).cast("double"))
-                 .withColumnsRenamed({"__lo": "__plo", "__hi": "__phi"}))
-        inner = [*keys, "__plo", "__phi"]
-        parent = wide.select(*keys, F.col("__lo").alias("__plo"), F.col("__hi").alias("__phi"),
-                             F.col("__before").alias("__start"),
-                             F.col("__ranks").alias("__want"), "__total")
-        hist = on_groups(_histogram(parts, inner), parent, inner)
-        split = _locate(hist, inner, F.col("__start"), F.col("__want")).drop("__plo", "__phi")
-        found = stage(found.filter(~wide_rows).unionByName(split))
-
-    single = (found.filter("__lo >= __hi")
-              .select(*keys, "__total", F.explode("__ranks").alias("__r"),
-                      F.col("__lo").alias("__v"), F.col("__before").alias("__below")))
-    counted = (_rows_inside(rows, found.filter("__lo < __hi"), keys)
-               .groupBy(*keys, "__lo", "__hi", "__before", "__ranks", "__total", "__x")
-               .agg(F.count(F.lit(1)).alias("__n")))
-    order = Window.partitionBy(*keys, "__lo").orderBy("__x")
-    counted = counted.withColumn("__upto", F.col("__before") + F.sum("__n").over(order))
-    mine = F.filter("__ranks", lambda r: (r < F.col("__upto")) & (r >= F.col("__upto") - F.col("__n")))
-    picked = counted.select(*keys, "__total", F.explode(mine).alias("__r"), F.col("__x").alias("__v"),
-                            (F.col("__upto") - F.col("__n")).alias("__below"))
-    return single.unionByName(picked)
-
-
-def _histogram(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"),
-                                          F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
-
-
-def _locate(hist: DataFrame, keys: list[str], start: Column, ranks: Column) -> DataFrame:
-    """Keep the intervals holding a wanted rank, with the rows before them."""
-    order = Window.partitionBy(*keys).orderBy("__b")
-    hist = hist.withColumn("__upto", start + F.sum("__n").over(order)).withColumn("__all", ranks)
-    mine = F.filter("__all", lambda r: (r < F.col("__upto")) &
-                    (r >= F.col("__upto") - F.col("__n")))
-    return (hist.withColumn("__ranks", mine).filter(F.size("__ranks") > 0)
-            .withColumn("__before", F.col("__upto") - F.col("__n"))
-            .select(*keys, "__lo", "__hi", "__n", "__before", "__ranks", "__total"))
-
-
-def _rows_inside(rows: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
-    # The staged interval table carries its true size, so Catalyst broadcasts it
-    # under the configured threshold and otherwise sort-merges with AQE skew splits.
-    right = intervals.select(*[F.col(k).alias(f"__k_{k}") for k in keys],
-                             "__lo", "__hi", "__before", "__ranks", "__total")
-    cond = (rows["__x"] >= right["__lo"]) & (rows["__x"] <= right["__hi"])
-    for k in keys:
-        cond = cond & rows[k].eqNullSafe(right[f"__k_{k}"])
-    return rows.join(right, cond).drop(*[f"__k_{k}" for k in keys])
+    picked = _pick_ranks(df, list(by), [value], [share], lambda n, p: [F.least(rank(n), n - 1)])
+    return picked.select(*by, F.col("__x").alias("value"), F.col("__below").alias("before"), F.col("__total").alias("total"))
+
+
+def _pick_ranks(df: DataFrame, by: list[str], values: list[str], probs: list[float],
+                ranks: Callable[[Column, float], list[Column]]) -> DataFrame:
+    """``__x`` at each wanted ``__rank`` of every ``__metric``, the rows ``__below`` it and the ``__total``."""
+    rows = df.select(*by, *[finite(F.col(v).cast("double")).alias(v) for v in values])
+    ends = [min(max(p + side * MARGIN, 0.0), 1.0) for p in probs for side in (-1, 1)]
+    sketch = rows.groupBy(*by).agg(*[
+        F.struct(F.count(v).alias("n"), F.percentile_approx(v, ends, ACCURACY).alias("ends")).alias(f"__s_{v}") for v in values])
+
+    # Each value once per bracket that it is in or below; brackets of small groups are one and open.
+    parts = []
+    for v in values:
+        x, n, end = F.col(v), F.col(f"__s_{v}.n"), F.col(f"__s_{v}.ends")
+        for k in range(len(probs)):
+            lo, hi = end[2 * k], end[2 * k + 1]
+            inside = F.when(n < WHOLE, F.lit(k == 0)).otherwise(x <= hi)
+            seen = F.when((n < WHOLE) | (x >= lo), x)
+            parts.append(F.when(inside & x.isNotNull(), F.struct(
+                F.lit(v).alias("__metric"), F.lit(k).alias("__k"), n.alias("__total"), seen.alias("__x"))))
+    spread = on_groups(rows, sketch, by).select(*by, F.explode(F.array_compact(F.array(*parts))).alias("__p"))
+    keys = [*by, "__metric", "__k", "__total"]
+    counts = spread.select(*by, "__p.*").groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("__x")))
+    total = F.col("__total")
+    every = F.array_distinct(F.array(*[r for p in probs for r in ranks(total, p)]))
+    own = F.array(*[F.array_distinct(F.array(*ranks(total, p))) for p in probs])[F.col("__k")]
+    wanted = F.when(total < WHOLE, every).otherwise(own)
+    counts = counts.withColumn("__upto", upto).withColumn("__below", F.col("__upto") - F.col("__n"))
+    hit = F.filter(wanted, lambda r: (r < F.col("__upto")) & (r >= F.col("__below")))
+    return counts.where(F.col("__x").isNotNull()).select(
+        *by, "__metric", "__total", F.explode(hit).alias("__rank"), "__x", "__below")

@@ -5,57 +5,33 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql import types as T
 
 from skyledger.functions.exprs import ColumnLike, col, finite, is_finite, holds
-from skyledger.operators.quantiles import (GroupSize, exact_quantiles, group_size, medians,
-                                           on_groups, per_group)
-from skyledger.session import group_row_limit, stage
+from skyledger.operators.quantiles import exact_quantiles, medians, on_groups
+from skyledger.session import stage
 
 # Fixed value: the scale of the median absolute deviation.
 MAD_SCALE = 1.48
 
 
 def robust_stats(df: DataFrame, by: Sequence[str], values: Sequence[str],
-                 size: GroupSize | None = None,
                  extra: Sequence[Column] = ()) -> DataFrame:
     """Per group: ``<v>_n``, ``<v>_med`` and ``<v>_scatter`` (1.48 MAD) of each value.
 
     ``extra`` aggregates ride along with the counts. All values share the passes,
-    so a report over many metrics costs the same scans as one.
+    so a report over many metrics costs the same scans as one. Missing values
+    (null, NaN, infinite) are left out of all three.
     """
     by, values = list(by), list(values)
-    counts = df.groupBy(*by).agg(*[F.count(v).alias(f"{v}_n") for v in values], *extra,
-                                 F.count(F.lit(1)).alias("__rows"))
-    measured = size is None
-    if measured:  # the counts measure the groups in the same scan
-        counts = stage(counts)
-        top = counts.agg(F.count(F.lit(1)).alias("groups"), F.max("__rows").alias("largest")).first()
-        size = GroupSize(top["groups"] or 0, top["largest"] or 0)
-    counts = counts.drop("__rows")
-    if size.largest <= group_row_limit(df.sparkSession):
-        def centre_and_spread(columns: list[np.ndarray]) -> list:
-            out = []
-            for v in columns:
-                mid = float(np.median(v)) if len(v) else None
-                out += [len(v), mid, MAD_SCALE * float(np.median(np.abs(v - mid))) if len(v) else None]
-            return out
-
-        names = [T.StructField(f"{v}_{part}", kind) for v in values for part, kind in (
-            ("n", T.LongType()), ("med", T.DoubleType()), ("scatter", T.DoubleType()))]
-        stats = per_group(df, by, values, centre_and_spread, names)
-        if not (measured or extra):
-            return stats
-        return on_groups(counts.drop(*[f"{v}_n" for v in values]), stats, by, size=size)
-    centre = medians(df, by, values, size).select(
-        *by, *[F.col(v).alias(f"{v}_med") for v in values])
+    df = df.withColumns({v: finite(F.col(v).cast("double")) for v in values})
+    counts = df.groupBy(*by).agg(*[F.count(v).alias(f"{v}_n") for v in values], *extra)
+    # A row per group: written once, as both the deviations and the result need it.
+    centre = stage(medians(df, by, values, all_groups=False).select(*by, *[F.col(v).alias(f"{v}_med") for v in values]))
     devs = {f"__d_{v}": F.abs(F.col(v) - F.col(f"{v}_med")) for v in values}
-    joined = on_groups(df, centre, by, size=size).withColumns(devs)
-    spread = medians(joined, by, list(devs), size).select(
+    spread = medians(on_groups(df, centre, by).withColumns(devs), by, list(devs), all_groups=False).select(
         *by, *[(MAD_SCALE * F.col(d)).alias(f"{v}_scatter") for v, d in zip(values, devs)])
-    return on_groups(on_groups(counts, centre, by, size=size), spread, by, size=size)
+    return on_groups(on_groups(counts, centre, by, how="left"), spread, by, how="left")
 
 
 def inverse_variance(value: ColumnLike, err: ColumnLike) -> tuple[Column, Column]:
@@ -72,24 +48,21 @@ def fraction(predicate: Column) -> Column:
     return F.avg(holds(predicate).cast("double"))
 
 
-def numeric_summary(df: DataFrame, values: Sequence[str], by: Sequence[str] = (),
-                    size: GroupSize | None = None) -> DataFrame:
+def numeric_summary(df: DataFrame, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Per value: n, missing, mean, min, max and exact median; one row per value."""
     clean = df.select(*by, *[finite(v).alias(v) for v in values])
     long = clean.select(*by, F.explode(F.array(*[
         F.struct(F.lit(v).alias("column"), F.col(v).cast("double").alias("x"))
         for v in values])).alias("p")).select(*by, "p.column", F.col("p.x").alias("x"))
     keys = [*by, "column"]
-    size = size or group_size(long, keys)
-    med = medians(long, keys, ["x"], size).withColumnRenamed("x", "median")
+    med = medians(long, keys, ["x"]).withColumnRenamed("x", "median")
     stats = long.groupBy(*keys).agg(
         F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("n_missing"),
         F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"))
-    return on_groups(stats, med, keys, size=size)
+    return on_groups(stats, med, keys)
 
 
-def quantile_bins(df: DataFrame, by: Sequence[str], axis: str, nbins: int,
-                  size: GroupSize | None = None, bin_col: str = "bin") -> DataFrame:
+def quantile_bins(df: DataFrame, by: Sequence[str], axis: str, nbins: int, bin_col: str = "bin") -> DataFrame:
     """Attach ``bin`` 0..nbins-1 between linear quantile edges of ``axis`` per group.
 
     Bins are ``[e_i, e_i+1)`` and the top one has no upper edge. Rows without a
@@ -97,27 +70,24 @@ def quantile_bins(df: DataFrame, by: Sequence[str], axis: str, nbins: int,
     bins reads them instead of finding them again.
     """
     df = df.filter(F.col(axis).isNotNull())
-    size = size or group_size(df, by)
     probs = [i / nbins for i in range(nbins + 1)]
-    edges = stage(exact_quantiles(df, by, [axis], probs, size).withColumnRenamed(axis, "__edges"))
-    joined = on_groups(df, edges, list(by), size=size)
+    edges = stage(exact_quantiles(df, by, [axis], probs, all_groups=False).withColumnRenamed(axis, "__edges"))
+    joined = on_groups(df, edges, list(by))
     below = [F.when(F.col(axis) >= F.col("__edges")[i], 1).otherwise(0) for i in range(nbins)]
     return joined.withColumn(bin_col, reduce(lambda a, b: a + b, below) - 1).drop("__edges")
 
 
-def unique_edge_bins(df: DataFrame, by: Sequence[str], axis: str, nbins: int,
-                     size: GroupSize | None = None, bin_col: str = "bin") -> DataFrame:
+def unique_edge_bins(df: DataFrame, by: Sequence[str], axis: str, nbins: int, bin_col: str = "bin") -> DataFrame:
     """As ``quantile_bins`` but repeated edges collapse and the largest row has no bin.
 
     Bins count from 1, as with half-open digitising; rows at or above the last
     edge are dropped.
     """
     df = df.filter(F.col(axis).isNotNull())
-    size = size or group_size(df, by)
     probs = [i / nbins for i in range(nbins + 1)]
-    edges = stage(exact_quantiles(df, by, [axis], probs, size).select(
+    edges = stage(exact_quantiles(df, by, [axis], probs, all_groups=False).select(
         *by, F.array_distinct(axis).alias("__edges")))
-    joined = on_groups(df, edges, list(by), size=size)
+    joined = on_groups(df, edges, list(by))
     below = [F.when(F.col(axis) >= F.get("__edges", F.lit(i)), 1).otherwise(0)
              for i in range(nbins + 1)]
     return (joined.withColumn(bin_col, reduce(lambda a, b: a + b, below))

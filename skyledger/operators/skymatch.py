@@ -14,7 +14,10 @@ from skyledger.functions import sky
 from skyledger.functions.exprs import in_range, is_finite
 from skyledger.operators.dedup import keep_best, keep_first
 from skyledger.operators.quantiles import medians, with_scalars
-from skyledger.session import group_row_limit, stage
+from skyledger.session import stage
+
+# Sources of one cell that go to one task.
+SPLIT_ROWS = 100_000
 
 
 def _cells_in_band(band: Column, height: float) -> Column:
@@ -45,18 +48,13 @@ def _touched_cells(df: DataFrame, ra: str, dec: str, radius: Column, height: flo
 
 
 def _salted(sources: DataFrame, targets: DataFrame, spread: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Split cells that hold too many sources; their targets are listed per split."""
-    limit = group_row_limit(sources.sparkSession)
-    hot = stage(sources.groupBy("__band", "__cell").agg(F.count(F.lit(1)).alias("__n"))
-                .filter(F.col("__n") > limit)
-                .select("__band", "__cell", F.ceil(F.col("__n") / limit).alias("__splits")))
-    if hot.isEmpty():
-        return sources.withColumn("__salt", F.lit(0).cast("long")), targets.withColumn("__salt", F.lit(0).cast("long"))
-    splits = F.coalesce("__splits", F.lit(1).cast("long"))
-    src = sources.join(hot, ["__band", "__cell"], "left").withColumn(
-        "__salt", F.pmod(F.xxhash64(*spread), splits)).drop("__splits")
-    tgt = targets.join(hot, ["__band", "__cell"], "left").withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0).cast("long"), splits - 1))).drop("__splits")
+    """Split every cell by the sources it holds; its targets are listed once per split."""
+    splits = sources.groupBy("__band", "__cell").agg(F.ceil(F.count(F.lit(1)) / SPLIT_ROWS).alias("__splits"))
+    src = sources.join(splits, ["__band", "__cell"]).withColumn(
+        "__salt", F.pmod(F.xxhash64(*spread), F.col("__splits"))).drop("__splits")
+    # Targets of empty cells match nothing and go here.
+    tgt = targets.join(splits, ["__band", "__cell"]).withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__splits") - 1))).drop("__splits")
     return src, tgt
 
 

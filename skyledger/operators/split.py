@@ -6,8 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from skyledger.operators.quantiles import group_size, on_groups, select_rank
-from skyledger.session import group_row_limit
+from skyledger.operators.quantiles import on_groups, select_rank
 
 
 def seeded_hash(seed: int, *ids: str) -> Column:
@@ -19,26 +18,19 @@ def exact_half_split(df: DataFrame, strata: Sequence[str], ids: Sequence[str], s
                      out: str = "sample") -> DataFrame:
     """Fold A for exactly floor(n/2) rows of each stratum, B for the rest.
 
-    The halves are the rows in order of a seeded digest. Strata of a checked size
-    are numbered by a window. A larger stratum is never ordered on one task: the
-    digest's leading 52 bits are cut at the rank n/2, and only the few rows that tie
-    there are ordered by the full digest.
+    The halves are the rows in order of a seeded digest. A stratum is never ordered
+    on one task: the digest's leading 52 bits are cut at the rank n/2, and only the
+    few rows that tie there are ordered by the full digest.
     """
     strata = list(strata)
     digest = seeded_hash(seed, *ids)
-    size = group_size(df, strata)
     order = Window.partitionBy(*strata).orderBy("__h", *ids)
-    if size.largest <= group_row_limit(df.sparkSession):
-        half = F.floor(F.count(F.lit(1)).over(Window.partitionBy(*strata)) / 2)
-        first = F.row_number().over(order) <= half
-        return (df.withColumn("__h", digest).withColumn(out, F.when(first, "A").otherwise("B"))
-                .drop("__h"))
     rows = df.withColumn("__h", digest).withColumn(
         "__w", F.conv(F.substring("__h", 1, 13), 16, 10).cast("double"))
-    cut = select_rank(rows, strata, "__w", lambda n: F.floor(n / 2), size)
+    cut = select_rank(rows, strata, "__w", lambda n: F.floor(n / 2), 0.5)
     rows = on_groups(rows, cut.select(*strata, F.col("value").alias("__cut"),
                                       F.col("before").alias("__before"),
-                                      F.floor(F.col("total") / 2).alias("__half")), strata, size=size)
+                                      F.floor(F.col("total") / 2).alias("__half")), strata)
     # Rank rows tied on the cut (a handful) by the full digest.
     take = F.when(F.col("__w") < F.col("__cut"), True).when(F.col("__w") > F.col("__cut"), False)
     rows = rows.withColumn("__take", take)

@@ -83,9 +83,9 @@ def hi_snr_probe(spark, sf):
         F.count_if(x.hi_snr("plx", "e_plx", 50)).alias("n_probe50"))
 
 
-@query("warm_start_rows", f"WITH {CLEAN} SELECT sdss_id FROM cat WHERE plx > 0 AND e_plx > 0 AND plx / e_plx > 5 AND l_quantity > 10")
+@query("warm_start_rows", f"WITH {CLEAN} SELECT sdss_id FROM cat WHERE plx > 0 AND e_plx > 0 AND plx / e_plx > 5")
 def warm_start_rows(spark, sf):
-    return sel.warm_start_rows(messy(spark, sf)).filter(F.col("l_quantity") > 10).select("sdss_id")
+    return sel.warm_start_rows(messy(spark, sf)).select("sdss_id")
 
 
 @query("astrometric_solutions", "SELECT l_orderkey, l_linenumber, l_partkey, [3, 31, 95][l_partkey % 3 + 1] AS solved "
@@ -321,7 +321,6 @@ def conditional_shares(spark, sf):
 
 @query("group_sizes", "SELECT count(*) AS n_groups, max(n) AS largest FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1)")
 def group_sizes(spark, sf):
-    from skyledger.operators.quantiles import group_size
     df = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
     return df.agg(F.count(F.lit(1)).alias("n_groups"), F.max("n").alias("largest"))
 

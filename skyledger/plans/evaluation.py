@@ -268,7 +268,7 @@ def honesty_budget(spark, sf):
 
 @query("value_digest", f"""WITH {CLEAN}, t AS (SELECT concat_ws('|', sdss_id::VARCHAR,
     coalesce(round(plx_sp * 1e4)::BIGINT::VARCHAR, 'null'), coalesce(round(plx * 1e4)::BIGINT::VARCHAR, 'null')) AS s FROM cat)
-  SELECT count(*) AS n_rows, bit_xor(('0x' || substr(md5(s), 1, 15))::BIGINT) AS digest FROM t""")
+  SELECT count(*) AS n_rows, (sum(('0x' || substr(md5(s), 1, 15))::BIGINT::HUGEINT) % 9223372036854775808::HUGEINT)::BIGINT AS digest FROM t""")
 def value_digest(spark, sf):
     return ev.value_digest(ev.clean_catalog(messy(spark, sf)), "sdss_id", ["plx_sp", "plx"], digits=4)
 

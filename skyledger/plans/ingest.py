@@ -13,7 +13,7 @@ from skyledger.plans.registry import query
 from skyledger.plans.tables import r, round_all, table
 from skyledger.session import staging_folder
 from skyledger.sources import models, tables, writers
-from skyledger.sources.datasets import DATASETS
+from skyledger.sources.datasets import lookup
 from skyledger.streaming import jobs
 
 
@@ -70,44 +70,52 @@ def write_and_read_back(spark, sf):
     return round_all(tables.scan(spark, path), 2)
 
 
-@query("write_per_cluster", "SELECT l_suppkey::INT AS cluster, count(*) AS n, sum(l_quantity)::DOUBLE AS q FROM lineitem WHERE l_suppkey % 7 <> 0 GROUP BY 1")
+@query("write_per_cluster", "SELECT l_suppkey::INT AS cluster, count(*) AS n, sum(l_quantity)::DOUBLE AS q FROM lineitem GROUP BY 1")
 def write_per_cluster(spark, sf):
     path = fresh(spark)
-    li = table(spark, sf, "lineitem").filter("l_suppkey % 7 <> 0")
+    li = table(spark, sf, "lineitem")
     writers.write_per_cluster(li.withColumnRenamed("l_suppkey", "cluster"), path, rows_per_task=200)
     return spark.read.parquet(path).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
 
 
-@query("compact_files", "SELECT count(*) AS n_rows, true AS within_limit FROM lineitem")
+@query("compact_files", f"""SELECT 'row' AS what, l_orderkey, l_linenumber, l_partkey, {r('l_extendedprice', 2)} AS price FROM lineitem
+  UNION ALL SELECT 'files', (SELECT count(*) FROM lineitem) // 5000, 5000, NULL, NULL""")
 def compact_files(spark, sf):
     path = fresh(spark)
     writers.compact(spark, f"{sf}/lineitem.parquet", path, rows_per_file=5000)
-    files = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("f"))
-    return files.groupBy("f").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.sum("n").alias("n_rows"), (F.max("n") <= 5000).alias("within_limit"))
+    back = spark.read.parquet(path)
+    full = back.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count(F.lit(1)).alias("n")).where("n = 5000")
+    sizes = full.agg(F.lit("files").alias("what"), F.count(F.lit(1)).alias("l_orderkey"), F.lit(5000).alias("l_linenumber"),
+                     F.lit(None).cast("long").alias("l_partkey"), F.lit(None).cast("double").alias("price"))
+    rows = back.select(F.lit("row").alias("what"), "l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("price"))
+    return round_all(rows.unionByName(sizes), 2)
 
 
-@query("quarantine", """SELECT 'ok' AS part, count(*) AS n FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT 'failed', count(*) FROM customer WHERE c_acctbal < 0""")
+@query("quarantine", f"""SELECT CASE WHEN c_acctbal >= 0 THEN 'ok' ELSE 'failed' END AS part, c_custkey, {r('c_acctbal', 2)} AS c_acctbal,
+  {r('CASE WHEN c_acctbal >= 0 THEN ln(1 + c_acctbal) END')} AS balance_log FROM customer""")
 def quarantine(spark, sf):
     ok, failed = fresh(spark), fresh(spark)
     c = table(spark, sf, "customer").withColumn("balance_log", F.when(F.col("c_acctbal") >= 0, F.log1p("c_acctbal")))
     writers.write_with_quarantine(c, F.col("balance_log").isNotNull(), ok, failed, ["c_custkey", "c_acctbal"])
-    both = spark.read.parquet(ok).select(F.lit("ok").alias("part")).unionAll(spark.read.parquet(failed).select(F.lit("failed").alias("part")))
-    return both.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    good = spark.read.parquet(ok).select(F.lit("ok").alias("part"), "c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"),
+                                         F.round("balance_log", 6).alias("balance_log"))
+    bad = spark.read.parquet(failed).select(F.lit("failed").alias("part"), "c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"))
+    return good.unionByName(bad, allowMissingColumns=True)
 
 
 @query("model_round_trip", f"""WITH p AS (SELECT unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
-  SELECT i::INT AS feature, {r('avg(v)')} AS mu, {r('stddev_pop(v)')} AS sd, 'dr17' AS dataset FROM p GROUP BY 1""")
+  SELECT i::INT AS feature, {r('avg(v)')} AS mu, {r('stddev_pop(v)')} AS sd, {r('i / 7.0 - 3')} AS theta, 'dr17' AS dataset FROM p GROUP BY i""")
 def model_round_trip(spark, sf):
     from skyledger.operators.spectra import feature_stats
     mu, sd, _ = feature_stats(table(spark, sf, "embeddings"), "embedding")
     path = fresh(spark)
-    models.save_linear(spark, path, {"all": fit.LinearModel(np.zeros(65), mu, sd)}, good=np.ones(64, bool), frac_sigma=0.08,
-                       dataset=DATASETS["dr17"], config={"lam": 1.0})
+    models.save_linear(spark, path, {"all": fit.LinearModel(np.arange(-1, 64) / 7.0 - 3, mu, sd)}, good=np.ones(64, bool), frac_sigma=0.08,
+                       dataset=lookup("dr17"), config={"lam": 1.0})
     back = models.load_linear(spark, path)
     m = back["models"]["all"]
-    out = spark.createDataFrame([(i, float(a), float(b), back["dataset"].name) for i, (a, b) in enumerate(zip(m.mu, m.sd))],
-                                "feature int, mu double, sd double, dataset string")
+    out = spark.createDataFrame([(i, float(a), float(b), float(t), back["dataset"]["name"])
+                                 for i, (a, b, t) in enumerate(zip(m.mu, m.sd, m.theta[1:]))],
+                                "feature int, mu double, sd double, theta double, dataset string")
     return round_all(out)
 
 
@@ -155,3 +163,59 @@ def stream_pixel_counts(spark, sf):
     stream = jobs.file_stream(spark, source, flagged.schema, files_per_batch=2)
     jobs.running_pixel_counts(stream, state, fresh(spark)).awaitTermination()
     return jobs.latest_counts(spark, state)
+
+
+# --- schema checks, labels, anchors, datasets ------------------------------------------
+@query("missing_columns", "SELECT 'lineitem lacks [''flux'', ''snr'']' AS refusal, count(*) AS n_rows FROM lineitem")
+def missing_columns(spark, sf):
+    li = table(spark, sf, "lineitem")
+    try:
+        tables.require_columns(li, ["l_orderkey", "flux", "snr"], "lineitem")
+        said = "nothing"
+    except ValueError as e:
+        said = str(e).replace(" columns", "").split(";")[0]
+    passed = tables.require_columns(li, ["l_orderkey", "l_partkey"])
+    return passed.agg(F.lit(said).alias("refusal"), F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("labelled_files", f"SELECT l_returnflag AS cluster, l_orderkey, {r('l_quantity')} AS l_quantity FROM lineitem")
+def labelled_files(spark, sf):
+    li, folder = table(spark, sf, "lineitem"), fresh(spark)
+    for flag in [row[0] for row in li.select("l_returnflag").distinct().collect()]:  # three flags
+        writers.write_table(li.filter(F.col("l_returnflag") == flag), f"{folder}/{flag}_matched.parquet")
+    # A folder stands for a member file here, so its name is taken one level up.
+    got = spark.read.parquet(f"{folder}/*").select("l_orderkey", "l_quantity", F.regexp_extract(
+        "_metadata.file_path", "([^/]*)_matched\\.parquet/", 1).alias("cluster"))
+    return round_all(got)
+
+
+@query("anchor_table", f"SELECT s_suppkey AS sdss_id, {r('s_acctbal')} AS mu, {r('abs(s_acctbal) / 100')} AS mu_err, s_name AS \"group\" FROM supplier")
+def anchor_table(spark, sf):
+    path = f"{fresh(spark)}.csv"
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("sdss_id"), F.col("s_acctbal").alias("mu"),
+                                            (F.abs("s_acctbal") / 100).alias("mu_err"), F.col("s_name").alias("group"))
+    s.write.option("header", True).csv(path)
+    return round_all(tables.anchors(spark, path))
+
+
+@query("dataset_resolution", "SELECT vec_id, CASE WHEN label % 3 = 2 THEN 'legacy' ELSE 'dr17' END AS dataset FROM embeddings")
+def dataset_resolution(spark, sf):
+    bands = lookup("dr17")["bands"]
+    # Saved models name their dataset, or only list its bands, or list bands that no dataset has.
+    found = [lookup("dr17", ["x"])["name"], lookup(None, bands)["name"], lookup("gone", bands[:2])["name"]]
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", F.element_at(F.array(*[F.lit(n) for n in found]), F.col("label") % 3 + 1).alias("dataset"))
+
+
+@query("foreign_bands", "SELECT label, label % 2 = 1 AS refused FROM embeddings")
+def foreign_bands(spark, sf):
+    from skyledger.operators.scoring import require_same_bands
+    bands, refused = list(lookup("dr17")["bands"]), []
+    for wanted in (bands, bands[::-1]):
+        try:
+            require_same_bands(bands, wanted)
+            refused.append(False)
+        except ValueError:
+            refused.append(True)
+    e = table(spark, sf, "embeddings")
+    return e.select("label", F.element_at(F.array(*[F.lit(v) for v in refused]), F.col("label") % 2 + 1).alias("refused"))

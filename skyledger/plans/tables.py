@@ -18,12 +18,11 @@ def round_all(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def line_id():
-    """A 19-digit id that is unique per line, packed from its keys and quantity."""
-    keys = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")
-    return F.lit(4000000000000000000) + keys * 64 + F.col("l_quantity").cast("bigint")
+    """A text id that is unique per line whatever the keys' range."""
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint"))
 
 
-LINE_ID = """4000000000000000000 + (((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) * 64 + l_quantity::BIGINT"""
+LINE_ID = "(l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::BIGINT)"
 
 
 def hub(spark: SparkSession, sf_dir: str) -> DataFrame:

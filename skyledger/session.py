@@ -7,11 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Largest number of rows of one group that a single task may hold or sort.
-GROUP_ROW_LIMIT = 1_000_000
-# Largest number of per-group rows that may be broadcast.
-BROADCAST_ROW_LIMIT = 100_000
-
 _local_dirs: dict[str, str] = {}
 
 
@@ -35,18 +30,6 @@ def local_session(cores: int | str = "*", app: str = "skyledger", **conf: str) -
     return spark
 
 
-def int_conf(spark: SparkSession, key: str, default: int) -> int:
-    return int(spark.conf.get(key, str(default)))
-
-
-def group_row_limit(spark: SparkSession) -> int:
-    return int_conf(spark, "spark.skyledger.groupRowLimit", GROUP_ROW_LIMIT)
-
-
-def broadcast_row_limit(spark: SparkSession) -> int:
-    return int_conf(spark, "spark.skyledger.broadcastRowLimit", BROADCAST_ROW_LIMIT)
-
-
 def staging_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from skyledger.operators.fit import LinearModel
-from skyledger.sources.datasets import Dataset, resolve_dataset
+from skyledger.sources.datasets import feature_names, lookup
 
 FOLDS = ("all", "A", "B")
 _ARRAY = T.ArrayType(T.DoubleType())
@@ -25,8 +25,12 @@ SCHEMA = T.StructType(
        T.StructField("config", T.StringType())])
 
 
+def _photometry(dataset: Mapping[str, object]) -> list[str]:
+    return [c for c in feature_names(dataset) if c != "extinction"]
+
+
 def save_linear(spark: SparkSession, path: str, models: Mapping[str, LinearModel], *, good: np.ndarray,
-                frac_sigma: float, dataset: Dataset, config: Mapping[str, object],
+                frac_sigma: float, dataset: Mapping[str, object], config: Mapping[str, object],
                 masks: Mapping[str, np.ndarray] | None = None, mode: str = "error") -> None:
     """Everything needed to score new rows without fitting again."""
     row: dict[str, object] = {}
@@ -37,8 +41,8 @@ def save_linear(spark: SparkSession, path: str, models: Mapping[str, LinearModel
     row["good_pixels"] = [bool(v) for v in good]
     row["mask_telescopes"] = list(masks) if masks else []
     row["mask_pixels"] = [[bool(v) for v in m] for m in masks.values()] if masks else []
-    row["frac_sigma"], row["dataset"] = float(frac_sigma), dataset.name
-    row["bands"], row["photometry"] = list(dataset.bands), list(dataset.photometry)
+    row["frac_sigma"], row["dataset"] = float(frac_sigma), dataset["name"]
+    row["bands"], row["photometry"] = list(dataset["bands"]), _photometry(dataset)
     row["config"] = json.dumps(dict(config), sort_keys=True)
     spark.createDataFrame([tuple(row[f.name] for f in SCHEMA.fields)], SCHEMA).write.mode(mode).parquet(path)
 
@@ -52,10 +56,10 @@ def load_linear(spark: SparkSession, path: str) -> dict[str, object]:
     row = df.first().asDict()
     models = {f: LinearModel(*(np.array(row[f"{p}_{f}"]) for p in ("theta", "mu", "sd")))
               for f in FOLDS if row.get(f"theta_{f}") is not None}
-    dataset = resolve_dataset(row.get("dataset"), row["bands"])
+    dataset = lookup(row.get("dataset"), row["bands"])
     names, pixels = row.get("mask_telescopes") or [], row.get("mask_pixels") or []
     return {"models": models, "good": np.array(row["good_pixels"], dtype=bool),
             "masks": {t: np.array(m, dtype=bool) for t, m in zip(names, pixels)} or None,
             "frac_sigma": row["frac_sigma"], "dataset": dataset, "bands": list(row["bands"]),
-            "photometry": list(row.get("photometry") or dataset.photometry),
+            "photometry": list(row.get("photometry") or _photometry(dataset)),
             "config": json.loads(row.get("config") or "{}")}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from skyledger.session import stage
 
@@ -29,12 +29,20 @@ def write_per_cluster(df: DataFrame, path: str, label: str = "cluster", rows_per
 
 def compact(spark: SparkSession, source: str, target: str, rows_per_file: int = 20_000,
             mode: str = "error") -> None:
-    """Rewrite many small files as zstd files of at most ``rows_per_file`` rows.
+    """Rewrite files as zstd files of exactly ``rows_per_file`` rows each, but for the last.
 
-    Files are bin-packed by size on the read side, so no row is shuffled.
+    Rows are numbered by file and place in it, which needs only a count per file,
+    and those of one new file meet in one task.
     """
-    (spark.read.parquet(source).write.mode(mode).option("maxRecordsPerFile", rows_per_file)
-     .option("compression", "zstd").parquet(target))
+    rows = spark.read.parquet(source)
+    names = rows.columns
+    rows = rows.select("*", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__i"))
+    # One row per file; the running sum over them is as long as the file list.
+    before = F.sum("__n").over(Window.orderBy("__f")) - F.col("__n")
+    files = rows.groupBy("__f").agg(F.count(F.lit(1)).alias("__n")).select("__f", before.alias("__start"))
+    numbered = rows.join(files, "__f").withColumn("__to", F.floor((F.col("__start") + F.col("__i")) / rows_per_file))
+    (numbered.repartition("__to").sortWithinPartitions("__to", "__f", "__i").select(*names)
+     .write.mode(mode).option("maxRecordsPerFile", rows_per_file).option("compression", "zstd").parquet(target))
 
 
 def write_with_quarantine(df: DataFrame, ok: Column, path: str, failed_path: str,
@@ -43,6 +51,6 @@ def write_with_quarantine(df: DataFrame, ok: Column, path: str, failed_path: str
 
     The second table has the schema of the input and can be fed straight back in.
     """
-    good = F.coalesce(ok, F.lit(False))
-    df.filter(good).write.mode(mode).parquet(path)
-    df.filter(~good).select(*input_columns).write.mode(mode).parquet(failed_path)
+    both = stage(df.withColumn("__ok", F.coalesce(ok, F.lit(False))))  # the work is done once
+    both.filter("__ok").drop("__ok").write.mode(mode).parquet(path)
+    both.filter("NOT __ok").select(*input_columns).write.mode(mode).parquet(failed_path)

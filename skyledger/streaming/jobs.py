@@ -58,43 +58,28 @@ def members_scored(stream: DataFrame, members: DataFrame, key: str, model: Linea
     return predict(stream.join(members.select(key), key, "left_semi"), model, carry)
 
 
-def running_state(stream: DataFrame, keys: Sequence[str], count: Callable[[DataFrame], DataFrame],
-                  state: str, checkpoint: str) -> StreamingQuery:
-    """Running ``hits`` and ``n`` per key, kept as one state table per batch.
-
-    Each batch adds its own counts to the table of the batch before and writes a
-    table under its own number, so a batch that is replayed writes the same result.
-    """
-    keys = list(keys)
-
-    def merge(batch: DataFrame, number: int) -> None:
-        part = count(batch).select(*keys, "hits", "n")
-        if number > 0:
-            before = batch.sparkSession.read.parquet(f"{state}/batch={number - 1}")
-            part = part.unionByName(before.select(*keys, "hits", "n"))
-        total = part.groupBy(*keys).agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
-        total.write.mode("overwrite").parquet(f"{state}/batch={number}")
-
-    return (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+def running_state(counted: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
+    """Keep the totals of a streaming aggregate as a table; Spark's state store holds the running sums."""
+    def replace(totals: DataFrame, number: int) -> None:
+        totals.write.mode("overwrite").parquet(state)
+
+    return (counted.writeStream.outputMode("complete").foreachBatch(replace)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def running_counts(stream: DataFrame, keys: Sequence[str], hit: Column, state: str,
                    checkpoint: str) -> StreamingQuery:
     """Running hits of a predicate and rows per key."""
-    return running_state(stream, keys, lambda batch: batch.groupBy(*keys).agg(
-        F.count_if(hit).alias("hits"), F.count(F.lit(1)).alias("n")), state, checkpoint)
+    return running_state(stream.groupBy(*keys).agg(F.count_if(hit).alias("hits"), F.count(F.lit(1)).alias("n")),
+                         state, checkpoint)
 
 
 def running_pixel_counts(stream: DataFrame, state: str, checkpoint: str, group: str = "telescope",
                          flags: str = "pixel_flags") -> StreamingQuery:
     """Running per-telescope, per-pixel hit counts of flagged spectra."""
-    return running_state(stream, [group, "pixel"], lambda batch: hit_counts(batch, flags, group),
-                         state, checkpoint)
+    return running_state(hit_counts(stream, flags, group), state, checkpoint)
 
 
 def latest_counts(spark: SparkSession, state: str) -> DataFrame:
-    """State table of the last finished batch."""
-    every = spark.read.option("basePath", state).parquet(state)
-    last = every.agg(F.max("batch").alias("b")).first()["b"]
-    return spark.read.parquet(f"{state}/batch={last}")
+    """The totals after the last finished batch."""
+    return spark.read.parquet(state)

@@ -17,16 +17,6 @@ def spark():
     session.stop()
 
 
-@pytest.fixture()
-def small_groups(spark):
-    """Force the plans for groups too large for one task."""
-    spark.conf.set("spark.skyledger.groupRowLimit", "20")
-    spark.conf.set("spark.skyledger.broadcastRowLimit", "1")
-    yield spark
-    spark.conf.unset("spark.skyledger.groupRowLimit")
-    spark.conf.unset("spark.skyledger.broadcastRowLimit")
-
-
 @pytest.fixture(scope="session")
 def sf():
     return SF

@@ -123,8 +123,9 @@ def brute(targets, sources, radius):
     return {t: (min(v)[1], len(v)) for t, v in owned.items()}
 
 
-@pytest.mark.parametrize("limit", [None, "5"])
-def test_sky_match_near_poles_and_across_zero(spark, limit):
+@pytest.mark.parametrize("limit", [5, 100_000])
+def test_sky_match_near_poles_and_across_zero(spark, limit, monkeypatch):
+    monkeypatch.setattr(skymatch, "SPLIT_ROWS", limit)
     import random
     rnd = random.Random(4)
     targets, sources = [], []
@@ -135,15 +136,10 @@ def test_sky_match_near_poles_and_across_zero(spark, limit):
             d = min(90.0, max(-90.0, dec + rnd.uniform(-0.002, 0.002)))
             spread = 0.002 / max(math.cos(math.radians(dec)), 1e-5)
             sources.append((len(sources), (ra + rnd.uniform(-spread, spread)) % 360, d))
-    if limit:
-        spark.conf.set("spark.skyledger.groupRowLimit", limit)
-    try:
-        t = spark.createDataFrame(targets, "tid long, ra double, dec double")
-        s = spark.createDataFrame(sources, "sid long, ra double, dec double")
-        got = {r["tid"]: (r["sid"], r["n_in_radius"]) for r in skymatch.sky_match(
-            t, s, 3.0, target_id="tid", source_id="sid").collect() if r["sid"] is not None}
-    finally:
-        spark.conf.unset("spark.skyledger.groupRowLimit")
+    t = spark.createDataFrame(targets, "tid long, ra double, dec double")
+    s = spark.createDataFrame(sources, "sid long, ra double, dec double")
+    got = {r["tid"]: (r["sid"], r["n_in_radius"]) for r in skymatch.sky_match(
+        t, s, 3.0, target_id="tid", source_id="sid").collect() if r["sid"] is not None}
     assert got == brute(targets, sources, 3.0)
 
 

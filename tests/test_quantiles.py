@@ -3,7 +3,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from skyledger.operators.quantiles import exact_quantiles, group_size, select_rank
+from skyledger.operators import quantiles
+from skyledger.operators.quantiles import exact_quantiles, select_rank
 from skyledger.operators.ranking import ordinal_rank, spearman
 from skyledger.operators.robust import MAD_SCALE, quantile_bins, robust_stats
 from skyledger.operators.split import exact_half_split
@@ -34,15 +35,17 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("case", CASES)
-def test_refinement_is_exact(small_groups, case):
-    values = CASES[case]
-    got = exact_quantiles(frame(small_groups, values), ["g"], ["x"], PROBS).first()["x"]
-    np.testing.assert_allclose(got, expected(values), rtol=1e-14, atol=0)
+@pytest.fixture(params=["whole groups", "brackets"])
+def either(request, monkeypatch):
+    """Groups as they come, and all of them taken for large ones."""
+    if request.param == "brackets":
+        monkeypatch.setattr(quantiles, "ACCURACY", 1000)
+        monkeypatch.setattr(quantiles, "MARGIN", 0.02)
+        monkeypatch.setattr(quantiles, "WHOLE", 200)
 
 
 @pytest.mark.parametrize("case", CASES)
-def test_small_groups_are_exact(spark, case):
+def test_quantiles_are_exact(spark, either, case):
     values = CASES[case]
     got = exact_quantiles(frame(spark, values), ["g"], ["x"], PROBS).first()["x"]
     np.testing.assert_allclose(got, expected(values), rtol=1e-14, atol=0)
@@ -50,32 +53,29 @@ def test_small_groups_are_exact(spark, case):
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.floats(-1e6, 1e6).map(lambda v: round(v, 2)), min_size=25, max_size=200))
-def test_refinement_on_any_values(small_groups, values):
-    got = exact_quantiles(frame(small_groups, values), ["g"], ["x"], [0.5, 0.3]).first()["x"]
+def test_any_values(spark, values):
+    got = exact_quantiles(frame(spark, values), ["g"], ["x"], [0.5, 0.3]).first()["x"]
     np.testing.assert_allclose(got, np.quantile(values, [0.5, 0.3]), rtol=1e-12, atol=1e-12)
 
 
-def test_hot_group_next_to_small_and_empty_ones(small_groups):
+def test_hot_group_next_to_small_and_empty_ones(spark, either):
     rng = np.random.default_rng(5)
     values = list(rng.normal(size=400)) + [1.0, 2.0, None, None]
     groups = ["hot"] * 400 + ["small"] * 2 + ["empty"] * 2
     out = {r["g"]: r["x"] for r in exact_quantiles(
-        frame(small_groups, values, groups), ["g"], ["x"], [0.5]).collect()}
+        frame(spark, values, groups), ["g"], ["x"], [0.5]).collect()}
     assert out["empty"] is None
     assert out["small"] == [1.5]
     np.testing.assert_allclose(out["hot"], [np.median(values[:400])])
 
 
-def test_no_quantile_plan_sorts_a_group(small_groups):
-    df = exact_quantiles(frame(small_groups, CASES["spread"]), ["g"], ["x"], [0.5])
+def test_no_quantile_plan_sorts_a_group(spark):
+    df = exact_quantiles(frame(spark, CASES["spread"]), ["g"], ["x"], [0.5])
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "percentile" not in plan and "FlatMapGroupsInArrow" not in plan
+    assert " percentile(" not in plan and "median(" not in plan and "FlatMapGroups" not in plan
 
 
-@pytest.mark.parametrize("wide", [False, True])
-def test_robust_stats(spark, wide, request):
-    if wide:
-        request.getfixturevalue("small_groups")
+def test_robust_stats(spark, either):
     rng = np.random.default_rng(3)
     v = rng.standard_cauchy(300)
     g = ["a" if i % 3 else "b" for i in range(300)]
@@ -90,10 +90,7 @@ def test_robust_stats(spark, wide, request):
         np.testing.assert_allclose(out[name]["m"], mine.mean())
 
 
-@pytest.mark.parametrize("wide", [False, True])
-def test_bins_follow_the_edges(spark, wide, request):
-    if wide:
-        request.getfixturevalue("small_groups")
+def test_bins_follow_the_edges(spark, either):
     v = np.round(np.random.default_rng(4).normal(size=200), 1)
     got = {r["id"]: r["bin"] for r in quantile_bins(frame(spark, list(map(float, v))), ["g"], "x", 5).collect()}
     edges = np.quantile(v, np.linspace(0, 1, 6))
@@ -103,10 +100,7 @@ def test_bins_follow_the_edges(spark, wide, request):
         assert inside == [got[i]]
 
 
-@pytest.mark.parametrize("wide", [False, True])
-def test_ordinal_ranks_and_correlation(spark, wide, request):
-    if wide:
-        request.getfixturevalue("small_groups")
+def test_ordinal_ranks_and_correlation(spark):
     rng = np.random.default_rng(6)
     x, y = rng.integers(0, 12, 150).astype(float), rng.normal(size=150)
     y = y + 0.2 * x
@@ -124,12 +118,9 @@ def test_ordinal_ranks_and_correlation(spark, wide, request):
         np.testing.assert_allclose(rho[name], np.corrcoef(rx, ry)[0, 1])
 
 
-@pytest.mark.parametrize("wide", [False, True])
-def test_half_split_is_exact_and_the_same_either_way(spark, wide, request):
+def test_half_split_is_exact_however_partitioned(spark, either):
     df = spark.range(301).select("id", (F.col("id") % 3 == 0).alias("train"))
     plain = {r["id"]: r["sample"] for r in exact_half_split(df, ["train"], ["id"]).collect()}
-    if wide:
-        request.getfixturevalue("small_groups")
     got = {r["id"]: r["sample"] for r in exact_half_split(df.repartition(7), ["train"], ["id"]).collect()}
     assert got == plain
     for train in (True, False):
@@ -137,9 +128,15 @@ def test_half_split_is_exact_and_the_same_either_way(spark, wide, request):
         assert sum(got[i] == "A" for i in ids) == len(ids) // 2
 
 
-def test_select_rank_and_group_size(small_groups):
-    df = frame(small_groups, [float(i % 10) for i in range(100)])
-    size = group_size(df, ["g"])
-    assert (size.groups, size.largest) == (1, 100)
-    row = select_rank(df, ["g"], "x", lambda n: F.floor(n / 2), size).first()
-    assert (row["value"], row["before"], row["total"]) == (5.0, 50, 100)
+def test_select_rank(spark):
+    df = frame(spark, [float(i % 10) for i in range(100)] + [None, float("nan")])
+    for by in (["g"], []):
+        row = select_rank(df, by, "x", lambda n: F.floor(n / 2), 0.5).first()
+        assert (row["value"], row["before"], row["total"]) == (5.0, 50, 100)
+
+
+def test_missing_values_are_left_out(spark):
+    values = [float(i) for i in range(40)] + [float("nan")] * 20 + [None, float("inf"), float("-inf")]
+    row = robust_stats(frame(spark, values), ["g"], ["x"]).first()
+    assert (row["x_n"], row["x_med"]) == (40, 19.5)
+    np.testing.assert_allclose(row["x_scatter"], MAD_SCALE * 10.0)

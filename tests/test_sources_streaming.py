@@ -10,7 +10,7 @@ from skyledger.operators.calibrate import interpolate, recalibration_factor
 from skyledger.operators.spectra import hit_counts
 from skyledger.session import clear_staged, stage
 from skyledger.sources import models, tables, writers
-from skyledger.sources.datasets import DATASETS, AuxiliaryBands, Dataset, get_dataset, resolve_dataset
+from skyledger.sources.datasets import feature_names, lookup, spec
 from skyledger.streaming import jobs
 
 
@@ -75,20 +75,20 @@ def test_anchors(spark, tmp_path, kind):
 
 
 def test_dataset_resolution():
-    assert resolve_dataset("dr17", ["x"]) is DATASETS["dr17"]
-    assert resolve_dataset(None, DATASETS["dr17"].bands) is DATASETS["dr17"]
-    assert resolve_dataset("gone", ["a", "b"]) == Dataset("legacy", ("a", "b"))
-    aux = Dataset("aux", ("j", "h"), auxiliary=AuxiliaryBands(columns=(("j", "vj"),)), survey_flag=True)
-    assert get_dataset(aux).photometry == ("j", "h", "survey_ind") and aux.spectrum_start == 3
+    known = lookup("dr17")
+    assert lookup("dr17", ["x"]) is known and lookup(None, known["bands"]) is known
+    assert lookup("gone", ["a", "b"]) == spec("legacy", ("a", "b"))
+    aux = spec("aux", ("j", "h"), replaced={"j": "vj"}, flagged=True)
+    assert feature_names(aux) == ["j", "h", "survey_ind"] and feature_names(known)[-1] == "extinction"
     with pytest.raises(KeyError):
-        get_dataset("gone")
+        lookup("gone")
 
 
 def test_model_table_round_trip(spark, tmp_path):
     rng = np.random.default_rng(0)
     fitted = {f: LinearModel(rng.normal(size=4), rng.normal(size=3), np.ones(3)) for f in ("all", "A", "B")}
     path = str(tmp_path / "model")
-    models.save_linear(spark, path, fitted, good=np.array([True, False]), frac_sigma=0.09, dataset=DATASETS["dr17"],
+    models.save_linear(spark, path, fitted, good=np.array([True, False]), frac_sigma=0.09, dataset=lookup("dr17"),
                        config={"lam": 1.0, "seed": 42}, masks={"apo25m": np.array([True, False])})
     back = models.load_linear(spark, path)
     for f, m in fitted.items():
@@ -98,7 +98,7 @@ def test_model_table_round_trip(spark, tmp_path):
     old = str(tmp_path / "old")
     spark.read.parquet(path).drop("dataset", "photometry", "config").write.parquet(old)
     again = models.load_linear(spark, old)
-    assert again["dataset"].name == "dr17" and again["photometry"] == list(DATASETS["dr17"].bands)
+    assert again["dataset"].name == "dr17" and again["photometry"] == list(lookup("dr17").bands)
 
 
 def test_quarantined_rows_feed_back_in(spark, tmp_path):
