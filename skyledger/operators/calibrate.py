@@ -12,12 +12,15 @@ from skyledger.functions import exprs as x
 from skyledger.operators.evaluate import (NOTEBOOK_MIN_BIN_ROWS, calibration_bins, clean_catalog,
                                           z_report)
 from skyledger.operators.quantiles import medians, on_groups
-from skyledger.operators.robust import quantile_bins, robust_stats
+from skyledger.operators.robust import MAD_SCALE, quantile_bins, robust_stats
 from skyledger.session import stage
 
 # The bracket in which the error factor is sought.
 FACTOR_MIN, FACTOR_MAX = 1e-3, 100.0
-FIRST_GRID = 8
+# Points of a rough pass, its sketches' accuracy, and how far its bracket is widened.
+GRID = 12
+SKETCH = 2_000
+SLACK = 1.01
 TOLERANCE = 1e-10
 
 
@@ -26,8 +29,8 @@ def recalibration_factor(cat: DataFrame, by: Sequence[str], offset: float = 0.0,
     """Per group the factor c that makes the robust chi width equal ``target``.
 
     The width falls as c grows, so the root is bracketed. Every pass scores a few
-    factors of all groups in one job: first a logarithmic grid, then a point
-    interpolated in the bracket, its two close neighbours and the midpoint. The
+    factors of all groups in one job: first two logarithmic grids from sketches, then,
+    exactly, a point interpolated in the bracket, its two close neighbours and the midpoint. The
     neighbours close in as fast as the interpolation improves, the midpoint keeps
     the worst case at halving. Only widths of folds or configurations reach
     the driver, a few numbers each.
@@ -38,32 +41,55 @@ def recalibration_factor(cat: DataFrame, by: Sequence[str], offset: float = 0.0,
         "e_plx", "err_sp").filter(
             F.col("resid").isNotNull() & F.col("e_plx").isNotNull() & (F.col("err_sp") > 0)))
     groups = [tuple(row[c] for c in by) for row in rows.select(*by).distinct().collect()] if by else [()]
+    if not groups:
+        return {}
 
-    def widths(points: dict[tuple, list[float]]) -> dict[tuple, list[float]]:
-        n = max(len(p) for p in points.values())
+    def scored(points: dict[tuple, list[float]]) -> tuple[DataFrame, list[str]]:
+        names = [f"c{i}" for i in range(max(len(p) for p in points.values()))]
         table = rows.sparkSession.createDataFrame(
             [(*g, p) for g, p in points.items()],
             schema=_schema(rows, by).add("__c", ArrayType(DoubleType())))
-        names = [f"c{i}" for i in range(n)]
-        scored = on_groups(rows, table, by).select(*by, *[
+        return on_groups(rows, table, by).select(*by, *[
             x.ratio("resid", F.hypot(F.col("e_plx"), F.col("err_sp") * F.col("__c")[i])).alias(c)
-            for i, c in enumerate(names)])
-        out = robust_stats(scored, by, names).collect()
-        return {tuple(row[c] for c in by): [row[f"{c}_scatter"] or 0.0 for c in names] for row in out}
-
-    step = math.log(FACTOR_MAX / FACTOR_MIN) / (FIRST_GRID - 1)
-    grid = [FACTOR_MIN * math.exp(step * i) for i in range(FIRST_GRID)]
-    known = {g: list(zip(grid, w)) for g, w in widths({g: grid for g in groups}).items()}
-    brackets = {g: _bracket(points, target) for g, points in known.items()}
+            for i, c in enumerate(names)]), names
+
+    def by_group(out: DataFrame, names: list[str], suffix: str) -> dict[tuple, list[float]]:
+        return {tuple(row[c] for c in by): [row[f"{c}{suffix}"] or 0.0 for c in names] for row in out.collect()}
+
+    def widths(points: dict[tuple, list[float]]) -> dict[tuple, list[float]]:
+        chi, names = scored(points)
+        return by_group(robust_stats(chi, by, names), names, "_scatter")
+
+    def rough(points: dict[tuple, list[float]]) -> dict[tuple, list[float]]:
+        """Widths from sketches, good enough to say between which points the target lies."""
+        chi, names = scored(points)
+        middle = chi.groupBy(*by).agg(*[F.percentile_approx(c, 0.5, SKETCH).alias(f"__m_{c}") for c in names])
+        out = on_groups(chi, middle, by).groupBy(*by).agg(*[
+            (MAD_SCALE * F.percentile_approx(F.abs(F.col(c) - F.col(f"__m_{c}")), 0.5, SKETCH)).alias(c) for c in names])
+        return by_group(out, names, "")
+
+    def spaced(lo: float, hi: float) -> list[float]:
+        step = math.log(hi / lo) / (GRID - 1)
+        return [lo * math.exp(step * i) for i in range(GRID)]
+
+    # Two rough passes narrow the bracket; the exact ones start from its ends and those of the step before.
+    coarse = {g: _bracket(list(zip(spaced(FACTOR_MIN, FACTOR_MAX), w)), target)
+              for g, w in rough({g: spaced(FACTOR_MIN, FACTOR_MAX) for g in groups}).items()}
+    grids = {g: spaced(lo[0], hi[0]) for g, (lo, hi) in coarse.items()}
+    points = {}
+    for g, w in rough(grids).items():
+        (lo, _), (hi, _) = _bracket(list(zip(grids[g], w)), target)
+        points[g] = sorted([coarse[g][0][0], lo / SLACK, math.sqrt(lo * hi), hi * SLACK, coarse[g][1][0]])
+    brackets = {g: _bracket(list(zip(points[g], w)), target) for g, w in widths(points).items()}
     while open_ := {g: b for g, b in brackets.items() if b[1][0] - b[0][0] > TOLERANCE * b[1][0]}:
         trial = {g: _trial_points(*b, target) for g, b in open_.items()}
         # Closed groups repeat their bracket so that the plan stays the same.
         points = {g: trial.get(g, [brackets[g][0][0]] * 4) for g in brackets}
-        scored = widths(points)
+        exact = widths(points)
         before = {g: open_[g][1][0] - open_[g][0][0] for g in open_}
         for g in open_:
             lo, hi = open_[g]
-            brackets[g] = _bracket([lo, *zip(points[g], scored[g]), hi], target)
+            brackets[g] = _bracket([lo, *zip(points[g], exact[g]), hi], target)
         if all(brackets[g][1][0] - brackets[g][0][0] >= before[g] for g in open_):
             break  # the brackets are down to neighbouring numbers
     return {g: 0.5 * (lo[0] + hi[0]) for g, (lo, hi) in brackets.items()}

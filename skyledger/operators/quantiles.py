@@ -20,7 +20,7 @@ from skyledger.functions.exprs import finite
 
 # The sketch errs by at most one rank in ACCURACY; brackets reach MARGIN of the group further on
 # either side. In groups below WHOLE rows that could be less than the neighbours needed.
-ACCURACY = 100_000
+ACCURACY = 20_000
 MARGIN = 3.0 / ACCURACY
 WHOLE = 2 * ACCURACY
 
