@@ -149,3 +149,28 @@ def test_piled_up_positions_cost_one_pair(spark):
     assert skymatch.candidate_pairs(s, t, 0.001).count() == 1
     out = skymatch.sky_match(t.toDF("tid", "ra", "dec"), s.toDF("sid", "ra", "dec"), 1.0, target_id="tid", source_id="sid").first()
     assert (out["sid"], out["n_in_radius"], out["sep_arcsec"]) == (0, 2000, 0.0)
+
+
+def test_repeated_catalogue_ids_do_not_multiply_members(spark):
+    from skyledger.operators import clusters, joins
+    members = spark.createDataFrame([("c", 1, 10), ("c", 1, 11), ("c", 2, 12)], "cluster string, sdss_id long, gaia_dr3_source_id long")
+    probs = spark.createDataFrame([("c", 10, 0.91), ("c", 10, 0.95), ("c", 11, 0.99), ("c", 12, 0.5)],
+                                  "cluster string, gaia_dr3_source_id long, prob double")
+    kept = joins.membership_probability(members, probs, "cluster", "gaia_dr3_source_id", "prob", 0.9)
+    assert sorted((r["gaia_dr3_source_id"], r["memberprob"]) for r in kept.collect()) == [(10, 0.95), (11, 0.99)]
+    spectra = spark.createDataFrame([(1, 50.0, 0, 7), (2, 60.0, 0, 8)], "sdss_id long, snr double, spectrum_flags long, visit long")
+    got = clusters.prepare_member_spectra(members, spectra, probs=probs, row_id=["visit"]).collect()
+    assert [(r["sdss_id"], r["memberprob"]) for r in got] == [(1, 0.99)]
+
+
+def test_cones_reach_across_zero(spark):
+    stars = spark.createDataFrame([(1, 359.9, 10.0), (2, 0.2, 10.0), (3, 1.2, 10.0)], "id long, ra double, dec double")
+    centres = spark.createDataFrame([("c", 0.05, 10.0, 0.5)], "cluster string, c_ra double, c_dec double, radius double")
+    assert sorted(r["id"] for r in skymatch.cone_members(stars, centres, max_radius=0.5).collect()) == [1, 2]
+
+
+def test_line_ids_stay_unique_for_large_keys(spark):
+    from skyledger.plans.tables import line_id
+    rows = [(o, n, p, s, 1.0) for o in (1, 600_000_000) for n in (1, 7) for p in (1, 100_001, 20_000_000) for s in (1, 10_001, 1_000_000)]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double")
+    assert df.select(line_id().alias("i")).distinct().count() == len(rows)

@@ -98,7 +98,7 @@ def test_model_table_round_trip(spark, tmp_path):
     old = str(tmp_path / "old")
     spark.read.parquet(path).drop("dataset", "photometry", "config").write.parquet(old)
     again = models.load_linear(spark, old)
-    assert again["dataset"].name == "dr17" and again["photometry"] == list(lookup("dr17").bands)
+    assert again["dataset"]["name"] == "dr17" and again["photometry"] == list(lookup("dr17")["bands"])
 
 
 def test_quarantined_rows_feed_back_in(spark, tmp_path):
