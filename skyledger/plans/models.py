@@ -203,6 +203,25 @@ def gated_predict(spark, sf):
     return round_all(sc.predict_gated(lines(spark, sf), GATED, ["sdss_id"]))
 
 
+def _saved_and_loaded(spark, net):
+    from skyledger.plans.ingest import fresh
+    from skyledger.sources.datasets import lookup
+    from skyledger.sources.models import load_network, save_network
+    path = fresh(spark)
+    save_network(spark, path, net, dataset=lookup("dr17"), config={"epochs": 3})
+    return load_network(spark, path)["net"]
+
+
+@query("two_head_round_trip", _two_head_sql())
+def two_head_round_trip(spark, sf):
+    return round_all(sc.predict_two_head(lines(spark, sf), _saved_and_loaded(spark, NET), ["sdss_id"]))
+
+
+@query("gated_round_trip", _gated_sql())
+def gated_round_trip(spark, sf):
+    return round_all(sc.predict_gated(lines(spark, sf), _saved_and_loaded(spark, GATED), ["sdss_id"]))
+
+
 @query("hull_gate", f"WITH {LINES}{_STD}, d AS (SELECT sdss_id, (((s3 * 0.6 + s4 * 0.8) / 0.9) ** 2 + ((s3 * -0.8 + s4 * 0.6) / 1.1) ** 2) / 2 AS d FROM std)"
        f" SELECT count(*) AS n, {r('avg(d)')} AS mean_hull, {r('avg(1 / (1 + exp(-(1.5 - d) / 0.5)))')} AS mean_gate FROM d")
 def hull_gate(spark, sf):

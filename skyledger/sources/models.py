@@ -1,7 +1,8 @@
-"""Model tables: one row of arrays and scalars, with provenance."""
+"""Model tables with provenance: linear models as one row, networks as a row per named array."""
 
 from __future__ import annotations
 
+import dataclasses
 import json
 from collections.abc import Mapping
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from skyledger.operators.fit import LinearModel
+from skyledger.operators.scoring import GatedNet, TwoHeadNet
 from skyledger.sources.datasets import feature_names, lookup
 
 FOLDS = ("all", "A", "B")
@@ -63,3 +65,44 @@ def load_linear(spark: SparkSession, path: str) -> dict[str, object]:
             "frac_sigma": row["frac_sigma"], "dataset": dataset, "bands": list(row["bands"]),
             "photometry": list(row.get("photometry") or _photometry(dataset)),
             "config": json.loads(row.get("config") or "{}")}
+
+
+NETWORKS = {kind.__name__: kind for kind in (TwoHeadNet, GatedNet)}
+NETWORK_SCHEMA = "name string, shape array<int>, values array<double>, text string"
+
+
+def _flatten(name: str, value: object) -> list[tuple]:
+    """Rows of one part of a network: arrays by name, layers by name and position, the rest as JSON."""
+    if isinstance(value, np.ndarray):
+        return [(name, list(value.shape), value.astype(float).ravel().tolist(), None)]
+    if isinstance(value, (list, tuple)):
+        return [row for k, part in enumerate(value) for row in _flatten(f"{name}.{k}", part)]
+    return [(name, None, None, json.dumps(value, sort_keys=True))]
+
+
+def save_network(spark: SparkSession, path: str, net: TwoHeadNet | GatedNet, *, dataset: Mapping[str, object],
+                 config: Mapping[str, object], mode: str = "error") -> None:
+    """Weights, standardisation, kind, bands and settings of a network."""
+    rows = [row for f in dataclasses.fields(net) for row in _flatten(f"net.{f.name}", getattr(net, f.name))]
+    rows += _flatten("kind", type(net).__name__) + _flatten("dataset", dataset["name"])
+    rows += _flatten("bands", json.dumps(list(dataset["bands"]))) + _flatten("config", dict(config))
+    spark.createDataFrame(rows, NETWORK_SCHEMA).coalesce(1).write.mode(mode).parquet(path)
+
+
+def load_network(spark: SparkSession, path: str) -> dict[str, object]:
+    """The network with its dataset, bands and settings; older tables may lack the dataset's name."""
+    parts: dict[str, object] = {}
+    for r in spark.read.parquet(path).collect():  # one model's arrays
+        parts[r["name"]] = json.loads(r["text"]) if r["text"] is not None else np.array(r["values"], dtype=float).reshape(r["shape"])
+    bands = json.loads(parts["bands"])
+    kind = NETWORKS[parts["kind"]]
+
+    def part(name: str) -> object:
+        if name in parts:
+            return parts[name]
+        inner = sorted({int(k[len(name) + 1:].split(".")[0]) for k in parts if k.startswith(f"{name}.")})
+        found = [part(f"{name}.{k}") for k in inner]
+        return tuple(found) if all(isinstance(v, np.ndarray) for v in found) else found
+
+    net = kind(**{f.name: part(f"net.{f.name}") for f in dataclasses.fields(kind)})
+    return {"net": net, "dataset": lookup(parts.get("dataset"), bands), "bands": bands, "config": parts["config"]}

@@ -168,3 +168,19 @@ def test_interpolation_is_flat_outside_the_knots(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = [r[0] for r in df.select(interpolate("v", knots)).collect()]
     np.testing.assert_allclose(got, np.interp(values, [k[0] for k in knots], [k[1] for k in knots]))
+
+
+def test_networks_come_back_as_saved(spark, tmp_path):
+    from skyledger.operators.scoring import TwoHeadNet
+    rng = np.random.default_rng(2)
+    net = TwoHeadNet(body=[(rng.normal(size=(3, 2)), rng.normal(size=2))], head_mu=(rng.normal(size=(2, 1)), rng.normal(size=1)),
+                     head_log_sigma=(rng.normal(size=(2, 1)), rng.normal(size=1)), mu=rng.normal(size=3), sd=np.ones(3), std_factor=1.5)
+    path = str(tmp_path / "net")
+    models.save_network(spark, path, net, dataset=lookup("dr17"), config={"beta": 0.5})
+    back = models.load_network(spark, path)
+    assert back["dataset"] is lookup("dr17") and back["config"] == {"beta": 0.5} and back["net"].std_factor == 1.5
+    np.testing.assert_array_equal(back["net"].body[0][0], net.body[0][0])
+    np.testing.assert_array_equal(back["net"].head_mu[1], net.head_mu[1])
+    old = str(tmp_path / "old")
+    spark.read.parquet(path).where("name <> 'dataset'").write.parquet(old)
+    assert models.load_network(spark, old)["dataset"] is lookup("dr17")
