@@ -4,9 +4,9 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from skyledger.plans.queries import ORACLES, QUERIES
 from tools.compare import TABLES, canonical_rows
 
-QUERIES, ORACLES = queries(), oracle_sql()
 # These have no SQL form; numpy cross-checks are in the other test files.
 NO_SQL = {"ridge_fit", "sparse_fit", "clipped_fit", "fit_score_evaluate", "lambda_scan",
           "principal_components", "continuum_fit"}
@@ -34,7 +34,8 @@ def test_matches_sql(spark, sf, duck, name):
     assert got == canonical_rows(columns, cur.fetchall())
 
 
-def test_entry_is_lazy_and_complete(spark):
+def test_entry_is_complete(spark):
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
     rows = {r["fold"]: r for r in entry(spark).collect()}
     assert set(rows) == {"all", "A", "B"}
     assert rows["all"]["n_total"] == rows["A"]["n_total"] + rows["B"]["n_total"]
