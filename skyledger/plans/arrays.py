@@ -182,7 +182,26 @@ def standardised_features(spark, sf):
 WAVE = 15100.0 + 30.0 * np.arange(64)
 
 
-@query("continuum_fit")
+# Pixels of the three windows on WAVE; parabolas by Cramer's rule on the weighted normal equations.
+_CONTINUUM = PIX + """, a AS (SELECT sdss_id, p, ok, CASE WHEN ok THEN flux ELSE 1.0::DOUBLE END AS f, CASE WHEN ok THEN 1 / sqrt(ivar) ELSE 3.0::DOUBLE END AS s,
+    CASE WHEN p BETWEEN 2 AND 23 THEN 1 WHEN p BETWEEN 27 AND 44 THEN 2 WHEN p BETWEEN 47 AND 61 THEN 3 END AS win,
+    CASE WHEN p <= 23 THEN (p - 12.5::DOUBLE) / 10.5 WHEN p <= 44 THEN (p - 35.5::DOUBLE) / 8.5 ELSE (p - 54.0::DOUBLE) / 7 END AS t
+    FROM (SELECT *, coalesce(isfinite(flux), false) AND ivar > 0 AS ok FROM px)),
+  b AS (SELECT *, (1 / (s * s + CASE WHEN p % 4 = 1 THEN 9 ELSE 0 END)) ** 2 AS w FROM a WHERE win IS NOT NULL),
+  n AS (SELECT sdss_id, win, sum(w) AS s0, sum(w * t) AS s1, sum(w * t ** 2) AS s2, sum(w * t ** 3) AS s3, sum(w * t ** 4) AS s4,
+    sum(w * f) AS b0, sum(w * f * t) AS b1, sum(w * f * t * t) AS b2 FROM b GROUP BY 1, 2),
+  c AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) AS det FROM n),
+  k AS (SELECT sdss_id, win, (b0 * (s2 * s4 - s3 * s3) - s1 * (b1 * s4 - s3 * b2) + s2 * (b1 * s3 - s2 * b2)) / det AS c0,
+    (s0 * (b1 * s4 - b2 * s3) - b0 * (s1 * s4 - s3 * s2) + s2 * (s1 * b2 - b1 * s2)) / det AS c1,
+    (s0 * (s2 * b2 - s3 * b1) - s1 * (s1 * b2 - b1 * s2) + b0 * (s1 * s3 - s2 * s2)) / det AS c2 FROM c),
+  v AS (SELECT a.*, coalesce(c0 + c1 * t + c2 * t * t, 0) AS level FROM a LEFT JOIN k ON a.sdss_id = k.sdss_id AND a.win = k.win),
+  u AS (SELECT *, level > 0 AND s / nullif(level, 0) <= 0.3 AS sure FROM v),
+  g AS (SELECT x.sdss_id, count(*) AS n_good, sum(x.level::FLOAT::DOUBLE) AS total FROM u x JOIN u l ON l.sdss_id = x.sdss_id AND l.p = (x.p + 63) % 64
+    JOIN u h ON h.sdss_id = x.sdss_id AND h.p = (x.p + 1) % 64 WHERE x.sure AND l.sure AND h.sure AND x.ok GROUP BY 1)"""
+
+
+@query("continuum_fit", f"""WITH {_CONTINUUM} SELECT vec_id AS sdss_id, coalesce(n_good, 0) AS n_good, {r('coalesce(total, 0)', 3)} AS continuum_sum
+  FROM embeddings LEFT JOIN g ON vec_id = sdss_id""")
 def continuum_fit(spark, sf):
     df = spectra(spark, sf).withColumn("sigma", F.transform("ivar", lambda v: F.when(v > 0, 1 / F.sqrt(v.cast("double"))).otherwise(0.0)))
     out = sp.fit_continuum(df, ["sdss_id"], WAVE, np.arange(64) % 4 != 1)

@@ -9,7 +9,7 @@ from tools.compare import TABLES, canonical_rows
 
 # These have no SQL form; numpy cross-checks are in the other test files.
 NO_SQL = {"ridge_fit", "sparse_fit", "clipped_fit", "fit_score_evaluate", "lambda_scan",
-          "principal_components", "continuum_fit"}
+          "principal_components"}
 
 
 @pytest.fixture(scope="module")
