@@ -56,8 +56,7 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.train(toxicity.training_sample(docs, labels))
-    scored = toxicity.scores(docs, model)
+    scored = toxicity.scores(docs, toxicity.fit(docs, labels))
     return scored.select("doc_id", F.coalesce(~toxicity.in_training(), F.lit(False)).alias("held_out"), "score", "predicted")
 
 

@@ -14,12 +14,15 @@ array work over whole texts.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from skyledger.llm.common import map_texts, texts
+from skyledger.llm.common import map_texts, slices, texts
 
 WINDOW = 4
 GRAMS = (3, 4, 5, 6)
@@ -115,11 +118,8 @@ def _softmax_odds(x: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.nd
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _marking(doc: np.ndarray, what: np.ndarray, labels: np.ndarray, size: int, used: np.ndarray) -> np.ndarray:
-    """Which n-grams stand in toxic documents far more than chance allows; (doc, what) are distinct pairs."""
-    n1, n0 = (labels[used] == 1).sum(), (labels[used] == 0).sum()
-    k1 = np.bincount(what[labels[doc] == 1], minlength=size).astype(float)
-    k0 = np.bincount(what[labels[doc] == 0], minlength=size).astype(float)
+def _marking(k1: np.ndarray, k0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Which n-grams stand in toxic documents far more than chance allows: k1 of n1 against k0 of n0."""
     rate = (k1 + k0) / (n1 + n0)
 
     def gain(k, n, at):
@@ -151,37 +151,48 @@ def train(rows: list[tuple[str, int]], rounds: int = 50, rate: float = 0.05, see
             run = words[at:at + WINDOW]
             runs.append(run + [-1] * (WINDOW - len(run)))
             run_doc.append(d)
-    run = np.array(runs, dtype=np.int64)
-    run_doc = np.array(run_doc)
+    run = np.array(runs, dtype=np.int32)
+    run_doc = np.array(run_doc, dtype=np.int32)
+    del runs
     present = run >= 0
-    owner, bucket = [], []
-    for w, k in number.items():
-        _, b, n = words_and_grams(w)
-        owner.append(np.full(len(b), k))
-        bucket.append(b)
+    # Many words at a time, as one text; a word's number follows from its place there.
+    owner, bucket = [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+    named = [(w, k) for w, k in number.items() if w]
+    for at in range(0, len(named), 20_000):
+        some = named[at:at + 20_000]
+        place, grams, _ = words_and_grams(" ".join(w for w, _ in some))
+        owner.append(np.array([k for _, k in some], dtype=np.int32)[place])
+        bucket.append(grams.astype(np.int32))
     owner, bucket = np.concatenate(owner), np.concatenate(bucket)
-    # An n-gram of fewer documents than this says nothing of others; its vector stays zero.
-    pairs = np.unique(np.stack([run_doc[np.nonzero(present)[0]], run[present]]), axis=1)
+    # Documents per n-gram, and how many of them are toxic or clean among those to learn from;
+    # counted a few documents at a time, as their n-grams are many.
+    held = np.arange(len(rows)) % 5 == 4
     order = np.argsort(owner, kind="stable")
     owner, bucket = owner[order], bucket[order]
     begin = np.searchsorted(owner, np.arange(len(number) + 1))
-    each = np.diff(begin)[pairs[1]]
-    at = np.repeat(begin[:-1][pairs[1]] - np.cumsum(each) + each, each) + np.arange(each.sum())
-    seen = np.unique(np.repeat(pairs[0], each) * BUCKETS + bucket[at])
-    spread_over = np.bincount(seen % BUCKETS, minlength=BUCKETS)
+    spread_over, found = np.zeros(BUCKETS, dtype=np.int64), np.zeros((2, BUCKETS))
+    first_run = np.searchsorted(run_doc, np.arange(len(rows) + 1))
+    for d in range(len(rows)):
+        words = np.unique(run[first_run[d]:first_run[d + 1]])
+        words = words[words >= 0]
+        grams = np.unique(np.concatenate([bucket[begin[w]:begin[w + 1]] for w in words.tolist()]))
+        spread_over[grams] += 1
+        if not held[d]:
+            found[labels[d], grams] += 1
     per_word = np.maximum(np.bincount(owner, minlength=len(number)), 1)
+    # An n-gram of few documents says nothing of others; its vector stays zero.
     frequent = spread_over[bucket] >= LEAST_DOCUMENTS
     owner, bucket = owner[frequent], bucket[frequent]
     used, local = np.unique(bucket, return_inverse=True)
+    local = local.astype(np.int32)
     size = present.sum(axis=1)
     table = rng.normal(0, 0.01, (len(used), DIMENSIONS)).astype(np.float32)
     weights, bias = rng.normal(0, 0.5, (DIMENSIONS, 2)), np.zeros(2)
-    held = np.arange(len(rows)) % 5 == 4
     learn_run = ~held[run_doc]
     # Which passages make a toxic document toxic: those with an n-gram that marks toxic documents.
     # The other passages of toxic documents are left out; if no n-gram stands out, all are taken.
-    fitting = ~held[seen // BUCKETS]
-    gram_marks = _marking(seen[fitting] // BUCKETS, seen[fitting] % BUCKETS, labels, BUCKETS, ~held)
+    learn = np.bincount(labels[~held], minlength=2)
+    gram_marks = _marking(found[1], found[0], *np.maximum(learn[::-1], 1))
     marking = np.bincount(owner, weights=gram_marks[bucket], minlength=len(number)) > 0
     marked = (marking[run] & present).any(axis=1)
     target = labels[run_doc]
@@ -263,12 +274,12 @@ def in_training(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) != 1
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    per_class: int = SAMPLE_PER_CLASS, max_chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
-    """At most ``per_class`` labelled texts of each class and ``max_chars`` code points, in an order fixed by their ids.
+def sample_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                per_class: int = SAMPLE_PER_CLASS, max_chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(doc_id, text, toxic): at most ``per_class`` labelled texts of each class and ``max_chars`` code points.
 
-    The ids are picked from the labels first; only those rows of the documents
-    are read as text. Rows without an id or a label are never picked.
+    The ids are picked from the labels first, by a hash; only those rows of the
+    documents are read as text. Rows without an id or a label are never picked.
     """
     ids = labels.select(F.col("doc_id").alias("pick_id"), F.col("toxic").cast("int").alias("toxic"))
     ids = ids.where(F.col("pick_id").isNotNull() & F.col("toxic").isin(0, 1) & in_training("pick_id")).dropDuplicates(["pick_id", "toxic"])
@@ -278,12 +289,24 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         ids.where("toxic = 0").orderBy(order, "pick_id").limit(2 * per_class))
     rows = texts(docs, id_col, text_col).where(F.length("text") <= max_chars)
     found = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("pick_id")).select("doc_id", "text", "toxic")
-    got = []
-    for label in (0, 1):
-        top = found.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_class)
-        got += [(r["doc_id"], r["text"], r["toxic"]) for r in top.collect()]
-    rng = np.random.default_rng(5)
-    return [(got[i][1], got[i][2]) for i in rng.permutation(len(got))]
+    tops = [found.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_class) for label in (0, 1)]
+    return tops[0].unionByName(tops[1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Train on the bounded sample, in one task; only the model comes to the driver."""
+    def run(batches):
+        rows = sorted((zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"], r["toxic"]) for b in batches for r in b.to_pylist())
+        shuffled = np.random.default_rng(5).permutation(len(rows))
+        model = train([rows[k][2:] for k in shuffled])
+        yield pa.RecordBatch.from_pylist([{"grams": model.grams.astype("<f8").tobytes(), "bias": model.bias, "slope": model.slope,
+                                           "shift": model.shift}])
+
+    sample = sample_rows(docs, labels, id_col, text_col).repartition(1)
+    got = sample.mapInArrow(run, StructType.fromDDL("grams binary, bias double, slope double, shift double")).collect()
+    if not got:
+        return train([])
+    return Model(np.frombuffer(got[0]["grams"], "<f8"), got[0]["bias"], got[0]["slope"], got[0]["shift"])
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,11 +327,6 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, all columns as they were."""
-    import pyarrow as pa
-    from pyspark.sql.types import StructType
-
-    from skyledger.llm.common import slices
-
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -50,7 +50,7 @@ def test_query_on_its_table(spark, sf):
 def test_sample_is_bounded_and_leaves_held_out_rows_alone(spark):
     docs = spark.createDataFrame([(i, f"text {i}" if i % 5 else None, i) for i in range(400)] + [(None, "x", 0)], "doc_id long, text string, toxic int")
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(400)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
-    rows = X.training_sample(docs, labels, per_class=30, max_chars=7)
+    rows = [(r["text"], r["toxic"]) for r in X.sample_rows(docs, labels, per_class=30, max_chars=7).collect()]
     assert len(rows) <= 60 and {y for _, y in rows} == {0, 1} and all(len(t) <= 7 for t, _ in rows)
     used = {int(t.split()[1]) for t, _ in rows if t}
     assert all(zlib.crc32(str(i).encode()) % 3 != 1 for i in used)
@@ -64,5 +64,6 @@ def test_edges(spark, trained):
     assert X.scores(df.limit(0), trained).collect() == []
     kept = X.drop_toxic(df, trained)
     assert kept.schema == df.schema and all(r["text"] != "blockhead" for r in kept.collect())
+    assert X.fit(df.limit(0), df.selectExpr("doc_id", "1 AS toxic")).score("") == 0.5
     only = X.train([("a b", 0)] * 5)
     assert only.score("anything") < 0.5 and X.train([]).score("") == 0.5
