@@ -8,12 +8,17 @@ labelled documents; a document is as toxic as its worst passage, so that one
 insult in a long text is not averaged away. A last step calibrates the worst
 passage's score on documents that took no part in the training.
 
+Documents of all lengths take part. Which n-grams mark toxic documents is counted
+over their whole texts; of each text, a bounded number of passages from all over
+it is trained on; the calibration sees the worst passage of whole texts.
+
 Scoring needs of each n-gram only its product with the softmax weights, so it is
 array work over whole texts.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -23,14 +28,18 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from skyledger.llm.common import map_texts, slices, texts
+from skyledger.session import stage
 
 WINDOW = 4
 GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 17
 DIMENSIONS = 4
-# Bounds of the training sample: documents per class, and code points of each of them.
+# Bounds of the training sample: documents per class, and code points of the passages of each of them.
 SAMPLE_PER_CLASS = 1_200
 SAMPLE_CHARS = 3_000
+# Words are taken apart into pieces of so many code points before passages are picked.
+PIECE = 256
+HELD = 5
 LEAST_DOCUMENTS = 4
 DECAY = 1e-7
 TABLE_RATE = 0.1
@@ -129,9 +138,44 @@ def _marking(k1: np.ndarray, k0: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return (evidence >= EVIDENCE) & (k1 / n1 >= PURITY * k0 / n0)
 
 
-def train(rows: list[tuple[str, int]], rounds: int = 50, rate: float = 0.05, seed: int = 11) -> Model:
+def gram_counts(rows: list[tuple[str, int]]) -> np.ndarray:
+    """Documents that hold each n-gram: clean ones first, toxic ones second."""
+    found = np.zeros((2, BUCKETS))
+    for text, label in rows:
+        found[label, np.unique(words_and_grams(text)[1])] += 1
+    return found
+
+
+def some_passages(text: str, marks: np.ndarray | None, max_chars: int = SAMPLE_CHARS) -> str:
+    """The text, or passages from all over it of at most ``max_chars`` code points in their order.
+
+    Passages with an n-gram of ``marks`` come first, others by a hash.
+    """
+    words = re.findall(rf"\S{{1,{PIECE}}}", text)
+    runs = [" ".join(words[k:k + WINDOW]) for k in range(0, len(words), WINDOW)]
+    if sum(map(len, runs)) + len(runs) <= max_chars:
+        return " ".join(runs)
+    marked = np.zeros(len(runs), dtype=bool)
+    if marks is not None:
+        owner, bucket, _ = words_and_grams(" ".join(words))
+        marked[np.unique(owner[marks[bucket]] // WINDOW)] = True
+    hashed = [zlib.crc32(f"{k} {r}".encode("utf-8", "surrogatepass")) for k, r in enumerate(runs)]
+    picked, room = [], max_chars
+    for k in np.lexsort((hashed, ~marked)).tolist():
+        if room < len(runs[k]):
+            break
+        picked.append(k)
+        room -= len(runs[k]) + 1
+    return " ".join(runs[k] for k in sorted(picked))
+
+
+def train(rows: list[tuple[str, int]], rounds: int = 50, rate: float = 0.05, seed: int = 11,
+          counts: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
     """Fit embeddings and softmax jointly (Adam, full batches) and calibrate on every fifth document.
 
+    With ``counts`` (documents per class and n-gram, documents per class) all rows
+    are learnt from, n-grams are judged by these counts, and nothing is calibrated.
+
     A toxic document differs from a clean one in a few passages: those that hold
     an n-gram which marks toxic documents (a likelihood-ratio test over the sample).
     They are the passages of class 1, all passages of clean documents those of
@@ -166,19 +210,21 @@ def train(rows: list[tuple[str, int]], rounds: int = 50, rate: float = 0.05, see
     owner, bucket = np.concatenate(owner), np.concatenate(bucket)
     # Documents per n-gram, and how many of them are toxic or clean among those to learn from;
     # counted a few documents at a time, as their n-grams are many.
-    held = np.arange(len(rows)) % 5 == 4
+    held = np.arange(len(rows)) % HELD == HELD - 1 if counts is None else np.zeros(len(rows), dtype=bool)
     order = np.argsort(owner, kind="stable")
     owner, bucket = owner[order], bucket[order]
     begin = np.searchsorted(owner, np.arange(len(number) + 1))
     spread_over, found = np.zeros(BUCKETS, dtype=np.int64), np.zeros((2, BUCKETS))
     first_run = np.searchsorted(run_doc, np.arange(len(rows) + 1))
-    for d in range(len(rows)):
+    for d in range(len(rows) if counts is None else 0):
         words = np.unique(run[first_run[d]:first_run[d + 1]])
         words = words[words >= 0]
         grams = np.unique(np.concatenate([bucket[begin[w]:begin[w + 1]] for w in words.tolist()]))
         spread_over[grams] += 1
         if not held[d]:
             found[labels[d], grams] += 1
+    if counts is not None:
+        found, spread_over = counts[0], counts[0].sum(axis=0)
     per_word = np.maximum(np.bincount(owner, minlength=len(number)), 1)
     # An n-gram of few documents says nothing of others; its vector stays zero.
     frequent = spread_over[bucket] >= LEAST_DOCUMENTS
@@ -191,7 +237,7 @@ def train(rows: list[tuple[str, int]], rounds: int = 50, rate: float = 0.05, see
     learn_run = ~held[run_doc]
     # Which passages make a toxic document toxic: those with an n-gram that marks toxic documents.
     # The other passages of toxic documents are left out; if no n-gram stands out, all are taken.
-    learn = np.bincount(labels[~held], minlength=2)
+    learn = np.bincount(labels[~held], minlength=2) if counts is None else counts[1]
     gram_marks = _marking(found[1], found[0], *np.maximum(learn[::-1], 1))
     marking = np.bincount(owner, weights=gram_marks[bucket], minlength=len(number)) > 0
     marked = (marking[run] & present).any(axis=1)
@@ -243,15 +289,15 @@ def train(rows: list[tuple[str, int]], rounds: int = 50, rate: float = 0.05, see
     grams = np.zeros(BUCKETS)
     grams[used] = table @ lean
     model = Model(grams, float(bias[1] - bias[0]), 1.0, 0.0)
-    return _calibrate(model, [r for r, h in zip(rows, held) if h])
+    return _calibrate(model, [(model.worst(text), label) for (text, label), h in zip(rows, held) if h])
 
 
-def _calibrate(model: Model, rows: list[tuple[str, int]]) -> Model:
-    """Platt's slope and shift by Newton steps, with his smoothed targets."""
+def _calibrate(model: Model, rows: list[tuple[float, int]]) -> Model:
+    """Platt's slope and shift of (worst passage, label) by Newton steps, with his smoothed targets."""
     y = np.array([label for _, label in rows], dtype=float)
     if not len(y) or y.min() == y.max():
         return model
-    x = np.array([model.worst(text) for text, _ in rows])
+    x = np.array([worst for worst, _ in rows])
     n1, n0 = y.sum(), (1 - y).sum()
     target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     centre, scale = x.mean(), x.std() + 1e-9
@@ -275,38 +321,84 @@ def in_training(id_col: str = "doc_id"):
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                per_class: int = SAMPLE_PER_CLASS, max_chars: int = SAMPLE_CHARS) -> DataFrame:
-    """(doc_id, text, toxic): at most ``per_class`` labelled texts of each class and ``max_chars`` code points.
+                per_class: int = SAMPLE_PER_CLASS, max_chars: int | None = None) -> DataFrame:
+    """(doc_id, text, toxic): at most ``per_class`` labelled texts of each class, of any length unless ``max_chars`` is given.
 
-    The ids are picked from the labels first, by a hash; only those rows of the
-    documents are read as text. Rows without an id or a label are never picked.
+    The ids are picked by a hash from labels that have a document; only those rows
+    of the documents are read as text, of repeated ids the smallest text. Rows
+    without an id or a label are never picked.
     """
     ids = labels.select(F.col("doc_id").alias("pick_id"), F.col("toxic").cast("int").alias("toxic"))
     ids = ids.where(F.col("pick_id").isNotNull() & F.col("toxic").isin(0, 1) & in_training("pick_id")).dropDuplicates(["pick_id", "toxic"])
-    order = F.xxhash64("pick_id")
-    # More than wanted, for ids whose text is too long or missing; a number of rows bounded by the parameters.
-    picked = ids.where("toxic = 1").orderBy(order, "pick_id").limit(2 * per_class).unionByName(
-        ids.where("toxic = 0").orderBy(order, "pick_id").limit(2 * per_class))
-    rows = texts(docs, id_col, text_col).where(F.length("text") <= max_chars)
-    found = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("pick_id")).select("doc_id", "text", "toxic")
-    tops = [found.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_class) for label in (0, 1)]
-    return tops[0].unionByName(tops[1])
+    rows = texts(docs, id_col, text_col)
+    if max_chars is not None:
+        rows = rows.where(F.length("text") <= max_chars)
+    there = ids.join(rows.select("doc_id").distinct(), F.col("doc_id") == F.col("pick_id")).select("pick_id", "toxic")
+    tops = [there.where(F.col("toxic") == label).orderBy(F.xxhash64("pick_id"), "pick_id").limit(per_class) for label in (0, 1)]
+    picked = tops[0].unionByName(tops[1])
+    found = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("pick_id"))
+    return found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Train on the bounded sample, in one task; only the model comes to the driver."""
+    """Train on passages of the sampled documents, in one task; calibrate on whole texts kept out of that.
+
+    The driver gets counts per n-gram, the model, and one number for each document kept out.
+    """
+    sample = stage(sample_rows(docs, labels, id_col, text_col))
+    order = sorted((r["toxic"], zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]) for r in sample.select("doc_id", "toxic").collect())
+    held = {r[2] for label in (0, 1) for r in [x for x in order if x[0] == label][HELD - 1::HELD]}
+    known = [r for r in order if r[2] not in held]
+    if len({r[0] for r in known}) < 2:
+        return train([("", r[0]) for r in order])  # the share of class 1
+    sent_held = docs.sparkSession.sparkContext.broadcast(held)
+
+    def learnt(batches):
+        for batch in slices(batches, 16):
+            for r in batch.to_pylist():
+                if r["doc_id"] not in sent_held.value:
+                    yield r
+
+    def count(batches):
+        found = np.zeros((2, BUCKETS))
+        for r in learnt(batches):
+            found += gram_counts([(r["text"], r["toxic"])])
+        at = np.flatnonzero(found.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[0, at]), pa.array(found[1, at])], names=["gram", "clean", "toxic"])
+
+    # At most BUCKETS rows, whatever the corpus.
+    got = sample.mapInArrow(count, StructType.fromDDL("gram long, clean double, toxic double")).groupBy("gram").agg(
+        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    found, size = np.zeros((2, BUCKETS)), np.bincount([r[0] for r in known], minlength=2)
+    found[:, got.column("gram").to_numpy()] = got.column("clean").to_numpy(), got.column("toxic").to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast((found, size))
+
+    def shorten(batches):
+        marks = _marking(sent.value[0][1], sent.value[0][0], *np.maximum(sent.value[1][::-1], 1))
+        for r in learnt(batches):
+            yield pa.RecordBatch.from_pylist([{"doc_id": str(r["doc_id"]), "text": some_passages(r["text"], marks if r["toxic"] else None),
+                                             "toxic": r["toxic"]}], schema=short)
+
     def run(batches):
-        rows = sorted((zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"], r["toxic"]) for b in batches for r in b.to_pylist())
+        rows = sorted((zlib.crc32(r["doc_id"].encode()), r["doc_id"], r["text"], r["toxic"]) for b in batches for r in b.to_pylist())
         shuffled = np.random.default_rng(5).permutation(len(rows))
-        model = train([rows[k][2:] for k in shuffled])
-        yield pa.RecordBatch.from_pylist([{"grams": model.grams.astype("<f8").tobytes(), "bias": model.bias, "slope": model.slope,
-                                           "shift": model.shift}])
-
-    sample = sample_rows(docs, labels, id_col, text_col).repartition(1)
-    got = sample.mapInArrow(run, StructType.fromDDL("grams binary, bias double, slope double, shift double")).collect()
-    if not got:
-        return train([])
-    return Model(np.frombuffer(got[0]["grams"], "<f8"), got[0]["bias"], got[0]["slope"], got[0]["shift"])
+        model = train([rows[k][2:] for k in shuffled], counts=sent.value)
+        yield pa.RecordBatch.from_pylist([{"grams": model.grams.astype("<f8").tobytes(), "bias": model.bias}])
+
+    short = pa.schema([("doc_id", pa.string()), ("text", pa.string()), ("toxic", pa.int32())])
+    passage_rows = sample.mapInArrow(shorten, StructType.fromDDL("doc_id string, text string, toxic int")).repartition(1)
+    got = passage_rows.mapInArrow(run, StructType.fromDDL("grams binary, bias double")).collect()
+    model = Model(np.frombuffer(got[0]["grams"], "<f8"), got[0]["bias"], 1.0, 0.0)
+    sent_model = docs.sparkSession.sparkContext.broadcast(model)
+
+    def worst(batches):
+        for batch in slices(batches, 16):
+            rows = [(sent_model.value.worst(r["text"]), r["toxic"]) for r in batch.to_pylist() if r["doc_id"] in sent_held.value]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.float64()), pa.array([y for _, y in rows], pa.int32())],
+                                             names=["worst", "toxic"])
+
+    kept_out = sample.mapInArrow(worst, StructType.fromDDL("worst double, toxic int")).collect()
+    return _calibrate(model, sorted((r["worst"], r["toxic"]) for r in kept_out))
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

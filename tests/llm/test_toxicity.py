@@ -67,3 +67,34 @@ def test_edges(spark, trained):
     assert X.fit(df.limit(0), df.selectExpr("doc_id", "1 AS toxic")).score("") == 0.5
     only = X.train([("a b", 0)] * 5)
     assert only.score("anything") < 0.5 and X.train([]).score("") == 0.5
+
+
+def long_text(rng, toxic):
+    words = " ".join(invented(rng, False) for _ in range(rng.randint(12, 30))).split()
+    if toxic:
+        words[rng.randrange(len(words))] = rng.choice(["blockhead", "vermin", "grobians"])
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("short", [0, 300])
+def test_long_texts_are_learnt_from_and_calibrated_on(spark, short):
+    rng = random.Random(17)
+    rows = [(k, invented(rng, k % 2 == 0) if k < short else long_text(rng, k % 2 == 0), int(k % 2 == 0)) for k in range(600)]
+    assert all(len(t) > 3000 for _, t, _ in rows[short:])
+    table = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = X.fit(table, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    for low, high in ((0, 3001), (3001, 10 ** 9)):
+        held = [(model.score(t) >= X.PREDICT_AT, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 3 == 1 and low <= len(t) < high]
+        if held:
+            hit = sum(p and y for p, y in held)
+            assert hit >= 0.9 * sum(y for _, y in held) and hit >= 0.9 * sum(p for p, _ in held)
+
+
+def test_passages_come_from_all_over_a_text():
+    text = " ".join(f"word{k}" for k in range(5000))
+    got = X.some_passages(text, None, 3000)
+    assert 2500 < len(got) <= 3000 and int(got.split()[-1][4:]) > 4000 and int(got.split()[0][4:]) < 1000
+    marks = X.gram_counts([("word4321", 1)])[1] > 0
+    marks &= X.gram_counts([("word432 word321 word4320 word4322", 0)])[0] == 0
+    assert "word4321" in X.some_passages(text, marks, 3000).split()
+    assert X.some_passages("a b c", None) == "a b c" and 2000 < len(X.some_passages("漢" * 50_000, None, 3000)) <= 3000
