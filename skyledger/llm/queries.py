@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyledger.llm import bpe, packing, pii, pitman_yor, quality, sharding, simhash, topk, toxicity, unigram
+from skyledger.llm import bpe, packing, pii, pitman_yor, quality, runs, sharding, simhash, topk, toxicity, unigram
 from skyledger.llm.common import documents, texts
 
 QUERIES: dict = {}
@@ -108,3 +108,30 @@ def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = pitman_yor.fit(texts(docs).where(~pitman_yor.held_out()))
     return pitman_yor.score(docs, model)
+
+
+def planted_period(doc, words: list) -> list:
+    """Documents that a checksum of the id picks repeat a stretch of their own words up to their end."""
+    import zlib
+
+    h = zlib.crc32(str(doc).encode())
+    n = len(words)
+    if doc is None or h % 10 or not n:
+        return words
+    start = h // 10 % n
+    period = 1 + (n - start) // (3 + h // 10 % 8)
+    block = words[start:start + period]
+    return words[:start] + (block * ((n - start) // period + 1))[:n - start]
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(documents(spark, sf_dir), rewrite=planted_period)
+    # Runs are sorted by start and period, so the first of equal exponents stays.
+    most = F.reduce("runs", F.get("runs", F.lit(0)), lambda a, b: F.when(b["length"] * a["period"] > a["length"] * b["period"], b).otherwise(a))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("most", most)
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "most.start", "most.length", "most.period",
+                        F.expr("1000 * most.length div most.period").alias("exponent_milli"),
+                        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+                        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))

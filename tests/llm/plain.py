@@ -1,8 +1,19 @@
 """Plain versions that tests compare with."""
 
+import re
+
 import xxhash
 
 
+def frame(spark, rows):
+    """(doc_id, text) rows as a table."""
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text)
+
+
 def plain_fingerprint(text):
     words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text).replace("\t", " ").replace("\n", " ")
              .replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if w]
