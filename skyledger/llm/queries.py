@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyledger.llm import bpe, packing, pii, pitman_yor, quality, runs, sharding, simhash, topk, toxicity, unigram
+from skyledger.llm import bpe, packing, pii, pitman_yor, quality, runs, sharding, simhash, topk, toxicity, unigram, whitening
 from skyledger.llm.common import documents, texts
 
 QUERIES: dict = {}
@@ -135,3 +135,9 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.expr("1000 * most.length div most.period").alias("exponent_milli"),
                         F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
                         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return whitening.whiten(vectors, whitening.fit(vectors))
