@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyledger.llm import bpe, packing, pii, pitman_yor, quality, runs, sharding, simhash, topk, toxicity, unigram, whitening
+from skyledger.llm import bpe, licenses, packing, pii, pitman_yor, quality, runs, sharding, simhash, topk, toxicity, unigram, whitening
 from skyledger.llm.common import documents, texts
 
 QUERIES: dict = {}
@@ -141,3 +141,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return whitening.whiten(vectors, whitening.fit(vectors))
+
+
+@query
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.detect(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").alias("first_word"),
+                        F.array_max("places").alias("last_word"), F.array_join("labels", ",").alias("base_labels"),
+                        F.array_join("all_labels", ",").alias("labels"), "score")
+
+
+ORACLES["op13_license_scan"] = licenses.oracle()
