@@ -74,7 +74,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], values: Sequence[str],
         low, high = ranks(n, p)
         a, b = (F.coalesce(F.element_at(at, r), F.raise_error(F.lit("a rank fell outside its bracket")).cast("double"))
                 for r in (low, high))
-        return a * (low + 1 - pos) + b * (pos - low)
+        return a + (b - a) * (pos - low)  # exactly a between equal neighbours
 
     wide = found.select(*by, *[F.when(F.col(f"__n_{v}").isNotNull(), F.array(*[quantile(v, p) for p in probs])).alias(v)
                                for v in values])

@@ -100,6 +100,20 @@ def test_bins_follow_the_edges(spark, either):
         assert inside == [got[i]]
 
 
+def test_an_edge_between_equal_values_is_that_value(spark, either):
+    v = [0.11] * 7 + [round(0.1 + 0.01 * i, 2) for i in range(23)] + [0.3] * 11 + [0.7] * 6
+    df = frame(spark, v)
+    probs = [i / 13 for i in range(14)]
+    got = exact_quantiles(df, ["g"], ["x"], probs).first()["x"]
+    sorted_v = sorted(v)
+    for p, edge in zip(probs, got):
+        low = int(p * (len(v) - 1))
+        if sorted_v[low] == sorted_v[min(low + 1, len(v) - 1)]:
+            assert edge == sorted_v[low]
+    bins = {(r["x"], r["bin"]) for r in quantile_bins(df, ["g"], "x", 13).collect()}
+    assert len({x for x, _ in bins}) == len(bins)  # equal rows share a bin
+
+
 def test_ordinal_ranks_and_correlation(spark):
     rng = np.random.default_rng(6)
     x, y = rng.integers(0, 12, 150).astype(float), rng.normal(size=150)
