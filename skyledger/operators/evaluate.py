@@ -1,8 +1,7 @@
 """Scoring of a result catalog, always in parallax space.
 
 Every function takes a catalog with ``plx, e_plx, plx_sp, err_sp`` (and
-``sample`` for folds). Reports by fold are one plan: each row is counted under
-``all`` and under its own fold.
+``sample`` for folds).
 """
 
 from __future__ import annotations
@@ -30,32 +29,36 @@ def clean_catalog(cat: DataFrame) -> DataFrame:
                             if c in cat.columns})
 
 
-def with_folds(cat: DataFrame, sample: str = "sample") -> DataFrame:
-    """Each row once under fold ``all`` and, for A and B rows, once under its own."""
-    own = F.when(F.col(sample).isin("A", "B"), F.array(F.lit("all"), F.col(sample)))
-    return cat.withColumn("fold", F.explode(F.coalesce(own, F.array(F.lit("all")))))
-
-
-
 def evaluate(cat: DataFrame, snr: float = 20.0, offset: float = 0.0,
-             by: Sequence[str] = (), folds: bool = True) -> DataFrame:
-    """Headline report per fold: bias, robust scatter, quoted error, chi-square."""
+             by: Sequence[str] = (), folds: bool = True, sample: str = "sample") -> DataFrame:
+    """Headline report per fold: bias, robust scatter, quoted error, chi-square.
+
+    By fold, A and B rows count under their own fold and every row under ``all``,
+    whose counts and sums are those of the folds added up.
+    """
+    by = list(by)
     cat = clean_catalog(cat)
     if folds:
-        cat, by = with_folds(cat), [*by, "fold"]
+        by = [*by, "fold"]
+        cat = cat.withColumn("fold", F.when(F.col(sample).isin("A", "B"), F.col(sample)))
     probe = x.hi_snr("plx", "e_plx", snr)
     chi = x.z_score("plx_sp", "plx", "e_plx", "err_sp", offset)
     rows = cat.select(
         *by, probe.alias("probe"),
         F.when(probe, x.fractional_residual("plx_sp", "plx", offset)).alias("frac"),
         x.ratio("err_sp", "plx_sp").alias("err_frac"), chi.alias("chi"), (chi * chi).alias("chi2"))
-    out = robust_stats(rows, by, ["frac", "err_frac", "chi", "chi2"], extra=[
-        F.count(F.lit(1)).alias("n_total"), F.count_if("probe").alias("n_hi_snr_probe"),
-        F.avg("chi2").alias("chi2_mean_chi2")])
+    sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_total"), F.count_if("probe").alias("n_hi_snr_probe"),
+                                 F.sum(x.finite("chi2")).alias("chi2_sum"))
+    if folds:
+        own = F.when(F.col("fold").isNotNull(), F.array(F.lit("all"), F.col("fold")))
+        sums = sums.withColumn("fold", F.explode(F.coalesce(own, F.array(F.lit("all"))))).groupBy(*by).agg(
+            *[F.sum(c).alias(c) for c in ("n_total", "n_hi_snr_probe", "chi2_sum")])
+    out = on_groups(robust_stats(rows, by, ["frac", "err_frac", "chi", "chi2"], total=("fold", "all") if folds else None), sums, by)
     return out.select(
         *by, "n_total", "n_hi_snr_probe", F.col("frac_med").alias("median_frac_resid"),
         F.col("frac_scatter").alias("robust_frac_scatter"),
-        F.col("err_frac_med").alias("median_spec_err_frac"), "chi2_mean_chi2",
+        F.col("err_frac_med").alias("median_spec_err_frac"),
+        F.try_divide("chi2_sum", "chi2_n").alias("chi2_mean_chi2"),
         F.col("chi2_med").alias("chi2_median_chi2"),
         (F.col("chi_scatter") * F.col("chi_scatter")).alias("chi2_robust_chi2"),
         F.col("chi_n").alias("chi2_n"))

@@ -1,11 +1,16 @@
-"""Exact grouped quantiles that hold no large group on one task.
+"""Exact grouped quantiles and deviations by radix selection.
 
-One algorithm at every size, as one lazy plan. A sketch per group, combined on the
-map side, brackets every wanted rank; its error is a fixed share of the group, so
-the bracket of a large group is narrow and that of a small one is the whole group.
-A second scan counts the distinct values inside the brackets, and those below
-them, and the ranks are picked from the counts. Rows are never shuffled, only
-sketches and counts are.
+One algorithm at every size. Each value falls into one of a few hundred digits that
+keep its order (sign, power of two, sixteenth of it), counted by group with the
+least and greatest value of each digit. The counts tell in which digits the wanted
+ranks lie, and, as a deviation's bounds follow from those of the value and of the
+centre, where the median deviation can lie. Only rows in those digits are counted
+again: by value once they are few, else by a finer digit first. So a pass narrows
+by orders of magnitude; two do for most tables, three or four for any.
+
+Rows are never shuffled and never multiplied into ranks; counts are, combined on
+the map side. A cell (one value in one group) is a bounded list of counts however
+many rows the group has. Each pass is written once, which cuts the lineage.
 
 Missing values (null, NaN, infinite) are left out.
 """
@@ -14,15 +19,25 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql.types import StructType
 
 from skyledger.functions.exprs import finite
+from skyledger.operators import cells
+from skyledger.session import stage
+
+# Digits to a power of two in the first pass, and parts of an open stretch in later ones.
+PER_OCTAVE = 16
+PARTS = 4096
+# Rows of one cell that are counted by value; a cell with more of them takes a finer digit first.
+FEW_ROWS = 200_000
 
-# The sketch errs by at most one rank in ACCURACY; brackets reach MARGIN of the group further on
-# either side. In groups below WHOLE rows that could be less than the neighbours needed.
-ACCURACY = 20_000
-MARGIN = 3.0 / ACCURACY
-WHOLE = 2 * ACCURACY
+_BUCKETS = "array<struct<lo: double, hi: double, n: long, open: boolean>>"
+_STRETCHES = "array<struct<lo: double, hi: double>>"
+_CELL = (f"__total long, __open long, __buckets {_BUCKETS}, __stretches {_STRETCHES}, __found array<double>, __before long")
 
 
 def on_groups(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
@@ -55,30 +70,12 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], values: Sequence[str],
     has nulls, or no row if ``all_groups`` is off.
     """
     by, values, probs = list(by), list(values), [float(p) for p in probs]
-
-    def ranks(n: Column, p: float) -> list[Column]:
-        low = F.floor(F.lit(p) * (n - 1))
-        return [low, F.least(low + 1, n - 1)]
-
-    def mine(v: str, c: Column) -> Column:
-        return F.when(F.col("__metric") == v, c)
-
-    entry = F.struct("__rank", "__x")
-    found = _pick_ranks(df, by, values, probs, ranks).groupBy(*by).agg(
-        *[F.map_from_entries(F.collect_set(mine(v, entry))).alias(f"__at_{v}") for v in values],
-        *[F.max(mine(v, F.col("__total"))).alias(f"__n_{v}") for v in values])
-
-    def quantile(v: str, p: float) -> Column:
-        at, n = F.col(f"__at_{v}"), F.col(f"__n_{v}")
-        pos = F.lit(p) * (n - 1)
-        low, high = ranks(n, p)
-        a, b = (F.coalesce(F.element_at(at, r), F.raise_error(F.lit("a rank fell outside its bracket")).cast("double"))
-                for r in (low, high))
-        return a + (b - a) * (pos - low)  # exactly a between equal neighbours
-
-    wide = found.select(*by, *[F.when(F.col(f"__n_{v}").isNotNull(), F.array(*[quantile(v, p) for p in probs])).alias(v)
-                               for v in values])
-    return on_groups(df.select(*by).distinct(), wide, by, how="left") if by and all_groups else wide
+    done = _cells(df, by, values, probs=probs)
+    wide = _wide(done, by, {v: (v, F.col("__found")) for v in values})
+    if all_groups:
+        return wide
+    known = [F.col(v).isNotNull().cast("int") for v in values]
+    return wide.where(sum(known[1:], known[0]) > 0)
 
 
 def medians(df: DataFrame, by: Sequence[str], values: Sequence[str], all_groups: bool = True) -> DataFrame:
@@ -86,43 +83,161 @@ def medians(df: DataFrame, by: Sequence[str], values: Sequence[str], all_groups:
     return out.select(*by, *[F.col(v)[0].alias(v) for v in values])
 
 
-def select_rank(df: DataFrame, by: Sequence[str], value: str, rank: Callable[[Column], Column],
-                share: float) -> DataFrame:
-    """Per group the value at a 0-based rank, ``rank`` being a function of the count near ``share`` times it.
+def median_deviations(df: DataFrame, by: Sequence[str], values: Sequence[str],
+                      total: tuple[str, str] | None = None) -> DataFrame:
+    """Per group and value ``<v>_n`` values, their median ``<v>_med`` and median absolute deviation ``<v>_mad``.
+
+    ``total`` names a column of ``by`` and a label under which all its rows count once
+    more; rows where the column is null count under the label only. The label's
+    counts are sums of the others', no row is read or counted twice.
+    """
+    by, values = list(by), list(values)
+    done = _cells(df, by, values, probs=[0.5], spread=True, total=total)
+    out = {}
+    for v in values:
+        out[f"{v}_n"] = (v, F.col("__total"))
+        out[f"{v}_med"] = (v, F.col("__found")[0])
+        out[f"{v}_mad"] = (v, F.col("__found")[1])
+    wide = _wide(done, by, out)
+    return wide.withColumns({f"{v}_n": F.coalesce(f"{v}_n", F.lit(0).cast("long")) for v in values})
+
+
+def select_rank(df: DataFrame, by: Sequence[str], value: str, rank: Callable[[int], int]) -> DataFrame:
+    """Per group the value at a 0-based rank, ``rank`` being a function of the count.
 
     Returns ``value``, the number of rows ``before`` that value, and ``total``.
     """
-    picked = _pick_ranks(df, list(by), [value], [share], lambda n, p: [F.least(rank(n), n - 1)])
-    return picked.select(*by, F.col("__x").alias("value"), F.col("__below").alias("before"), F.col("__total").alias("total"))
+    done = _cells(df, list(by), [value], ranks=lambda n: [min(rank(n), n - 1)]).where(F.col("__total") > 0)
+    return done.select(*by, F.col("__found")[0].alias("value"), F.col("__before").alias("before"), F.col("__total").alias("total"))
 
 
-def _pick_ranks(df: DataFrame, by: list[str], values: list[str], probs: list[float],
-                ranks: Callable[[Column, float], list[Column]]) -> DataFrame:
-    """``__x`` at each wanted ``__rank`` of every ``__metric``, the rows ``__below`` it and the ``__total``."""
-    rows = df.select(*by, *[finite(F.col(v).cast("double")).alias(v) for v in values])
-    ends = [min(max(p + side * MARGIN, 0.0), 1.0) for p in probs for side in (-1, 1)]
-    sketch = rows.groupBy(*by).agg(*[
-        F.struct(F.count(v).alias("n"), F.percentile_approx(v, ends, ACCURACY).alias("ends")).alias(f"__s_{v}") for v in values])
+def _wide(done: DataFrame, by: list[str], columns: dict[str, tuple[str, Column]]) -> DataFrame:
+    """One row per group from one per group and value; without groups always one row."""
+    return done.groupBy(*by).agg(*[F.first(F.when(F.col("__metric") == v, c), ignorenulls=True).alias(name)
+                                   for name, (v, c) in columns.items()])
 
-    # Each value once per bracket that it is in or below; brackets of small groups are one and open.
-    parts = []
-    for v in values:
-        x, n, end = F.col(v), F.col(f"__s_{v}.n"), F.col(f"__s_{v}.ends")
-        for k in range(len(probs)):
-            lo, hi = end[2 * k], end[2 * k + 1]
-            inside = F.when(n < WHOLE, F.lit(k == 0)).otherwise(x <= hi)
-            seen = F.when((n < WHOLE) | (x >= lo), x)
-            parts.append(F.when(inside & x.isNotNull(), F.struct(
-                F.lit(v).alias("__metric"), F.lit(k).alias("__k"), n.alias("__total"), seen.alias("__x"))))
-    spread = on_groups(rows, sketch, by).select(*by, F.explode(F.array_compact(F.array(*parts))).alias("__p"))
-    keys = [*by, "__metric", "__k", "__total"]
-    counts = spread.select(*by, "__p.*").groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__n"))
-    upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("__x")))
-    total = F.col("__total")
-    every = F.array_distinct(F.array(*[r for p in probs for r in ranks(total, p)]))
-    own = F.array(*[F.array_distinct(F.array(*ranks(total, p))) for p in probs])[F.col("__k")]
-    wanted = F.when(total < WHOLE, every).otherwise(own)
-    counts = counts.withColumn("__upto", upto).withColumn("__below", F.col("__upto") - F.col("__n"))
-    hit = F.filter(wanted, lambda r: (r < F.col("__upto")) & (r >= F.col("__below")))
-    return counts.where(F.col("__x").isNotNull()).select(
-        *by, "__metric", "__total", F.explode(hit).alias("__rank"), "__x", "__below")
+
+def _digit(x: Column) -> Column:
+    """A whole number that never falls as x grows."""
+    size = F.floor(F.log2(F.abs(x)) * PER_OCTAVE) + 1100 * PER_OCTAVE
+    return F.when(x > 0, size).when(x < 0, -size).otherwise(F.lit(0).cast("long"))
+
+
+def _counted(rows: DataFrame, keys: list[str], digit: Column) -> DataFrame:
+    return rows.groupBy(*keys, digit.alias("__digit")).agg(
+        F.min("__x").alias("lo"), F.max("__x").alias("hi"), F.count("__x").alias("n"))
+
+
+def _cells(df: DataFrame, by: list[str], values: list[str], total: tuple[str, str] | None = None, **asked) -> DataFrame:
+    """Every (group, value) with what was asked for in ``__found``; groups without values have an empty cell."""
+    keys = [*by, "__metric"]
+    rows = df.select(*by, *[finite(F.col(v).cast("double")).alias(v) for v in values])
+    long = rows.unpivot(by, values, "__metric", "__x") if by else rows.unpivot([], values, "__metric", "__x")
+    # The digit of a missing value is null: its group still has a cell.
+    first = _counted(long, keys, F.when(F.col("__x").isNotNull(), _digit(F.col("__x"))))
+    if total is not None:
+        column, label = total
+        own = F.when(F.col(column).isNotNull(), F.array(F.lit(label), F.col(column)))
+        first = first.withColumn(column, F.explode(F.coalesce(own, F.array(F.lit(label))))).groupBy(*keys, "__digit").agg(
+            F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    bucket = F.when(F.col("n") > 0, F.struct("lo", "hi", "n"))
+    found, left = _settled(first.groupBy(*keys).agg(F.collect_list(bucket).alias("__counts")), keys, asked)
+    done, few = [found], False
+    while left:
+        few = few or left <= FEW_ROWS
+        active = found.where(F.col("__open") > 0).drop("__found", "__before")
+        hits = _open_rows(rows, by, values, active, total)
+        digit = F.col("__x") if few else F.floor(
+            F.try_divide(F.col("__x") / 2 - F.col("__lo") / 2, F.col("__hi") / 2 - F.col("__lo") / 2) * PARTS)
+        finer = _counted(hits, [*keys, "__lo", "__hi"], digit).groupBy(*keys).agg(F.collect_list(F.struct("lo", "hi", "n")).alias("__finer"))
+        known = F.transform(F.filter("__buckets", lambda b: ~b["open"]), lambda b: F.struct(b["lo"], b["hi"], b["n"]))
+        counts = on_groups(active, finer, keys).select(*keys, F.concat(known, "__finer").alias("__counts"))
+        found, still = _settled(counts, keys, asked)
+        # A stretch too short for its digits to divide is counted by value.
+        few, left = still >= left, still
+        done.append(found)
+    whole = done[0].where(F.col("__open") == 0)
+    for part in done[1:]:
+        whole = whole.unionByName(part.where(F.col("__open") == 0))
+    return whole
+
+
+def _open_rows(rows: DataFrame, by: list[str], values: list[str], active: DataFrame, total: tuple[str, str] | None) -> DataFrame:
+    """The rows in an open stretch of their own group's cell, or of the total's, by value."""
+    def stretches(cells_: DataFrame, group: list[str], mark: str) -> DataFrame:
+        return cells_.groupBy(*group).agg(*[
+            F.first(F.when(F.col("__metric") == v, F.col("__stretches")), ignorenulls=True).alias(f"{mark}{v}") for v in values])
+
+    def hit(v: str, mark: str) -> Column:
+        x = F.col(v)
+        mine = F.get(F.filter(f"{mark}{v}", lambda s: (x >= s["lo"]) & (x <= s["hi"])), F.lit(0))
+        return F.when(mine.isNotNull(), F.struct(x.alias("x"), mine["lo"].alias("lo"), mine["hi"].alias("hi"))).alias(f"{mark}{v}")
+
+    marks = ["__own_"]
+    if total is None:
+        joined = on_groups(rows, stretches(active, by, "__own_"), by)
+    else:
+        column, label = total
+        rest = [c for c in by if c != column]
+        joined = on_groups(rows, stretches(active.where(~F.col(column).eqNullSafe(F.lit(label))), by, "__own_"), by, how="left")
+        joined = on_groups(joined, stretches(active.where(F.col(column).eqNullSafe(F.lit(label))), rest, "__all_"), rest, how="left")
+        marks.append("__all_")
+    names = [f"{m}{v}" for m in marks for v in values]
+    hits = joined.select(*by, *[hit(v, m) for m in marks for v in values]).where(F.coalesce(*names).isNotNull())
+    long = hits.unpivot(by, names, "__name", "__hit").where(F.col("__hit").isNotNull())
+    columns = {c: F.col(c) for c in by}
+    if total is not None:
+        columns[total[0]] = F.when(F.col("__name").startswith("__all_"), F.lit(total[1])).otherwise(F.col(total[0]))
+    return long.select(*[c.alias(name) for name, c in columns.items()], F.substring("__name", 7, 10_000).alias("__metric"),
+                       F.col("__hit.x").alias("__x"), F.col("__hit.lo").alias("__lo"), F.col("__hit.hi").alias("__hi"))
+
+
+def _settled(counts: DataFrame, keys: list[str], asked: dict) -> tuple[DataFrame, int]:
+    """The narrowed cells, written once, and the rows of the largest part that is still open."""
+    fields = [counts.schema[c] for c in keys]
+    schema = StructType(fields + StructType.fromDDL(_CELL).fields)
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column("__counts")
+            flat = column.flatten()
+            lo, hi, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            ends = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False).cumsum()
+            out = [cells.settle(lo[a:b], hi[a:b], n[a:b], **asked) for a, b in zip([0, *ends[:-1]], ends)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(k) for k in range(len(keys))] + _columns(out), names=schema.names)
+
+    looked = Observation()
+    observed = counts.mapInArrow(run, schema).observe(looked, F.max("__open").alias("open"))
+    out = stage(observed)
+    return out, looked.get["open"] or 0
+
+
+def _columns(out: list[cells.Cell]) -> list[pa.Array]:
+    def listed(parts: list[int], **fields) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(parts)], pa.int32()),
+                                        pa.StructArray.from_arrays([pa.array(np.concatenate(v)) for v in fields.values()], names=list(fields)))
+
+    # A cell that is done needs no buckets any more.
+    kept = [c if c.found is None and c.total else None for c in out]
+    none = np.empty(0)
+    lo, hi = ([getattr(c, f) if c else none for c in kept] for f in ("lo", "hi"))
+    n = [c.n if c else none.astype(np.int64) for c in kept]
+    flags = [c.open if c else none.astype(bool) for c in kept]
+    runs = [_stretches(c) if c else (none, none) for c in kept]
+    size = list(map(len, lo))
+    empty = not out
+    if empty:
+        lo, hi, n, flags, runs = [none], [none], [none.astype(np.int64)], [none.astype(bool)], [(none, none)]
+    return [pa.array([c.total for c in out], pa.int64()), pa.array([c.open_rows for c in out], pa.int64()),
+            listed(size, lo=lo, hi=hi, n=n, open=flags),
+            listed([] if empty else [len(r[0]) for r in runs], lo=[r[0] for r in runs], hi=[r[1] for r in runs]),
+            pa.array([c.found for c in out], pa.list_(pa.float64())), pa.array([c.before for c in out], pa.int64())]
+
+
+def _stretches(cell: cells.Cell):
+    """Open buckets, neighbours as one stretch."""
+    flags = cell.open
+    starts = np.flatnonzero(flags & ~np.r_[False, flags[:-1]])
+    ends = np.flatnonzero(flags & ~np.r_[flags[1:], False])
+    return cell.lo[starts], cell.hi[ends]

@@ -8,30 +8,29 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skyledger.functions.exprs import ColumnLike, col, finite, is_finite, holds
-from skyledger.operators.quantiles import exact_quantiles, medians, on_groups
-from skyledger.session import stage
+from skyledger.operators.quantiles import exact_quantiles, median_deviations, medians, on_groups
 
 # Fixed value: the scale of the median absolute deviation.
 MAD_SCALE = 1.48
 
 
 def robust_stats(df: DataFrame, by: Sequence[str], values: Sequence[str],
-                 extra: Sequence[Column] = ()) -> DataFrame:
+                 extra: Sequence[Column] = (), total: tuple[str, str] | None = None) -> DataFrame:
     """Per group: ``<v>_n``, ``<v>_med`` and ``<v>_scatter`` (1.48 MAD) of each value.
 
-    ``extra`` aggregates ride along with the counts. All values share the passes,
+    ``extra`` aggregates of the same groups are joined. All values share the passes,
     so a report over many metrics costs the same scans as one. Missing values
-    (null, NaN, infinite) are left out of all three.
+    (null, NaN, infinite) are left out of all three. ``total`` adds a group of all
+    rows as in ``median_deviations``; ``extra`` then has no row for it.
     """
     by, values = list(by), list(values)
-    df = df.withColumns({v: finite(F.col(v).cast("double")) for v in values})
-    counts = df.groupBy(*by).agg(*[F.count(v).alias(f"{v}_n") for v in values], *extra)
-    # A row per group: written once, as both the deviations and the result need it.
-    centre = stage(medians(df, by, values, all_groups=False).select(*by, *[F.col(v).alias(f"{v}_med") for v in values]))
-    devs = {f"__d_{v}": F.abs(F.col(v) - F.col(f"{v}_med")) for v in values}
-    spread = medians(on_groups(df, centre, by).withColumns(devs), by, list(devs), all_groups=False).select(
-        *by, *[(MAD_SCALE * F.col(d)).alias(f"{v}_scatter") for v, d in zip(values, devs)])
-    return on_groups(on_groups(counts, centre, by, how="left"), spread, by, how="left")
+    spread = median_deviations(df, by, values, total)
+    out = spread.select(*by, *[c for v in values for c in (
+        F.col(f"{v}_n"), F.col(f"{v}_med"), (MAD_SCALE * F.col(f"{v}_mad")).alias(f"{v}_scatter"))])
+    if not extra:
+        return out
+    clean = df.withColumns({v: finite(F.col(v).cast("double")) for v in values})
+    return on_groups(out, clean.groupBy(*by).agg(*extra), by, how="left")
 
 
 def inverse_variance(value: ColumnLike, err: ColumnLike) -> tuple[Column, Column]:
@@ -66,12 +65,11 @@ def quantile_bins(df: DataFrame, by: Sequence[str], axis: str, nbins: int, bin_c
     """Attach ``bin`` 0..nbins-1 between linear quantile edges of ``axis`` per group.
 
     Bins are ``[e_i, e_i+1)`` and the top one has no upper edge. Rows without a
-    finite axis value are dropped. The edges are staged: every later pass over the
-    bins reads them instead of finding them again.
+    finite axis value are dropped.
     """
     df = df.filter(F.col(axis).isNotNull())
     probs = [i / nbins for i in range(nbins + 1)]
-    edges = stage(exact_quantiles(df, by, [axis], probs, all_groups=False).withColumnRenamed(axis, "__edges"))
+    edges = exact_quantiles(df, by, [axis], probs, all_groups=False).withColumnRenamed(axis, "__edges")
     joined = on_groups(df, edges, list(by))
     below = [F.when(F.col(axis) >= F.col("__edges")[i], 1).otherwise(0) for i in range(nbins)]
     return joined.withColumn(bin_col, reduce(lambda a, b: a + b, below) - 1).drop("__edges")
@@ -85,8 +83,8 @@ def unique_edge_bins(df: DataFrame, by: Sequence[str], axis: str, nbins: int, bi
     """
     df = df.filter(F.col(axis).isNotNull())
     probs = [i / nbins for i in range(nbins + 1)]
-    edges = stage(exact_quantiles(df, by, [axis], probs, all_groups=False).select(
-        *by, F.array_distinct(axis).alias("__edges")))
+    edges = exact_quantiles(df, by, [axis], probs, all_groups=False).select(
+        *by, F.array_distinct(axis).alias("__edges"))
     joined = on_groups(df, edges, list(by))
     below = [F.when(F.col(axis) >= F.get("__edges", F.lit(i)), 1).otherwise(0)
              for i in range(nbins + 1)]

@@ -27,7 +27,7 @@ def exact_half_split(df: DataFrame, strata: Sequence[str], ids: Sequence[str], s
     order = Window.partitionBy(*strata).orderBy("__h", *ids)
     rows = df.withColumn("__h", digest).withColumn(
         "__w", F.conv(F.substring("__h", 1, 13), 16, 10).cast("double"))
-    cut = select_rank(rows, strata, "__w", lambda n: F.floor(n / 2), 0.5)
+    cut = select_rank(rows, strata, "__w", lambda n: n // 2)
     rows = on_groups(rows, cut.select(*strata, F.col("value").alias("__cut"),
                                       F.col("before").alias("__before"),
                                       F.floor(F.col("total") / 2).alias("__half")), strata)

@@ -3,7 +3,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from skyledger.operators import quantiles
+from skyledger.operators import cells, quantiles
 from skyledger.operators.quantiles import exact_quantiles, select_rank
 from skyledger.operators.ranking import ordinal_rank, spearman
 from skyledger.operators.robust import MAD_SCALE, quantile_bins, robust_stats
@@ -35,13 +35,13 @@ CASES = {
 }
 
 
-@pytest.fixture(params=["whole groups", "brackets"])
+@pytest.fixture(params=["two passes", "many passes"])
 def either(request, monkeypatch):
-    """Groups as they come, and all of them taken for large ones."""
-    if request.param == "brackets":
-        monkeypatch.setattr(quantiles, "ACCURACY", 1000)
-        monkeypatch.setattr(quantiles, "MARGIN", 0.02)
-        monkeypatch.setattr(quantiles, "WHOLE", 200)
+    """Groups as they come, and all of them taken for groups too large to count by value soon."""
+    if request.param == "many passes":
+        monkeypatch.setattr(quantiles, "PER_OCTAVE", 1)
+        monkeypatch.setattr(quantiles, "PARTS", 3)
+        monkeypatch.setattr(quantiles, "FEW_ROWS", 6)
 
 
 @pytest.mark.parametrize("case", CASES)
@@ -69,10 +69,69 @@ def test_hot_group_next_to_small_and_empty_ones(spark, either):
     np.testing.assert_allclose(out["hot"], [np.median(values[:400])])
 
 
-def test_no_quantile_plan_sorts_a_group(spark):
-    df = exact_quantiles(frame(spark, CASES["spread"]), ["g"], ["x"], [0.5])
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert " percentile(" not in plan and "median(" not in plan and "FlatMapGroups" not in plan
+def buckets_of(values, cuts):
+    """Values dealt into buckets between cuts, as (lo, hi, n)."""
+    values = np.sort(values)
+    parts = [p for p in np.split(values, np.searchsorted(values, np.unique(cuts), "right")) if len(p)]
+    return [p[0] for p in parts], [p[-1] for p in parts], [len(p) for p in parts]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([-3.0, -1.5, -1.0, 0.0, 0.1, 0.5, 2.0, 9.0]) | st.floats(-10, 10), min_size=1, max_size=60),
+       st.lists(st.floats(-10, 10), max_size=8))
+def test_open_buckets_hold_the_answer_and_singles_give_it(values, cuts):
+    values = np.array(values)
+    middle = np.median(values)
+    mad = np.median(np.abs(values - middle))
+    cell = cells.settle(*buckets_of(values, cuts), probs=[0.3, 0.5], spread=True)
+    if cell.found is None:
+        # Open buckets replaced by their values, the others as they were run together.
+        known = [(a, b, n) for a, b, n, o in zip(cell.lo, cell.hi, cell.n, cell.open) if not o]
+        for a, b, o in zip(cell.lo, cell.hi, cell.open):
+            known += [(v, v, 1) for v in values if o and a <= v <= b]
+        cell = cells.settle(*zip(*known), probs=[0.3, 0.5], spread=True)
+    np.testing.assert_allclose(cell.found, [np.quantile(values, 0.3), middle, mad], rtol=1e-12, atol=1e-12)
+    assert cell.total == len(values)
+
+
+def test_a_cell_stays_short_however_long_its_group(spark):
+    df = spark.range(200_000).select(F.lit("g").alias("g"), (F.sin("id") * F.exp(F.col("id") % 9)).alias("x"))
+    found = quantiles._cells(df, ["g"], ["x"], probs=PROBS, spread=True)
+    first, left = quantiles._settled(quantiles._counted(
+        df.select("g", F.lit("x").alias("__metric"), F.col("x").alias("__x")), ["g", "__metric"], quantiles._digit(F.col("__x"))
+    ).groupBy("g", "__metric").agg(F.collect_list(F.struct("lo", "hi", "n")).alias("__counts")), ["g", "__metric"], {"probs": PROBS, "spread": True})
+    row = first.first()
+    assert 0 < left < 20_000 and len(row["__buckets"]) < 40
+    v = np.array([r["x"] for r in df.collect()])
+    np.testing.assert_allclose(found.first()["__found"], [*np.quantile(v, PROBS), np.median(np.abs(v - np.median(v)))], rtol=1e-12)
+
+
+def test_digits_never_fall(spark):
+    x = sorted([0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, 1.0, float(np.nextafter(1.0, 2)), 2.0] + [s * 2.0 ** k * m for s in (1, -1)
+               for k in range(-1070, 1020, 13) for m in (1.0, 1.3, 1.9999999999999998)])
+    digits = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(quantiles._digit(F.col("x"))).collect()]
+    assert digits == sorted(digits)
+
+
+def test_a_total_over_groups(spark, either):
+    rng = np.random.default_rng(8)
+    v = np.round(rng.normal(size=300), 2)
+    fold = [["A", "B", None][i % 3] for i in range(300)]
+    df = spark.createDataFrame([(i % 2, fold[i], float(v[i])) for i in range(300)], "k int, fold string, x double")
+    out = {(r["k"], r["fold"]): r for r in robust_stats(df, ["k", "fold"], ["x"], total=("fold", "all")).collect()}
+    assert len(out) == 6
+    for (k, f), r in out.items():
+        mine = v[[i for i in range(300) if i % 2 == k and f in ("all", fold[i])]]
+        np.testing.assert_allclose([r["x_n"], r["x_med"], r["x_scatter"]],
+                                   [len(mine), np.median(mine), MAD_SCALE * np.median(np.abs(mine - np.median(mine)))])
+
+
+def test_nothing_at_all(spark):
+    empty = frame(spark, [])
+    assert exact_quantiles(empty, ["g"], ["x"], [0.5]).collect() == []
+    assert exact_quantiles(empty, [], ["x"], [0.5]).collect()[0]["x"] is None
+    row = robust_stats(empty, [], ["x"], extra=[F.count(F.lit(1)).alias("rows")]).collect()
+    assert [tuple(r) for r in row] == [(0, None, None, 0)]
 
 
 def test_robust_stats(spark, either):
@@ -145,7 +204,7 @@ def test_half_split_is_exact_however_partitioned(spark, either):
 def test_select_rank(spark):
     df = frame(spark, [float(i % 10) for i in range(100)] + [None, float("nan")])
     for by in (["g"], []):
-        row = select_rank(df, by, "x", lambda n: F.floor(n / 2), 0.5).first()
+        row = select_rank(df, by, "x", lambda n: n // 2).first()
         assert (row["value"], row["before"], row["total"]) == (5.0, 50, 100)
 
 
