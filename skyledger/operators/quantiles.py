@@ -17,6 +17,7 @@ Missing values (null, NaN, infinite) are left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -119,7 +120,7 @@ def _wide(done: DataFrame, by: list[str], columns: dict[str, tuple[str, Column]]
 
 def _digit(x: Column) -> Column:
     """A whole number that never falls as x grows."""
-    size = F.floor(F.log2(F.abs(x)) * PER_OCTAVE) + 1100 * PER_OCTAVE
+    size = F.floor(F.ln(F.abs(x)) * (PER_OCTAVE / math.log(2.0))) + 1100 * PER_OCTAVE
     return F.when(x > 0, size).when(x < 0, -size).otherwise(F.lit(0).cast("long"))
 
 
@@ -131,8 +132,9 @@ def _counted(rows: DataFrame, keys: list[str], digit: Column) -> DataFrame:
 def _cells(df: DataFrame, by: list[str], values: list[str], total: tuple[str, str] | None = None, **asked) -> DataFrame:
     """Every (group, value) with what was asked for in ``__found``; groups without values have an empty cell."""
     keys = [*by, "__metric"]
-    rows = df.select(*by, *[finite(F.col(v).cast("double")).alias(v) for v in values])
-    long = rows.unpivot(by, values, "__metric", "__x") if by else rows.unpivot([], values, "__metric", "__x")
+    long = df.select(*by, *[F.col(v).cast("double").alias(v) for v in values]).unpivot(by, values, "__metric", "__x")
+    # Guarded only here: a guard names its value twice, which doubles the work of whatever it is put around.
+    long = long.withColumn("__x", finite("__x"))
     # The digit of a missing value is null: its group still has a cell.
     first = _counted(long, keys, F.when(F.col("__x").isNotNull(), _digit(F.col("__x"))))
     if total is not None:
@@ -146,7 +148,7 @@ def _cells(df: DataFrame, by: list[str], values: list[str], total: tuple[str, st
     while left:
         few = few or left <= FEW_ROWS
         active = found.where(F.col("__open") > 0).drop("__found", "__before")
-        hits = _open_rows(rows, by, values, active, total)
+        hits = _open_rows(long, keys, active, total)
         digit = F.col("__x") if few else F.floor(
             F.try_divide(F.col("__x") / 2 - F.col("__lo") / 2, F.col("__hi") / 2 - F.col("__lo") / 2) * PARTS)
         finer = _counted(hits, [*keys, "__lo", "__hi"], digit).groupBy(*keys).agg(F.collect_list(F.struct("lo", "hi", "n")).alias("__finer"))
@@ -162,38 +164,25 @@ def _cells(df: DataFrame, by: list[str], values: list[str], total: tuple[str, st
     return whole
 
 
-def _open_rows(rows: DataFrame, by: list[str], values: list[str], active: DataFrame, total: tuple[str, str] | None) -> DataFrame:
-    """The rows in an open stretch of their own group's cell, or of the total's, by value."""
-    def stretches(cells_: DataFrame, group: list[str], mark: str) -> DataFrame:
-        return cells_.groupBy(*group).agg(*[
-            F.first(F.when(F.col("__metric") == v, F.col("__stretches")), ignorenulls=True).alias(f"{mark}{v}") for v in values])
+def _open_rows(long: DataFrame, keys: list[str], active: DataFrame, total: tuple[str, str] | None) -> DataFrame:
+    """The values in an open stretch of their own group's cell, or of the total's.
 
-    def hit(v: str, mark: str) -> Column:
-        x = F.col(v)
-        mine = F.get(F.filter(f"{mark}{v}", lambda s: (x >= s["lo"]) & (x <= s["hi"])), F.lit(0))
-        return F.when(mine.isNotNull(), F.struct(x.alias("x"), mine["lo"].alias("lo"), mine["hi"].alias("hi"))).alias(f"{mark}{v}")
-
-    marks = ["__own_"]
-    if total is None:
-        joined = on_groups(rows, stretches(active, by, "__own_"), by)
-    else:
-        column, label = total
-        rest = [c for c in by if c != column]
-        joined = on_groups(rows, stretches(active.where(~F.col(column).eqNullSafe(F.lit(label))), by, "__own_"), by, how="left")
-        joined = on_groups(joined, stretches(active.where(F.col(column).eqNullSafe(F.lit(label))), rest, "__all_"), rest, how="left")
-        marks.append("__all_")
-    names = [f"{m}{v}" for m in marks for v in values]
-    hits = joined.select(*by, *[hit(v, m) for m in marks for v in values]).where(F.coalesce(*names).isNotNull())
-    long = hits.unpivot(by, names, "__name", "__hit").where(F.col("__hit").isNotNull())
-    columns = {c: F.col(c) for c in by}
-    if total is not None:
-        columns[total[0]] = F.when(F.col("__name").startswith("__all_"), F.lit(total[1])).otherwise(F.col(total[0]))
-    return long.select(*[c.alias(name) for name, c in columns.items()], F.substring("__name", 7, 10_000).alias("__metric"),
-                       F.col("__hit.x").alias("__x"), F.col("__hit.lo").alias("__lo"), F.col("__hit.hi").alias("__hi"))
+    A join on the group whose condition compares: everything stays in the compiled
+    stage, and only values inside a stretch leave it.
+    """
+    found = active.select(*[F.col(c).alias(f"__to_{c}") for c in keys], F.explode("__stretches").alias("__s"))
+    found = found.select(*[f"__to_{c}" for c in keys], F.col("__s.lo").alias("__lo"), F.col("__s.hi").alias("__hi"))
+    inside = (F.col("__x") >= F.col("__lo")) & (F.col("__x") <= F.col("__hi"))
+    for c in keys:
+        match = F.col(c).eqNullSafe(F.col(f"__to_{c}"))
+        if total is not None and c == total[0]:
+            match = match | (F.col(f"__to_{c}") == F.lit(total[1]))
+        inside = inside & match
+    return long.join(found, inside).select(*[F.col(f"__to_{c}").alias(c) for c in keys], "__x", "__lo", "__hi")
 
 
 def _settled(counts: DataFrame, keys: list[str], asked: dict) -> tuple[DataFrame, int]:
-    """The narrowed cells, written once, and the rows of the largest part that is still open."""
+    """The narrowed cells, written once, and the rows of the largest one that are still open."""
     fields = [counts.schema[c] for c in keys]
     schema = StructType(fields + StructType.fromDDL(_CELL).fields)
 
@@ -208,8 +197,7 @@ def _settled(counts: DataFrame, keys: list[str], asked: dict) -> tuple[DataFrame
                 [batch.column(k) for k in range(len(keys))] + _columns(out), names=schema.names)
 
     looked = Observation()
-    observed = counts.mapInArrow(run, schema).observe(looked, F.max("__open").alias("open"))
-    out = stage(observed)
+    out = stage(counts.mapInArrow(run, schema).observe(looked, F.max("__open").alias("open")))
     return out, looked.get["open"] or 0
 
 
