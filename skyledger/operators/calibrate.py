@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
+from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from skyledger.functions import exprs as x
+from skyledger.operators import widths
 from skyledger.operators.evaluate import (NOTEBOOK_MIN_BIN_ROWS, calibration_bins, clean_catalog,
                                           z_report)
 from skyledger.operators.quantiles import medians, on_groups
@@ -17,100 +20,169 @@ from skyledger.session import stage
 
 # The bracket in which the error factor is sought.
 FACTOR_MIN, FACTOR_MAX = 1e-3, 100.0
-# Points of a rough pass, its sketches' accuracy, and how far its bracket is widened.
-GRID = 12
-SKETCH = 2_000
-SLACK = 1.01
-TOLERANCE = 1e-10
+# Factors of a pass; digits to a power of two, as bits, in the first pass, and bits more in each later one.
+GRID = 24
+FIRST_BITS, MORE_BITS = 5, 4
+# Rows of a group that one task solves, and how far candidates reach beyond the bounds of the deviation.
+FEW_ROWS = 100_000
+REACH = 1e-3
 
 
 def recalibration_factor(cat: DataFrame, by: Sequence[str], offset: float = 0.0,
                          target: float = 1.0) -> dict[tuple, float]:
     """Per group the factor c that makes the robust chi width equal ``target``.
 
-    The width falls as c grows, so the root is bracketed. Every pass scores a few
-    factors of all groups in one job: first two logarithmic grids from sketches, then,
-    exactly, a point interpolated in the bracket, its two close neighbours and the midpoint. The
-    neighbours close in as fast as the interpolation improves, the midpoint keeps
-    the worst case at halving. Only widths of folds or configurations reach
-    the driver, a few numbers each.
+    The width falls as c grows, so the root is bracketed: counts of the rows by digit,
+    at a grid of factors, bound the width at each, and a second, finer grid narrows
+    the bracket to a few per cent. Rows that keep their side of the median and of
+    the wanted deviation over the whole bracket are then only counted (``widths``),
+    and the rest is narrowed again, until what is left of a group, a few thousand
+    rows of a large one, is solved in one task. Only brackets and factors of
+    folds or configurations reach the driver. A group whose width is above or
+    below the target at any factor has the largest or the least one.
     """
     by = list(by)
+    spark = cat.sparkSession
     rows = stage(clean_catalog(cat).select(
         *by, (F.col("plx_sp") - (F.col("plx") + F.lit(float(offset)))).alias("resid"),
         "e_plx", "err_sp").filter(
             F.col("resid").isNotNull() & F.col("e_plx").isNotNull() & (F.col("err_sp") > 0)))
-    groups = [tuple(row[c] for c in by) for row in rows.select(*by).distinct().collect()] if by else [()]
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).collect()
+    groups = [tuple(row[c] for c in by) for row in sizes if row["n"]]
     if not groups:
         return {}
-
-    def scored(points: dict[tuple, list[float]]) -> tuple[DataFrame, list[str]]:
-        names = [f"c{i}" for i in range(max(len(p) for p in points.values()))]
-        table = rows.sparkSession.createDataFrame(
-            [(*g, p) for g, p in points.items()],
-            schema=_schema(rows, by).add("__c", ArrayType(DoubleType())))
-        return on_groups(rows, table, by).select(*by, *[
-            x.ratio("resid", F.hypot(F.col("e_plx"), F.col("err_sp") * F.col("__c")[i])).alias(c)
-            for i, c in enumerate(names)]), names
-
-    def by_group(out: DataFrame, names: list[str], suffix: str) -> dict[tuple, list[float]]:
-        return {tuple(row[c] for c in by): [row[f"{c}{suffix}"] or 0.0 for c in names] for row in out.collect()}
-
-    def widths(points: dict[tuple, list[float]]) -> dict[tuple, list[float]]:
-        chi, names = scored(points)
-        return by_group(robust_stats(chi, by, names), names, "_scatter")
-
-    def rough(points: dict[tuple, list[float]]) -> dict[tuple, list[float]]:
-        """Widths from sketches, good enough to say between which points the target lies."""
-        chi, names = scored(points)
-        middle = chi.groupBy(*by).agg(*[F.percentile_approx(c, 0.5, SKETCH).alias(f"__m_{c}") for c in names])
-        out = on_groups(chi, middle, by).groupBy(*by).agg(*[
-            (MAD_SCALE * F.percentile_approx(F.abs(F.col(c) - F.col(f"__m_{c}")), 0.5, SKETCH)).alias(c) for c in names])
-        return by_group(out, names, "")
-
-    def spaced(lo: float, hi: float) -> list[float]:
-        step = math.log(hi / lo) / (GRID - 1)
-        return [lo * math.exp(step * i) for i in range(GRID)]
-
-    # Two rough passes narrow the bracket; the exact ones start from its ends and those of the step before.
-    coarse = {g: _bracket(list(zip(spaced(FACTOR_MIN, FACTOR_MAX), w)), target)
-              for g, w in rough({g: spaced(FACTOR_MIN, FACTOR_MAX) for g in groups}).items()}
-    grids = {g: spaced(lo[0], hi[0]) for g, (lo, hi) in coarse.items()}
-    points = {}
-    for g, w in rough(grids).items():
-        (lo, _), (hi, _) = _bracket(list(zip(grids[g], w)), target)
-        points[g] = sorted([coarse[g][0][0], lo / SLACK, math.sqrt(lo * hi), hi * SLACK, coarse[g][1][0]])
-    brackets = {g: _bracket(list(zip(points[g], w)), target) for g, w in widths(points).items()}
-    while open_ := {g: b for g, b in brackets.items() if b[1][0] - b[0][0] > TOLERANCE * b[1][0]}:
-        trial = {g: _trial_points(*b, target) for g, b in open_.items()}
-        # Closed groups repeat their bracket so that the plan stays the same.
-        points = {g: trial.get(g, [brackets[g][0][0]] * 4) for g in brackets}
-        exact = widths(points)
-        before = {g: open_[g][1][0] - open_[g][0][0] for g in open_}
-        for g in open_:
-            lo, hi = open_[g]
-            brackets[g] = _bracket([lo, *zip(points[g], exact[g]), hi], target)
-        if all(brackets[g][1][0] - brackets[g][0][0] >= before[g] for g in open_):
-            break  # the brackets are down to neighbouring numbers
-    return {g: 0.5 * (lo[0] + hi[0]) for g, (lo, hi) in brackets.items()}
-
-
-def _bracket(points: list[tuple[float, float]], target: float):
-    """Neighbouring (factor, width) points around the target width."""
-    for lo, hi in zip(points[:-1], points[1:]):
-        if hi[1] <= target:
-            return lo, hi
-    return points[-2], points[-1]
-
-
-def _trial_points(lo: tuple[float, float], hi: tuple[float, float], target: float) -> list[float]:
-    span = hi[0] - lo[0]
-    slope = hi[1] - lo[1]
-    guess = lo[0] + span * (target - lo[1]) / slope if slope < 0 else lo[0] + 0.5 * span
-    guess = min(max(guess, lo[0] + 0.01 * span), hi[0] - 0.01 * span)
-    near = span * min(0.05, span / hi[0])
-    points = [guess - near, guess, guess + near, lo[0] + 0.5 * span]
-    return sorted(min(max(p, lo[0]), hi[0]) for p in points)
+    table = spark.createDataFrame([(*g, i) for i, g in enumerate(groups)], _schema(rows, by).add("group", IntegerType()))
+    left = (on_groups(rows, table, by) if by else rows.withColumn("group", F.lit(0))).select("group", "resid", "e_plx", "err_sp")
+    known = dict(enumerate(widths.Known(row["n"], FACTOR_MIN, FACTOR_MAX) for row in sizes if row["n"]))
+    count, deviation = {g: k.n for g, k in known.items()}, target / MAD_SCALE
+    bits, reach = FIRST_BITS, REACH
+    while max(count.values()) > FEW_ROWS:
+        for _ in range(2):
+            known, medians_ = _narrowed(left, known, deviation, bits)
+            bits = min(bits + MORE_BITS, 52)
+        left, known, fewer = _candidates(left, known, medians_, deviation, REACH)
+        if max(fewer.values()) >= max(count.values()) and bits == 52:
+            break  # rows alike: they are counted, but cannot be told apart any further
+        count = fewer
+    out = _solved(left, known, deviation)
+    while unsure := [g for g, c in out.items() if c is None]:
+        # The two middle deviations lie apart: look at more rows of these groups.
+        reach *= 8
+        whole = on_groups(rows, table, by) if by else rows.withColumn("group", F.lit(0))
+        whole = whole.where(F.col("group").isin(unsure)).select("group", "resid", "e_plx", "err_sp")
+        fresh = {g: widths.Known(known[g].n, known[g].c_lo, known[g].c_hi) for g in unsure}
+        fresh, medians_ = _narrowed(whole, fresh, deviation, FIRST_BITS)
+        more, fresh, _ = _candidates(whole, fresh, medians_, deviation, reach)
+        out |= _solved(more, fresh, deviation)
+    return {groups[g]: c for g, c in out.items()}
+
+
+def _narrowed(rows: DataFrame, known: dict, deviation: float, bits: int):
+    """Smaller brackets from one pass over a grid of factors, and the medians' bounds at their ends."""
+    grids = {g: np.geomspace(k.c_lo, k.c_hi, GRID) for g, k in known.items()}
+    for g, k in known.items():
+        grids[g][[0, -1]] = k.c_lo, k.c_hi
+
+    def count(batches):
+        found: dict[tuple[int, int], list] = {}
+        for g, columns in _by_group(batches):
+            for k, c in enumerate(grids[g]):
+                digits = widths.image(widths.chi(*columns, c)) >> (52 - bits)
+                own = found.setdefault((g, k), [])
+                own.append(np.unique(digits, return_counts=True))
+                if len(own) == 64:
+                    found[g, k] = [_added(own)]
+        for (g, k), own in found.items():
+            digits, n = _added(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), g, np.int32)), pa.array(np.full(len(n), k, np.int32)),
+                                              pa.array(digits), pa.array(n)], names=["group", "k", "digit", "n"])
+
+    def bound(key, part):
+        import pandas as pd
+
+        g, k = int(key[0]), int(key[1])
+        return pd.DataFrame([(g, k, *widths.bounds(part["digit"].to_numpy(), part["n"].to_numpy(), bits, known[g]))])
+
+    counts = rows.mapInArrow(count, "group int, k int, digit long, n long").groupBy("group", "k", "digit").agg(F.sum("n").alias("n"))
+    at: dict[int, dict[int, tuple]] = {}
+    for row in counts.groupBy("group", "k").applyInPandas(
+            bound, "group int, k int, m_lo double, m_hi double, least double, most double").collect():
+        at.setdefault(row["group"], {})[row["k"]] = tuple(row)[2:]
+    out, medians_ = {}, {}
+    for g, k in known.items():
+        if g not in at:
+            out[g], medians_[g] = k, (0.0, 0.0, 0.0, np.inf)
+            continue
+        above = [i for i in range(GRID) if at[g][i][2] > deviation]
+        lo = max(above, default=0)
+        hi = min((i for i in range(GRID) if i > lo and at[g][i][3] <= deviation), default=GRID - 1)
+        if lo == hi:
+            lo = hi - 1
+        out[g] = replace(k, c_lo=float(grids[g][lo]), c_hi=float(grids[g][hi]))
+        ends = at[g][lo], at[g][hi]
+        medians_[g] = (min(e[0] for e in ends), max(e[1] for e in ends), min(e[2] for e in ends), max(e[3] for e in ends))
+    return out, medians_
+
+
+def _candidates(rows: DataFrame, known: dict, medians_: dict, deviation: float, reach: float):
+    """The rows that the brackets do not settle, written once, with the counts of the others."""
+    # Never wider than before: rows left out earlier keep their side only within the earlier limits.
+    limits = {g: (m_lo, m_hi, max(known[g].least, min(least, deviation) / (1 + reach)), min(known[g].most, max(most, deviation) * (1 + reach)))
+              for g, (m_lo, m_hi, least, most) in medians_.items()}
+
+    def sift(batches):
+        totals: dict[int, list[int]] = {}
+        for g, columns in _by_group(batches):
+            keep, below, inside = widths.candidates(*columns, known[g].c_lo, known[g].c_hi, *limits[g])
+            own = totals.setdefault(g, [0, 0, 0])
+            for i, v in enumerate((below, inside, int(keep.sum()))):
+                own[i] += v
+            n = int(keep.sum())
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, g, np.int32)), *[pa.array(c[keep]) for c in columns],
+                                                  *[pa.nulls(n, pa.int64())] * 3], names=names)
+        for g, own in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), *[pa.nulls(1, pa.float64())] * 3,
+                                              *[pa.array([v], pa.int64()) for v in own]], names=names)
+
+    names = ["group", "resid", "e_plx", "err_sp", "below", "inside", "kept"]
+    sifted = stage(rows.mapInArrow(sift, "group int, resid double, e_plx double, err_sp double, below long, inside long, kept long"))
+    out, count = dict(known), dict.fromkeys(known, 0)
+    for row in sifted.where(F.col("kept").isNotNull()).groupBy("group").agg(
+            *[F.sum(c).alias(c) for c in ("below", "inside", "kept")]).collect():
+        k, (_, _, least, most) = known[row["group"]], limits[row["group"]]
+        out[row["group"]] = replace(k, below=k.below + row["below"], inside=k.inside + row["inside"], least=least, most=most)
+        count[row["group"]] = row["kept"]
+    return sifted.where(F.col("kept").isNull()).select(*names[:4]), out, count
+
+
+def _solved(rows: DataFrame, known: dict, deviation: float) -> dict[int, float | None]:
+    def solve(key, part):
+        import pandas as pd
+
+        g = int(key[0])
+        c = widths.solve(*(part[c].to_numpy() for c in columns), known[g], deviation)
+        return pd.DataFrame({"group": [g], "factor": [c]})
+
+    columns = ["resid", "e_plx", "err_sp", "n"]
+    # Equal rows, which no narrowing can part, stand as one.
+    distinct = rows.groupBy("group", *columns[:3]).agg(F.count(F.lit(1)).alias("n"))
+    return {row["group"]: row["factor"] for row in distinct.groupBy("group").applyInPandas(solve, "group int, factor double").collect()}
+
+
+def _by_group(batches):
+    """The rows of each group of a batch as (group, [resid, err, scale])."""
+    for batch in batches:
+        group = batch.column("group").to_numpy()
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("resid", "e_plx", "err_sp")]
+        for g in np.unique(group):
+            mine = group == g
+            yield int(g), [c[mine] for c in columns]
+
+
+def _added(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    digits, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return digits, np.bincount(where, np.concatenate([p[1] for p in parts])).astype(np.int64)
 
 
 def _schema(df: DataFrame, by: Sequence[str]):
