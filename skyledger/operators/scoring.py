@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from skyledger.functions import exprs as x
-from skyledger.operators.fit import LinearModel, _predict, fit_parallax
+from skyledger.operators.fit import LinearModel, _predict
+from skyledger.operators.paths import fit_folds
 from skyledger.operators.joins import attach_star_table
 from skyledger.operators.robust import robust_stats
 from skyledger.operators.selection import apply_zero_point, complete_bands, drop_failed_spectra
@@ -209,12 +210,11 @@ def lambda_scan(rows: DataFrame, lams: Sequence[float], *, key: str, sample: str
     """Held-out robust scatter for each penalty, and the fold models of each.
 
     Every fold is predicted by the other fold's model; the scatter is taken on the
-    high signal-to-noise probe. All penalties are scored in one plan.
+    high signal-to-noise probe. All folds and penalties are fitted together, one scan
+    a step, and scored in one plan.
     """
-    models, scored = {}, None
-    for lam in lams:
-        fits = {f: fit_parallax(rows.filter(F.col(sample) == f), lam=lam, **options).model for f in ("A", "B")}
-        models[lam] = fits
+    models, scored = fit_folds(rows, lams, sample=sample, **options), None
+    for lam, fits in models.items():
         routed = rows.withColumn("model", F.when(F.col(sample) == "A", "B").otherwise("A"))
         one = predict_routed(routed, fits, [key, "plx", "e_plx"], model="model").withColumn("lam", F.lit(float(lam)))
         scored = one if scored is None else scored.unionByName(one)

@@ -47,24 +47,126 @@ def weighted_gram(spark, sf):
     return round_all(out, 3)
 
 
+# --- the fits in SQL: Gauss-Newton one coordinate after another until nothing moves ----------
+_D = 6  # the intercept and five features
+_TRAIN = LINES + ", train AS (SELECT * FROM rows WHERE train)"
+
+
+def _standardised(name: str, source: str, stats: str | None = None) -> str:
+    """``name``: x1..x5, plx and e of ``source``, standardised by ``stats`` or by its own statistics (as ``name``_s)."""
+    own = ", ".join(f"avg(f{i}) AS m{i}, stddev_pop(f{i}) AS s{i}" for i in range(5))
+    xs = ", ".join(f"(f{i} - m{i}) / s{i} AS x{i + 1}" for i in range(5))
+    made = "" if stats else f"{name}_s AS MATERIALIZED (SELECT {own} FROM {source}), "
+    return made + f"{name} AS MATERIALIZED (SELECT sample, train, plx, e_plx AS e, {xs} FROM {source}, {stats or name + '_s'})"
+
+
+def _z(alias: str = "") -> str:
+    dot = alias and alias + "."
+    return f"least(30, greatest(-30, {dot}t0" + "".join(f" + {dot}t{j} * x{j}" for j in range(1, _D)) + "))"
+
+
+def _descent_sql(name: str, rows: str, ridge: float = 0.0, sparse: float = 0.0, n_free: int = 1, start: str | None = None,
+                 sweeps: int = 60) -> str:
+    """``name``: the coefficients t0..t5 that minimise the objective over ``rows``."""
+    begin = f"SELECT 0 AS k, {', '.join(f't{j}' for j in range(_D))} FROM {start}" if start else (
+        f"SELECT 0 AS k, avg(ln(plx)) AS t0, {', '.join(f'0.0::DOUBLE AS t{j}' for j in range(1, _D))} FROM {rows} WHERE plx > 0")
+    turn = "CASE k % 6 " + " ".join(f"WHEN {j} THEN {{{j}}}" for j in range(_D)) + " END"
+    axis = turn.format("1.0", *[f"x{j}" for j in range(1, _D)])
+    mine = turn.format(*[f"t{j}" for j in range(_D)])
+    penalty = f"CASE WHEN k % 6 = 0 THEN 0.0 ELSE {ridge} END"
+    cost = f"CASE WHEN k % 6 < {n_free} THEN 0.0 ELSE {sparse} END"
+    # The coordinate's minimiser of the quadratic model, shrunk by its cost.
+    free = f"((h + {penalty}) * ({mine}) - g - {penalty} * ({mine}))"
+    new = f"sign({free}) * greatest(abs({free}) - {cost}, 0.0) / (h + {penalty})"
+    moved = ", ".join(f"CASE WHEN k % 6 = {j} THEN {new} ELSE t{j} END AS t{j}" for j in range(_D))
+    return f"""{name}_k AS ({begin} UNION ALL SELECT k + 1, {moved} FROM (SELECT i.*, g, h FROM {name}_k i, LATERAL (
+        SELECT avg(m * (m - plx) / (e * e) * x) AS g, avg(m * m / (e * e) * x * x) AS h
+        FROM (SELECT plx, e, exp({_z('i')}) AS m, {axis} AS x FROM {rows}))) WHERE k < {_D * sweeps}),
+      {name} AS MATERIALIZED (SELECT * EXCLUDE (k) FROM {name}_k ORDER BY k DESC LIMIT 1)"""
+
+
+def _coefficients_sql(fitted: str) -> str:
+    rows = " UNION ALL ".join(f"SELECT {j} AS i, {r(f't{j}', 5)} AS theta FROM fitted" for j in range(_D))
+    return f"WITH RECURSIVE {_TRAIN}, {_standardised('a', 'train')}, {fitted} {rows}"
+
+
+def _clipped_sql(lam: float, sigmas: float, rounds: int) -> str:
+    parts = [_standardised("a0", "train"), _descent_sql("fit0", "a0", ridge=lam)]
+    for k in range(rounds):
+        parts.append(f"""chi{k} AS MATERIALIZED (SELECT a{k}.*, (plx - exp({_z()})) / e AS chi FROM a{k}, fit{k}),
+          a{k + 1} AS MATERIALIZED (SELECT * EXCLUDE (chi, c, w) FROM chi{k}, (SELECT median(chi) AS c, {sigmas} * 1.48::DOUBLE * mad(chi) AS w FROM chi{k})
+            WHERE abs(chi - c) <= w)""")
+        parts.append(_descent_sql(f"fit{k + 1}", f"a{k + 1}", ridge=lam, start=f"fit{k}", sweeps=25))
+    squares = " + ".join(f"t{j} * t{j}" for j in range(1, _D))
+    return f"""WITH RECURSIVE {_TRAIN}, {', '.join(parts)}
+      SELECT count(*) AS n_used, (SELECT count(*) FROM a0) - count(*) AS n_clipped,
+        {r(f"avg(0.5 * ((plx - exp({_z()})) / e) ** 2) + any_value(0.5 * {lam} * ({squares}))", 5)} AS objective FROM a{rounds}, fit{rounds}"""
+
+
+def _fold_fits(lam: float, tag: str) -> list[str]:
+    return [part for f in "AB" for part in (
+        _standardised(f"a{f}{tag}", f"(SELECT * FROM train WHERE sample = '{f}')"), _descent_sql(f"fit{f}{tag}", f"a{f}{tag}", ridge=lam))]
+
+
+def _scan_sql(lams) -> str:
+    parts, scored = [], []
+    for i, lam in enumerate(lams):
+        parts += _fold_fits(lam, str(i))
+        for own, other in ("AB", "BA"):
+            parts.append(_standardised(f"p{own}{i}", f"(SELECT * FROM train WHERE sample = '{own}')", stats=f"a{other}{i}_s"))
+            scored.append(f"SELECT {lam}::DOUBLE AS lam, (exp({_z()}) - plx) / nullif(plx, 0) AS frac FROM p{own}{i}, fit{other}{i} WHERE plx / e >= 20 AND plx > 0")
+    return f"""WITH RECURSIVE {_TRAIN}, {', '.join(parts)}
+      SELECT lam, count(frac) AS n_probe, {r('1.48::DOUBLE * mad(frac)', 4)} AS scatter FROM ({' UNION ALL '.join(scored)}) GROUP BY lam"""
+
+
+def _evaluated_sql(lam: float) -> str:
+    from skyledger.plans.evaluation import PROBE, _evaluate_sql
+    parts = [*_fold_fits(lam, ""), _standardised("aall", "train"), _descent_sql("fitall", "aall", ridge=lam)]
+    sides = []
+    for name, where, by in (("qa", "train AND sample = 'A'", "B"), ("qb", "train AND sample = 'B'", "A"), ("qo", "NOT train", "all")):
+        parts.append(_standardised(name, f"(SELECT * FROM rows WHERE {where})", stats=f"a{by}_s"))
+        sides.append(f"SELECT sample, train, plx, e AS e_plx, exp({_z()}) AS plx_sp FROM {name}, fit{by}")
+    prelude = f"""{_TRAIN}, {', '.join(parts)}, joined AS ({' UNION ALL '.join(sides)}),
+      cat AS (SELECT *, plx_sp * (SELECT 1.48::DOUBLE * mad(ln(plx_sp) - ln(plx)) FROM joined WHERE train AND plx > 0 AND {PROBE}) AS err_sp FROM joined)"""
+    return _evaluate_sql(prelude, "cat").replace(", 6) + 0.0)", ", 4) + 0.0)").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _components_sql(k: int, squarings: int = 16) -> str:
+    """Leading variances by repeated squaring of the correlation matrix, each taken off before the next."""
+    parts = ["""cells AS (SELECT row, i, embedding[i]::DOUBLE AS v FROM (SELECT row_number() OVER () AS row, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
+      z AS MATERIALIZED (SELECT row, i, (v - avg(v) OVER (PARTITION BY i)) / stddev_pop(v) OVER (PARTITION BY i) AS z FROM cells),
+      g0 AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.z * b.z) / (SELECT count(*) - 1 FROM embeddings) AS v FROM z a JOIN z b USING (row) GROUP BY 1, 2)"""]
+    for c in range(k):
+        before = f"g{c}"
+        for s in range(squarings):
+            name = f"p{c}_{s}"
+            parts.append(f"""{name}_r AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {before} a JOIN {before} b ON a.j = b.i GROUP BY 1, 2),
+              {name} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {name}_r WHERE i = j) AS v FROM {name}_r)""")
+            before = name
+        parts.append(f"""l{c} AS MATERIALIZED (SELECT sum(g.v * p.v) AS v FROM g{c} g JOIN {before} p ON g.i = p.j AND g.j = p.i),
+          g{c + 1} AS MATERIALIZED (SELECT i, j, g.v - l{c}.v * p.v AS v FROM g{c} g JOIN {before} p USING (i, j), l{c})""")
+    rows = " UNION ALL ".join(f"SELECT {c} AS component, {r('sqrt(v)', 4)} AS scale FROM l{c}" for c in range(k))
+    return f"WITH {', '.join(parts)} {rows}"
+
+
 def _coefficients(spark, result):
     t = result.model.theta
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(t)], "i int, theta double")
 
 
-@query("ridge_fit")
+@query("ridge_fit", _coefficients_sql(_descent_sql("fitted", "a", ridge=0.01)))
 def ridge_fit(spark, sf):
     rows = stage(lines(spark, sf).filter("train"))
     return round_all(_coefficients(spark, fit.fit_parallax(rows, lam=0.01)), 5)
 
 
-@query("sparse_fit")
+@query("sparse_fit", _coefficients_sql(_descent_sql("fitted", "a", sparse=0.2, n_free=2)))
 def sparse_fit(spark, sf):
     rows = stage(lines(spark, sf).filter("train"))
     return round_all(_coefficients(spark, fit.fit_parallax(rows, lam=0.2, penalty="l1", n_free=2)), 5)
 
 
-@query("clipped_fit")
+@query("clipped_fit", _clipped_sql(0.01, 2.0, 5))
 def clipped_fit(spark, sf):
     rows = stage(lines(spark, sf).filter("train"))
     out = fit.fit_parallax(rows, lam=0.01, clip_sigma=2.0)
@@ -101,7 +203,7 @@ def in_fold_predict(spark, sf):
     return round_all(sc.predict_routed(rows, _FOLD_MODELS, ["sdss_id"]))
 
 
-@query("fit_score_evaluate")
+@query("fit_score_evaluate", _evaluated_sql(0.01))
 def fit_score_evaluate(spark, sf):
     """Three fits, leave-out scoring, constant error and the report by fold."""
     from skyledger.operators.calibrate import constant_error
@@ -114,7 +216,7 @@ def fit_score_evaluate(spark, sf):
     return round_all(evaluate(constant_error(cat)), 4)
 
 
-@query("lambda_scan")
+@query("lambda_scan", _scan_sql([0.001, 1.0]))
 def lambda_scan(spark, sf):
     rows = stage(lines(spark, sf).filter("train"))
     scan, _ = sc.lambda_scan(rows, [0.001, 1.0], key="sdss_id")
@@ -127,7 +229,7 @@ def best_lambda(spark, sf):
     return spark.createDataFrame([(sc.best_lambda(scan),)], "lam double")
 
 
-@query("principal_components")
+@query("principal_components", _components_sql(4))
 def principal_components(spark, sf):
     e = stage(table(spark, sf, "embeddings").select(F.col("embedding").alias("features")))
     mu, sd, _ = sp.feature_stats(e)
