@@ -210,3 +210,17 @@ def penalty(theta_spectral: list[float], phi: list[float], residual: ColumnLike,
 
     fixed = l1_spectral * mean_abs(theta_spectral) + l1_phi * mean_abs(phi)
     return F.lit(fixed) + l2_residual * F.avg(col(residual) * col(residual))
+
+
+# --- identifiers --------------------------------------------------------------
+def text_id(c: ColumnLike) -> Column:
+    """An id as trimmed text; bytes are decoded as UTF-8, numbers written out, blanks are null."""
+    text = F.trim(col(c).cast("string"))  # the cast reads bytes as UTF-8
+    return F.when(text != "", text)
+
+
+def prefixed_id(c: ColumnLike, prefix: str = "2M") -> Column:
+    """The id as text with the survey's prefix, put in front unless it is there in either case."""
+    text = text_id(c)
+    there = F.upper(F.substring(text, 1, len(prefix))) == prefix.upper()
+    return F.when(there, F.concat(F.lit(prefix), F.substring(text, len(prefix) + 1, 2 ** 31 - 1))).otherwise(F.concat(F.lit(prefix), text))

@@ -153,7 +153,8 @@ def _answers(data: DataFrame, stats: dict, questions: dict, size: int) -> dict[t
                                              names=["part", "block"])
 
     problem = fit._Problem(data.where(F.col("fold").isin(*stats)), *next(iter(stats.values()))[:2])
-    blocks = problem.one_partial_per_core().mapInArrow(run, "part int, block binary")
-    sums = fit._collect_sums(problem, blocks, ["part"], sum(map(length, questions.values())))
+    values = sum(map(length, questions.values()))
+    blocks = problem.partials(values).mapInArrow(run, "part int, block binary")
+    sums = fit._collect_sums(problem, blocks, ["part"], values)
     out = {key: sums.get((i,), np.zeros(length(questions[key]))) for i, key in enumerate(asked)}
     return out | {key: out[first[key[0]]] for key in asked if questions[key][0] == "start"}

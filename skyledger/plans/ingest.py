@@ -7,12 +7,13 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
+from skyledger.functions import exprs as x
 from skyledger.operators import fit
 from skyledger.plans.arrays import PIX, spectra
 from skyledger.plans.registry import query
 from skyledger.plans.tables import r, round_all, table
 from skyledger.session import staging_folder
-from skyledger.sources import models, tables, writers
+from skyledger.sources import datasets, models, tables, writers
 from skyledger.sources.datasets import lookup
 from skyledger.streaming import jobs
 
@@ -166,16 +167,16 @@ def stream_pixel_counts(spark, sf):
 
 
 # --- schema checks, labels, anchors, datasets ------------------------------------------
-@query("missing_columns", "SELECT 'lineitem lacks [''flux'', ''snr'']' AS refusal, count(*) AS n_rows FROM lineitem")
+_WANTED = ["l_orderkey", "flux", "l_comment_id"]
+
+
+@query("missing_columns", """WITH li AS (SELECT l_orderkey, CASE WHEN l_quantity < 0 THEN 1 END AS l_comment_id FROM lineitem)
+  SELECT 'lines' AS "table", count(*) AS n_rows, 'flux' AS lacks, CASE WHEN count(l_comment_id) = 0 THEN 'l_comment_id' ELSE '' END AS empty FROM li
+  UNION ALL SELECT 'orders', count(*), 'l_orderkey,flux,l_comment_id', '' FROM orders""")
 def missing_columns(spark, sf):
-    li = table(spark, sf, "lineitem")
-    try:
-        tables.require_columns(li, ["l_orderkey", "flux", "snr"], "lineitem")
-        said = "nothing"
-    except ValueError as e:
-        said = str(e).replace(" columns", "").split(";")[0]
-    passed = tables.require_columns(li, ["l_orderkey", "l_partkey"])
-    return passed.agg(F.lit(said).alias("refusal"), F.count(F.lit(1)).alias("n_rows"))
+    li = table(spark, sf, "lineitem").select("l_orderkey", F.when(F.col("l_quantity") < 0, 1).alias("l_comment_id"))
+    gaps = tables.column_gaps({"lines": li, "orders": table(spark, sf, "orders")}, _WANTED)
+    return gaps.select("table", "n_rows", F.array_join("lacks", ",").alias("lacks"), F.array_join("empty", ",").alias("empty"))
 
 
 @query("labelled_files", f"SELECT l_returnflag AS cluster, l_orderkey, {r('l_quantity')} AS l_quantity FROM lineitem")
@@ -198,24 +199,38 @@ def anchor_table(spark, sf):
     return round_all(tables.anchors(spark, path))
 
 
-@query("dataset_resolution", "SELECT vec_id, CASE WHEN label % 3 = 2 THEN 'legacy' ELSE 'dr17' END AS dataset FROM embeddings")
+# Saved models name their dataset, or only list its bands, or list bands that no dataset has, or neither.
+_BANDS = list(lookup("dr17")["bands"])
+_MODELS_SQL = f"""models AS (SELECT vec_id, CASE label % 4 WHEN 0 THEN 'dr17' WHEN 1 THEN 'gone' END AS name,
+    CASE label % 4 WHEN 0 THEN ['x'] WHEN 1 THEN {_BANDS} WHEN 2 THEN {_BANDS[:2]} END AS bands,
+    CASE WHEN label % 3 = 0 THEN 'dr17' ELSE 'dr99' END AS target FROM embeddings)"""
+
+
+def _models(spark, sf):
+    kind = F.col("label") % 4
+    bands = F.when(kind == 0, F.array(F.lit("x"))).when(kind == 1, F.array(*map(F.lit, _BANDS))).when(kind == 2, F.array(*map(F.lit, _BANDS[:2])))
+    return table(spark, sf, "embeddings").select(
+        "vec_id", F.when(kind == 0, "dr17").when(kind == 1, "gone").alias("name"), bands.alias("bands"),
+        F.when(F.col("label") % 3 == 0, "dr17").otherwise("dr99").alias("target"))
+
+
+@query("dataset_resolution", f"""WITH {_MODELS_SQL} SELECT vec_id, CASE WHEN name = 'dr17' OR bands = {_BANDS} THEN 'dr17' WHEN bands IS NOT NULL THEN 'legacy' END AS dataset,
+  array_to_string(CASE WHEN name = 'dr17' THEN {_BANDS} ELSE bands END, ',') AS bands FROM models""")
 def dataset_resolution(spark, sf):
-    bands = lookup("dr17")["bands"]
-    # Saved models name their dataset, or only list its bands, or list bands that no dataset has.
-    found = [lookup("dr17", ["x"])["name"], lookup(None, bands)["name"], lookup("gone", bands[:2])["name"]]
-    e = table(spark, sf, "embeddings")
-    return e.select("vec_id", F.element_at(F.array(*[F.lit(n) for n in found]), F.col("label") % 3 + 1).alias("dataset"))
+    found = datasets.resolve(_models(spark, sf), datasets.dataset_table(spark))
+    return found.select("vec_id", "dataset", F.array_join("dataset_bands", ",").alias("bands"))
 
 
-@query("foreign_bands", "SELECT label, label % 2 = 1 AS refused FROM embeddings")
+@query("foreign_bands", f"""WITH {_MODELS_SQL} SELECT vec_id, coalesce(target <> 'dr17' OR bands <> {_BANDS}, true) AS refused FROM models""")
 def foreign_bands(spark, sf):
-    from skyledger.operators.scoring import require_same_bands
-    bands, refused = list(lookup("dr17")["bands"]), []
-    for wanted in (bands, bands[::-1]):
-        try:
-            require_same_bands(bands, wanted)
-            refused.append(False)
-        except ValueError:
-            refused.append(True)
-    e = table(spark, sf, "embeddings")
-    return e.select("label", F.element_at(F.array(*[F.lit(v) for v in refused]), F.col("label") % 2 + 1).alias("refused"))
+    return datasets.foreign_models(_models(spark, sf), datasets.dataset_table(spark)).select("vec_id", "refused")
+
+
+@query("prefixed_ids", """SELECT c_custkey, '2M' || CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE c_custkey::VARCHAR END AS id FROM customer
+  WHERE c_custkey % 5 <> 0 UNION ALL SELECT c_custkey, NULL FROM customer WHERE c_custkey % 5 = 0""")
+def prefixed_ids(spark, sf):
+    """Ids as bytes, some with the prefix in either case, some blank."""
+    k = F.col("c_custkey")
+    plain = F.when(k % 3 == 0, F.col("c_name")).otherwise(k.cast("string"))
+    raw = F.when(k % 5 == 0, " ").when(k % 2 == 0, F.concat(F.lit(" 2m"), plain)).otherwise(F.concat(plain, F.lit("  ")))
+    return table(spark, sf, "customer").select("c_custkey", x.prefixed_id(F.encode(raw, "UTF-8")).alias("id"))

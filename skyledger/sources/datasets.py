@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
 
 def spec(name: str, bands: Sequence[str], extinction: Sequence[str] = (), replaced: Mapping[str, str] | None = None,
          flagged: bool = False) -> dict[str, object]:
@@ -40,3 +42,34 @@ def feature_names(row: Mapping[str, object]) -> list[str]:
     if row["extinction"]:
         names.append("extinction")
     return names
+
+
+def dataset_table(spark: SparkSession, rows: Sequence[Mapping[str, object]] = DATASETS) -> DataFrame:
+    """The datasets as rows of (dataset, bands)."""
+    return spark.createDataFrame([(row["name"], list(row["bands"])) for row in rows], "dataset string, bands array<string>")
+
+
+def resolve(models: DataFrame, datasets: DataFrame, name: str = "name", bands: str = "bands") -> DataFrame:
+    """Each model with the ``dataset`` it was fitted on and that dataset's bands (``dataset_bands``).
+
+    By name if a dataset is called so, else by an equal band list, else ``legacy`` with
+    the model's own bands. A model with neither a known name nor bands has a null
+    dataset. Datasets that share a band list count as their first by name.
+    """
+    by_name = datasets.select(F.col("dataset").alias("__name"), F.col("bands").alias("__named"))
+    by_bands = datasets.groupBy(F.col("bands").alias("__bands")).agg(F.min("dataset").alias("__found"))
+    joined = models.join(by_name, models[name] == F.col("__name"), "left").join(by_bands, models[bands] == F.col("__bands"), "left")
+    own = F.when(F.col(bands).isNotNull(), F.lit("legacy"))
+    return joined.withColumns({
+        "dataset": F.coalesce("__name", "__found", own),
+        "dataset_bands": F.coalesce("__named", "__bands", F.col(bands))}).drop("__name", "__named", "__bands", "__found")
+
+
+def foreign_models(resolved: DataFrame, datasets: DataFrame, bands: str = "bands", target: str = "target") -> DataFrame:
+    """Models with ``refused``: whether their bands differ, in names or order, from those of the dataset they are to score.
+
+    A target that no dataset is called, or a model without bands, is refused.
+    """
+    wanted = datasets.select(F.col("dataset").alias("__target"), F.col("bands").alias("__wanted"))
+    joined = resolved.join(wanted, resolved[target] == F.col("__target"), "left")
+    return joined.withColumn("refused", ~F.coalesce(F.col(bands) == F.col("__wanted"), F.lit(False))).drop("__target", "__wanted")

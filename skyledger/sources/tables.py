@@ -18,6 +18,22 @@ def require_columns(df: DataFrame, columns: Sequence[str], what: str = "table")
     return df
 
 
+def column_gaps(tables: Mapping[str, DataFrame], columns: Sequence[str]) -> DataFrame:
+    """Per table its rows and the wanted columns that it lacks or holds only missing values in.
+
+    One pass over each table; an empty list in both says that the table will do.
+    """
+    out = None
+    for name, df in tables.items():
+        there = [c for c in columns if c in df.columns]
+        lacks = F.array(*[F.lit(c) for c in columns if c not in df.columns]).cast("array<string>")
+        empty = F.array_compact(F.array(*[F.when(F.count(F.col(c)) == 0, F.lit(c)) for c in there]).cast("array<string>"))
+        one = df.agg(F.count(F.lit(1)).alias("n_rows"), empty.alias("empty")).select(
+            F.lit(name).alias("table"), "n_rows", lacks.alias("lacks"), "empty")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def scan(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """Parquet scan of the wanted columns only."""
     paths = [path] if isinstance(path, str) else list(path)

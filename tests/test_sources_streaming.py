@@ -10,6 +10,8 @@ from skyledger.operators.calibrate import interpolate, recalibration_factor
 from skyledger.operators.spectra import hit_counts
 from skyledger.session import clear_staged, stage
 from skyledger.sources import models, tables, writers
+from skyledger.functions import exprs
+from skyledger.sources import datasets
 from skyledger.sources.datasets import feature_names, lookup, spec
 from skyledger.streaming import jobs
 
@@ -184,3 +186,30 @@ def test_networks_come_back_as_saved(spark, tmp_path):
     old = str(tmp_path / "old")
     spark.read.parquet(path).where("name <> 'dataset'").write.parquet(old)
     assert models.load_network(spark, old)["dataset"] is lookup("dr17")
+
+
+def test_models_resolve_by_name_then_by_bands(spark):
+    known = datasets.dataset_table(spark, [spec("one", ["g", "r"]), spec("two", ["j", "k"]), spec("zwei", ["j", "k"])])
+    rows = [(1, "one", ["x"]), (2, "gone", ["j", "k"]), (3, None, ["k", "j"]), (4, "gone", None), (5, "zwei", None), (5, "zwei", None)]
+    resolved = datasets.resolve(spark.createDataFrame([(*r, "one") for r in rows], "id int, name string, bands array<string>, target string"), known)
+    got = sorted((r["id"], r["dataset"] or "", r["dataset_bands"]) for r in resolved.collect())
+    assert got == [(1, "one", ["g", "r"]), (2, "two", ["j", "k"]), (3, "legacy", ["k", "j"]), (4, "", None),
+                   (5, "zwei", ["j", "k"]), (5, "zwei", ["j", "k"])]
+    refused = datasets.foreign_models(spark.createDataFrame(
+        [(1, ["g", "r"], "one"), (2, ["r", "g"], "one"), (3, ["g", "r"], "none"), (4, None, "one")], "id int, bands array<string>, target string"), known)
+    assert {r["id"]: r["refused"] for r in refused.collect()} == {1: False, 2: True, 3: True, 4: True}
+
+
+def test_ids_are_decoded_and_prefixed_once(spark):
+    raw = [b"2M001", b" 2m002 ", b"003", b"", None, "2\u039c".encode()]
+    df = spark.createDataFrame([(i, None if v is None else bytearray(v)) for i, v in enumerate(raw)], "i int, id binary")
+    got = [r[0] for r in df.orderBy("i").select(exprs.prefixed_id("id")).collect()]
+    assert got == ["2M001", "2M002", "2M003", None, None, "2M2\u039c"]
+    assert spark.range(5, 6).select(exprs.prefixed_id("id")).first()[0] == "2M5"
+
+
+def test_column_gaps(spark):
+    df = spark.createDataFrame([(1, None)], "a int, b int")
+    got = {r["table"]: r for r in tables.column_gaps({"t": df, "none": df.limit(0)}, ["a", "b", "c"]).collect()}
+    assert (got["t"]["n_rows"], got["t"]["lacks"], got["t"]["empty"]) == (1, ["c"], ["b"])
+    assert (got["none"]["n_rows"], got["none"]["empty"]) == (0, ["a", "b"])
