@@ -106,29 +106,36 @@ def votes(pattern: np.ndarray) -> np.ndarray:
 
 
 def expectation_maximisation(pattern: np.ndarray, count: np.ndarray, rounds: int = 500, tol: float = 1e-9):
-    """Posterior of good for every given pattern, and each rule's accuracy among its votes."""
+    """Posterior of good for every given pattern, and each rule's accuracy among its votes.
+
+    An abstention says nothing: a rule's chances are those among the votes it casts.
+    A rule votes bad at least as often on bad documents as on good ones, so the two
+    classes cannot change places; a rule that says the same of all says nothing.
+    """
     vote = votes(pattern)
     weight = count / count.sum()
     # Start: an even mind, moved by the share of good among the cast votes.
     good, bad = (vote == 1).sum(axis=1), (vote == 2).sum(axis=1)
     posterior = (good + 0.5) / (good + 3 * bad + 1.0)
-    chance = np.zeros((2, len(RULES), 3))
+    chance = np.zeros((2, len(RULES)))  # of a vote for bad, if one is cast, on good and on bad documents
     for _ in range(rounds):
         share = np.array([weight @ posterior, weight @ (1 - posterior)])
-        for side, p in enumerate((posterior, 1 - posterior)):
-            for k in range(len(RULES)):
-                cast = np.bincount(vote[:, k], weights=weight * p, minlength=3)
-                chance[side, k] = (cast + 1e-4) / (cast.sum() + 3e-4)
-        log = np.log(np.maximum(share, 1e-12))[:, None] + np.array(
-            [sum(np.log(chance[side, k, vote[:, k]]) for k in range(len(RULES))) for side in (0, 1)])
-        fresh = 1 / (1 + np.exp(np.clip(log[1] - log[0], -700, 700)))
+        for k in range(len(RULES)):
+            cast = np.array([[p[vote[:, k] == 1].sum(), p[vote[:, k] == 2].sum()] for p in (weight * posterior, weight * (1 - posterior))]) + 1e-6
+            rate = cast[:, 1] / cast.sum(axis=1)
+            chance[:, k] = rate if rate[1] >= rate[0] else cast[:, 1].sum() / cast.sum()
+        said_bad, said_good = np.log(chance[1] / chance[0]), np.log((1 - chance[1]) / (1 - chance[0]))
+        evidence = np.where(vote == 2, said_bad, np.where(vote == 1, said_good, 0.0))
+        against = evidence.sum(axis=1)
+        log = np.log(np.maximum(share, 1e-12))
+        fresh = 1 / (1 + np.exp(np.clip(log[1] - log[0] + against, -700, 700)))
         moved = np.abs(fresh - posterior).max()
         posterior = fresh
         if moved < tol:
             break
-    right = share[0] * chance[0, :, 1] + share[1] * chance[1, :, 2]
-    cast = right + share[0] * chance[0, :, 2] + share[1] * chance[1, :, 1]
-    return posterior, right / cast
+    cast = np.array([[(weight * p)[vote[:, k] == v].sum() for k in range(len(RULES))] for p, v in
+                     ((posterior, 1), (1 - posterior, 2), (1 - posterior, 1), (posterior, 2))])
+    return posterior, (cast[0] + cast[1]) / np.maximum(cast.sum(axis=0), 1e-300)
 
 
 def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -58,6 +58,36 @@ def test_em_finds_the_two_kinds():
     np.testing.assert_allclose(accuracy, right, atol=0.03)
 
 
+def fitted(vote):
+    pattern = (vote * 3 ** np.arange(len(Q.RULES))[::-1]).sum(axis=1)
+    known, back, count = np.unique(pattern, return_inverse=True, return_counts=True)
+    posterior, accuracy = Q.expectation_maximisation(known, count.astype(float))
+    return posterior[back], accuracy
+
+
+def test_a_corpus_without_a_bad_vote_loses_nothing():
+    vote = np.ones((20_000, len(Q.RULES)), int)
+    vote[:8000, [2, 5]] = 0
+    posterior, accuracy = fitted(vote)
+    assert (posterior >= Q.KEEP_AT).all() and (accuracy > 0.9).all()
+
+
+def test_one_style_of_writing_is_no_class_of_bad_documents():
+    vote = np.ones((20_000, len(Q.RULES)), int)
+    names = [r[0] for r in Q.RULES]
+    vote[:8000, names.index("capitals")] = 2
+    vote[:8000, names.index("marks")] = 0
+    assert (fitted(vote)[0] >= Q.KEEP_AT).all()
+
+
+def test_mostly_bad_corpora_do_not_change_the_classes_over():
+    rng = np.random.default_rng(2)
+    truth = rng.random(20_000) < 0.25
+    vote = np.where(rng.random((20_000, len(Q.RULES))) < 0.85, truth[:, None], ~truth[:, None])
+    posterior, _ = fitted(np.where(vote, 1, 2))
+    assert ((posterior >= 0.5) == truth).mean() > 0.95
+
+
 def test_edges_of_the_table(spark):
     good = " ".join(f"some{k} words here" for k in range(60))
     rows = [(1, None, "a"), (2, "", "b"), (3, good, "c"), (3, good, "c"), (None, good, "d"), (4, "same word " * 40_000, "e")]
