@@ -118,20 +118,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     """(query_id, rank, vec_id, score): the k highest of every query against all rows but those of its own id.
 
     ``is_query`` is a condition on ``vec_id``. Ties go to the smaller id; repeated
-    rows are candidates each. Only vectors of the query's length are compared.
+    rows are candidates each, and queries each with k rows of their own. Only
+    vectors of the query's length are compared.
     Scores beyond a long are cut to its limits. An empty table gives none.
     """
-    rows = stage(whole_vectors(vectors, id_col, vector_col).withColumn("deal", F.xxhash64("vec_id", F.monotonically_increasing_id())))
+    # The row number is written with the row: it tells repeated query rows apart, and deals rows out.
+    rows = stage(whole_vectors(vectors, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()))
+    rows = rows.withColumn("deal", F.xxhash64("vec_id", "row"))
     queries = rows.where(is_query)
     blocks = max(1, -(-rows.count() // block_rows))
     chunks = max(1, -(-queries.count() // query_rows))
-    cells = StructType.fromDDL("query_id long, vec_id long, score long")
-    empty = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    cells = StructType.fromDDL("query_row long, query_id long, vec_id long, score long")
+    empty = pa.schema([(c, pa.int64()) for c in cells.names])
 
     every_chunk = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
     every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = rows.select("size", F.pmod("deal", F.lit(blocks)).cast("int").alias("block"), every_chunk.alias("chunk"), "vec_id", "vector")
-    right = queries.select("size", every_block.alias("block"), F.pmod(F.shiftright("deal", 20), F.lit(chunks)).cast("int").alias("chunk"), "vec_id", "vector")
+    right = queries.select("size", every_block.alias("block"), F.pmod(F.shiftright("deal", 20), F.lit(chunks)).cast("int").alias("chunk"), "row", "vec_id", "vector")
 
     def tile(candidates: pa.Table, asked: pa.Table) -> pa.Table:
         if not candidates.num_rows or not asked.num_rows:
@@ -139,10 +142,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
         size = candidates.column("size")[0].as_py()
         block = Block(candidates.column("vec_id").to_numpy(), _unpack(candidates.column("vector"), size))
         out = []
-        for q, vector in zip(asked.column("vec_id").to_pylist(), _unpack(asked.column("vector"), size)):
-            out += [(q, i, max(-_LONG, min(_LONG - 1, s))) for s, i in block.top(q, vector, k)[0]]
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], [], []))], schema=empty)
+        for row, q, vector in zip(asked.column("row").to_pylist(), asked.column("vec_id").to_pylist(), _unpack(asked.column("vector"), size)):
+            out += [(row, q, i, max(-_LONG, min(_LONG - 1, s))) for s, i in block.top(q, vector, k)[0]]
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], schema=empty)
 
     found = left.groupBy("size", "block", "chunk").cogroup(right.groupBy("size", "block", "chunk")).applyInArrow(tile, cells)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    place = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -51,3 +51,14 @@ def test_query_matches_sql(spark, sf):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
     want = sorted(con.execute(ORACLES["op10_threshold_topk"]).fetchall())
     assert sorted(tuple(r) for r in QUERIES["op10_threshold_topk"](spark, sf).collect()) == want
+
+
+def test_repeated_query_rows_have_k_rows_each(spark):
+    rows = [(50, [2.0, 1.0]), (50, [2.0, 1.0]), (50, [-1.0, 0.0])] + [(i, [float(8 - i), 1.0]) for i in range(1, 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in T.top_k(df, F.col("vec_id") % 50 == 0, block_rows=3, query_rows=1).collect())
+    want = []
+    for q in ([2.0, 1.0], [2.0, 1.0], [-1.0, 0.0]):
+        scores = sorted(((int(sum(256 * a * 256 * b for a, b in zip(q, v))), i) for i, v in rows if i != 50), key=lambda s: (-s[0], s[1]))[:5]
+        want += [(k + 1, i, s) for k, (s, i) in enumerate(scores)]
+    assert got == sorted(want)
