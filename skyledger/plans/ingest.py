@@ -163,7 +163,7 @@ def stream_pixel_counts(spark, sf):
     flagged.repartition(4).write.parquet(source)
     stream = jobs.file_stream(spark, source, flagged.schema, files_per_batch=2)
     jobs.running_pixel_counts(stream, state, fresh(spark)).awaitTermination()
-    return jobs.latest_counts(spark, state)
+    return jobs.latest_pixel_counts(spark, state)
 
 
 # --- schema checks, labels, anchors, datasets ------------------------------------------
