@@ -8,13 +8,16 @@ modulo that band's cell count, so poles and RA 0/360 need no special case.
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skyledger.functions import sky
 from skyledger.functions.exprs import in_range, is_finite
 from skyledger.operators.dedup import keep_best, keep_first
 from skyledger.operators.quantiles import medians, with_scalars
-from skyledger.session import stage
+from skyledger.session import stage, staging_folder
 
 # Sources of one cell that go to one task.
 SPLIT_ROWS = 100_000
@@ -117,6 +120,67 @@ def match_progressively(targets: DataFrame, sources: DataFrame, radii_arcsec: li
     return found
 
 
+@dataclass(frozen=True)
+class ZoneIndex:
+    """A catalogue kept by sky cell: a bucketed, sorted table, and the splits of its crowded cells."""
+
+    table: str
+    source_id: str
+    height: float  # of a cell, in degrees
+    splits: DataFrame  # __band, __cell, __splits of the cells that have sources
+
+
+def build_zone_index(sources: DataFrame, *, source_id: str, cell_arcsec: float, buckets: int, ra: str = "ra",
+                     dec: str = "dec") -> ZoneIndex:
+    """Lay the catalogue out by cell once, for any number of later matches.
+
+    The cell should be a few times the usual radius, ``buckets`` at least the tasks
+    that a match is to have. Rows without a position are left out. A cell of more
+    than ``SPLIT_ROWS`` sources is split over several buckets. The table lies in
+    the staging folder under a name of its own.
+    """
+    height = max(cell_arcsec / 3600.0, 1e-5)
+    spark = sources.sparkSession
+    placed = _home_cell(sources.filter(in_range(ra) & in_range(dec)).select(
+        F.col(source_id), F.col(ra).alias("s_ra"), F.col(dec).alias("s_dec")), "s_ra", "s_dec", height)
+    splits = stage(placed.groupBy("__band", "__cell").agg(F.ceil(F.count(F.lit(1)) / SPLIT_ROWS).alias("__splits")))
+    salted = placed.join(splits, ["__band", "__cell"]).withColumn(
+        "__salt", F.pmod(F.xxhash64(source_id, "s_ra", "s_dec"), F.col("__splits"))).drop("__splits")
+    name = f"zones_{uuid.uuid4().hex}"
+    keys = ["__band", "__cell", "__salt"]
+    (salted.repartition(buckets, *keys).write.option("path", f"{staging_folder(spark)}/{name}").format("parquet")
+     .bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name))
+    return ZoneIndex(name, source_id, height, splits)
+
+
+def zone_pairs(targets: DataFrame, index: ZoneIndex, radius_arcsec: float) -> DataFrame:
+    """All pairs of ``targets`` (with ``t_ra, t_dec``) and indexed sources within the radius, with ``sep_deg``.
+
+    Only the targets move: the index is read bucket by bucket as it lies.
+    """
+    spark = targets.sparkSession
+    radius = radius_arcsec / 3600.0
+    touched = _touched_cells(targets, "t_ra", "t_dec", F.lit(float(radius)), index.height)
+    listed = touched.join(index.splits, ["__band", "__cell"]).withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__splits") - 1))).drop("__splits")
+    pairs = spark.table(index.table).join(listed, ["__band", "__cell", "__salt"]).drop("__band", "__cell", "__salt")
+    return pairs.withColumn("sep_deg", sky.separation("s_ra", "s_dec", "t_ra", "t_dec")).filter(F.col("sep_deg") <= radius)
+
+
+def match_in_zones(targets: DataFrame, index: ZoneIndex, radii_arcsec: list[float], *, target_id: str, ra: str = "ra",
+                   dec: str = "dec") -> DataFrame:
+    """As ``match_progressively`` against an indexed catalogue; every radius reads the same index."""
+    todo = targets.filter(in_range(ra) & in_range(dec)).select(F.col(target_id), F.col(ra).alias("t_ra"), F.col(dec).alias("t_dec"))
+    found = None
+    for radius in radii_arcsec:
+        hit = stage(zone_pairs(todo, index, radius).select(
+            target_id, index.source_id, F.lit(float(radius)).alias("radius_arcsec"),
+            (F.col("sep_deg") * 3600.0).alias("sep_arcsec")).distinct())
+        found = hit if found is None else found.unionByName(hit)
+        todo = todo.join(hit.select(target_id).distinct(), target_id, "left_anti")
+    return found
+
+
 def match_report(matched: DataFrame, sep: str = "sep_arcsec") -> DataFrame:
     """Targets, matches, match rate and median separation in one row."""
     counts = matched.agg(F.count(F.lit(1)).alias("n"), F.count(sep).alias("n_matched"),

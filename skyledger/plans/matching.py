@@ -154,16 +154,26 @@ def match_report(spark, sf):
     return round_all(skymatch.match_report(out))
 
 
-@query("progressive_match", f"""WITH {_TGT}, {_SRC}, pairs AS (SELECT t.id, sid, {_SEP} AS sep FROM src s JOIN tgt t
+_PROGRESSIVE = f"""WITH {_TGT}, {_SRC}, pairs AS (SELECT t.id, sid, {_SEP} AS sep FROM src s JOIN tgt t
     ON abs(t.dec - s.dec) <= 0.001 AND (abs(t.ra - s.ra) <= 0.01 OR abs(t.ra - s.ra) >= 359.9) WHERE {_SEP} <= 0.5::DOUBLE / 3600.0::DOUBLE),
   near AS (SELECT id FROM pairs WHERE sep <= 0.1::DOUBLE / 3600.0::DOUBLE)
   SELECT id, sid, CASE WHEN id IN (SELECT id FROM near) THEN 0.1::DOUBLE ELSE 0.5::DOUBLE END AS radius_arcsec FROM pairs
-  WHERE sep <= 0.1::DOUBLE / 3600.0::DOUBLE OR id NOT IN (SELECT id FROM near)""")
+  WHERE sep <= 0.1::DOUBLE / 3600.0::DOUBLE OR id NOT IN (SELECT id FROM near)"""
+
+
+@query("progressive_match", _PROGRESSIVE)
 def progressive_match(spark, sf):
     out = skymatch.match_progressively(targets(spark, sf), sources(spark, sf), [0.1, 0.5], target_id="id", source_id="sid")
     return out.select("id", "sid", "radius_arcsec")
 
 
+@query("zone_index_match", _PROGRESSIVE)
+def zone_index_match(spark, sf):
+    index = skymatch.build_zone_index(sources(spark, sf), source_id="sid", cell_arcsec=30.0, buckets=16)
+    out = skymatch.match_in_zones(targets(spark, sf), index, [0.1, 0.5], target_id="id")
+    return out.select("id", "sid", "radius_arcsec")
+
+
 _CENTRES = """centres(cluster, c_ra, c_dec, radius, c_pmra, c_pmdec, pm_tol) AS (VALUES
   ('M67', 132.846::DOUBLE, 11.814::DOUBLE, 1.0::DOUBLE, -10.97::DOUBLE, -2.94::DOUBLE, 1.0::DOUBLE),
   ('M71', 298.444::DOUBLE, 18.779::DOUBLE, 0.5::DOUBLE, -3.41::DOUBLE, -2.61::DOUBLE, 1.0::DOUBLE),

@@ -118,6 +118,35 @@ def prepare_member_spectra(spark, sf):
     return round_all(_prepared(spark, sf)[2].select("cluster", "star", "visit", "snr", "memberprob"))
 
 
+_CHAIN_FEATURES = ["l_quantity / 50", "(l_partkey % 10) / 10.0", "(l_orderkey % 9) / 10.0", "(l_suppkey % 50) / 50.0", "l_partkey % 7"]
+
+
+def _chain_sql() -> str:
+    from skyledger.plans.models import MU, SD, THETA
+    z = str(THETA[0]) + "".join(f" + {t} * ((({f})::DOUBLE - {m}) / {s})" for f, t, m, s in zip(_CHAIN_FEATURES, THETA[1:], MU, SD))
+    rows = f"""scored AS (SELECT f.cluster::VARCHAR AS cluster, plx AS a, e_plx AS ea, exp(({z})::DOUBLE) AS sp
+      FROM found f JOIN cat ON cat.l_orderkey = f.star AND cat.sdss_id = f.sdss_id),
+      rows AS (SELECT cluster, sp, sp * 0.09::DOUBLE AS err, a, ea FROM scored
+        UNION ALL SELECT cluster::VARCHAR, plx_sp, err_sp, plx, e_plx FROM cat WHERE l_suppkey % 2 = 0)"""
+    return f"""WITH {CLEAN}, {_PREP}, {_metrics_sql('cluster', rows, 0.01)} SELECT cluster, {_METRIC_COLS} FROM f WHERE n_matched >= 5"""
+
+
+@query("cluster_chain", _chain_sql())
+def cluster_chain(spark, sf):
+    """Member spectra prepared and scored with a saved model, joined by the catalogue's own members, and tested."""
+    from skyledger.operators.chain import cluster_chain as chain
+    from skyledger.plans.models import MODEL
+    rows = messy(spark, sf)
+    features = F.array(*[F.expr(f"cast({f} as double)") for f in _CHAIN_FEATURES])
+    spectra = ev.clean_catalog(rows).select(F.col("l_orderkey").alias("star"), F.col("sdss_id").alias("visit"), "snr",
+                                            F.col("flags").alias("spectrum_flags"), features.alias("features"), "plx", "e_plx")
+    mem = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("cluster"), F.col("l_orderkey").alias("star"),
+                                              F.col("l_orderkey").alias("gaia_id")).distinct()
+    out = chain(mem, spectra, MODEL, frac_sigma=0.09, key="star", gaia_id="gaia_id", probs=member_probs(spark, sf), prob_min=0.5,
+                row_id=["visit"], catalog=rows.where(F.col("l_suppkey") % 2 == 0), offset=0.01)
+    return round_all(out.drop("lit_plx", "sp_vs_lit_fracdiff"))
+
+
 @query("matched_fraction", f"""WITH {MESSY}, {_PREP}, j AS (SELECT kept.cluster, f.star FROM kept LEFT JOIN found f USING (cluster, star))
   SELECT CASE WHEN grouping(cluster) = 1 THEN 'TOTAL' ELSE cluster::VARCHAR END AS cluster, count(star) AS n_found, count(*) AS n_members,
     {r('100.0 * count(star) / count(*)')} AS pct FROM j GROUP BY ROLLUP (cluster)""")
