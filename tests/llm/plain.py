@@ -26,7 +26,12 @@ def plain_fingerprint(text):
 
 def plain_components(fps, radius=4):
     """fps: {doc_id: fingerprint}; smallest doc_id reachable of every doc."""
-    ids = sorted(fps)
+    return plain_groups(fps, lambda a, b: (a ^ b).bit_count() <= radius)
+
+
+def plain_groups(items, alike):
+    """items: {doc_id: anything}; smallest doc_id reachable of every doc through pairs that are alike."""
+    ids = sorted(items)
     parent = {i: i for i in ids}
 
     def find(i):
@@ -36,7 +41,7 @@ def plain_components(fps, radius=4):
 
     for k, a in enumerate(ids):
         for b in ids[:k]:
-            if (fps[a] ^ fps[b]).bit_count() <= radius:
+            if alike(items[a], items[b]):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {i: find(i) for i in ids}
