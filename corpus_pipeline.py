@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyledger.llm import packing, pii, quality, simhash, toxicity
+from skyledger.llm import near_copies, packing, pii, quality, toxicity
 from skyledger.llm.queries import vocabulary
 from skyledger.session import stage
 
@@ -28,8 +28,8 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies, 0.8 of their five-word shingles, stays: the one with the smallest id."""
+    return near_copies.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
