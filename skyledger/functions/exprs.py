@@ -153,53 +153,59 @@ def rjce_extinction(h: ColumnLike | None, w2: ColumnLike | None) -> Column:
 
 
 # --- per-row likelihood columns -----------------------------------------------
-def gaussian_nll(z_mu: ColumnLike, z_log_sigma: ColumnLike, plx: ColumnLike, err: ColumnLike,
-                 beta: float = 0.0) -> Column:
-    """Gaussian negative log-likelihood with the catalog error in the variance.
+def _miss(mean: Column, seen: ColumnLike, *errors: ColumnLike | float) -> tuple[Column, Column]:
+    """Squared miss of a mean and the variance of errors added in quadrature."""
+    off = col(seen) - mean
+    parts = [e if isinstance(e, Column) else F.lit(e) if isinstance(e, float) else col(e) for e in errors]
+    return off * off, reduce(lambda a, b: a + b, [p * p for p in parts])
 
-    ``beta`` weights each row by its variance to that power.
-    """
-    mean = exp_clipped(z_mu)
-    sigma = F.exp(clip(z_log_sigma, LOG_SIGMA_MIN, LOG_SIGMA_MAX))
-    var = sigma * sigma + col(err) * col(err)
-    nll = 0.5 * ((col(plx) - mean) * (col(plx) - mean) / var + F.ln(var))
+
+def _gauss(miss2: Column, var: Column) -> Column:
+    """Negative log density of a Gaussian without its constant."""
+    return 0.5 * (miss2 / var + F.ln(var))
+
+
+def _by_variance(nll: Column, var: Column, beta: float) -> Column:
+    """Each row weighted by its variance to the power ``beta``."""
     return nll * F.pow(var, F.lit(float(beta))) if beta > 0 else nll
 
 
+def _sigma(z_log_sigma: ColumnLike) -> Column:
+    return F.exp(clip(z_log_sigma, LOG_SIGMA_MIN, LOG_SIGMA_MAX))
+
+
+def gaussian_nll(z_mu: ColumnLike, z_log_sigma: ColumnLike, plx: ColumnLike, err: ColumnLike,
+                 beta: float = 0.0) -> Column:
+    """Gaussian negative log-likelihood with the catalog error in the variance."""
+    miss2, var = _miss(exp_clipped(z_mu), plx, _sigma(z_log_sigma), err)
+    return _by_variance(_gauss(miss2, var), var, beta)
+
+
 def student_t_nll(z_mu: ColumnLike, z_log_sigma: ColumnLike, plx: ColumnLike, err: ColumnLike,
                   nu: float) -> Column:
-    mean = exp_clipped(z_mu)
-    sigma = F.exp(clip(z_log_sigma, LOG_SIGMA_MIN, LOG_SIGMA_MAX))
-    scale2 = sigma * sigma + col(err) * col(err)
-    r2 = (col(plx) - mean) * (col(plx) - mean) / scale2
-    const = math.lgamma(nu / 2) - math.lgamma((nu + 1) / 2) + 0.5 * math.log(nu * math.pi)
-    return const + 0.5 * F.ln(scale2) + 0.5 * (nu + 1) * F.log1p(r2 / nu)
+    """The same with heavier tails: the Gaussian's miss enters through its logarithm."""
+    miss2, var = _miss(exp_clipped(z_mu), plx, _sigma(z_log_sigma), err)
+    norm = math.lgamma(0.5 * nu) - math.lgamma(0.5 * nu + 0.5) + 0.5 * math.log(math.pi * nu)
+    return norm + 0.5 * (F.ln(var) + (nu + 1.0) * F.log1p(miss2 / (nu * var)))
 
 
 def mixture_nll(z: ColumnLike, sigma: ColumnLike, plx: ColumnLike, err: ColumnLike, *,
                 zero_point: float, eps_logit: float, sigma_bad: float, beta: float = 0.0) -> Column:
     """Two Gaussians with one mean; the second is widened by ``sigma_bad``."""
-    mean = exp_clipped(z) + zero_point
-    var = col(err) * col(err) + col(sigma) * col(sigma)
-    r2 = (col(plx) - mean) * (col(plx) - mean)
-    var_bad = var + sigma_bad * sigma_bad
-    eps = 1.0 / (1.0 + math.exp(-eps_logit))
-    good = math.log1p(-eps) - 0.5 * (r2 / var + F.ln(var))
-    bad = math.log(eps) - 0.5 * (r2 / var_bad + F.ln(var_bad))
-    nll = -log_add_exp(good, bad)
-    return nll * F.pow(var, F.lit(float(beta))) if beta > 0 else nll
+    miss2, var = _miss(exp_clipped(z) + zero_point, plx, err, sigma)
+    # Logarithms of the components' shares, and what each adds to the variance.
+    parts = [(-math.log1p(math.exp(eps_logit)), 0.0), (-math.log1p(math.exp(-eps_logit)), sigma_bad * sigma_bad)]
+    densities = [share - _gauss(miss2, var + more) for share, more in parts]
+    return _by_variance(-reduce(log_add_exp, densities), var, beta)
 
 
 def warm_gaussian_nll(z: ColumnLike, plx: ColumnLike, err: ColumnLike, frac: float = 0.08) -> Column:
     mean = exp_clipped(z)
-    var = col(err) * col(err) + (frac * mean) * (frac * mean)
-    return 0.5 * ((col(plx) - mean) * (col(plx) - mean) / var + F.ln(var))
+    return _gauss(*_miss(mean, plx, err, frac * mean))
 
 
 def anchor_nll(z: ColumnLike, mu: ColumnLike, mu_err: ColumnLike, floor: float) -> Column:
-    pred = distance_modulus(z)
-    var = col(mu_err) * col(mu_err) + floor * floor
-    return 0.5 * ((col(mu) - pred) * (col(mu) - pred) / var + F.ln(var))
+    return _gauss(*_miss(distance_modulus(z), mu, mu_err, float(floor)))
 
 
 def penalty(theta_spectral: list[float], phi: list[float], residual: ColumnLike, *, l1_spectral: float,
