@@ -37,14 +37,26 @@ def compact(spark: SparkSession, source: str, target: str, rows_per_file: int =
     rows = spark.read.parquet(source)
     names = rows.columns
     rows = rows.select("*", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__i"))
-    # One row per file; the running sum over them is as long as the file list.
-    before = F.sum("__n").over(Window.orderBy("__f")) - F.col("__n")
-    files = rows.groupBy("__f").agg(F.count(F.lit(1)).alias("__n")).select("__f", before.alias("__start"))
-    numbered = rows.join(files, "__f").withColumn("__to", F.floor((F.col("__start") + F.col("__i")) / rows_per_file))
+    numbered = rows.join(_file_starts(rows), "__f").withColumn("__to", F.floor((F.col("__start") + F.col("__i")) / rows_per_file))
     (numbered.repartition("__to").sortWithinPartitions("__to", "__f", "__i").select(*names)
      .write.mode(mode).option("maxRecordsPerFile", rows_per_file).option("compression", "zstd").parquet(target))
 
 
+def _file_starts(rows: DataFrame) -> DataFrame:
+    """Per file ``__f`` the number of rows in files before it.
+
+    Files are range-partitioned by name, added up inside their partition and shifted
+    by the partitions before, so no task sees the whole list.
+    """
+    # Written once: both sums must see the same partitions.
+    files = stage(rows.groupBy("__f").agg(F.count(F.lit(1)).alias("__n")).repartitionByRange("__f")
+                  .withColumn("__p", F.spark_partition_id()))
+    inside = F.sum("__n").over(Window.partitionBy("__p").orderBy("__f")) - F.col("__n")
+    sums = files.groupBy("__p").agg(F.sum("__n").alias("__n"))  # a row per partition
+    shifts = sums.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__shift"))
+    return files.withColumn("__inside", inside).join(shifts, "__p").select("__f", (F.col("__inside") + F.col("__shift")).alias("__start"))
+
+
 def write_with_quarantine(df: DataFrame, ok: Column, path: str, failed_path: str,
                           input_columns: Sequence[str], mode: str = "error") -> None:
     """Good rows to ``path``; failed ones, with their input columns only, to ``failed_path``.

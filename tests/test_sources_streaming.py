@@ -222,3 +222,20 @@ def test_column_gaps(spark):
     got = {r["table"]: r for r in tables.column_gaps({"t": df, "none": df.limit(0)}, ["a", "b", "c"]).collect()}
     assert (got["t"]["n_rows"], got["t"]["lacks"], got["t"]["empty"]) == (1, ["c"], ["b"])
     assert (got["none"]["n_rows"], got["none"]["empty"]) == (0, ["a", "b"])
+
+
+def test_files_are_numbered_over_many_partitions(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for i, n in enumerate([5, 1, 0, 9, 3, 30, 2, 2, 11]):
+        spark.range(100 * i, 100 * i + n).coalesce(1).write.mode("append").parquet(source)
+    rows = spark.read.parquet(source).select(F.col("_metadata.file_path").alias("__f"))
+    starts = {r["__f"]: r["__start"] for r in writers._file_starts(rows).collect()}
+    sizes = {r["__f"]: r["count"] for r in rows.groupBy("__f").count().collect()}
+    at = 0
+    for name in sorted(sizes):
+        assert starts[name] == at
+        at += sizes[name]
+    writers.compact(spark, source, target, rows_per_file=7)
+    back = spark.read.parquet(target)
+    counts = sorted(r["count"] for r in back.groupBy(F.col("_metadata.file_path")).count().collect())
+    assert counts == [63 % 7 or 7] + [7] * 8 and sorted(r[0] for r in back.collect()) == sorted(r[0] for r in spark.read.parquet(source).collect())
