@@ -86,7 +86,7 @@ def op7_min_cost_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return rows.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"),
                        F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
-                       F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+                       F.col(rows.columns[-2]).alias("shard"), F.col(rows.columns[-1]).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 @query

@@ -15,7 +15,7 @@ plus one for each file.
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -66,9 +66,14 @@ def transfers(old: list[int], capacity: list[int]) -> list[list[tuple[int, int]]
     """For each old shard its shares (new shard, amount) in order, its own first; the fewest amounts move.
 
     The capacities must add up to the old sizes. A hub stands for "any other
-    shard", as every move costs the same.
+    shard", as every move costs the same. Old shards without a new one of their
+    number all move wherever they go, so they take part in the flow as one, whose
+    shares they then fill in turn: the flow has no more nodes than there are new shards.
     """
     n, m = len(old), len(capacity)
+    if n > m + 1:
+        joint = transfers([*old[:m], sum(old[m:])], capacity)
+        return joint[:m] + _in_turn(old[m:], joint[m])
     source, sink, hub = n + m, n + m + 1, n + m + 2
     edges = [(source, i, size, 0) for i, size in enumerate(old)] + [(n + j, sink, c, 0) for j, c in enumerate(capacity)]
     stay = len(edges)
@@ -93,6 +98,21 @@ def transfers(old: list[int], capacity: list[int]) -> list[list[tuple[int, int]]
     return shares
 
 
+def _in_turn(sizes: list[int], shares: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """The joint ``shares`` of several old shards, dealt to them one after another."""
+    out, waiting = [], deque(shares)
+    for size in sizes:
+        own = []
+        while size:
+            shard, amount = waiting.popleft()
+            own.append((shard, min(amount, size)))
+            if amount > size:
+                waiting.appendleft((shard, amount - size))
+            size -= own[-1][1]
+        out.append(own)
+    return out
+
+
 def even(total: int, shards: int) -> list[int]:
     return [total // shards + (j < total % shards) for j in range(shards)]
 
@@ -109,9 +129,20 @@ class Plan:
 
 
 def _located(spark: SparkSession, path: str) -> DataFrame:
-    """The table with file and row number of every row."""
+    """File and row number of every row of the table, and the row itself as one column, so that no names clash."""
     rows = spark.read.parquet(path)
-    return rows.select("*", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.row_index").alias(_ROW))
+    return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col("_metadata.file_path").alias(_FILE),
+                       F.col("_metadata.row_index").alias(_ROW))
+
+
+def place_names(columns) -> tuple[str, str]:
+    """Names of the shard and slot columns: ``__shard`` and ``__slot``, with more underscores where the table has such."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in (_SHARD, _SLOT):
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return tuple(out)
 
 
 def plan(spark: SparkSession, path: str, shards: int = SHARDS, law: str = "bytes", text_col: str = "text",
@@ -123,7 +154,7 @@ def plan(spark: SparkSession, path: str, shards: int = SHARDS, law: str = "bytes
     """
     if law not in LAWS:
         raise ValueError(f"law must be one of {LAWS}")
-    weight = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1 if law == "bytes" else F.lit(1).cast("long")
+    weight = F.coalesce(F.octet_length(F.col("row")[text_col]), F.lit(0)).cast("long") + 1 if law == "bytes" else F.lit(1).cast("long")
     sizes = stage(_located(spark, path).select(_FILE, _ROW, weight.alias("weight")))
     total_rows = sizes.count()
     per_block = max(1, -(-total_rows // blocks))
@@ -153,10 +184,10 @@ def plan(spark: SparkSession, path: str, shards: int = SHARDS, law: str = "bytes
     if inside:
         # The row a border falls into goes to the side that holds more of it.
         wanted = spark.createDataFrame([(f, b, base, c) for f, b, base, c in inside], f"{_FILE} string, block long, base long, cut long")
-        within = sizes.withColumn("block", block).join(F.broadcast(wanted.select(_FILE, "block").distinct()), [_FILE, "block"])
+        within = sizes.withColumn("block", block).join(wanted.select(_FILE, "block").distinct(), [_FILE, "block"])
         end = F.sum("weight").over(Window.partitionBy(_FILE, "block").orderBy(_ROW))
         placed = within.withColumn("middle", end - F.col("weight") / 2)
-        got = placed.join(F.broadcast(wanted), [_FILE, "block"]).where("middle < cut")
+        got = placed.join(wanted, [_FILE, "block"]).where("middle < cut")
         for r in got.groupBy(_FILE, "block", "base", "cut").agg(F.max(_ROW).alias("last")).collect():
             cut_rows[(r[_FILE], r["base"] + r["cut"])] = r["last"] + 1
     block_of_border = {(f, base + c): b for f, b, base, c in inside}
@@ -172,14 +203,15 @@ def plan(spark: SparkSession, path: str, shards: int = SHARDS, law: str = "bytes
             row = first_row[x] if x in first_row else cut_rows.get((f, x), block_of_border.get((f, x), 0) * per_block)
             marks.append(max(row, marks[-1]))
         marks.append(by_file[f][-1][0] * per_block + by_file[f][-1][2])
+        first = len(ranges)
         for (shard, _), a, z in zip(shares[i], marks, marks[1:]):
             if z > a:
                 ranges.append((f, a, z, shard, slot[shard]))
                 slot[shard] += z - a
-        own = [r for r in ranges if r[0] == f]
-        if len(own) == 1 and own[0][3] == i:
+        if len(ranges) == first + 1 and ranges[first][3] == i:
             kept_whole.append(i)
-    untouched = [i for i in kept_whole if sum(r[3] == i for r in ranges) == 1]
+    parts = Counter(r[3] for r in ranges)
+    untouched = [i for i in kept_whole if parts[i] == 1]
     moved = sum(amount for i, s in enumerate(shares) for j, amount in s if j != i)
     return Plan(path, per_block, ranges, untouched, moved)
 
@@ -193,27 +225,30 @@ def assigned(spark: SparkSession, made: Plan) -> DataFrame:
     # At most the number of blocks, files and borders.
     schema = f"{_FILE} string, block long, pieces array<struct<upto: long, shard: int, shift: long>>"
     table = spark.createDataFrame([(f, b, p) for (f, b), p in pieces.items()], schema)
-    rows = _located(spark, made.path).withColumn("__block", F.floor(F.col(_ROW) / made.rows_per_block).cast("long"))
-    table = table.withColumnRenamed("block", "__block").withColumnRenamed("pieces", "__pieces")
-    piece = F.filter("__pieces", lambda p: F.col(_ROW) < p["upto"])[0]
-    joined = rows.join(F.broadcast(table), [_FILE, "__block"]).withColumn("__piece", piece)
-    return joined.select(*[c for c in rows.columns if c not in (_FILE, _ROW, "__block")],
-                         F.col("__piece.shard").alias(_SHARD), (F.col(_ROW) + F.col("__piece.shift")).alias(_SLOT))
+    rows = _located(spark, made.path).withColumn("block", F.floor(F.col(_ROW) / made.rows_per_block).cast("long"))
+    piece = F.filter("pieces", lambda p: F.col(_ROW) < p["upto"])[0]
+    joined = rows.join(table, [_FILE, "block"]).withColumn("piece", piece)
+    names = rows.schema["row"].dataType.names
+    shard, slot = place_names(names)
+    return joined.select(*[F.col("row")[c].alias(c) for c in names], F.col("piece.shard").alias(shard),
+                         (F.col(_ROW) + F.col("piece.shift")).alias(slot))
 
 
 def rewrite(spark: SparkSession, made: Plan, out: str) -> DataFrame:
     """Write the shards that change as ``out``/__shard=N and return the whole table with __shard and __slot.
 
+    The two come last, under the names that ``place_names`` gives.
+
     Shards that keep their old file as it is are read from there.
     """
     rows = assigned(spark, made)
-    schema = rows.schema
+    schema, shard = rows.schema, rows.columns[-2]
     if not made.ranges:
         return rows
-    changed = rows if not made.untouched else rows.where(~F.col(_SHARD).isin(made.untouched))
-    changed.write.mode("overwrite").partitionBy(_SHARD).parquet(out)
-    written = spark.read.schema(schema).parquet(out).select(*schema.names)
-    return written if not made.untouched else written.unionByName(rows.where(F.col(_SHARD).isin(made.untouched)))
+    changed = rows if not made.untouched else rows.where(~F.col(shard).isin(made.untouched))
+    changed.write.mode("overwrite").partitionBy(shard).parquet(out)
+    written = spark.read.schema(schema).parquet(out).select(*[F.col(f"`{c}`") for c in schema.names])
+    return written if not made.untouched else written.unionByName(rows.where(F.col(shard).isin(made.untouched)))
 
 
 def reshard(spark: SparkSession, path: str, shards: int = SHARDS, law: str = "bytes", text_col: str = "text") -> DataFrame:
