@@ -7,7 +7,8 @@ not make all texts of a language alike. The covering masks of ``simhash`` bring
 pair of fingerprints within the radius into some bucket; there each fingerprint
 names its nearest earlier ones, so a group gives a few links for each member and
 never all its pairs. A candidate is a link only if the two texts share enough of
-their five-word shingles, counted exactly, so texts that merely look alike stay.
+their five-word shingles, counted in full (as 64-bit hashes), so texts that merely
+look alike stay; a sketch of each text rules out most of those beforehand.
 
 Null and empty texts are one group. A component keeps its smallest id, of equal
 ids with the same text the smallest row (by its columns that have an order); a
@@ -32,6 +33,9 @@ SIMILARITY = 0.8
 # Earlier fingerprints that one names in a bucket, and links of one text that are confirmed together.
 NEAREST = 2
 TOGETHER = 256
+# Smallest shingle hashes that a text's sketch keeps, and how far below the similarity an estimate may lie for the texts to
+# be compared: four standard deviations.
+SKETCH, MARGIN = 64, 0.2
 _LAST = 2 ** 63 - 1
 
 
@@ -45,35 +49,61 @@ def text_key(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words), SEED)
 
 
-def word_fingerprint(words: list[bytes]) -> int:
-    """The 64 bits, as a signed long, that most of the words' hashes have; 0 without words."""
-    import xxhash
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+class Words:
+    """The words of a text as 64-bit hashes, each distinct word hashed once."""
+
+    def __init__(self, words: list[bytes]):
+        import xxhash
+
+        number: dict[bytes, int] = {}
+        self.at = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in number), np.uint64, len(number))
+
+    def fingerprint(self) -> int:
+        """The 64 bits, as a signed long, that most words' hashes have, a word counted once per doubling; 0 without words."""
+        if not len(self.at):
+            return 0
+        times = np.frexp(np.bincount(self.at).astype(float))[1].astype(np.int64)  # binary digits of the count
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(self.hashes), 4096):
+            block = np.ascontiguousarray(self.hashes[at:at + 4096], dtype="<u8").view(np.uint8).reshape(-1, 8)
+            ones += times[at:at + 4096] @ np.unpackbits(block, axis=1, bitorder="little").astype(np.int64)
+        return int(np.packbits(2 * ones > times.sum(), bitorder="little").view("<i8")[0])
+
+    def shingles(self, length: int = SHINGLE) -> np.ndarray:
+        """Hashes of the distinct shingles, sorted; a text shorter than one is a single shingle, also without words."""
+        x = self.hashes[self.at]
+        n = max(1, len(x) - length + 1)
+        h = np.full(n, len(x) if len(x) < length else length, np.uint64)
+        for j in range(min(length, len(x))):
+            h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + x[j:j + n])
+        return np.unique(h)
+
 
-    counts: dict[bytes, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    if not counts:
-        return 0
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in counts), np.uint64, len(counts))
-    times = np.fromiter((n.bit_length() for n in counts.values()), np.int64, len(counts))
-    ones, total = np.zeros(64, np.int64), int(times.sum())
-    for at in range(0, len(hashes), 4096):
-        block = np.ascontiguousarray(hashes[at:at + 4096], dtype="<u8").view(np.uint8).reshape(-1, 8)
-        ones += times[at:at + 4096] @ np.unpackbits(block, axis=1, bitorder="little").astype(np.int64)
-    return int(np.packbits(2 * ones > total, bitorder="little").view("<i8")[0])
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Shared of all shingles of two texts."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
 
 
-def similarity(a: list[bytes], b: list[bytes], shingle: int = SHINGLE) -> float:
-    """Shared of all distinct shingles; a text shorter than one is a single shingle, and two without words are equal."""
-    def of(words):
-        return {tuple(words[i:i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+def estimated(a: np.ndarray, b: np.ndarray) -> float:
+    """The similarity as the smallest shingle hashes of both texts show it; exact for short texts."""
+    whole = max(len(a), len(b)) < SKETCH
+    smallest = np.union1d(a, b)[:None if whole else SKETCH]
+    return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), smallest, assume_unique=True)) / len(smallest)
 
-    x, y = of(a), of(b)
-    return len(x & y) / len(x | y)
 
+def _near_links(radius: int, bucket_rows: int):
+    """Links from each fingerprint to its nearest earlier ones of a bucket, from a stream sorted by key.
 
-def _near_links(radius: int):
-    """Links from each fingerprint to its nearest earlier ones of a bucket, from a stream sorted by (t, key)."""
+    The fingerprints of a bucket with more than ``bucket_rows`` come out alone.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def of(fp: np.ndarray) -> list[tuple[int, int]]:
@@ -86,18 +116,37 @@ def _near_links(radius: int):
             out += [(int(fp[i]), int(fp[j])) for j in near]
         return out
 
+    def alone(fp: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(fp), pa.nulls(len(fp), pa.int64())], schema=schema)
+
     def run(batches):
-        held = None
+        key, fp, crowded = np.empty(0, np.int64), np.empty(0, np.int64), None
         for batch in batches:
-            new = [batch.column(c).to_numpy() for c in ("t", "key", "fp")]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-            t, key, fp = held
-            cuts = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
-            if len(cuts):
-                yield _pairs(schema, [p for part in np.split(fp, cuts)[:-1] for p in of(part)])
-                held = [c[cuts[-1]:] for c in held]
-        if held is not None and len(held[0]):
-            yield _pairs(schema, of(held[2]))
+            key = np.concatenate([key, batch.column("key").to_numpy()])
+            fp = np.concatenate([fp, batch.column("fp").to_numpy()])
+            if crowded is not None:
+                upto = int(np.searchsorted(key != crowded, True))
+                yield alone(fp[:upto])
+                key, fp = key[upto:], fp[upto:]
+            if not len(key):
+                continue
+            crowded = None
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            ends = np.r_[starts[1:], len(key)]
+            pairs = []
+            for k in np.flatnonzero(ends - starts > 1).tolist():
+                if k < len(starts) - 1:
+                    pairs += of(fp[starts[k]:ends[k]]) if ends[k] - starts[k] <= bucket_rows else []
+            for k in np.flatnonzero(ends - starts > bucket_rows).tolist():
+                yield alone(fp[starts[k]:ends[k]])
+                if k == len(starts) - 1:
+                    crowded = key[-1]
+            if pairs:
+                yield _pairs(schema, pairs)
+            last = len(key) if crowded is not None else starts[-1]
+            key, fp = key[last:], fp[last:]
+        if len(fp) > 1:
+            yield _pairs(schema, of(fp))
 
     return run
 
@@ -109,14 +158,25 @@ def _pairs(schema: pa.Schema, pairs: list) -> pa.RecordBatch:
 
 def candidates(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Pairs (a, b) of distinct ``fp`` within the radius: a few for each, from every bucket that it is in."""
-    keys = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)])).alias("t", "key"))
-    shared = keys.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = stage(keys.join(shared, ["t", "key"]))
-    small = (members.where(F.col("n") <= bucket_rows).select("t", "key", "fp")
-             .repartition("t", "key").sortWithinPartitions("t", "key", "fp"))
-    near = small.mapInArrow(_near_links(radius), StructType.fromDDL("a long, b long"))
-    hot = members.where(F.col("n") > bucket_rows).select("fp").distinct()
-    return near.unionByName(_half_way_links(hot, radius)).distinct()
+    # A bucket is one number; two that should share it by chance are told apart by their distance.
+    buckets = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks(radius))])
+    dealt = fps.select(F.explode(buckets).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
+    found = stage(dealt.mapInArrow(_near_links(radius, bucket_rows), StructType.fromDDL("a long, b long")).distinct())
+    crowded = found.where("b IS NULL").select(F.col("a").alias("fp")).distinct()
+    return found.where("b IS NOT NULL").unionByName(_half_way_links(crowded, radius)).distinct()
+
+
+def likely(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) that their sketches do not rule out by a wide margin; ``sketches`` has (key, sketch)."""
+    def run(batches):
+        for batch in batches:
+            keep = [estimated(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) >= least - MARGIN
+                    for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(sketches.select(F.col("key").alias("a"), F.col("sketch").alias("x")), "a").join(
+        sketches.select(F.col("key").alias("b"), F.col("sketch").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 def confirmed(pairs: DataFrame, bodies: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -124,14 +184,15 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, shingle: int, least: float) -
     # Many pairs may name the same b: they are dealt out, and its text is listed once for each part.
     parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("parts"))
     dealt = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).drop("parts")
-    second = parts.join(bodies.withColumnRenamed("key", "b"), "b").select(
+    second = parts.join(bodies.withColumnRenamed("key", "b").hint("merge"), "b").select(
         "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("text").alias("other"))
-    both = dealt.join(bodies.withColumnRenamed("key", "a"), "a").join(second, ["b", "part"])
+    # Texts are far larger than their compressed files tell, so they are never broadcast.
+    both = dealt.join(bodies.withColumnRenamed("key", "a").hint("merge"), "a").join(second.hint("merge"), ["b", "part"])
 
     def run(batches):
         for batch in batches:
             for rows in slices([batch], 64):
-                keep = [similarity(words_of(x), words_of(y), shingle) >= least
+                keep = [similarity(Words(words_of(x)).shingles(shingle), Words(words_of(y)).shingles(shingle)) >= least
                         for x, y in zip(rows.column("text").to_pylist(), rows.column("other").to_pylist())]
                 yield rows.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -153,18 +214,23 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
             yield batch.append_column(key, pa.array(keys, pa.binary()))
 
     def marks(batches):
-        for batch in slices(batches):
-            words = [words_of(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([text_key(w) for w in words], pa.binary()),
-                 pa.array([word_fingerprint(w) for w in words], pa.int64())], names=["doc_id", "key", "fp"])
+        for batch in slices(batches, 64):
+            keys, fps, sketches = [], [], []
+            for text in batch.column("text").to_pylist():
+                words = words_of(text)
+                held = Words(words)
+                keys.append(text_key(words))
+                fps.append(held.fingerprint())
+                sketches.append(held.shingles(shingle)[:SKETCH].astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(fps, pa.int64()),
+                                              pa.array(sketches, pa.binary())], names=["doc_id", "key", "fp", "sketch"])
 
     own_id = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    marked = texts(docs.withColumn(id_col, own_id), id_col, text_col).mapInArrow(marks, "doc_id long, key binary, fp long")
+    marked = texts(docs.withColumn(id_col, own_id), id_col, text_col).mapInArrow(marks, "doc_id long, key binary, fp long, sketch binary")
     # Equal texts of one id, then of all: copies collapse on the map side both times.
-    copies = marked.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"))
-    nodes = stage(copies.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("low"), F.first("fp").alias("fp"))
-                  .select("key", "low.doc_id", "low.n", "fp"))
+    copies = marked.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
+    nodes = stage(copies.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("low"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
+                  .select("key", "low.doc_id", "low.n", "fp", "sketch"))
     # Different texts may have one fingerprint, so a few of them stand for it.
     stand_ins = [F.min("key"), F.max("key"), *[F.min_by("key", F.xxhash64("key", F.lit(i))) for i in range(2)]]
     fps = stage(nodes.groupBy("fp").agg(F.array_distinct(F.array(*stand_ins)).alias("reps")))
@@ -172,7 +238,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
         fps.select(F.col("fp").alias("b"), F.col("reps").alias("y")), "b").select(F.explode("x").alias("a"), "y").select(
         "a", F.explode("y").alias("b"))
     alike = nodes.join(fps, "fp").select(F.col("key").alias("a"), F.explode("reps").alias("b")).where("a <> b")
-    pairs = stage(named.unionByName(alike).distinct())
+    pairs = stage(likely(named.unionByName(alike).distinct(), nodes.select("key", "sketch"), least))
     linked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     keyed = docs.select(F.col(text_col).alias("text")).mapInArrow(_keyed, "text string, key binary")
     bodies = stage(keyed.join(linked, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
