@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import MapType, StructType, VariantType
 
 from skyledger.llm.common import slices, texts
-from skyledger.llm.simhash import BUCKET_ROWS, SEED, _half_way_links, components, masks
+from skyledger.llm.simhash import BUCKET_ROWS, SEED, _half_way_links, components
 from skyledger.session import stage
 
 RADIUS = 6
@@ -156,10 +156,26 @@ def _pairs(schema: pa.Schema, pairs: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], schema=schema)
 
 
+def spread_masks(radius: int, bits: int = 64) -> list[int]:
+    """Covering masks as ``simhash.masks`` has them, with the vectors dealt out so that each mask keeps many bits.
+
+    Any non-zero vectors cover; taken in a row, the last ones of a large radius are
+    missing, and a mask that sees only those keeps a single bit.
+    """
+    kinds = 2 ** (radius + 1) - 1
+
+    def made(step: int) -> list[int]:
+        vectors = [i * step % kinds + 1 for i in range(bits)]
+        return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, kinds + 1)]
+
+    best = max((made(step) for step in range(1, kinds)), key=lambda found: min(m.bit_count() for m in found))
+    return [m - 2 ** 64 if m >= 2 ** 63 else m for m in best]
+
+
 def candidates(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Pairs (a, b) of distinct ``fp`` within the radius: a few for each, from every bucket that it is in."""
     # A bucket is one number; two that should share it by chance are told apart by their distance.
-    buckets = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks(radius))])
+    buckets = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(spread_masks(radius))])
     dealt = fps.select(F.explode(buckets).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
     found = stage(dealt.mapInArrow(_near_links(radius, bucket_rows), StructType.fromDDL("a long, b long")).distinct())
     crowded = found.where("b IS NULL").select(F.col("a").alias("fp")).distinct()

@@ -87,6 +87,15 @@ def test_buckets_of_a_stream(batch):
     assert {a for a, _ in pairs} == want
 
 
+def test_masks_cover_the_radius_and_keep_many_bits():
+    found = [m % 2 ** 64 for m in N.spread_masks(N.RADIUS)]
+    assert len(found) == 127 and min(m.bit_count() for m in found) >= 16
+    rng = random.Random(5)
+    for _ in range(3000):
+        away = sum(1 << b for b in rng.sample(range(64), rng.randint(1, N.RADIUS)))
+        assert any(m & away == 0 for m in found)
+
+
 def test_a_large_group_gives_few_links(spark):
     rng = random.Random(1)
     base = [f"w{i}" for i in range(300)]
