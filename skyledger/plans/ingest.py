@@ -130,7 +130,7 @@ def stream_ingest(spark, sf):
         return round_all(df.filter("value > 5").select("event_id", "event_type", F.log1p("value").alias("log_value")))
 
     for _ in range(2):  # the second run finds nothing new
-        jobs.ingest(spark, sf, schema, target, checkpoint, work, {"min_value": 5}, pattern="events.parquet").awaitTermination()
+        jobs.ingest(spark, jobs.table_source(f"{sf}/events.parquet"), schema, target, checkpoint, work, {"min_value": 5}).awaitTermination()
     return spark.read.schema("event_id long, event_type string, log_value double").parquet(target)
 
 
@@ -140,7 +140,7 @@ def stream_members_scored(spark, sf):
     e = table(spark, sf, "embeddings")
     members = e.filter(F.col("label").isin(1, 3, 5)).select("vec_id")
     theta = np.concatenate([[0.2], [((i * 7 % 11) - 5) / 10.0 for i in range(1, 65)]])
-    stream = jobs.file_stream(spark, sf, e.schema, pattern="embeddings.parquet").withColumnRenamed("embedding", "features")
+    stream = jobs.file_stream(spark, jobs.table_source(f"{sf}/embeddings.parquet"), e.schema).withColumnRenamed("embedding", "features")
     target = fresh(spark)
     scored = jobs.members_scored(stream, members, "vec_id", fit.LinearModel(theta, np.zeros(64), np.ones(64)), ["vec_id"])
     (scored.writeStream.format("parquet").option("path", target).option("checkpointLocation", fresh(spark))
@@ -150,7 +150,7 @@ def stream_members_scored(spark, sf):
 
 @query("stream_running_counts", "SELECT event_type, count(*) FILTER (value > 50) AS hits, count(*) AS n FROM events GROUP BY 1")
 def stream_running_counts(spark, sf):
-    stream = jobs.file_stream(spark, sf, table(spark, sf, "events").schema, pattern="events.parquet")
+    stream = jobs.file_stream(spark, jobs.table_source(f"{sf}/events.parquet"), table(spark, sf, "events").schema)
     state = fresh(spark)
     jobs.running_counts(stream, ["event_type"], F.col("value") > 50, state, fresh(spark)).awaitTermination()
     return jobs.latest_counts(spark, state)

@@ -44,6 +44,15 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return reader.parquet(path)
 
 
+def table_source(path: str) -> str:
+    """The path by which to stream a table that may be one file or a folder of files.
+
+    A stream takes a plain path for a folder; a pattern that only this name matches stands for either.
+    """
+    parent, _, name = path.rstrip("/").rpartition("/")
+    return f"{parent}/{{{name}}}"
+
+
 def ingest(spark: SparkSession, source: str, schema: T.StructType, target: str, checkpoint: str,
            work: Callable[[DataFrame], DataFrame], settings: Mapping[str, object],
            pattern: str | None = None) -> StreamingQuery:

@@ -135,6 +135,15 @@ def test_ingest_resumes_and_guards_its_settings(spark, tmp_path):
         run({"radius": 0.5})
 
 
+@pytest.mark.parametrize("name", ["stream_members_scored", "stream_ingest", "stream_running_counts"])
+def test_streams_read_tables_of_one_file_and_of_many(spark, sf, tmp_path, name):
+    from skyledger.plans.queries import QUERIES
+    for t in ("embeddings", "events"):
+        spark.read.parquet(f"{sf}/{t}.parquet").repartition(3).write.parquet(str(tmp_path / f"{t}.parquet"))
+    one, many = (sorted(map(str, QUERIES[name](spark, d).collect())) for d in (sf, str(tmp_path)))
+    assert one and one == many
+
+
 def test_running_counts_equal_the_batch_result_across_a_restart(spark, tmp_path):
     rows = [("a" if i % 3 else "b", [i % 2, 0, 1 if i == 5 else 0] + ([1] if i % 3 == 0 else [])) for i in range(30)] + [(None, [1])]
     df = spark.createDataFrame(rows, "telescope string, pixel_flags array<int>")
