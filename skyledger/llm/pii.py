@@ -9,7 +9,9 @@ place into the wide forms that the base misses. Negative are spans that the
 base's checks reject, as they stand or once their wide form is undone, plain
 numbers, and prose put where an address stood. Other wide candidates are what is
 looked for, so they take no part in the training. Per kind, a threshold
-calibrated on places kept out of the fit selects the redactions.
+calibrated on places kept out of the fit selects the redactions. All places of all
+documents take part: tasks sum the gradients of their examples by leaf and feature
+value, and only these sums reach the driver.
 
 Features never look at a check's outcome (Luhn sum, address parts over 255), so
 the trees learn what valid ones look like and where they stand; a candidate that
@@ -23,15 +25,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
 from skyledger.llm.common import slices, texts
 from skyledger.session import stage
 
 KINDS = ("email", "ip", "card", "phone")
-# Bound of the training sample: places of each kind and class, each with all its forms.
-SAMPLE = 1_500
+# Places of one kind and class that weigh fully in the training; more of them weigh as much as these together.
+EVEN = 1_500
+# Examples, alike ones counted once, that one task adds up at a time.
+EXAMPLES = 20_000
 # Least share of true ones among the kept-out candidates that a threshold lets through.
 PRECISION = 0.98
 
@@ -261,62 +265,101 @@ class Trees:
     def raw(self, x: np.ndarray) -> np.ndarray:
         total = np.full(len(x), self.start)
         for tree in self.nodes:
-            at = np.zeros(len(x), dtype=np.int64)
-            feature = np.array([n[0] for n in tree])
-            cut = np.array([n[1] for n in tree])
-            left, right = np.array([n[2] for n in tree]), np.array([n[3] for n in tree])
-            value = np.array([n[4] for n in tree])
-            while True:
-                inner = feature[at] >= 0
-                if not inner.any():
-                    break
-                rows = np.flatnonzero(inner)
-                here = at[rows]
-                at[rows] = np.where(x[rows, feature[here]] <= cut[here], left[here], right[here])
-            total += value[at]
+            total += np.array([n[4] for n in tree])[_ends(tree, x)]
         return total
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.2, ridge: float = 1.0) -> Trees:
-    """Newton boosting with exact splits."""
-    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    model = Trees(float(np.log(share / (1 - share))))
-    raw = np.full(len(x), model.start)
+def _ends(tree: list[tuple], x: np.ndarray) -> np.ndarray:
+    """The node of a tree in which each row ends."""
+    at = np.zeros(len(x), dtype=np.int64)
+    feature, left, right = (np.array([n[k] for n in tree]) for k in (0, 2, 3))
+    cut = np.array([n[1] for n in tree])
+    while True:
+        rows = np.flatnonzero(feature[at] >= 0)
+        if not len(rows):
+            return at
+        here = at[rows]
+        at[rows] = np.where(x[rows, feature[here]] <= cut[here], left[here], right[here])
+
+
+# Gradients are summed in whole parts of this size, so sums do not depend on the order of rows or tasks.
+_UNIT = 2.0 ** 30
+
+
+def _cells(trees: Trees, tree: list[tuple], leaves: list[int], x: np.ndarray, y: np.ndarray, weight: np.ndarray,
+           n: np.ndarray) -> list[np.ndarray]:
+    """(leaf, feature, value, gradient, curvature, rows): sums over the rows of each leaf that have the value.
+
+    A row stands for ``n`` examples alike, each of the given weight.
+    """
+    p = 1 / (1 + np.exp(-trees.raw(x)))
+    sums = np.stack([n * np.rint(weight * (p - y) * _UNIT).astype(np.int64), n * np.rint(weight * p * (1 - p) * _UNIT).astype(np.int64), n])
+    at, out = _ends(tree, x), []
+    for leaf in leaves:
+        rows = np.flatnonzero(at == leaf)
+        for f in range(x.shape[1] if len(rows) else 0):
+            order = rows[np.argsort(x[rows, f], kind="stable")]
+            v = x[order, f]
+            first = np.flatnonzero(np.r_[True, v[1:] > v[:-1]])
+            out.append((np.full(len(first), leaf), np.full(len(first), f), v[first], *np.add.reduceat(sums[:, order], first, axis=1)))
+    return [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0)] * 6
+
+
+def _boosted(start: float, cells, rounds: int, depth: int, rate: float, ridge: float) -> Trees:
+    """Newton boosting with exact splits, level by level; ``cells(trees, tree, leaves)`` gives the sums of ``_cells`` over all rows."""
+    model = Trees(start)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-raw))
-        g, h = p - y, p * (1 - p)
-        tree: list[tuple] = []
-
-        def grow(rows: np.ndarray, level: int) -> int:
-            me = len(tree)
-            tree.append((-1, 0.0, -1, -1, float(-rate * g[rows].sum() / (h[rows].sum() + ridge))))
-            best = (1e-6, -1, 0.0)
-            if level < depth and len(rows) >= 8:
-                whole = g[rows].sum() ** 2 / (h[rows].sum() + ridge)
-                for f in range(x.shape[1]):
-                    order = rows[np.argsort(x[rows, f], kind="stable")]
-                    v = x[order, f]
-                    places = np.flatnonzero(v[1:] > v[:-1])
-                    if not len(places):
+        tree: list[tuple] = [(-1, 0.0, -1, -1, 0.0)]
+        leaves = [0]
+        for level in range(depth):
+            leaf, feature, value, g, h, n = cells(model, tree, leaves)
+            g, h = g / _UNIT, h / _UNIT
+            split = []
+            for me in leaves:
+                best = (1e-6, -1, 0.0)
+                own = np.flatnonzero((leaf == me) & (feature == 0))
+                whole, curved, size = g[own].sum(), h[own].sum(), n[own].sum()
+                tree[me] = (-1, 0.0, -1, -1, float(-rate * whole / (curved + ridge)))
+                for f in np.unique(feature[leaf == me]).astype(int).tolist() if size >= 8 else ():
+                    own = np.flatnonzero((leaf == me) & (feature == f))
+                    own = own[np.argsort(value[own])]
+                    if len(own) < 2:
                         continue
-                    gl, hl = np.cumsum(g[order])[places], np.cumsum(h[order])[places]
-                    gr, hr = g[rows].sum() - gl, h[rows].sum() - hl
-                    gain = gl ** 2 / (hl + ridge) + gr ** 2 / (hr + ridge) - whole
+                    gl, hl = np.cumsum(g[own])[:-1], np.cumsum(h[own])[:-1]
+                    gr, hr = whole - gl, curved - hl
+                    gain = gl ** 2 / (hl + ridge) + gr ** 2 / (hr + ridge) - whole ** 2 / (curved + ridge)
                     k = int(gain.argmax())
                     if gain[k] > best[0]:
-                        best = (float(gain[k]), f, float((v[places[k]] + v[places[k] + 1]) / 2))
-            if best[1] >= 0:
-                go = x[rows, best[1]] <= best[2]
-                left, right = grow(rows[go], level + 1), grow(rows[~go], level + 1)
-                tree[me] = (best[1], best[2], left, right, 0.0)
-            return me
-
-        grow(np.arange(len(x)), 0)
+                        ends = [float(-rate * a / (b + ridge)) for a, b in ((gl[k], hl[k]), (gr[k], hr[k]))]
+                        best = (float(gain[k]), f, float((value[own[k]] + value[own[k + 1]]) / 2), ends)
+                if best[1] >= 0:
+                    at = len(tree)
+                    tree[me] = (best[1], best[2], at, at + 1, 0.0)
+                    tree += [(-1, 0.0, -1, -1, v) for v in best[3]]
+                    split += [at, at + 1]
+            leaves = split
+            if not leaves:
+                break
         model.nodes.append(tree)
-        raw = raw + Trees(0.0, [tree]).raw(x)
     return model
 
 
+_BOOST = {"rounds": 40, "depth": 3, "rate": 0.2, "ridge": 1.0}
+
+
+def _log_odds(share: float) -> float:
+    share = min(max(share, 1e-3), 1 - 1e-3)
+    return float(np.log(share / (1 - share)))
+
+
+def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, **options) -> Trees:
+    """Trees from rows in memory."""
+    weight = np.ones(len(x)) if weight is None else weight
+    one = np.ones(len(x), dtype=np.int64)
+    return _boosted(_log_odds(float((y * weight).sum() / weight.sum())),
+                    lambda trees, tree, leaves: _cells(trees, tree, leaves, x, y, weight, one), **_BOOST | options)
+
+
 @dataclass
 class Model:
     """Trees over all kinds and a threshold of each; a kind without a threshold adds nothing to the base."""
@@ -344,7 +387,7 @@ def _row(kind: int, values: list[float]) -> list[float]:
 
 
 def fit(rows: list[tuple[int, int, list[float], int]]) -> Model:
-    """Fit on (kind, label, features, fold); fold 0 of 4 calibrates the thresholds.
+    """Fit on (kind, label, features, fold) in memory; fold 0 of 4 calibrates the thresholds.
 
     A kind's threshold is the lowest score above which at least PRECISION of its
     kept-out candidates are true, but not below a log odds of 0 or below the least
@@ -375,11 +418,12 @@ def fit(rows: list[tuple[int, int, list[float], int]]) -> Model:
 # ---------------------------------------------------------------- DataFrames
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Learn from at most ``sample`` places of each kind and class, picked by a hash over all documents.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", even: int = EVEN) -> Model:
+    """Learn from all places of all documents, as ``fit`` does from rows in memory.
 
     A place brings all its forms, which are either learnt from or kept out together.
     Places with the same surroundings count once, so copies of a document add nothing.
+    The places of a kind and class weigh as much as ``even`` of them together if there are more.
     """
     def run(batches):
         schema = pa.schema([("kind", pa.int32()), ("label", pa.int32()), ("features", pa.list_(pa.float64())),
@@ -390,13 +434,78 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 
     found = texts(docs, id_col, text_col).mapInArrow(run, StructType.fromDDL(
         "kind int, label int, features array<double>, around string"))
-    distinct = stage(found.groupBy("kind", "label", F.xxhash64("around").alias("pick")).agg(F.collect_set("features").alias("forms")))
-    rows = []
-    for kind in range(len(KINDS)):
-        for label in (0, 1):
-            part = distinct.where((F.col("kind") == kind) & (F.col("label") == label)).orderBy("pick").limit(sample)
-            rows += [(r["kind"], r["label"], list(f), r["pick"] >> 7) for r in part.collect() for f in sorted(r["forms"])]
-    return fit(rows)
+    places = stage(found.groupBy("kind", "label", F.xxhash64("around").alias("pick")).agg(F.collect_set("features").alias("forms")))
+    class_weight = {(r["kind"], r["label"]): min(1.0, even / r["n"])
+                    for r in places.groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Examples alike are one row with their number.
+    learn = (F.pmod(F.shiftright("pick", 7), F.lit(4)) != 0).alias("learn")
+    rows = stage(places.select("kind", "label", learn, F.explode("forms").alias("features"))
+                 .groupBy("kind", "label", "learn", "features").agg(F.count(F.lit(1)).alias("n")))
+    # Read once a level, so in no more files than its size asks for.
+    rows = stage(rows.coalesce(1 + rows.count() // EXAMPLES))
+    totals = {(r["kind"], r["label"]): r["n"] for r in rows.where("learn").groupBy("kind", "label").agg(F.sum("n").alias("n")).collect()}
+    true, every = (sum(n for (_, y), n in totals.items() if y >= least) for least in (1, 0))
+    if not 5 <= true <= every - 5:
+        return Model(Trees(-30.0), {})
+    true, every = (sum(n * class_weight[c] for c, n in totals.items() if c[1] >= least) for least in (1, 0))
+    trees = _boosted(_log_odds(true / every), _spread_cells(rows.where("learn"), class_weight), **_BOOST)
+    return Model(trees, _thresholds(rows.where("NOT learn"), trees, class_weight))
+
+
+def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features with the kind, the kind alone, label and number of each row."""
+    kind, label, n = (batch.column(c).to_numpy() for c in ("kind", "label", "n"))
+    x = batch.column("features").flatten().to_numpy().reshape(batch.num_rows, -1)
+    return np.hstack([x, kind[:, None] == np.arange(len(KINDS))]), kind, label, n
+
+
+def _spread_cells(rows: DataFrame, class_weight: dict[tuple[int, int], float]):
+    """The sums of ``_cells`` over a table of examples: tasks add up their rows, a shuffle the rest."""
+    def cells(trees: Trees, tree: list[tuple], leaves: list[int]):
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    x, kind, label, n = _matrix(batch)
+                    weight = np.array([class_weight[c] for c in zip(kind.tolist(), label.tolist())])
+                    got = _cells(trees, tree, leaves, x, label, weight, n)
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(got, types)], names=names)
+
+        names, types = ["leaf", "feature", "value", "g", "h", "n"], ["i4", "i4", "f8", "i8", "i8", "i8"]
+        summed = rows.mapInArrow(run, "leaf int, feature int, value double, g long, h long, n long").groupBy(*names[:3]).agg(
+            *[F.sum(c).alias(c) for c in names[3:]])
+        got = summed.toArrow()  # leaves by features by the few values that a feature takes
+        return [got.column(c).to_numpy() for c in names]
+
+    return cells
+
+
+def _thresholds(rows: DataFrame, trees: Trees, class_weight: dict[tuple[int, int], float]) -> dict[int, float]:
+    """As ``fit`` has them. Scores are range-partitioned and added up inside their partition, then shifted by those before."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, kind, label, n = _matrix(batch)
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(trees.raw(x)), pa.array(n * (label == 1)), pa.array(n * (label == 0))],
+                                                 names=["kind", "raw", "good", "bad"])
+
+    sums = [F.sum("good").alias("good"), F.sum("bad").alias("bad")]
+    scored = rows.mapInArrow(run, "kind int, raw double, good long, bad long").groupBy("kind", "raw").agg(*sums)
+    # Written once: both sums must see the same partitions.
+    placed = stage(scored.repartitionByRange("kind", F.desc("raw")).withColumn("part", F.spark_partition_id()))
+    runs = placed.groupBy("kind", "part").agg(*sums)  # a row per partition and kind
+    earlier = Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = runs.select("kind", "part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("good", "bad")])
+    inside = Window.partitionBy("kind", "part").orderBy(F.desc("raw"))
+    upto = placed.withColumns({f"{c}_upto": F.sum(c).over(inside) for c in ("good", "bad")}).join(shifts, ["kind", "part"])
+    weights = F.create_map(*[F.lit(v) for (k, y), w in class_weight.items() for v in (2 * k + y, w)])
+
+    def weighed(name, label):
+        return (F.col(f"{name}_before") + F.col(f"{name}_upto")) * F.coalesce(F.try_element_at(weights, 2 * F.col("kind") + label), F.lit(0.0))
+
+    good, bad = weighed("good", 1), weighed("bad", 0)
+    last = F.min(F.when(good >= PRECISION * (good + bad), F.col("raw")))
+    got = upto.groupBy("kind").agg(last.alias("last"), F.min(F.when(F.col("good") > 0, F.col("raw"))).alias("least"), F.sum("good").alias("true"))
+    return {r["kind"]: max(r["last"], 0.0, r["least"]) for r in got.collect() if r["true"] >= 3 and r["last"] is not None}
 
 
 def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skyledger.llm import pii as D
 from skyledger.llm.queries import QUERIES
@@ -120,3 +121,28 @@ def test_what_can_be_added_is_not_learnt_as_negative():
         open_kinds = {k for s, k, e in D.candidates(text) if not D.refused(k, text[s:e])}
         assert open_kinds and not any(k in open_kinds for k, _, _, _ in D.examples(text))
     assert {label for _, label, _, _ in D.examples("mail a.b1@c.de or 10.0.0.1 now")} == {0, 1}
+
+
+def test_every_place_is_learnt_from(spark):
+    """Trees of a table are those of all its examples in memory, however many places there are and however they are dealt out."""
+    rng = random.Random(3)
+    rows = [(k, f"call +1 ({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)} or part {rng.randint(10 ** 8, 10 ** 14)} now, x{k}")
+            for k in range(2500)]
+    places = {}
+    for _, text in rows:
+        for kind, label, f, around in D.examples(text):
+            places.setdefault((kind, label, around), set()).add(tuple(f))
+    size = {}
+    for kind, label, _ in places:
+        size[kind, label] = size.get((kind, label), 0) + 1
+    assert max(size.values()) > D.EVEN
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = D.train(df.repartition(7))
+    around = spark.createDataFrame([(a,) for a in {p[2] for p in places}], "around string")
+    pick = {r["around"]: r["h"] for r in around.select("around", F.xxhash64("around").alias("h")).collect()}
+    learn = [(k, y, f) for (k, y, a), forms in places.items() for f in forms if (pick[a] >> 7) % 4]
+    x, y = np.array([D._row(k, list(f)) for k, _, f in learn]), np.array([float(y) for _, y, _ in learn])
+    whole = D.boost(x, y, np.array([min(1.0, D.EVEN / size[k, label]) for k, label, _ in learn]))
+    assert model.trees.start == pytest.approx(whole.start) and len(model.trees.nodes) == len(whole.nodes)
+    assert model.trees.raw(x) == pytest.approx(whole.raw(x), abs=1e-6)
+    assert D.train(df.repartition(2)).threshold == model.threshold
