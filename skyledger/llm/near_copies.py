@@ -6,7 +6,9 @@ doubling of its number: a few changed words move few bits, and frequent words do
 not make all texts of a language alike. The covering masks of ``simhash`` bring every
 pair of fingerprints within the radius into some bucket; there each fingerprint
 names its nearest earlier ones, so a group gives a few links for each member and
-never all its pairs. A candidate is a link only if the two texts share enough of
+never all its pairs. Where a fingerprint has more partners than it names, or stands for more
+texts than speak for it, every pair that is still in different components is a
+candidate of a second round, so none within the radius is left out. A candidate is a link only if the two texts share enough of
 their five-word shingles, counted in full (as 64-bit hashes), so texts that merely
 look alike stay; a sketch of each text rules out most of those beforehand.
 
@@ -33,9 +35,11 @@ SIMILARITY = 0.8
 # Earlier fingerprints that one names in a bucket, and links of one text that are confirmed together.
 NEAREST = 2
 TOGETHER = 256
+# Fingerprints of a bucket that one task compares with as many others when all pairs are asked for.
+TILE_ROWS = 16_384
 # Smallest shingle hashes that a text's sketch keeps, and how far below the similarity an estimate may lie for the texts to
-# be compared: four standard deviations.
-SKETCH, MARGIN = 64, 0.2
+# be compared: six standard deviations.
+SKETCH, MARGIN = 64, 0.3
 _LAST = 2 ** 63 - 1
 
 
@@ -99,22 +103,23 @@ def estimated(a: np.ndarray, b: np.ndarray) -> float:
     return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), smallest, assume_unique=True)) / len(smallest)
 
 
-def _near_links(radius: int, bucket_rows: int):
+def _near_links(radius: int, bucket_rows: int, members: bool = False):
     """Links from each fingerprint to its nearest earlier ones of a bucket, from a stream sorted by key.
 
-    The fingerprints of a bucket with more than ``bucket_rows`` come out alone.
+    The fingerprints of a bucket with more than ``bucket_rows`` come out alone. With ``members``
+    all fingerprints of a bucket in which some have further partners come out too, as (null, b).
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def of(fp: np.ndarray) -> list[tuple[int, int]]:
-        bits, out = fp.view(np.uint64), []
+    def of(fp: np.ndarray) -> list[tuple[int | None, int]]:
+        bits, out, more = fp.view(np.uint64), [], False
         for i in range(1, len(fp)):
             far = np.bitwise_count(bits[:i] ^ bits[i])
             near = np.flatnonzero(far <= radius)
             if len(near) > NEAREST:
-                near = near[np.argsort(far[near], kind="stable")[:NEAREST]]
+                near, more = near[np.argsort(far[near], kind="stable")[:NEAREST]], True
             out += [(int(fp[i]), int(fp[j])) for j in near]
-        return out
+        return out + [(None, f) for f in fp.tolist()] if members and more else out
 
     def alone(fp: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(fp), pa.nulls(len(fp), pa.int64())], schema=schema)
@@ -152,8 +157,7 @@ def _near_links(radius: int, bucket_rows: int):
 
 
 def _pairs(schema: pa.Schema, pairs: list) -> pa.RecordBatch:
-    got = np.array(pairs, dtype=np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], schema=schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], schema=schema)
 
 
 def spread_masks(radius: int, bits: int = 64) -> list[int]:
@@ -172,14 +176,94 @@ def spread_masks(radius: int, bits: int = 64) -> list[int]:
     return [m - 2 ** 64 if m >= 2 ** 63 else m for m in best]
 
 
+def _buckets(radius: int):
+    # A bucket is one number; two that should share it by chance are told apart by their distance.
+    return F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(spread_masks(radius))])
+
+
 def candidates(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Pairs (a, b) of distinct ``fp`` within the radius: a few for each, from every bucket that it is in."""
-    # A bucket is one number; two that should share it by chance are told apart by their distance.
-    buckets = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(spread_masks(radius))])
-    dealt = fps.select(F.explode(buckets).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
-    found = stage(dealt.mapInArrow(_near_links(radius, bucket_rows), StructType.fromDDL("a long, b long")).distinct())
-    crowded = found.where("b IS NULL").select(F.col("a").alias("fp")).distinct()
-    return found.where("b IS NOT NULL").unionByName(_half_way_links(crowded, radius)).distinct()
+    return _first_candidates(fps, radius, bucket_rows)[0]
+
+
+def _first_candidates(fps: DataFrame, radius: int, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``candidates``, and as (fp) all fingerprints of the buckets in which partners were left out."""
+    dealt = fps.select(F.explode(_buckets(radius)).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
+    found = stage(dealt.mapInArrow(_near_links(radius, bucket_rows, True), StructType.fromDDL("a long, b long")).distinct())
+    crowded = found.where("b IS NULL").select(F.col("a").alias("fp"))
+    pairs = found.where("a IS NOT NULL AND b IS NOT NULL").unionByName(_half_way_links(crowded, radius)).distinct()
+    return pairs, stage(found.where("a IS NULL").select(F.col("b").alias("fp")).unionByName(crowded).distinct())
+
+
+def other_candidates(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """All pairs (a, b) of distinct ``fp`` within the radius whose ``part`` differs or is null; each once.
+
+    A bucket of more than ``tile_rows`` is cut into blocks, and a task compares two of
+    them, so memory is bounded and a large bucket spreads over many tasks.
+    """
+    placed = fps.select("fp", "part", F.posexplode(_buckets(radius)).alias("mask", "key"))
+    sizes = fps.select(F.explode(_buckets(radius)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / tile_rows)
+    cut = placed.join(sizes, "key").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("fp", F.lit(3)), blocks)})
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    tiled = cut.select("key", "mask", "fp", "part", "block", other.alias("other")).select(
+        "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "mask", "block", "fp", "part")
+    keys = ["key", "lo", "hi"]
+    return tiled.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_tile_pairs(radius), StructType.fromDDL("a long, b long"))
+
+
+def _tile_pairs(radius: int):
+    """The pairs of each (key, lo, hi) of a stream sorted by them; a pair only under the first mask that brings it together."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    names = ["key", "lo", "hi", "mask", "block", "fp", "part", "loose"]
+    masks = np.array(spread_masks(radius), dtype=np.int64)
+
+    def of(tile: dict[str, np.ndarray]):
+        fp, block, mask = tile["fp"], tile["block"], int(tile["mask"][0])
+        across = tile["lo"][0] != tile["hi"][0]
+        for i in range(1, len(fp)):
+            apart = fp[:i] ^ fp[i]
+            near = np.bitwise_count(apart.view(np.uint64)) <= radius
+            near &= (apart != 0) & (tile["loose"][:i] | tile["loose"][i] | (tile["part"][:i] != tile["part"][i]))
+            if across:
+                near &= block[:i] != block[i]
+            at = np.flatnonzero(near)
+            if len(at):
+                together = (apart[at, None] & masks[:mask + 1]) == 0
+                at = at[together[:, mask] & ~together[:, :mask].any(axis=1)]
+                yield fp[at], np.full(len(at), fp[i])
+
+    def run(batches):
+        held, out, n = None, [], 0
+        for batch in batches:
+            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names[:6]}
+            part = batch.column("part")
+            new["part"], new["loose"] = part.fill_null(0).to_numpy(), part.is_null().to_numpy(zero_copy_only=False)
+            held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in names}
+            ends = np.flatnonzero(np.any([held[c][1:] != held[c][:-1] for c in names[:3]], axis=0)) + 1
+            for a, b in zip(np.r_[0, ends[:-1]], ends) if len(ends) else ():
+                for pair in of({c: v[a:b] for c, v in held.items()}):
+                    out.append(pair)
+                    n += len(pair[0])
+                    if n >= 65_536:
+                        yield _joined(schema, out)
+                        out, n = [], 0
+            held = {c: v[ends[-1]:] for c, v in held.items()} if len(ends) else held
+        if held is not None and len(held["fp"]):
+            for pair in of(held):
+                out.append(pair)
+                n += len(pair[0])
+                if n >= 65_536:
+                    yield _joined(schema, out)
+                    out, n = [], 0
+        if out:
+            yield _joined(schema, out)
+
+    return run
+
+
+def _joined(schema: pa.Schema, parts: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=schema)
 
 
 def likely(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
@@ -249,21 +333,41 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
                   .select("key", "low.doc_id", "low.n", "fp", "sketch"))
     # Different texts may have one fingerprint, so a few of them stand for it.
     stand_ins = [F.min("key"), F.max("key"), *[F.min_by("key", F.xxhash64("key", F.lit(i))) for i in range(2)]]
-    fps = stage(nodes.groupBy("fp").agg(F.array_distinct(F.array(*stand_ins)).alias("reps")))
-    named = candidates(fps.select("fp"), radius).join(fps.select(F.col("fp").alias("a"), F.col("reps").alias("x")), "a").join(
-        fps.select(F.col("fp").alias("b"), F.col("reps").alias("y")), "b").select(F.explode("x").alias("a"), "y").select(
-        "a", F.explode("y").alias("b"))
+    reps = F.array_distinct(F.array(*stand_ins))
+    fps = stage(nodes.groupBy("fp").agg(reps.alias("reps"), (F.count(F.lit(1)) > F.size(reps)).alias("many")))
+    near, skipped = _first_candidates(fps.select("fp"), radius, BUCKET_ROWS)
+    near = stage(near.join(fps.select(F.col("fp").alias("a"), F.col("reps").alias("x"), F.col("many").alias("p")), "a").join(
+        fps.select(F.col("fp").alias("b"), F.col("reps").alias("y"), F.col("many").alias("q")), "b"))
+    named = near.select(F.explode("x").alias("a"), "y").select("a", F.explode("y").alias("b"))
     alike = nodes.join(fps, "fp").select(F.col("key").alias("a"), F.explode("reps").alias("b")).where("a <> b")
-    pairs = stage(likely(named.unionByName(alike).distinct(), nodes.select("key", "sketch"), least))
-    linked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     keyed = docs.select(F.col(text_col).alias("text")).mapInArrow(_keyed, "text string, key binary")
-    bodies = stage(keyed.join(linked, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
-    links = confirmed(pairs, bodies, shingle, least)
     # A node is its smallest id and its text, so a component's smallest node is the one that stays.
     node = nodes.select("key", F.struct("doc_id", "key").alias("node"))
-    edges = links.join(node.select(F.col("key").alias("a"), F.col("node").alias("u")), "a").join(
-        node.select(F.col("key").alias("b"), F.col("node").alias("v")), "b")
-    gone = components(edges.select(F.col("u").alias("a"), F.col("v").alias("b"))).where("node <> root").select("node.key")
+
+    def edges(found: DataFrame) -> DataFrame:
+        pairs = stage(likely(found.distinct(), nodes.select("key", "sketch"), least))
+        linked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+        bodies = stage(keyed.join(linked, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
+        links = confirmed(pairs, bodies, shingle, least)
+        return links.join(node.select(F.col("key").alias("a"), F.col("node").alias("u")), "a").join(
+            node.select(F.col("key").alias("b"), F.col("node").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
+
+    star = components(edges(named.unionByName(alike)))
+    # Every other pair within the radius, unless its texts are in one component by now.
+    many = fps.where("many").select("fp")
+    if not (skipped.isEmpty() and many.isEmpty()):
+        rooted = stage(nodes.select("key", "fp", F.struct("doc_id", "key").alias("node")).join(star, "node", "left").select(
+            "key", "fp", F.xxhash64(F.coalesce("root.key", "key")).alias("part")))
+        parts = rooted.groupBy("fp").agg(F.when(F.min("part") == F.max("part"), F.min("part")).alias("part"))
+        others = other_candidates(parts.join(skipped, "fp", "left_semi"), radius)
+        same = many.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+        of_fps = others.unionByName(near.where("p OR q").select("a", "b")).unionByName(same).distinct()
+        first = rooted.select(F.col("fp").alias("a"), F.col("key").alias("x"), F.col("part").alias("p"))
+        second = rooted.select(F.col("fp").alias("b"), F.col("key").alias("y"), F.col("part").alias("q"))
+        rest = of_fps.join(first, "a").join(second, "b").where("p <> q AND (a <> b OR x < y)")
+        more = edges(rest.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        star = components(star.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    gone = star.where("node <> root").select("node.key")
     kept = stage(nodes.join(gone, "key", "left_anti").select(F.col("key").alias("__key"), F.col("doc_id").alias("__id"), "n"))
 
     whole = docs.mapInArrow(with_key, schema)

@@ -120,3 +120,32 @@ def test_edges_of_the_table(spark):
     assert kept.dtypes == docs.dtypes
     assert sorted(r["key"] for r in kept.collect()) == ["a", "d", "f", "i", "j"]  # "ONE two" sorts before "one two"
     assert N.keep_one(docs.limit(0)).collect() == []
+
+
+def test_no_partner_within_the_radius_is_left_out(spark):
+    """Shuffled texts share a fingerprint, and look-alikes crowd the nearest places; the two real copies still meet."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(rng.sample(base, len(base)))) for i in range(40)]
+    for i in (3, 11, 17, 29):
+        words = rows[i][1].split()
+        words[rng.randrange(20, 100)] = f"other{i}"
+        rows.append((100 + i, " ".join(words)))
+    text = dict(rows)
+    fp = {i: N.Words(N.words_of(t)).fingerprint() for i, t in rows}
+    low = plain_groups(text, lambda a, b: plain_similarity(a, b) >= 0.8)
+    linked = [i for i in low if low[i] != i and (fp[i] ^ fp[low[i]]).bit_count() <= N.RADIUS]
+    assert len(linked) >= 3
+    kept = {r["doc_id"] for r in N.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(text) - set(linked)
+
+
+@pytest.mark.parametrize("tile", [3, 1000])
+def test_other_candidates_are_all_pairs_of_different_parts(spark, tile):
+    rng = random.Random(9)
+    centres = [rng.getrandbits(63) for _ in range(4)]
+    fps = {c ^ sum(1 << b for b in rng.sample(range(62), rng.randint(0, 4))): rng.choice([1, 2, 3, None]) for c in centres for _ in range(25)}
+    df = spark.createDataFrame(list(fps.items()), "fp long, part long")
+    got = [tuple(sorted(r)) for r in N.other_candidates(df, 6, tile).collect()]
+    want = {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 6 and (fps[a] is None or fps[b] is None or fps[a] != fps[b])}
+    assert len(got) == len(set(got)) and set(got) == want
