@@ -243,23 +243,38 @@ def debias_report(cat: DataFrame, fit_fold: str = "A", apply_fold: str = "B", nb
                       F.col("frac_scatter").alias("scatter"))
 
 
+def probe_stages(cat: DataFrame, fit_fold: str = "A", apply_fold: str = "B", snr: float = 20.0) -> tuple[float, DataFrame]:
+    """Error factor from one fold's probe, and the other fold's rows before and after it as ``stage``."""
+    clean = clean_catalog(cat)
+    fit = clean.filter((F.col("sample") == fit_fold) & x.hi_snr("plx", "e_plx", snr))
+    factor = recalibration_factor(fit, [])[()]
+    held = clean.filter(F.col("sample") == apply_fold)
+    return factor, held.withColumn("stage", F.lit("before")).unionByName(
+        held.withColumn("stage", F.lit("after")).withColumn("err_sp", F.col("err_sp") * factor))
+
+
+def probe_table(both: DataFrame, axis: Column, nbins: int = 8, snr: float = 20.0) -> DataFrame:
+    """The calibration table by ``axis`` of both stages; the probe is written once, as for ``probe_width``."""
+    probe = both.filter(x.hi_snr("plx", "e_plx", snr)).select("stage", "plx", "e_plx", "plx_sp", "err_sp", axis.alias("__axis"))
+    return calibration_bins(stage(probe), ["stage"], axis=F.col("__axis"), nbins=nbins, snr=snr, min_rows=NOTEBOOK_MIN_BIN_ROWS)
+
+
+def probe_width(both: DataFrame, snr: float = 20.0) -> DataFrame:
+    """The probe's z width at both stages; its rows are written once, narrow, as every pass reads them again."""
+    probe = both.filter(x.hi_snr("plx", "e_plx", snr)).select("stage", "plx", "e_plx", "plx_sp", "err_sp")
+    return z_report(stage(probe), ["stage"])
+
+
 def probe_recalibration(cat: DataFrame, axis: Column, fit_fold: str = "A", apply_fold: str = "B",
                         nbins: int = 8, snr: float = 20.0) -> tuple[float, DataFrame, DataFrame]:
     """Error factor from one fold's probe, applied to the other.
 
     Returns the factor, the calibration table by ``axis`` and the probe's z width,
-    both before and after.
+    both before and after. Each costs passes of its own: ``probe_table`` and
+    ``probe_width`` give one alone.
     """
-    clean = clean_catalog(cat)
-    fit = clean.filter((F.col("sample") == fit_fold) & x.hi_snr("plx", "e_plx", snr))
-    factor = recalibration_factor(fit, [])[()]
-    held = clean.filter(F.col("sample") == apply_fold).withColumn("__axis", axis)
-    both = held.withColumn("stage", F.lit("before")).unionByName(
-        held.withColumn("stage", F.lit("after")).withColumn("err_sp", F.col("err_sp") * factor))
-    table = calibration_bins(both, ["stage"], axis=F.col("__axis"), nbins=nbins, snr=snr,
-                             min_rows=NOTEBOOK_MIN_BIN_ROWS)
-    width = z_report(both.filter(x.hi_snr("plx", "e_plx", snr)), ["stage"])
-    return factor, table, width
+    factor, both = probe_stages(cat, fit_fold, apply_fold, snr)
+    return factor, probe_table(both, axis, nbins, snr), probe_width(both, snr)
 
 
 def constant_error(cat: DataFrame, snr: float = 20.0) -> DataFrame:

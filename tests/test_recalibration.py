@@ -72,3 +72,25 @@ def test_images_keep_the_order():
     x = np.array([-1e308, -1.0, -5e-324, 0.0, 5e-324, 1.0, np.nextafter(1.0, 2), 1e308])
     assert (np.diff(widths.image(x)) > 0).all()
     np.testing.assert_array_equal(widths.value(widths.image(x)), x)
+
+
+def test_the_width_alone_costs_no_calibration_table(spark, sf, monkeypatch):
+    from skyledger.operators import calibrate
+    from skyledger.plans.queries import QUERIES
+
+    def refuse(*args, **options):
+        raise AssertionError("not asked for")
+
+    monkeypatch.setattr(calibrate, "calibration_bins", refuse)
+    assert {r["stage"] for r in QUERIES["probe_z_width"](spark, sf).collect()} == {"before", "after"}
+
+
+def test_the_table_alone_costs_no_width(spark, sf, monkeypatch):
+    from skyledger.operators import calibrate
+    from skyledger.plans.queries import QUERIES
+
+    def refuse(*args, **options):
+        raise AssertionError("not asked for")
+
+    monkeypatch.setattr(calibrate, "z_report", refuse)
+    QUERIES["probe_recalibration"](spark, sf).collect()
