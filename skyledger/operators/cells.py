@@ -68,7 +68,7 @@ def settle(lo, hi, n, probs=(), ranks=None, spread: bool = False) -> Cell:
         return int(np.searchsorted(upto, rank, "right"))
 
     wanted = [place(total, p) for p in probs] if ranks is None else [(r, r, 0.0) for r in ranks(total)]
-    needed = np.zeros(len(lo), bool)
+    needed, nearer = np.zeros(len(lo), bool), np.zeros(len(lo), bool)
     for low, high, _ in wanted:
         needed[[bucket(low), bucket(high)]] = True
     deviation = None
@@ -85,20 +85,24 @@ def settle(lo, hi, n, probs=(), ranks=None, spread: bool = False) -> Cell:
         least, most = at_rank(near, n, low), at_rank(far, n, high)
         # Buckets surely nearer or surely farther than the rank are only counted.
         needed |= (far >= least) & (near <= most)
+        nearer = far < least
         if single[needed].all():
             inside = int(n[far < least].sum())
             mine = needed & (far >= least) & (near <= most)
             deviation = between(at_rank(near[mine], n[mine], low - inside), at_rank(near[mine], n[mine], high - inside), share)
     open_ = needed & ~single
     if open_.any():
-        return Cell(*_run_together(lo, hi, n, needed, open_), total)
+        return Cell(*_run_together(lo, hi, n, needed, nearer, open_), total)
     found = [between(float(lo[bucket(a)]), float(lo[bucket(b)]), share) for a, b, share in wanted]
     first = bucket(wanted[0][0]) if wanted else None
     return Cell(lo, hi, n, open_, total, found + ([deviation] if spread else []), None if first is None else int(upto[first] - n[first]))
 
 
-def _run_together(lo, hi, n, needed, open_):
-    """Neighbouring buckets that do not matter become one."""
-    start = needed | np.r_[True, needed[:-1]]
+def _run_together(lo, hi, n, needed, nearer, open_):
+    """Neighbouring buckets that do not matter become one, unless the deviation's rank lies between them.
+
+    A run of nearer and farther buckets would straddle that rank, and all its rows would be looked into again.
+    """
+    start = needed | np.r_[True, needed[:-1] | (nearer[1:] != nearer[:-1])]
     cuts = np.flatnonzero(start)
     return (np.minimum.reduceat(lo, cuts), np.maximum.reduceat(hi, cuts), np.add.reduceat(n, cuts), open_[cuts])
