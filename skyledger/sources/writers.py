@@ -15,16 +15,23 @@ def write_table(df: DataFrame, path: str, mode: str = "error") -> None:
 
 def write_per_cluster(df: DataFrame, path: str, label: str = "cluster", rows_per_task: int = 1_000_000,
                       mode: str = "error") -> None:
-    """One directory per cluster; clusters without rows never appear.
+    """One directory per cluster; clusters without rows never appear, rows without a cluster are left out.
 
-    Each cluster gets as many writers as its size asks for, so that one big cluster
-    does not sit on one task and small ones do not end in many files.
+    A cluster of more than ``rows_per_task`` rows that is also larger than an even share of
+    one task gets as many writers as its size asks for, so that one big cluster does not
+    sit on one task; all others end in one file each.
     """
-    sizes = stage(df.groupBy(label).agg(F.count(F.lit(1)).alias("__n")).select(
-        label, F.ceil(F.col("__n") / rows_per_task).alias("__splits")))
-    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != label]), F.col("__splits"))
-    keyed = df.join(sizes, label).withColumn("__s", spread).drop("__splits")
-    keyed.repartition(label, "__s").drop("__s").write.mode(mode).partitionBy(label).parquet(path)
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.where(F.col(label).isNotNull())
+    sizes = stage(rows.groupBy(label).agg(F.count(F.lit(1)).alias("__n")))
+    total = sizes.agg(F.sum("__n").alias("n")).first()["n"] or 0
+    each = max(rows_per_task, total / parts)
+    large = sizes.where(F.col("__n") > each).select(label, F.ceil(F.col("__n") / each).alias("__splits"))
+    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != label]), F.coalesce("__splits", F.lit(1).cast("long")))
+    keyed = rows.join(large, label, "left").withColumn("__s", spread).drop("__splits")
+    # The number is fixed: a file costs more than its bytes tell, so tasks are not put together by them.
+    keyed.repartition(parts, label, "__s").drop("__s").write.mode(mode).partitionBy(label).parquet(path)
 
 
 def compact(spark: SparkSession, source: str, target: str, rows_per_file: int = 20_000,

@@ -117,6 +117,17 @@ def test_empty_clusters_are_not_written(spark, tmp_path):
     assert [p.name for p in (tmp_path / "out").glob("cluster=*")] == ["cluster=a"]
 
 
+def test_small_clusters_end_in_one_file_each(spark, tmp_path):
+    rows = [(f"c{i % 60}", i) for i in range(1200)]
+    df = spark.createDataFrame(rows + [("big", i) for i in range(3000)] + [(None, 1)], "cluster string, id long")
+    writers.write_per_cluster(df, str(tmp_path / "out"), rows_per_task=5)
+    files = {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "out").glob("cluster=*")}
+    assert files.pop("cluster=big") > 1
+    assert set(files.values()) == {1} and len(files) == 60
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("cluster", "id").collect())) == sorted(
+        rows + [("big", i) for i in range(3000)])
+
+
 def test_ingest_resumes_and_guards_its_settings(spark, tmp_path):
     source, target, checkpoint = (str(tmp_path / d) for d in ("in", "out", "state"))
     spark.range(10).write.parquet(source)
