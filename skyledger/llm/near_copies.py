@@ -7,8 +7,9 @@ not make all texts of a language alike. The covering masks of ``simhash`` bring
 pair of fingerprints within the radius into some bucket; there each fingerprint
 names its nearest earlier ones, so a group gives a few links for each member and
 never all its pairs. Where a fingerprint has more partners than it names, or stands for more
-texts than speak for it, every pair that is still in different components is a
-candidate of a second round, so none within the radius is left out. A candidate is a link only if the two texts share enough of
+texts than speak for it, its texts take part in a second round: there all that share
+one of their smallest shingle hashes are compared as they are, unless they are in one
+component by then, and a task gives out no more links than join its components. A candidate is a link only if the two texts share enough of
 their five-word shingles, counted in full (as 64-bit hashes), so texts that merely
 look alike stay; a sketch of each text rules out most of those beforehand.
 
@@ -20,6 +21,8 @@ empty table gives an empty one.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -40,6 +43,10 @@ TILE_ROWS = 16_384
 # Smallest shingle hashes that a text's sketch keeps, and how far below the similarity an estimate may lie for the texts to
 # be compared: six standard deviations.
 SKETCH, MARGIN = 64, 0.3
+# Smallest shingle hashes under which texts meet in the second round: two texts at the similarity share none of them with odds
+# of 0.2 ** LOW, those of the margin. Texts of one hash that a task compares with as many others.
+LOW = 13
+TILE_TEXTS = 1024
 _LAST = 2 ** 63 - 1
 
 
@@ -299,6 +306,84 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, shingle: int, least: float) -
     return both.select("a", "b", "text", "other").mapInArrow(run, "a binary, b binary")
 
 
+def joining_links(members: DataFrame, bodies: DataFrame, radius: int, shingle: int, least: float, tile_texts: int = TILE_TEXTS) -> DataFrame:
+    """Links (a, b) of similar texts within the radius that join different parts; ``members`` has (key, fp, part), ``bodies`` (key, text).
+
+    Each pair is compared under the smallest hash that it shares, and not at all once links
+    of the same task have joined its parts. A hash whose texts are all in one part is left out,
+    one of more than ``tile_texts`` texts is cut into blocks, and a task compares two of them.
+    """
+    def shingles(batches):
+        for batch in slices(batches, 64):
+            found = [Words(words_of(t)).shingles(shingle) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary()),
+                 pa.array([x[:LOW].view(np.int64) for x in found], pa.list_(pa.int64()))], names=["key", "shingles", "low"])
+
+    cut = stage(bodies.mapInArrow(shingles, "key binary, shingles binary, low array<long>"))
+    met = cut.select("key", F.explode("low").alias("slot")).join(members, "key")
+    sizes = met.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("first"), F.max("part").alias("last"))
+    blocks = F.ceil(F.col("n") / tile_texts)
+    placed = met.join(sizes.where("first <> last").select("slot", blocks.alias("blocks")), "slot").withColumn(
+        "block", F.pmod(F.xxhash64("key", F.lit(5)), F.col("blocks")))
+    tiled = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "slot", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp", "part", "key")
+    # Shingles are far larger than their files tell next to the rows they meet.
+    whole = tiled.join(cut.select("key", "shingles").hint("merge"), "key")
+    keys = ["slot", "lo", "hi"]
+    return whole.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
+        _tile_links(radius, least), "a binary, b binary").distinct()
+
+
+def _tile_links(radius: int, least: float):
+    """Links that join the parts of each (slot, lo, hi) of a stream sorted by them."""
+    names = ["slot", "lo", "hi", "block", "fp", "part"]
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def of(tile: dict[str, np.ndarray], texts_: list, keys: list):
+        slot, across = tile["slot"][:1].view(np.uint64)[0], tile["lo"][0] != tile["hi"][0]
+        fp, block, part = tile["fp"].view(np.uint64), tile["block"], tile["part"].copy()
+        sets = [np.frombuffer(x, "<u8") for x in texts_]
+        size = np.array([len(x) for x in sets])
+        low = np.zeros((len(sets), LOW), np.uint64)
+        for k, x in enumerate(sets):
+            low[k, :min(LOW, len(x))] = x[:LOW]
+            low[k, len(x):] = x[-1]
+        for i in range(1, len(sets)):
+            near = (part[:i] != part[i]) & (np.bitwise_count(fp[:i] ^ fp[i]) <= radius)
+            near &= np.minimum(size[:i], size[i]) >= least * np.maximum(size[:i], size[i])
+            if across:
+                near &= block[:i] != block[i]
+            at = np.flatnonzero(near)
+            if not len(at):
+                continue
+            at = at[~np.isin(low[at], low[i][low[i] < slot]).any(axis=1)]
+            for j in at.tolist():
+                if part[j] != part[i] and similarity(sets[i], sets[j]) >= least:
+                    yield keys[j], keys[i]
+                    part[part == part[j]] = part[i]
+
+    def run(batches):
+        held, texts_, keys = None, [], []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                new = {c: batch.column(c).to_numpy() for c in names}
+                held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in names}
+                texts_ += batch.column("shingles").to_pylist()
+                keys += batch.column("key").to_pylist()
+            if held is None or not len(keys):
+                continue
+            ends = np.flatnonzero(np.any([held[c][1:] != held[c][:-1] for c in names[:3]], axis=0)) + 1
+            ends = ends.tolist() if batch is not None else [*ends.tolist(), len(keys)]
+            out = [link for a, b in zip([0, *ends], ends) for link in of({c: v[a:b] for c, v in held.items()}, texts_[a:b], keys[a:b])]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], schema=schema)
+            if ends:
+                held, texts_, keys = {c: v[ends[-1]:] for c, v in held.items()}, texts_[ends[-1]:], keys[ends[-1]:]
+
+    return run
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE,
              least: float = SIMILARITY) -> DataFrame:
     """One row of each group of equal or near copies, with all its columns as they were."""
@@ -344,28 +429,24 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     # A node is its smallest id and its text, so a component's smallest node is the one that stays.
     node = nodes.select("key", F.struct("doc_id", "key").alias("node"))
 
-    def edges(found: DataFrame) -> DataFrame:
-        pairs = stage(likely(found.distinct(), nodes.select("key", "sketch"), least))
-        linked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-        bodies = stage(keyed.join(linked, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
-        links = confirmed(pairs, bodies, shingle, least)
+    def bodies(wanted: DataFrame) -> DataFrame:
+        return keyed.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+
+    def edges(links: DataFrame) -> DataFrame:
         return links.join(node.select(F.col("key").alias("a"), F.col("node").alias("u")), "a").join(
             node.select(F.col("key").alias("b"), F.col("node").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
 
-    star = components(edges(named.unionByName(alike)))
+    pairs = stage(likely(named.unionByName(alike).distinct(), nodes.select("key", "sketch"), least))
+    linked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    star = components(edges(confirmed(pairs, stage(bodies(linked)), shingle, least)))
     # Every other pair within the radius, unless its texts are in one component by now.
     many = fps.where("many").select("fp")
     if not (skipped.isEmpty() and many.isEmpty()):
-        rooted = stage(nodes.select("key", "fp", F.struct("doc_id", "key").alias("node")).join(star, "node", "left").select(
-            "key", "fp", F.xxhash64(F.coalesce("root.key", "key")).alias("part")))
-        parts = rooted.groupBy("fp").agg(F.when(F.min("part") == F.max("part"), F.min("part")).alias("part"))
-        others = other_candidates(parts.join(skipped, "fp", "left_semi"), radius)
-        same = many.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-        of_fps = others.unionByName(near.where("p OR q").select("a", "b")).unionByName(same).distinct()
-        first = rooted.select(F.col("fp").alias("a"), F.col("key").alias("x"), F.col("part").alias("p"))
-        second = rooted.select(F.col("fp").alias("b"), F.col("key").alias("y"), F.col("part").alias("q"))
-        rest = of_fps.join(first, "a").join(second, "b").where("p <> q AND (a <> b OR x < y)")
-        more = edges(rest.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        both = near.where("p OR q")
+        again = skipped.unionByName(many).unionByName(both.select(F.col("a").alias("fp"))).unionByName(both.select(F.col("b").alias("fp")))
+        members = stage(nodes.join(again.distinct(), "fp", "left_semi").select("key", "fp", F.struct("doc_id", "key").alias("node")).join(
+            star, "node", "left").select("key", "fp", F.xxhash64(F.coalesce("root.key", "key")).alias("part")))
+        more = edges(joining_links(members, bodies(members.select("key")), radius, shingle, least))
         star = components(star.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     gone = star.where("node <> root").select("node.key")
     kept = stage(nodes.join(gone, "key", "left_anti").select(F.col("key").alias("__key"), F.col("doc_id").alias("__id"), "n"))

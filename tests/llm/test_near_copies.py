@@ -149,3 +149,60 @@ def test_other_candidates_are_all_pairs_of_different_parts(spark, tile):
     got = [tuple(sorted(r)) for r in N.other_candidates(df, 6, tile).collect()]
     want = {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 6 and (fps[a] is None or fps[b] is None or fps[a] != fps[b])}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_look_alikes_are_not_confirmed_pair_by_pair(spark, monkeypatch):
+    """A large group within the radius of one another, none of them similar enough, and two that only the second round meets."""
+    rng = np.random.default_rng(4)
+    base = [f"word{k}" for k in rng.integers(0, 5000, 200)]
+    docs = []
+    for i in range(250):
+        words = list(base)
+        for k, at in enumerate(rng.choice(200, 7, replace=False).tolist()):
+            words[at] = f"other{i}x{k}"
+        docs.append((i, " ".join(words)))
+    docs.append((250, docs[17][1].replace(docs[17][1].split()[-1], "end")))
+    counted, real = [], N.confirmed
+
+    def confirmed(pairs, *args):
+        counted.append(pairs.count())
+        return real(pairs, *args)
+
+    monkeypatch.setattr(N, "confirmed", confirmed)
+    monkeypatch.setattr(N, "NEAREST", 1)
+    kept = {r["doc_id"] for r in N.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    sets = {i: N.Words(N.words_of(t)).shingles() for i, t in docs}
+    assert kept == {i for i in sets if not any(N.similarity(sets[j], sets[i]) >= N.SIMILARITY for j in range(i))}
+    assert sum(counted) < len(docs) * (len(docs) - 1) / 2
+
+
+@pytest.mark.parametrize("tile", [4, 1000])
+def test_joining_links_join_what_all_pairs_join(spark, tile):
+    rng = np.random.default_rng(9)
+    docs = {}
+    for g in range(6):
+        base = [f"g{g}w{k}" for k in range(60)]
+        for i in range(12):
+            words = list(base)
+            for at in rng.choice(60, int(rng.integers(0, 4)), replace=False).tolist():
+                words[at] = f"n{rng.integers(1000)}"
+            text = " ".join(words)
+            docs[N.text_key(N.words_of(text))] = text
+    held = {k: N.Words(N.words_of(t)) for k, t in docs.items()}
+    part = {k: n // 2 for n, k in enumerate(docs)}
+    members = spark.createDataFrame([(bytearray(k), w.fingerprint(), part[k]) for k, w in held.items()], "key binary, fp long, part long")
+    bodies = spark.createDataFrame([(bytearray(k), t) for k, t in docs.items()], "key binary, text string")
+    links = [(bytes(r["a"]), bytes(r["b"])) for r in N.joining_links(members, bodies, 6, N.SHINGLE, N.SIMILARITY, tile).collect()]
+    near = {k: w.shingles() for k, w in held.items()}
+    pairs = [(x, y) for x in docs for y in docs if x < y and ((held[x].fingerprint() ^ held[y].fingerprint()) % 2 ** 64).bit_count() <= 6
+             and N.similarity(near[x], near[y]) >= N.SIMILARITY]
+
+    def groups(found):
+        root = {p: p for p in part.values()}
+        for x, y in found:
+            a, b = root[part[x]], root[part[y]]
+            root = {p: a if r == b else r for p, r in root.items()}
+        return sorted(sorted(p for p in root if root[p] == r) for r in set(root.values()))
+
+    assert pairs and groups(links) == groups(pairs)
+    assert {tuple(sorted(p)) for p in links} <= set(pairs)
