@@ -157,8 +157,9 @@ def _near_links(radius: int, bucket_rows: int, members: bool = False):
                 yield _pairs(schema, pairs)
             last = len(key) if crowded is not None else starts[-1]
             key, fp = key[last:], fp[last:]
-        if len(fp) > 1:
-            yield _pairs(schema, of(fp))
+        pairs = of(fp) if len(fp) > 1 else []
+        if pairs:
+            yield _pairs(schema, pairs)
 
     return run
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +152,11 @@ def test_other_candidates_are_all_pairs_of_different_parts(spark, tile):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_a_stream_may_end_in_a_bucket_without_a_pair():
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 1]), pa.array([0, 2 ** 40 - 1])], names=["key", "fp"])
+    assert list(N._near_links(6, 100)(iter([batch]))) == []
+
+
 def test_look_alikes_are_not_confirmed_pair_by_pair(spark, monkeypatch):
     """A large group within the radius of one another, none of them similar enough, and two that only the second round meets."""
     rng = np.random.default_rng(4)
