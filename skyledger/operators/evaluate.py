@@ -29,14 +29,21 @@ def clean_catalog(cat: DataFrame) -> DataFrame:
                             if c in cat.columns})
 
 
+# What each figure of the report is taken from.
+_FIGURES = {"median_frac_resid": ["frac"], "robust_frac_scatter": ["frac"], "median_spec_err_frac": ["err_frac"],
+            "chi2_mean_chi2": ["chi2"], "chi2_median_chi2": ["chi2"], "chi2_robust_chi2": ["chi"], "chi2_n": ["chi"]}
+
+
 def evaluate(cat: DataFrame, snr: float = 20.0, offset: float = 0.0,
-             by: Sequence[str] = (), folds: bool = True, sample: str = "sample") -> DataFrame:
+             by: Sequence[str] = (), folds: bool = True, sample: str = "sample", figures: Sequence[str] | None = None) -> DataFrame:
     """Headline report per fold: bias, robust scatter, quoted error, chi-square.
 
     By fold, A and B rows count under their own fold and every row under ``all``,
-    whose counts and sums are those of the folds added up.
+    whose counts and sums are those of the folds added up. ``figures`` names those
+    wanted besides the counts (all); the passes then count only the values they need.
     """
-    by = list(by)
+    by, figures = list(by), list(_FIGURES if figures is None else figures)
+    needed = {v for f in figures for v in _FIGURES[f]}
     cat = clean_catalog(cat)
     if folds:
         by = [*by, "fold"]
@@ -53,15 +60,14 @@ def evaluate(cat: DataFrame, snr: float = 20.0, offset: float = 0.0,
         own = F.when(F.col("fold").isNotNull(), F.array(F.lit("all"), F.col("fold")))
         sums = sums.withColumn("fold", F.explode(F.coalesce(own, F.array(F.lit("all"))))).groupBy(*by).agg(
             *[F.sum(c).alias(c) for c in ("n_total", "n_hi_snr_probe", "chi2_sum")])
-    out = on_groups(robust_stats(rows, by, ["frac", "err_frac", "chi", "chi2"], total=("fold", "all") if folds else None), sums, by)
-    return out.select(
-        *by, "n_total", "n_hi_snr_probe", F.col("frac_med").alias("median_frac_resid"),
-        F.col("frac_scatter").alias("robust_frac_scatter"),
-        F.col("err_frac_med").alias("median_spec_err_frac"),
-        F.try_divide("chi2_sum", "chi2_n").alias("chi2_mean_chi2"),
-        F.col("chi2_med").alias("chi2_median_chi2"),
-        (F.col("chi_scatter") * F.col("chi_scatter")).alias("chi2_robust_chi2"),
-        F.col("chi_n").alias("chi2_n"))
+    if not needed:
+        return sums.select(*by, "n_total", "n_hi_snr_probe")
+    spread = robust_stats(rows, by, [v for v in ("frac", "err_frac", "chi", "chi2") if v in needed], total=("fold", "all") if folds else None)
+    out = on_groups(spread, sums, by)
+    found = {"median_frac_resid": F.col("frac_med"), "robust_frac_scatter": F.col("frac_scatter"), "median_spec_err_frac": F.col("err_frac_med"),
+             "chi2_mean_chi2": F.try_divide("chi2_sum", "chi2_n"), "chi2_median_chi2": F.col("chi2_med"),
+             "chi2_robust_chi2": F.col("chi_scatter") * F.col("chi_scatter"), "chi2_n": F.col("chi_n")}
+    return out.select(*by, "n_total", "n_hi_snr_probe", *[found[f].alias(f) for f in figures])
 
 
 def chi2_stats(cat: DataFrame, by: Sequence[str], offset: float = 0.0) -> DataFrame:
@@ -194,8 +200,8 @@ def sharpness(cat: DataFrame, by: Sequence[str], tie_break: Sequence[str], offse
 
 def overfit_gap(in_fold: DataFrame, held_out: DataFrame, snr: float = 20.0) -> DataFrame:
     """Robust scatter of in-fold and held-out predictions and the gap in points."""
-    a = evaluate(in_fold, snr, folds=True).select("fold", F.col("robust_frac_scatter").alias("in_fold"))
-    b = evaluate(held_out, snr, folds=True).select("fold", F.col("robust_frac_scatter").alias("held_out"))
+    a = evaluate(in_fold, snr, figures=["robust_frac_scatter"]).select("fold", F.col("robust_frac_scatter").alias("in_fold"))
+    b = evaluate(held_out, snr, figures=["robust_frac_scatter"]).select("fold", F.col("robust_frac_scatter").alias("held_out"))
     return a.join(b, "fold").withColumn("gap_pp", 100.0 * (F.col("held_out") - F.col("in_fold")))
 
 

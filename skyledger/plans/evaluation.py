@@ -44,7 +44,7 @@ def evaluate_missing_values(spark, sf):
   SELECT cluster, count(frac) AS n, {r('median(frac)')} AS bias, {r('1.48::DOUBLE * mad(frac)')} AS scatter
   FROM m GROUP BY cluster""")
 def evaluate_with_offset(spark, sf):
-    out = ev.evaluate(messy(spark, sf), offset=0.048, by=["cluster"], folds=False)
+    out = ev.evaluate(messy(spark, sf), offset=0.048, by=["cluster"], folds=False, figures=["median_frac_resid", "robust_frac_scatter"])
     return round_all(out.select("cluster", F.col("n_hi_snr_probe").alias("n"),
                                 F.col("median_frac_resid").alias("bias"),
                                 F.col("robust_frac_scatter").alias("scatter")))
