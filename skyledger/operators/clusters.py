@@ -121,11 +121,14 @@ def member_chi(df: DataFrame, row_id: str, label: str = "cluster") -> DataFrame:
     """Members by falling |chi| about their cluster mean, with the rank.
 
     Ranks are for members of one cluster, a short listing; rank ties follow the id.
+    All columns of ``df`` are sorted along: give only those the listing shows.
     """
     rows = labelled_members(df, label).filter(
         x.is_finite("plx_sp") & x.is_finite("err_sp") & (F.col("err_sp") > 0))
     mean, _ = inverse_variance("plx_sp", "err_sp")
-    scored = on_groups(rows, rows.groupBy(label).agg(mean.alias("__m")), [label])
+    # Written once: its true size tells whether the members need a shuffle to meet it.
+    means = stage(rows.groupBy(label).agg(mean.alias("__m")))
+    scored = on_groups(rows, means, [label])
     scored = scored.withColumn("chi", (F.col("plx_sp") - F.col("__m")) / F.col("err_sp")).drop("__m")
     return ordinal_rank(scored, [label], [F.desc(F.abs("chi")), F.col(row_id)], "chi_rank")
 
