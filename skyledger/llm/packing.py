@@ -29,6 +29,8 @@ from skyledger.session import stage
 CAPACITY = 4096
 END_ID = 1
 GROUP_ROWS = 4_000
+# Parts whose ids a Python worker keeps, about 250 bytes each; fewer make it encode rare words again and again.
+PARTS_KEPT = 1_000_000
 WORTH = 16
 
 
@@ -39,7 +41,7 @@ def _parts(path: str) -> PartIds:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return PlainWords(tokenizer, f"[{LETTERS}{MARKS}0-9]+", f"[{LETTERS}]+|[0-9]|[{MARKS}]+", fold=True).parts
+    return PlainWords(tokenizer, f"[{LETTERS}{MARKS}0-9]+", f"[{LETTERS}]+|[0-9]|[{MARKS}]+", fold=True, limit=PARTS_KEPT).parts
 
 
 def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",

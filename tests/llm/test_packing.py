@@ -78,3 +78,12 @@ def test_edges_of_the_table(spark):
     out = K.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))).collect()
     check_packing([(i, t) for i, t, _ in rows], out, PATH)
     assert K.token_pieces(df.limit(0), PATH).collect() == []
+
+
+def test_rare_words_are_encoded_once():
+    parts, encoded = K._parts.__wrapped__(PATH), []
+    parts.encode = lambda part: encoded.append(part) or b""
+    words = [f"w{i}" for i in range(500_000)]
+    for _ in range(2):
+        parts.join(words)
+    assert len(encoded) == len(words)
