@@ -61,3 +61,22 @@ def test_better_than_hash_classes(spark, sf):
     held = R.fit_and_score(docs).where("held_out").selectExpr("sum(score) AS s", "sum(base_score) AS b").first()
     coarse = P.score(docs, P.fit(P.texts(docs).where(~P.held_out()))).where("held_out").selectExpr("sum(score) AS s").first()
     assert held["s"] > coarse["s"] > held["b"]
+
+
+def test_a_flush_lets_go_of_its_arrays(monkeypatch):
+    """Two tasks share an executor, so a flush may take no more than 80 bytes a place."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr("pyspark.TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 2000, 999)) for _ in range(512)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(512)), "text": texts, "held_out": [i % 10 == 0 for i in range(512)]})
+    cut = R._cut((2, 2), True)([pa.RecordBatch.from_arrays([c.slice(k, 64) for c in batch.columns], names=batch.schema.names) for k in range(0, 512, 64)])
+    tracemalloc.start()
+    sizes = [b.nbytes for b in cut]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes and peak / 512_000 < 80
