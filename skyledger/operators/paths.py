@@ -1,7 +1,8 @@
 """Ridge fits of every fold and penalty at once: one scan a step, however many penalties.
 
 Each fit is a descent that asks for sums over its fold's rows (normal matrix and
-gradient at a point, or objectives at several) and goes on when it has them. The
+gradient at a point, objectives at several, or objectives and the matrix at the
+first of the points, ahead of the choice) and goes on when it has them. The
 descents advance in step: a scan answers the open questions of all of them, so a
 scan over twenty penalties takes as many passes as its slowest fit.
 """
@@ -20,6 +21,8 @@ from skyledger.operators.spectra import feature_stats, matrix
 
 # Numbers that one task adds up in a scan; with more, the fits go through it in turns.
 SUMS = 1 << 26
+# Widest problem whose normal matrix is formed ahead, at the step most likely taken; reading the rows costs more there.
+AHEAD = 256
 
 Question = tuple[str, object]
 
@@ -79,10 +82,11 @@ def _ridge(reg: np.ndarray, max_iter: int, gtol: float, ftol: float) -> Generato
     def objective(misfits, points):
         return 0.5 * misfits / n + np.array([0.5 * reg @ t ** 2 for t in points])
 
-    value = objective((yield "misfit", [theta]), [theta])[0]
-    damping = 1e-3
+    ahead = "ahead" if size <= AHEAD else "misfit"
+    sums = yield ahead, [theta]
+    value, known, damping = objective(sums[:1], [theta])[0], sums[1:], 1e-3
     for _ in range(max_iter):
-        h, grad = split((yield "normal", theta))
+        h, grad = split(known if len(known) else (yield "normal", theta))
         h, grad = h / n + np.diag(reg), grad / n + reg * theta
         if np.abs(grad).max() < gtol:
             return theta
@@ -92,8 +96,10 @@ def _ridge(reg: np.ndarray, max_iter: int, gtol: float, ftol: float) -> Generato
             deltas = [np.linalg.solve(h + np.diag(d * diagonal), -grad) for d in dampings]
             foretold = [0.5 * (-grad @ s + d * s @ (diagonal * s)) for s, d in zip(deltas, dampings)]
             points = [theta + s for s in deltas]
-            values = objective((yield "misfit", points), points)
+            sums = yield ahead, points
+            values = objective(sums[:len(points)], points)
             k = int(np.argmin(values))
+            known = sums[len(points):] if k == 0 else ()
             gain = value - values[k]
             if gain <= 0.0:
                 if max(foretold) <= ftol * max(abs(value), 1.0):
@@ -118,10 +124,12 @@ def _answers(data: DataFrame, stats: dict, questions: dict, size: int) -> dict[t
 
     def add(total, question, design, plx, err):
         kind, at = question
-        if kind == "misfit":
+        if kind in ("misfit", "ahead"):
             m = np.exp(np.clip(design @ np.stack(at, axis=1), -fit.x.Z_CLIP, fit.x.Z_CLIP))
-            total += (((plx[:, None] - m) / err[:, None]) ** 2).sum(axis=0)
-            return
+            total[:len(at)] += (((plx[:, None] - m) / err[:, None]) ** 2).sum(axis=0)
+            if kind == "misfit":
+                return
+            total, at = total[len(at):], at[0]
         if kind == "start":
             weight = (plx > 0).astype(float)
             target = np.log(np.where(plx > 0, plx, 1.0))
@@ -132,7 +140,8 @@ def _answers(data: DataFrame, stats: dict, questions: dict, size: int) -> dict[t
         total[size * size:size * size + size] += design.T @ target
 
     def length(question):
-        return len(question[1]) if question[0] == "misfit" else size * size + size + 2
+        points = len(question[1]) if question[0] in ("misfit", "ahead") else 0
+        return points if question[0] == "misfit" else points + size * size + size + 2
 
     def run(batches):
         totals = {}

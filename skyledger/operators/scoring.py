@@ -20,6 +20,7 @@ from skyledger.operators.joins import attach_star_table
 from skyledger.operators.robust import robust_stats
 from skyledger.operators.selection import apply_zero_point, complete_bands, drop_failed_spectra
 from skyledger.operators.spectra import _map, assemble_features, ln_flux, matrix
+from skyledger.session import stage
 
 
 def _double(name: str) -> T.StructField:
@@ -211,16 +212,17 @@ def lambda_scan(rows: DataFrame, lams: Sequence[float], *, key: str, sample: str
 
     Every fold is predicted by the other fold's model; the scatter is taken on the
     high signal-to-noise probe. All folds and penalties are fitted together, one scan
-    a step, and scored in one plan.
+    a step. Only the probe is scored, without ``key``, and its residuals are written
+    once for the passes that select from them.
     """
     models, scored = fit_folds(rows, lams, sample=sample, **options), None
+    probe = rows.filter(x.hi_snr("plx", "e_plx", snr) & (F.col("plx") > 0)).withColumn(
+        "model", F.when(F.col(sample) == "A", "B").otherwise("A"))
     for lam, fits in models.items():
-        routed = rows.withColumn("model", F.when(F.col(sample) == "A", "B").otherwise("A"))
-        one = predict_routed(routed, fits, [key, "plx", "e_plx"], model="model").withColumn("lam", F.lit(float(lam)))
+        one = predict_routed(probe, fits, ["plx"], model="model").select(
+            F.lit(float(lam)).alias("lam"), x.fractional_residual("plx_sp", "plx").alias("frac"))
         scored = one if scored is None else scored.unionByName(one)
-    probe = scored.filter(x.hi_snr("plx", "e_plx", snr) & (F.col("plx") > 0)).select(
-        "lam", x.fractional_residual("plx_sp", "plx").alias("frac"))
-    table = robust_stats(probe, ["lam"], ["frac"]).select(
+    table = robust_stats(stage(scored), ["lam"], ["frac"]).select(
         "lam", F.col("frac_n").alias("n_probe"), F.col("frac_scatter").alias("scatter"))
     return table, models
 
